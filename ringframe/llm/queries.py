@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secrets import op4_secret_scans
 from .sharding import op7_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_secret_scans": op4_secret_scans,
         "op7_sharding": op7_sharding,
     }
 
