@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import gc
 import math
+import sys
 import tempfile
+import types
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Functions of this subpackage travel with the task, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
+
+
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks."""
+    store = sys.modules.setdefault("_ringframe_worker", types.ModuleType("_ringframe_worker"))
+    return vars(store).setdefault(name, {})
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

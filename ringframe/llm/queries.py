@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op6_media_columns
 from .secrets import op4_secret_scans
 from .sharding import op7_sharding
 
@@ -13,6 +14,7 @@ from .sharding import op7_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_secret_scans": op4_secret_scans,
+        "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
     }
 
