@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linededup
+from .linededup import op3_line_dedup
 from .media import op6_media_columns
 from .secrets import op4_secret_scans
 from .sharding import op7_sharding
@@ -13,6 +15,7 @@ from .sharding import op7_sharding
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op4_secret_scans": op4_secret_scans,
         "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": linededup.SQL}
