@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup
+from . import linededup, mixing
 from .linededup import op3_line_dedup
 from .media import op6_media_columns
+from .mixing import op10_mixing
 from .secrets import op4_secret_scans
 from .sharding import op7_sharding
 
@@ -19,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": op4_secret_scans,
         "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.SQL}
+    return {"op3_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL}
