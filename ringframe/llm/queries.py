@@ -10,12 +10,14 @@ from . import linededup, mixing
 from .linededup import op3_line_dedup
 from .media import op6_media_columns
 from .mixing import op10_mixing
+from .packing import op1_best_fit_packing
 from .secrets import op4_secret_scans
 from .sharding import op7_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
         "op4_secret_scans": op4_secret_scans,
         "op6_media_columns": op6_media_columns,
