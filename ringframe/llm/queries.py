@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import linededup, mixing
+from .fingerprints import op5_fingerprints
 from .linededup import op3_line_dedup
 from .media import op6_media_columns
 from .mixing import op10_mixing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
         "op4_secret_scans": op4_secret_scans,
+        "op5_fingerprints": op5_fingerprints,
         "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
         "op10_mixing": op10_mixing,
