@@ -22,6 +22,13 @@ def process_cache(name: str) -> dict:
     return vars(store).setdefault(name, {})
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches of at most `rows` rows, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
