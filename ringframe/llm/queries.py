@@ -14,6 +14,7 @@ from .mixing import op10_mixing
 from .packing import op1_best_fit_packing
 from .secrets import op4_secret_scans
 from .sharding import op7_sharding
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprints": op5_fingerprints,
         "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
+        "op8_toxicity": op8_toxicity,
         "op10_mixing": op10_mixing,
     }
 
