@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import linededup, mixing
 from .fingerprints import op5_fingerprints
+from .lattice import op2_lm_scoring
 from .linededup import op3_line_dedup
 from .media import op6_media_columns
 from .mixing import op10_mixing
@@ -20,6 +21,7 @@ from .toxicity import op8_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_line_dedup": op3_line_dedup,
         "op4_secret_scans": op4_secret_scans,
         "op5_fingerprints": op5_fingerprints,
