@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import linededup, mixing
 from .fingerprints import op5_fingerprints
+from .jaccard import op9_ngram_jaccard_join
 from .lattice import op2_lm_scoring
 from .linededup import op3_line_dedup
 from .media import op6_media_columns
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media_columns": op6_media_columns,
         "op7_sharding": op7_sharding,
         "op8_toxicity": op8_toxicity,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_mixing": op10_mixing,
     }
 
