@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, documents
 
 LINES = 3
+# Runs of removed lines are broadcast up to so many, of 8 bytes each and about 50 a document; beyond, texts are shuffled to them.
+BROADCAST_RUNS = 1_000_000
 
 
 def windows(docs: DataFrame, size: int) -> DataFrame:
@@ -74,7 +76,9 @@ def dedup_lines(docs: DataFrame, size: int = LINES, key: str = "doc_id", text: s
     keyed = docs.withColumn("_doc", id_).withColumn("_text", F.col(text).cast("string"))
     found = checkpoint(windows(keyed, size))
     runs = covered(found, size).select(F.col("_doc").alias("_in"), "_covered")
-    joined = keyed.join(runs, F.col("_doc") == F.col("_in"), "left")
+    runs = checkpoint(runs)
+    small = (runs.agg(F.sum(F.size("_covered"))).first()[0] or 0) <= BROADCAST_RUNS
+    joined = keyed.join(F.broadcast(runs) if small else runs, F.col("_doc") == F.col("_in"), "left")
     lines = F.split("_text", "\n")
     kept = F.when(F.col("_covered").isNull(), F.col("_text")).otherwise(F.array_join(without(lines, F.col("_covered")), "\n"))
     removed = F.aggregate("_covered", F.lit(0), lambda n, r: n + r["to"] - r["from"])
