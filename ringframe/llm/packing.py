@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -17,8 +19,8 @@ from .common import checkpoint, documents, numbered, process_cache
 CAPACITY = 2048
 END_ID = 0
 # Words of which a Python worker remembers the ids; then it begins anew.
-REMEMBERED = 400_000
-AT_ONCE = 256
+REMEMBERED = 1_200_000
+AT_ONCE = 1024
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, n_pieces int"
 
@@ -29,22 +31,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Signs that end a word here; those of special tokens are not among them.
+CLOSING = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
 class WordIds:
-    """Ids of texts as bytes (little-endian, 32 bits). White space always ends a token, so ids are remembered word by word."""
+    """Ids of texts as bytes (little-endian, 32 bits). White space always ends a token, so ids are remembered word by word.
+
+    A word of letters alone is one group of the tokenizer's pre-tokenizer, so its model can be called at once; signs that
+    close a word after a letter are a group of their own. All other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+        shown = iter(range(256, 512))
+        # the byte-level alphabet: printable Latin-1 as itself, other bytes from 256 on, in order
+        self.alphabet = {c: c if c in plain else next(shown) for c in range(256)}
+
+    def ids(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word)):
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, word: bytes) -> bytes:
+        text = word.decode()
+        bare = text.rstrip(CLOSING)
+        if bare != text and bare and bare[-1].isalpha() and bare[-1] == bare[-1].lower():
+            parts = bare.encode(), text[len(bare) :].encode()
+            found = b"".join(self.known.get(x) or self.known.setdefault(x, self.ids(x.decode())) for x in parts)
+        else:
+            found = self.ids(text)
+        self.known[word] = found
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().split() for t in texts]
+        # the tokenizer lower-cases; doing so for A-Z here makes more words alike
+        words = [(t or "").encode().lower().split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
+        for new in set().union(*words) - self.known.keys():
+            self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
