@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sliced
 
 # Signatures of the formats that have a validator here.
 MAGIC = {
@@ -164,7 +164,7 @@ def sniff_media(df: DataFrame, data: str = "data", declared: str = "declared") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("data", pa.binary())]))
-        for batch in batches:
+        for batch in sliced(batches):
             names, blobs = batch.schema.names, batch.column(data).to_pylist()
             said = batch.column(declared).to_pylist()
             media = [sniff(b, machine) if b else [] for b in blobs]
@@ -234,7 +234,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Each text (null: empty) as an object of bytes: its medium alone, or after a text preamble for every fifth payload checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, payload = padded(text)
@@ -242,7 +242,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 before = b"Content-Type: application/octet-stream\r\n\r\n" if crc % 5 == 0 else b""
                 rows.append((doc_id, n, DECLARED[crc % 3], len(before), before + stored(payload)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)] if rows else [pa.array([], f.type) for f in STORED],
+                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)],
                 schema=STORED,
             )
 
@@ -265,7 +265,7 @@ def read_back(sniffed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for r in batch.to_pylist():
                 (medium,) = r["media"]
@@ -280,7 +280,7 @@ def read_back(sniffed: DataFrame) -> DataFrame:
                      medium["length"], hashlib.sha256(medium["data"]).hexdigest(), feature)
                 )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)] if rows else [pa.array([], f.type) for f in READ],
+                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)],
                 schema=READ,
             )
 
