@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
     """
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k")).first()
     parts = max(1, min(8192, ids["n"] // rows_per_range))
-    cuts = []
+    cuts = [0.0]
     if ids["k"]:
         found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0]
         cuts = sorted(set(found))
