@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import proximity
 
+BLOCK = 64
+
 
 def stats(rows: DataFrame) -> DataFrame:
     """Per hole: hotspots (with or without distance), mean and least distance; null and negative holes don't count."""
@@ -83,7 +85,7 @@ def link_greedy(rows: DataFrame, reach: float = 24.0, max_ratio: float = 3.0) ->
     """One-to-one links between consecutive frames by ascending cost: distance + 0.5 area ratio + 0.25 score difference.
 
     Pairs farther than `reach`, beyond `max_ratio` in area or of different holes are out. Since links stay within a hole,
-    each (hole, frame pair) is matched by itself, in Python, which holds one such pair's few hotspots.
+    each (hole, frame pair) is matched by itself, in Python; a task's group is a hole's hotspots over BLOCK frame pairs.
     """
     import pandas as pd
 
@@ -91,7 +93,10 @@ def link_greedy(rows: DataFrame, reach: float = 24.0, max_ratio: float = 3.0) ->
     both = now.withColumn("_pair", F.explode(F.array(F.col("frame_id"), F.col("frame_id") + 1)))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame = int(pdf["_pair"].iloc[0])
+        found = [row for pair, rows in pdf.groupby("_pair") for row in one_pair(int(pair), rows)]
+        return pd.DataFrame(found, columns=["frame_id", "prev_hotspot_id", "hotspot_id", "cost"])
+
+    def one_pair(frame: int, pdf: pd.DataFrame) -> list[tuple]:
         old, new = pdf[pdf.frame_id == frame - 1], pdf[pdf.frame_id == frame]
         costs = []
         for a in old.itertuples():
@@ -105,9 +110,9 @@ def link_greedy(rows: DataFrame, reach: float = 24.0, max_ratio: float = 3.0) ->
                 used_a.add(a)
                 used_b.add(b)
                 out.append((frame, a, b, cost))
-        return pd.DataFrame(out, columns=["frame_id", "prev_hotspot_id", "hotspot_id", "cost"])
+        return out
 
-    return both.groupBy("nearest_hole_id", "_pair").applyInPandas(match, "frame_id int, prev_hotspot_id long, hotspot_id long, cost double")
+    return both.groupBy("nearest_hole_id", F.expr(f"_pair div {BLOCK}")).applyInPandas(match, "frame_id int, prev_hotspot_id long, hotspot_id long, cost double")
 
 
 def per_frame(rows: DataFrame) -> DataFrame:
