@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, radial, rdf, resample, reshape, sectors
+from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, pixels, radial, rdf, resample, reshape, sectors
 from ringframe.sources import views
 from ringframe.sources.views import SQL
+from ringframe.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -995,3 +996,82 @@ def _(spark, sf_dir):
     v = "descriptor_value"
     checks = {"has_rows": F.count(F.lit(1)) > 0, "values_in_range": (F.min(v) >= 0) & (F.max(v) <= 1), "all_annuli": F.countDistinct("annulus_id") == 7}
     return gates.gates(views.radial_rows(spark, sf_dir), checks)
+
+
+# --- pixel rows --------------------------------------------------------------------------------------------------------
+
+
+def _placed_pixels(spark, sf_dir):
+    """Order lines as pixels with a place: 60 columns by order, rows by part."""
+    return views.table(spark, sf_dir, "lineitem").select(
+        views._frame("l_shipdate").alias("frame_id"), (F.col("l_partkey") % 500).cast("int").alias("y"), (F.col("l_orderkey") % 500).cast("int").alias("x"),
+        (F.col("l_orderkey") % 256).cast("int").alias("r"), (F.col("l_partkey") % 256).cast("int").alias("g"), (F.col("l_suppkey") % 256).cast("int").alias("b"),
+    )
+
+
+_PLACED = f"placed AS (SELECT {views._Q} AS frame_id, CAST(l_partkey % 500 AS INTEGER) AS y, CAST(l_orderkey % 500 AS INTEGER) AS x, CAST(l_orderkey % 256 AS INTEGER) AS r, CAST(l_partkey % 256 AS INTEGER) AS g, CAST(l_suppkey % 256 AS INTEGER) AS b FROM lineitem)"
+
+
+@query(
+    "bulk_pixels",
+    sql("holes", "SELECT frame_id, count(*) AS area_px, avg(r) AS mean_r FROM placed p WHERE NOT EXISTS (SELECT 1 FROM holes h WHERE sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= h.radius_outer_px + 2) GROUP BY frame_id", "frame_id, area_px", "mean_r", _PLACED),
+)
+def _(spark, sf_dir):
+    outside = pixels.outside_holes(_placed_pixels(spark, sf_dir), views.holes(spark, sf_dir), 2.0)
+    return outside.groupBy("frame_id").agg(F.count(F.lit(1)).alias("area_px"), F.avg("r").alias("mean_r"))
+
+
+@query(
+    "terrace_pixels",
+    sql(
+        "holes",
+        """SELECT frame_id, m.hole_id, annulus_id, count(*) AS area_px, avg(r) AS mean_r FROM (SELECT *, min(d) OVER (PARTITION BY frame_id, y, x, n) AS least FROM (
+        SELECT p.*, h.hole_id, sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) AS d FROM (SELECT *, row_number() OVER () AS n FROM placed) p JOIN holes h ON sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= 22)) m
+        JOIN (SELECT hole_id, k AS annulus_id, radius_outer_px + k * 1.5 AS r0, radius_outer_px + (k + 1) * 1.5 AS r1 FROM holes, range(6) t(k)) a ON a.hole_id = m.hole_id AND d >= r0 AND d < r1 WHERE d = least GROUP BY ALL""",
+        "frame_id, hole_id, CAST(annulus_id AS INTEGER) AS annulus_id, area_px",
+        "mean_r",
+        _PLACED,
+    ),
+)
+def _(spark, sf_dir):
+    holes = views.holes(spark, sf_dir)
+    annuli = holes.withColumn("annulus_id", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        "hole_id", "annulus_id", (F.col("radius_outer_px") + F.col("annulus_id") * 1.5).alias("r_inner_px"), (F.col("radius_outer_px") + (F.col("annulus_id") + 1) * 1.5).alias("r_outer_px")
+    )
+    inside = pixels.terraces(_placed_pixels(spark, sf_dir), annuli, holes, 22.0)
+    return inside.groupBy("frame_id", "hole_id", "annulus_id").agg(F.count(F.lit(1)).alias("area_px"), F.avg("r").alias("mean_r"))
+
+
+@query("grey_world_means")
+def _(spark, sf_dir):
+    return pixels.grey_world(_placed_pixels(spark, sf_dir)).groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"])
+
+
+@query(
+    "black_rows",
+    sql(
+        "",
+        """SELECT frame_id, CAST(coalesce(min(y) FILTER (WHERE NOT black), max(y) + 1) AS INTEGER) AS top_black_rows, CAST(coalesce(max(y) - max(y) FILTER (WHERE NOT black), max(y) + 1) AS INTEGER) AS bottom_black_rows FROM (
+        SELECT frame_id, y, avg(CAST(l <= 12 AS DOUBLE)) >= 0.995 AND avg(l) <= 5 AND stddev_pop(l) <= 3.5 AS black FROM (SELECT *, (299 * r + 587 * g + 114 * b) / 1000 AS l FROM placed) GROUP BY ALL) GROUP BY frame_id""",
+        "frame_id, top_black_rows, bottom_black_rows",
+        "",
+        _PLACED,
+    ),
+)
+def _(spark, sf_dir):
+    return pixels.black_rows(_placed_pixels(spark, sf_dir))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "events_tumbling_stream",
+    sql("", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL", "strftime(day, '%Y-%m-%d') AS day, event_type, n, cents", "", ""),
+)
+def _(spark, sf_dir):
+    """The whole table as a stream, run to its end; what is kept are the windows' sums."""
+    out = stateful.tumbling(stateful.read_events(spark, sf_dir, 8, "events.parquet"), late="3650 days")
+    name = "ringframe_tumbling"
+    out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream of events, with `ts` as a timestamp."""
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder (those that match `pattern`) as a stream of events, with `ts` as a timestamp."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
