@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, pixels, radial, rdf, resample, reshape, sectors
+from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, pixels, radial, rdf, resample, reshape, sectors, sweeps
 from ringframe.sources import views
 from ringframe.sources.views import SQL
 from ringframe.streaming import stateful
@@ -1075,3 +1075,67 @@ def _(spark, sf_dir):
     name = "ringframe_tumbling"
     out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
+
+
+# --- sweeps, mixtures --------------------------------------------------------------------------------------------------
+
+_GRID = ", ".join(f"({i * 3 + k}, CAST({b} AS DOUBLE), CAST({r} AS DOUBLE))" for i, b in enumerate(sweeps.BRIGHTNESS) for k, r in enumerate(sweeps.RADIUS))
+_SWEPT = f"""grid(sweep_id, bs, rs) AS (VALUES {_GRID}),
+    sw AS (SELECT sweep_id, bs AS brightness_scale, rs AS radius_scale, hole_id, frame_id, CAST(floor(annulus_id * rs + 1e-9) AS INTEGER) AS annulus_id, avg(least(descriptor_value * bs, 1.0)) AS v FROM radial, grid GROUP BY ALL),
+    sa AS (SELECT sweep_id, brightness_scale, radius_scale, frame_id, annulus_id, avg(v) AS v FROM sw GROUP BY ALL), {_profile("spr", "sa", "sweep_id, brightness_scale, radius_scale, frame_id", "v")},
+    sr AS ({_summary("sweep_id, brightness_scale, radius_scale", "spr")}), sb AS (SELECT radial_conclusion_label AS bl, delta_center_of_mass AS bd FROM sr WHERE brightness_scale = 1 AND radius_scale = 1),
+    sc AS (SELECT y.sweep_id, y.frame_id, CASE WHEN stddev_pop(x.v) < 1e-9 OR stddev_pop(y.v) < 1e-9 THEN CASE WHEN max(abs(x.v - y.v)) < 1e-9 THEN 1.0 ELSE 0.0 END ELSE (avg(x.v * y.v) - avg(x.v) * avg(y.v)) / (stddev_pop(x.v) * stddev_pop(y.v)) END AS c
+      FROM sa y JOIN sa x ON x.frame_id = y.frame_id AND x.annulus_id = y.annulus_id AND x.brightness_scale = 1 AND x.radius_scale = 1 GROUP BY ALL)"""
+
+
+@query(
+    "perturbation_sweeps",
+    sql(
+        "radial",
+        "SELECT sr.sweep_id, brightness_scale, radius_scale, radial_conclusion_label, radial_conclusion_label = bl AS conclusion_stable, delta_center_of_mass - bd AS center_drift, m.profile_correlation FROM sr, sb, (SELECT sweep_id, avg(c) AS profile_correlation FROM sc GROUP BY 1) m WHERE m.sweep_id = sr.sweep_id",
+        "sweep_id, radial_conclusion_label, conclusion_stable",
+        "brightness_scale radius_scale center_drift profile_correlation",
+        _SWEPT,
+    ),
+)
+def _(spark, sf_dir):
+    return sweeps.compare(views.radial_rows(spark, sf_dir))
+
+
+@query(
+    "transition_candidates",
+    sql(
+        "pixels",
+        "SELECT frame_id, score, m + 6 * mad AS threshold, score >= m + 6 * mad AS is_jump FROM ts, (SELECT median(abs(score - m)) AS mad, any_value(m) AS m FROM ts, (SELECT median(score) AS m FROM ts))",
+        "frame_id, is_jump",
+        "score threshold",
+        _HIST + ", dn AS (SELECT f.frame_id, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM (SELECT DISTINCT frame_id FROM hi) f CROSS JOIN range(64) t(k) LEFT JOIN hi ON hi.frame_id = f.frame_id AND hi.bin = k), dc0 AS (SELECT *, sum(share) OVER (PARTITION BY frame_id ORDER BY bin) AS cdf FROM dn), ts AS (SELECT * FROM (SELECT frame_id, 0.5 * sum(dh) + 2 * avg(dc) AS score FROM (SELECT frame_id, abs(share - lag(share) OVER (PARTITION BY bin ORDER BY frame_id)) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY frame_id)) AS dc FROM dc0) GROUP BY ALL) WHERE score IS NOT NULL)",
+    ),
+)
+def _(spark, sf_dir):
+    return sweeps.transition_candidates(frames.transition_scores(frames.histogram(views.pixels(spark, sf_dir))))
+
+
+@query(
+    "reference_frame",
+    sql("pixels", "SELECT frame_id AS reference_frame_id, accepted FROM (SELECT *, greatest(sr, sg, sb) < 0.05 AS accepted FROM (SELECT frame_id, avg(CAST(r >= 250 AS DOUBLE)) AS sr, avg(CAST(g >= 250 AS DOUBLE)) AS sg, avg(CAST(b >= 250 AS DOUBLE)) AS sb, sum(r) AS total FROM pixels GROUP BY ALL)) ORDER BY accepted DESC, total DESC, frame_id LIMIT 1", "reference_frame_id, accepted"),
+)
+def _(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    audit = frames.saturation(px).join(px.groupBy("frame_id").agg(F.sum("r").alias("total")), "frame_id")
+    return sweeps.reference_frame(audit, "total")
+
+
+def _mixture(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    return mixture.prevalence(px, mixture.choose(mixture.balanced_sample(mixture.embedded(px)), 2, 5))
+
+
+@query("colour_mixture_prevalence")
+def _(spark, sf_dir):
+    return _mixture(spark, sf_dir)
+
+
+@query("colour_mixture_context")
+def _(spark, sf_dir):
+    return mixture.frame_context(_mixture(spark, sf_dir))
