@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing
+from . import linededup, mixing, secrets
 from .fingerprints import op5_fingerprints
 from .jaccard import op9_ngram_jaccard_join
 from .lattice import op2_lm_scoring
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL}
+    return {"op3_line_dedup": linededup.SQL, "op4_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL}

@@ -196,3 +196,24 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *number, F.sha2(F.encode(listed(base), "utf-8"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
     )
+
+
+def _found(order: int, rule: Rule) -> str:
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, {pattern}) AS gaps, "
+        f"regexp_extract_all(t, {pattern}, 0) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS judged FROM d WHERE regexp_matches(t, {pattern})"
+    )
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_found(n, rule) for n, rule in enumerate(BASE + EXTRA))}),
+p AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+q AS (SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS first FROM p WHERE length(judged[i]) >= least),
+s AS (SELECT doc_id, ord, first, kind || ':' || first || ':' || (first + length(found[i])) AS said FROM q)
+SELECT d.doc_id, {", ".join(f"count(s.ord) FILTER (WHERE s.ord = {n}) AS n_{rule.kind}" for n, rule in enumerate(BASE))},
+  sha256(coalesce(string_agg(s.said, ',' ORDER BY s.first, s.ord) FILTER (WHERE s.ord < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(s.said, ',' ORDER BY s.first, s.ord), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
