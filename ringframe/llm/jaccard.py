@@ -9,19 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, release, sliced
+from .common import checkpoint, documents, release, sliced, small_batches
 
 # How far a prefix may be lengthened: so many shared tokens can be asked for.
 LENGTHS = (1, 2, 4, 8)
 # What verifying a candidate costs, in posting entries read.
 VERIFY_COST = 8.0
 # A token in so many documents of a chunk of about CHUNK tokens is frequent; the order of tokens puts the HOT most frequent ones last.
-CHUNK, FREQUENT, HOT = 4_000_000, 8, 50_000
+CHUNK, FREQUENT, HOT = 1_000_000, 4, 50_000
 # Cold tokens' document counts are exact up to this.
 RUN = 10_000
 # Document ids whose sets are to be verified are broadcast up to so many; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
-SKETCH = 8
+# 64-bit words of the sketches in the join, and of those that candidates meet in before their sets are sent.
+SKETCH, LARGE_SKETCH = 16, 64
+# Rounds of contraction at most, and leaders a token picks in each; a set is compared with the likest one.
+ROUNDS, LEADERS = 1, 3
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 INVERSE = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
@@ -91,9 +94,9 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mixed(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """Parities of 512 hashed classes: two sets differ in at least as many members as their sketches in bits."""
-    parity = np.bincount((mixed(tokens + ODD[0]) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch_of(tokens: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parities of 64 * words hashed classes: two sets differ in at least as many members as their sketches in bits."""
+    parity = np.bincount((mixed(tokens + ODD[0]) >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -132,12 +135,13 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, SUMMARY)
 
 
-ENTRIES = "token long, node long, n int, pos int, docs int"
-ENTRY_SCHEMA = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("docs", pa.int32())])
+# `at` packs the position in the prefix and, in its lower half, the token's count of documents.
+ENTRIES = "token long, node long, at long"
+ENTRY_SCHEMA = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("at", pa.int64())])
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_docs: np.ndarray) -> DataFrame:
-    """The longest prefix of each set in the global order: (token, node, n, pos, docs); docs is set for hot tokens alone.
+    """The longest prefix of each set in the global order: (token, node, at); the count in `at` is set for hot tokens alone.
 
     The order is by hash for all but the hot tokens, which come last, the most frequent at the very end. A set with n members
     has to share ceil(num * n / den) of them with any partner, so its prefix for l matches has n less that, plus l, members.
@@ -160,23 +164,21 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_d
                 k = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
                 often = hot[k] == tokens if len(hot) else np.zeros(size, bool)
                 cold = tokens[~often][:length]
-                docs = np.zeros(length, np.int32)
+                docs = np.zeros(length, np.int64)
                 if len(cold) < length:
                     last = tokens[often]
                     count = hot_docs[k[often]]
                     by = np.lexsort((last, count))[: length - len(cold)]
                     docs[len(cold) :] = count[by]
                     cold = np.concatenate((cold, last[by]))
-                parts.append((cold, node, size, docs))
+                parts.append((cold, node, (np.arange(length) << 32) + docs))
             if parts:
                 lengths = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
                         pa.array(np.repeat([p[1] for p in parts], lengths)),
-                        pa.array(np.repeat([p[2] for p in parts], lengths).astype(np.int32)),
-                        pa.array(np.concatenate([np.arange(x) for x in lengths]).astype(np.int32)),
-                        pa.array(np.concatenate([p[3] for p in parts])),
+                        pa.array(np.concatenate([p[2] for p in parts])),
                     ],
                     schema=ENTRY_SCHEMA,
                 )
@@ -186,7 +188,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_d
 
 def shared(entries: DataFrame) -> DataFrame:
     """Entries whose token another set has too, with the token's count of sets. Hot tokens need no test and are dealt by node."""
-    dealt = entries.repartition(F.when(F.col("docs") > 0, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token", "node")
+    dealt = entries.repartition(F.when(F.col("at") % (1 << 32) > 0, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
@@ -218,8 +220,9 @@ def shared(entries: DataFrame) -> DataFrame:
             if same_next:
                 counts = counts + (part[0] == part[0, -1]) * RUN
             ended = part[0, -1] if same_next else None
-            part[4] = np.where(part[4] > 0, part[4], counts)
-            keep = part[:, part[4] > 1]
+            hot = part[2] & 0xFFFFFFFF
+            part[2] += np.where(hot > 0, 0, counts)
+            keep = part[:, (hot > 0) | (counts > 1)]
             yield pa.RecordBatch.from_arrays([pa.array(keep[i], f.type) for i, f in enumerate(ENTRY_SCHEMA)], schema=ENTRY_SCHEMA)
 
     return dealt.mapInArrow(run, ENTRIES)
@@ -230,7 +233,7 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def adapted(entries: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def adapted(entries: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Each set chooses how many matches l to ask for, and so the length of its prefix, by the least estimated cost.
 
     Reading the prefix's postings costs their entries; at most a l-th of the entries are sets with l matches, each of which
@@ -242,27 +245,31 @@ def adapted(entries: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
         inside = F.filter("_list", lambda x, length=length: x["pos"] < F.col("n") - F.col("_need") + length)
         read = F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["docs"] - 1)
         cost.append(F.when(F.lit(length) <= F.col("_need"), F.struct((read + VERIFY_COST * read / length).alias("c"), (-F.lit(length)).alias("l"))))
+    place = F.struct("token", F.shiftright("at", 32).cast("int").alias("pos"), (F.col("at") % (1 << 32)).alias("docs"))
     grouped = (
-        entries.groupBy("node", "n")
-        .agg(F.collect_list(F.struct("token", "pos", "docs")).alias("_list"))
+        entries.groupBy("node")
+        .agg(F.collect_list(place).alias("_list"))
+        .join(sizes, "node")
         .withColumn("_need", need)
         .where(F.size("_list") >= F.least(F.lit(LENGTHS[-1]), F.col("_need")))
         .withColumn("l", -F.array_min(F.filter(F.array(*cost), lambda x: x.isNotNull()))["l"])
     )
-    one = nodes.groupBy("node").agg(*[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
     return (
-        grouped.join(one, "node")
-        .withColumn("_x", F.explode("_list"))
+        grouped.withColumn("_x", F.explode("_list"))
         .where(F.col("_x.pos") < F.col("n") - F.col("_need") + F.col("l"))
-        .select("node", "n", "l", F.col("_x.token").alias("token"), *[f"s{i}" for i in range(SKETCH)])
+        .select("node", "n", "l", F.col("_x.token").alias("token"))
     )
 
 
+def differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: a lower bound of the members that only one set has."""
+    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+
+
 def may_link(a: str, b: str, num: int, den: int) -> Column:
     """A sound test on sizes and sketches: linked sets differ in at most (den - num) / (den + num) of their members together."""
     na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (bits * (den + num) <= (na + nb) * (den - num))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (differing(a, b) * (den + num) <= (na + nb) * (den - num))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -282,21 +289,38 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> Dat
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets truly overlap enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    """The pairs (a, b) whose sets truly overlap enough. Large sketches go first: only pairs that pass them are sent sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            made = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            bits = [sketch_of(t, LARGE_SKETCH).tobytes() for t in made]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary()), pa.array([len(t) for t in made])], names=["node", "tokens", "n"])
+
+    def passing(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+        differ = int.bit_count(int.from_bytes(x) ^ int.from_bytes(y))
+        return differ * (den + num) <= (nx + ny) * (den - num)
+
+    def overlapping(x: bytes, y: bytes, *_: int) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return den * both >= num * (len(a) + len(b) - both)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def kept(candidates: DataFrame, table: DataFrame, test) -> DataFrame:
+        left = table.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("nx"))
+        right = table.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("ny"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny")), strict=True)
+                mask = pa.array([test(*r) for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+        return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
+
+    large = checkpoint(sets.mapInArrow(sketches, "node long, tokens binary, n long"))
+    likely = checkpoint(kept(pairs, large, passing))
+    return kept(likely, sets.withColumn("n", F.lit(0).cast("long")), overlapping)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,6 +345,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = told
         edges = checkpoint(small(large(edges)))
+        release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )
@@ -330,60 +355,90 @@ def contracted(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def star_pairs(entries: DataFrame, sketches: DataFrame, comps: DataFrame, num: int, den: int, seed: int) -> DataFrame:
+    """Pairs of a set and the likest of the leaders that its prefix tokens picked, by a hash, outside its group.
+
+    A token picks LEADERS sets at most, so there are LEADERS times as many pairs as entries at most before they are judged,
+    and no more than sets after.
+    """
+    rows = contracted(entries, comps).join(sketches, "node")
+    columns = ["node", "comp", "n", *[f"s{i}" for i in range(SKETCH)]]
+    draw = F.xxhash64("node", "token", F.lit(seed))
+    leaders = rows.groupBy("token", F.pmod(draw, F.lit(LEADERS)).alias("_c")).agg(F.min_by(F.struct(*columns), draw).alias("b")).select("token", "b.*")
+    met = (
+        rows.alias("a")
+        .join(checkpoint(leaders).alias("b"), "token")
+        .where((F.col("a.comp") != F.col("b.comp")) & may_link("a", "b", num, den))
+        .select(F.col("a.node").alias("a"), F.struct((differing("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("unlike"), F.col("b.node").alias("b")).alias("b"))
+    )
+    best = met.groupBy("a").agg(F.min("b").alias("b")).select("a", "b.b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with node and n, links): the links connect nodes, sets of equal members, and keep every group connected.
+    """(documents with node and n, groups): groups are the connected components (node, comp) of linked nodes, sets of equal members.
 
-    Two steps. First each token picks one of its sets by a hash as leader, and every set is compared with the leaders of its
-    prefix; what links is contracted, which takes most of a large group of copies at a cost linear in the prefixes. Then the
-    join proper compares, token by token, the sets outside the token's largest contracted group with all others outside
-    their own group; pairs need as many shared prefix tokens as the lesser of their two l. A pair within a contracted group
-    is connected already, so no group is missed.
+    First rounds of contraction: each token picks a few of its sets as leaders, every set is compared with the likest
+    leaders of its prefix, and what links is one group from then on. This takes most of a large group of copies at a cost
+    linear in the prefixes. Then the join proper compares, token by token, the sets outside the token's largest group with
+    all others outside their own group; pairs need as many shared prefix tokens as the lesser of their two l. A pair within
+    a group is connected already, so no group is missed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = checkpoint(summaries(docs, n))
-    nodes = told.where("node IS NOT NULL").drop("token", "docs")
-    frequent = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(HOT).collect()
-    hot = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
-    count = np.minimum(np.array([r["docs"] for r in frequent], np.int64), 2**31 - 1)
-    by = np.argsort(hot)
-
-    entries = checkpoint(adapted(checkpoint(shared(prefixes(docs, n, num, den, hot[by], count[by]))), nodes, num, den))
-    release(spark)
-
-    columns = ["node", "n", *[f"s{i}" for i in range(SKETCH)]]
-    leaders = entries.groupBy("token").agg(F.min_by(F.struct(*columns), F.xxhash64("node", "token")).alias("b")).select("token", "b.*")
-    stars = (
-        entries.alias("a")
-        .join(checkpoint(leaders).alias("b"), "token")
-        .where((F.col("a.node") != F.col("b.node")) & may_link("a", "b", num, den))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    # two leaders of each set, those met in most tokens; the join proper finds what they leave
-    best = stars.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("t"), "b"))), 1, 2).alias("_b"))
-    tried = checkpoint(best.select("a", F.explode("_b.b").alias("b")))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = checkpoint(verified(tried, sets_of(docs, nodes, ends(tried), n), num, den))
-    comps = checkpoint(components(first))
-    release(spark)
-
-    grouped = checkpoint(contracted(entries, comps))
-    main = grouped.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups"))
-    main = checkpoint(main.where("groups > 1").select("token", "main"))
-    sides = checkpoint(grouped.join(main, "token").withColumn("outside", F.col("comp") != F.col("main")).drop("main"))
-    met = (
-        sides.where("outside").alias("a")
-        .join(sides.alias("b"), F.col("a.token") == F.col("b.token"))
-        .where((F.col("a.comp") != F.col("b.comp")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & may_link("a", "b", num, den))
-        .groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .agg(F.count(F.lit(1)).alias("times"), F.first(F.least("a.l", "b.l")).alias("least"))
-        .where("times >= least")
-    )
-    candidates = checkpoint(met.select("a", "b"))
-    second = checkpoint(verified(candidates, sets_of(docs, nodes, ends(candidates), n), num, den))
-    return nodes.select("doc_id", "node", "n"), first.unionByName(second)
+    with small_batches(spark):
+        told = checkpoint(summaries(docs, n))
+        nodes = told.where("node IS NOT NULL").drop("token", "docs")
+        frequent = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(HOT).collect()
+        hot = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
+        count = np.minimum(np.array([r["docs"] for r in frequent], np.int64), 2**31 - 1)
+        by = np.argsort(hot)
+
+        common = checkpoint(shared(prefixes(docs, n, num, den, hot[by], count[by])))
+        release(spark)
+        one = nodes.groupBy("node").agg(F.first("n").cast("int").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
+        entries = checkpoint(adapted(common, one.select("node", "n"), num, den))
+        del common
+        sketches = checkpoint(one.drop("n").join(entries.select("node").distinct(), "node", "left_semi"))
+        release(spark)
+
+        links = comps = None
+        for seed in range(ROUNDS):
+            known = spark.createDataFrame([], "node long, comp long") if comps is None else comps
+            tried = checkpoint(star_pairs(entries, sketches, known, num, den, seed))
+            release(spark)
+            if comps is not None and not tried.limit(1).count():
+                break
+            found = checkpoint(verified(tried, sets_of(docs, nodes, ends(tried), n), num, den))
+            links = found if links is None else links.unionByName(found)
+            comps = checkpoint(components(links))
+            del tried, found
+            release(spark)
+
+        grouped = contracted(entries, comps)
+        main = grouped.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups"))
+        main = checkpoint(main.where("groups > 1").select("token", "main"))
+        sides = checkpoint(grouped.join(main, "token").withColumn("outside", F.col("comp") != F.col("main")).drop("main"))
+        full = sides.join(sketches, "node")
+        met = (
+            full.where("outside").alias("a")
+            .join(full.alias("b"), F.col("a.token") == F.col("b.token"))
+            .where((F.col("a.comp") != F.col("b.comp")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & may_link("a", "b", num, den))
+            .groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            .agg(F.count(F.lit(1)).alias("times"), F.first(F.least("a.l", "b.l")).alias("least"))
+            .where("times >= least")
+        )
+        candidates = checkpoint(met.select("a", "b"))
+        release(spark)
+        second = checkpoint(verified(candidates, sets_of(docs, nodes, ends(candidates), n), num, den))
+        if second.limit(1).count():
+            # what is connected already goes in as the star of each group
+            comps = checkpoint(components(second.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+    return nodes.select("doc_id", "node", "n"), comps
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -397,8 +452,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     repeated rows. A null doc_id is never the least one, unless all of a group are null. An empty table gives no rows. Other
     columns are not read.
     """
-    nodes, links = link(docs, n, num, den)
-    comps = checkpoint(components(links))
+    nodes, comps = link(docs, n, num, den)
     least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("first").alias("component_id"))
