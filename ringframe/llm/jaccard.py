@@ -428,7 +428,7 @@ def link(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
             full.where("outside").alias("a")
             .join(full.alias("b"), F.col("a.token") == F.col("b.token"))
             .where((F.col("a.comp") != F.col("b.comp")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & may_link("a", "b", num, den))
-            .groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            .groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))  # either set may be outside, as the token has it
             .agg(F.count(F.lit(1)).alias("times"), F.first(F.least("a.l", "b.l")).alias("least"))
             .where("times >= least")
         )

@@ -387,6 +387,28 @@ def test_jaccard_groups(make, n, num, den):
     assert got == brute_groups(rows, n, num, den)
 
 
+def short_families(seed, families=120, each=8):
+    """Many families of 10 to 50 words, each text one to three words away from another of its family."""
+    rng, rows = np.random.default_rng(seed), []
+    for f in range(families):
+        family = [[f"f{f}w{x}" for x in range(int(rng.integers(10, 51)))]]
+        while len(family) < each:
+            copy = list(family[rng.integers(0, len(family))])
+            for at in rng.integers(0, len(copy), int(rng.integers(1, 4))):
+                copy[at] = f"e{rng.integers(0, 10**6)}"
+            family.append(copy)
+        rows += [" ".join(x) for x in family]
+    order = rng.permutation(len(rows))
+    return [(int(i), rows[k]) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("n,num,den", [(1, 80, 100)])
+def test_jaccard_short_families(make, n, num, den):
+    rows = short_families(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(make(rows), n, num, den).collect()}
+    assert got == brute_groups(rows, n, num, den)
+
+
 def test_jaccard_odd(odd, none):
     rows = jaccard.jaccard_groups(odd).collect()
     got = {r["doc_id"]: r["component_id"] for r in rows}
