@@ -40,15 +40,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group stays, once if the row is repeated. Rows without doc_id stay."""
-    groups = checkpoint(jaccard.jaccard_groups(docs, SHINGLE, NUM, DEN))
+    """One row of each group stays: of those with the least doc_id, the one with the least text. Rows without doc_id or words stay.
+
+    What goes is decided row by row: a doc_id that is repeated with different texts may have rows in many groups.
+    """
+    groups = checkpoint(jaccard.grouped_rows(docs, SHINGLE, NUM, DEN))
     gone = checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = checkpoint(groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
+    twice = checkpoint(groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
     if not twice.limit(1).count():
-        return left
-    again = left.join(small(twice), F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(small(twice), F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(again)
+        return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = docs.join(small(twice), F.col("doc_id") == F.col("_twice"), "left_anti").join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = jaccard.with_node(docs.join(small(twice), F.col("doc_id") == F.col("_twice"), "left_semi"), SHINGLE, "_node")
+    first = groups.where("n_shingles > 0 AND doc_id = component_id").join(small(twice), F.col("doc_id") == F.col("_twice"), "left_semi")
+    first = checkpoint(first.select(F.col("doc_id").alias("_first"), F.col("node").alias("_set"), F.col("comp").alias("_comp")).distinct())
+    near = again.join(small(first), (F.col("doc_id") == F.col("_first")) & (F.col("_node") == F.col("_set")))
+    row = F.struct(*docs.columns)
+    kept = near.groupBy("_comp").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("_row")).select("_row.*")
+    return once.unionByName(again.where("_node IS NULL").select(*docs.columns)).unionByName(kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

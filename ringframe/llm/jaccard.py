@@ -452,13 +452,31 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     repeated rows. A null doc_id is never the least one, unless all of a group are null. An empty table gives no rows. Other
     columns are not read.
     """
+    return grouped_rows(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of jaccard_groups with their set's node and the group's comp (null for empty sets): a doc_id may have rows in many groups."""
     nodes, comps = link(docs, n, num, den)
     least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    table = checkpoint(checkpoint(named.select("node", "comp")).join(ids, "comp").select(F.col("node").alias("_node"), F.col("component_id").alias("_id")))
+    table = checkpoint(checkpoint(named.select("node", "comp")).join(ids, "comp").select(F.col("node").alias("_node"), F.col("comp"), F.col("component_id").alias("_id")))
     joined = nodes.join(table, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"), "node", "comp")
+
+
+def with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """Add the node of each row's set, null for an empty one, to any table with a text column."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in sliced(batches):
+            nodes = [node_of(s) if len(s) else None for s in shingler.sets(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

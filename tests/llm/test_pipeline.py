@@ -37,3 +37,12 @@ def test_odd_and_empty(spark, sf_dir, odd, none):
             assert out.columns == docs.columns
             out.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count()
+
+
+def test_near_copies_of_repeated_ids(spark, sf_dir, make):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (5, text["a"] + " x"), (5, text["b"]), (6, text["b"] + " x"), (2, text["c"] + " y"), (2, text["c"] + " x"), (3, text["c"])]
+    rows += [(7, text["d"]), (7, text["d"]), (7, ""), (7, ""), (None, text["d"])]
+    kept = corpus_pipeline.drop_near_copies(spark, make(rows), sf_dir)
+    expected = [(1, text["a"]), (5, text["b"]), (2, text["c"] + " x"), (7, text["d"]), (7, ""), (7, ""), (None, text["d"])]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(expected)
