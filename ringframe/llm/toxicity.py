@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced
+from .common import checkpoint, documents, sliced
 
 # Seed words of the grammar's classes.
 INSULTS = "idiot moron scum trash loser stupid pathetic worthless disgusting clown imbecile dumb filth vermin".split()
@@ -24,8 +24,10 @@ TARGETS = "you your yourself u ur he she they them him her we people du ihr sie
 NEGATIONS = "not never no isn't aren't wasn't don't nobody without nicht kein keine jamais nunca".split()
 REPORTS = "said says called calls wrote claimed claims reported quoted told allegedly sagte dijo".split()
 
-# Bounds of what is learned: labelled rows of each class (about), terms of the lexicon, and a term's documents, places, words and ratio.
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS, LEAST_DOCS, LEAST_PLACES, LEAST_WORDS, LEAST_RATIO = 20_000, 40_000, 20_000, 2, 5, 3, 8.0
+# Bounds of what is learned: labelled rows of each class (about), and a term's documents, places, words and ratio.
+MOST_TOXIC, MOST_CLEAN, LEAST_DOCS, LEAST_PLACES, LEAST_WORDS, LEAST_RATIO = 20_000, 40_000, 2, 5, 3, 8.0
+# Candidate terms are broadcast up to so many, and joined by a shuffle beyond; places are sent on when a task holds so many.
+BROADCAST_TERMS, PLACES = 200_000, 500_000
 STEMS = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n;:,]")
 FOLDS = 5
@@ -183,11 +185,19 @@ def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
 
     counts = train.mapInArrow(count, "term string, stem boolean, a long, b long").groupBy("term", "stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     often = (F.col("a") + 0.5) / (toxic + 1) >= LEAST_RATIO * (F.col("b") + 0.5) / (clean + 1)
-    rows = counts.where((F.col("a") >= LEAST_DOCS) & often).orderBy(F.desc("a"), "term", "stem").limit(MOST_TERMS).collect()
-    candidates = {(r["term"], r["stem"]): r["a"] for r in rows}
+    candidates = checkpoint(counts.where((F.col("a") >= LEAST_DOCS) & often))
+    small = candidates.count() <= BROADCAST_TERMS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, bool], set[tuple[int, int]]] = defaultdict(set)
+        seen: set[tuple[str, bool, int, int]] = set()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            found = list(seen)
+            seen.clear()
+            for at in range(0, len(found), 20_000):
+                t, s, w, c = zip(*found[at : at + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(w, pa.int64()), pa.array(c, pa.int64())], names=["term", "stem", "word", "place"])
+
         for batch in sliced(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not label:
@@ -195,26 +205,25 @@ def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
                 words = ["", *TOKEN.findall((text or "").lower()), ""]
                 for i in range(1, len(words) - 1):
                     w = words[i]
-                    for term in ((w, False), *((w[:n], True) for n in STEMS if len(w) > n)):
-                        if term in candidates:
-                            seen[term].add((zlib.crc32(w.encode()), zlib.crc32(f"{words[i - 1]} {w} {words[i + 1]}".encode())))
-        found = [(t, s, *c) for (t, s), cs in seen.items() for c in cs]
-        for at in range(0, len(found), 20_000):
-            t, s, w, c = zip(*found[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(w, pa.int64()), pa.array(c, pa.int64())], names=["term", "stem", "word", "place"])
+                    if len(w) > 2:
+                        word, place = zlib.crc32(w.encode()), zlib.crc32(f"{words[i - 1]} {w} {words[i + 1]}".encode())
+                        seen.update((term, stem, word, place) for term, stem in ((w, False), *((w[:n], True) for n in STEMS if len(w) > n)))
+                if len(seen) > PLACES:
+                    yield from sent()
+        yield from sent()
 
     places_of = train.mapInArrow(places, "term string, stem boolean, word long, place long")
+    asked = candidates.select("term", "stem")
+    places_of = places_of.join(F.broadcast(asked) if small else asked, ["term", "stem"], "left_semi")
     words_of = places_of.groupBy("term", "stem", "word", "place").agg(F.lit(1)).groupBy("term", "stem", "word").agg(F.count(F.lit(1)).alias("n"))
-    varied = words_of.groupBy("term", "stem").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("words")).collect()
-    clean_held = {(r["term"], r["stem"]): r["b"] for r in rows}
+    varied = words_of.groupBy("term", "stem").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("words"))
+    # a stem stands for a family of words; a single word is a term itself
+    family = ~F.col("stem") | (F.col("words") >= LEAST_WORDS)
+    kept = varied.join(candidates, ["term", "stem"]).where(family & (F.col("count") >= F.greatest(F.lit(float(LEAST_PLACES)), 0.5 * F.col("a"))))
     lexicon = Lexicon()
-    for r in varied:
-        term = (r["term"], r["stem"])
-        if r["stem"] and r["words"] < LEAST_WORDS:
-            continue  # a stem stands for a family of words; a single word is a term itself
-        if r["count"] >= max(LEAST_PLACES, 0.5 * candidates[term]):
-            odds = math.log((r["count"] + 0.5) / (toxic + 1)) - math.log((clean_held[term] + 0.5) / (clean + 1))
-            (lexicon.stems if r["stem"] else lexicon.words)[r["term"]] = min(8.0, max(1.0, odds))
+    for r in kept.select("term", "stem", "count", "b").collect():
+        odds = math.log((r["count"] + 0.5) / (toxic + 1)) - math.log((r["b"] + 0.5) / (clean + 1))
+        (lexicon.stems if r["stem"] else lexicon.words)[r["term"]] = min(8.0, max(1.0, odds))
     return lexicon
 
 

@@ -319,6 +319,16 @@ def test_toxicity(spark):
     assert len(right) > 40 and sum(right) / len(right) >= 0.95
 
 
+def test_copies_do_not_crowd_out_terms(spark):
+    """Copies with more words and stems than any bound on candidates; the insult stands in fewer texts than they do."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spelt = lambda i: "".join(letters[i // 26**p % 26] for p in range(4))
+    copied = " ".join(f"{spelt(i)}q" for i in range(12_000))
+    rows = [(copied, 1)] * 30 + [(f"{spelt(i)}z grulk {spelt(i + 50)}z", 1) for i in range(20)] + [(f"{spelt(i)}z fine {spelt(i + 50)}z", 0) for i in range(50)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 50, 50)
+    assert "grulk" in lexicon.words and "aaaaq" not in lexicon.words
+
+
 def test_grammar_flags():
     score = toxicity.Scorer(toxicity.Lexicon({"gronk": 4.0}, {"blarg": 4.0}))
     kinds = lambda text: [k for k, x in zip(score.KINDS, score.features(text), strict=True) if x]
