@@ -6,25 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, release, sliced, small_batches
+from .common import Tables, checkpoint, documents, sliced
 
 # How far a prefix may be lengthened: so many shared tokens can be asked for.
-LENGTHS = (1, 2, 4, 8)
+LENGTHS = (1, 2, 4, 8, 16)
 # What verifying a candidate costs, in posting entries read.
 VERIFY_COST = 8.0
 # A token in so many documents of a chunk of about CHUNK tokens is frequent; the order of tokens puts the HOT most frequent ones last.
-CHUNK, FREQUENT, HOT = 1_000_000, 4, 50_000
+CHUNK, FREQUENT, HOT = 1_000_000, 4, 200_000
 # Cold tokens' document counts are exact up to this.
 RUN = 10_000
-# Document ids whose sets are to be verified are broadcast up to so many; beyond, texts are shuffled to them.
-BROADCAST_IDS = 500_000
-# 64-bit words of the sketches in the join, and of those that candidates meet in before their sets are sent.
-SKETCH, LARGE_SKETCH = 16, 64
-# Rounds of contraction at most, and leaders a token picks in each; a set is compared with the likest one.
-ROUNDS, LEADERS = 1, 3
+# Document ids whose sets are to be verified are broadcast up to so many (some 10 MB); beyond, texts are shuffled to them.
+BROADCAST_IDS = 300_000
+# 64-bit words of the sketches in the join (folded), of those that candidates are tested by, and of those made from whole sets.
+FOLDED, SKETCH, LARGE_SKETCH = 8, 16, 64
+# Leaders that a set is compared with when large groups are contracted; the join proper finds the rest.
+LEADERS = 3
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 INVERSE = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
@@ -136,12 +136,12 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
 
 
 # `at` packs the position in the prefix and, in its lower half, the token's count of documents.
-ENTRIES = "token long, node long, at long"
-ENTRY_SCHEMA = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("at", pa.int64())])
+ENTRIES = "token long, node long, at long, n long"
+ENTRY_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in ENTRIES.split(", ")])
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_docs: np.ndarray) -> DataFrame:
-    """The longest prefix of each set in the global order: (token, node, at); the count in `at` is set for hot tokens alone.
+    """The longest prefix of each set in the global order: (token, node, at, n); the count in `at` is set for hot tokens alone.
 
     The order is by hash for all but the hot tokens, which come last, the most frequent at the very end. A set with n members
     has to share ceil(num * n / den) of them with any partner, so its prefix for l matches has n less that, plus l, members.
@@ -155,7 +155,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_d
             for tokens in shingler.sets(batch.column(1).to_pylist()):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
                 size = len(tokens)
@@ -171,14 +171,15 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_d
                     by = np.lexsort((last, count))[: length - len(cold)]
                     docs[len(cold) :] = count[by]
                     cold = np.concatenate((cold, last[by]))
-                parts.append((cold, node, (np.arange(length) << 32) + docs))
+                parts.append((cold, node, (np.arange(length) << 32) + docs, size))
             if parts:
                 lengths = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
-                        pa.array(np.repeat([p[1] for p in parts], lengths)),
+                        pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), lengths)),
                         pa.array(np.concatenate([p[2] for p in parts])),
+                        pa.array(np.repeat([p[3] for p in parts], lengths)),
                     ],
                     schema=ENTRY_SCHEMA,
                 )
@@ -233,11 +234,12 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def adapted(entries: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def adapted(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Each set chooses how many matches l to ask for, and so the length of its prefix, by the least estimated cost.
 
     Reading the prefix's postings costs their entries; at most a l-th of the entries are sets with l matches, each of which
-    is verified. A set with fewer shared tokens than the longest prefix asks for has no partner and goes.
+    is verified. A set with fewer shared tokens than the longest prefix asks for has no partner and goes. `rank` is higher the
+    more sets share the tokens of a set's prefix.
     """
     need = F.expr(f"-floor(-({num} * n) / {den})").cast("int")
     cost = []
@@ -248,33 +250,48 @@ def adapted(entries: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
     place = F.struct("token", F.shiftright("at", 32).cast("int").alias("pos"), (F.col("at") % (1 << 32)).alias("docs"))
     grouped = (
         entries.groupBy("node")
-        .agg(F.collect_list(place).alias("_list"))
-        .join(sizes, "node")
+        .agg(F.collect_list(place).alias("_list"), F.first("n").cast("int").alias("n"))
         .withColumn("_need", need)
         .where(F.size("_list") >= F.least(F.lit(LENGTHS[-1]), F.col("_need")))
         .withColumn("l", -F.array_min(F.filter(F.array(*cost), lambda x: x.isNotNull()))["l"])
+        .withColumn("_list", F.filter("_list", lambda x: x["pos"] < F.col("n") - F.col("_need") + F.col("l")))
     )
-    return (
-        grouped.withColumn("_x", F.explode("_list"))
-        .where(F.col("_x.pos") < F.col("n") - F.col("_need") + F.col("l"))
-        .select("node", "n", "l", F.col("_x.token").alias("token"))
-    )
+    met = F.aggregate("_list", F.lit(0).cast("long"), lambda s, x: s + x["docs"] - 1)
+    central = F.least(1024 * met / (F.col("n") - F.col("_need") + F.col("l")), F.lit(2.0**30)).cast("long")
+    return grouped.select("node", "n", "l", (F.shiftleft(central, 32) + F.col("node") % (1 << 31)).alias("rank"), F.explode("_list.token").alias("token"))
+
 
+def longs(name: str, words: int) -> list[Column]:
+    """A sketch's words; fewer than there are are those of a smaller sketch, as the parity of joined classes is the sum of theirs."""
+    whole = [F.col(f"{name}.s{i}") for i in range(SKETCH)]
+    while len(whole) > words:
+        whole = [x.bitwiseXOR(y) for x, y in zip(whole[: len(whole) // 2], whole[len(whole) // 2 :], strict=True)]
+    return whole
 
-def differing(a: str, b: str) -> Column:
+
+def differing(a: list[Column], b: list[Column]) -> Column:
     """Bits in which two sketches differ: a lower bound of the members that only one set has."""
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
 
 
-def may_link(a: str, b: str, num: int, den: int) -> Column:
+def may_link(na: Column, nb: Column, differ: Column, num: int, den: int) -> Column:
     """A sound test on sizes and sketches: linked sets differ in at most (den - num) / (den + num) of their members together."""
-    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (differing(a, b) * (den + num) <= (na + nb) * (den - num))
+    na, nb = na.cast("long"), nb.cast("long")
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (differ * (den + num) <= (na + nb) * (den - num))
+
 
+def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sketches."""
+    x = sketches.select(F.col("node").alias("a"), F.struct("n", *[f"s{i}" for i in range(SKETCH)]).alias("x"))
+    y = sketches.select(F.col("node").alias("b"), F.struct("n", *[f"s{i}" for i in range(SKETCH)]).alias("y"))
+    test = may_link(F.col("x.n"), F.col("y.n"), differing(longs("x", SKETCH), longs("y", SKETCH)), num, den)
+    return pairs.join(x, "a").join(y, "b").where(test).select("a", "b")
 
-def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The sets (node, tokens) of wanted nodes, made again from the text of each node's first document."""
-    ids = checkpoint(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
+
+def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: Tables) -> DataFrame:
+    """The sets (node, tokens) of the nodes in pairs, made again from the text of each node's first document."""
+    wanted = t.keep("wanted", pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    ids = t.keep("ids", nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
     small = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
@@ -285,17 +302,23 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     made = chosen.mapInArrow(run, "node long, tokens binary")
-    return checkpoint(made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")))
+    sets = t.keep("sets", made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")))
+    t.drop("wanted", "ids")
+    return sets
+
 
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, t: Tables) -> DataFrame:
+    """The pairs (a, b) whose sets truly overlap enough. Large sketches go first: only pairs that pass them are sent sets.
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets truly overlap enough. Large sketches go first: only pairs that pass them are sent sets."""
+    Of a pair, the set with more partners is met last, so that it is sent once and the other one travels with the pair.
+    """
+    sets = sets_of(docs, nodes, pairs, n, t)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            made = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
-            bits = [sketch_of(t, LARGE_SKETCH).tobytes() for t in made]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary()), pa.array([len(t) for t in made])], names=["node", "tokens", "n"])
+            made = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+            bits = [sketch_of(x, LARGE_SKETCH).tobytes() for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary()), pa.array([len(x) for x in made], pa.int64())], names=["node", "tokens", "n"])
 
     def passing(x: bytes, y: bytes, nx: int, ny: int) -> bool:
         differ = int.bit_count(int.from_bytes(x) ^ int.from_bytes(y))
@@ -318,12 +341,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
         return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
 
-    large = checkpoint(sets.mapInArrow(sketches, "node long, tokens binary, n long"))
-    likely = checkpoint(kept(pairs, large, passing))
-    return kept(likely, sets.withColumn("n", F.lit(0).cast("long")), overlapping)
+    large = t.keep("large", sets.mapInArrow(sketches, "node long, tokens binary, n long"))
+    likely = t.keep("likely", kept(pairs, large, passing))
+    partners = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    turned = (
+        likely.join(partners.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a")
+        .join(partners.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+        .select(F.when(F.col("ka") > F.col("kb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b")).alias("p"))
+        .select("p.*")
+    )
+    found = t.keep("found", kept(turned, sets.withColumn("n", F.lit(0).cast("long")), overlapping))
+    t.drop("large", "likely", "sets")
+    return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, t: Tables) -> DataFrame:
     """(node, comp) for the nodes of (a, b) edges: comp is the least node reachable. Large-star and small-star steps by turns."""
 
     def large(e: DataFrame) -> DataFrame:
@@ -337,108 +369,102 @@ def components(edges: DataFrame) -> DataFrame:
         joined = down.join(least, F.col("a") == F.col("u")).select("a", "b", "m")
         return joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
-    edges = checkpoint(edges.where("a <> b").select("a", "b").distinct())
+    edges = t.keep("edges", edges.where("a <> b").select("a", "b").distinct())
     state = None
     while True:
         told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if told == state:
             break
         state = told
-        edges = checkpoint(small(large(edges)))
-        release(edges.sparkSession)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
-    )
+        edges = t.keep("edges", small(large(edges)))
+    comps = t.keep("comps", edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()))
+    t.drop("edges")
+    return comps
+
 
+def led(entries: DataFrame) -> DataFrame:
+    """(lead, node, n, l, tokens): each set under the leaders of its prefix tokens, with the tokens that they lead.
 
-def contracted(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    return entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    A token's leader is its set of the highest rank, so most tokens of a group of near copies have the same leader: the copy
+    that has most in common with the others.
+    """
+    leaders = entries.groupBy("token").agg(F.max_by("node", "rank").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "lead")
+    return entries.join(leaders, "token").groupBy("lead", "node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("token").alias("tokens"))
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def star_pairs(under: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a set and those that may link of the LEADERS leaders that lead most tokens of its prefix."""
+    most = Window.partitionBy("node").orderBy(F.desc(F.size("tokens")), "lead")
+    few = under.where("node <> lead").select("node", "lead", F.row_number().over(most).alias("place")).where(F.col("place") <= LEADERS)
+    return near(few.select(F.col("node").alias("a"), F.col("lead").alias("b")), sketches, num, den)
 
 
-def star_pairs(entries: DataFrame, sketches: DataFrame, comps: DataFrame, num: int, den: int, seed: int) -> DataFrame:
-    """Pairs of a set and the likest of the leaders that its prefix tokens picked, by a hash, outside its group.
+def residual_pairs(under: DataFrame, sketches: DataFrame, comps: DataFrame, num: int, den: int, t: Tables) -> DataFrame:
+    """The join proper: pairs (a, b) across groups with as many shared prefix tokens as the lesser of their two l.
 
-    A token picks LEADERS sets at most, so there are LEADERS times as many pairs as entries at most before they are judged,
-    and no more than sets after.
+    Under each leader, the sets outside the leader's own group meet all others outside theirs. A shared token has one leader,
+    so the tokens that a pair shares are summed over the leaders it meets under, which are few. Folded sketches are tested
+    inside the join: a pair that can't link makes no row.
     """
-    rows = contracted(entries, comps).join(sketches, "node")
-    columns = ["node", "comp", "n", *[f"s{i}" for i in range(SKETCH)]]
-    draw = F.xxhash64("node", "token", F.lit(seed))
-    leaders = rows.groupBy("token", F.pmod(draw, F.lit(LEADERS)).alias("_c")).agg(F.min_by(F.struct(*columns), draw).alias("b")).select("token", "b.*")
-    met = (
-        rows.alias("a")
-        .join(checkpoint(leaders).alias("b"), "token")
-        .where((F.col("a.comp") != F.col("b.comp")) & may_link("a", "b", num, den))
-        .select(F.col("a.node").alias("a"), F.struct((differing("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("unlike"), F.col("b.node").alias("b")).alias("b"))
+    whole = sketches.select("node", F.struct(*[f"s{i}" for i in range(SKETCH)]).alias("whole"))
+    folded = whole.select("node", *[x.alias(f"f{i}") for i, x in enumerate(longs("whole", FOLDED))])
+    of = comps.select("node", F.col("comp"))
+    lead = comps.select(F.col("node").alias("lead"), F.col("comp").alias("main"))
+    sides = (
+        under.join(of, "node", "left")
+        .join(lead, "lead", "left")
+        .withColumn("comp", F.coalesce("comp", "node"))
+        .withColumn("outside", F.col("comp") != F.coalesce("main", "lead"))
+        .drop("main")
+        .join(folded, "node")
     )
-    best = met.groupBy("a").agg(F.min("b").alias("b")).select("a", "b.b")
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def link(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    sides = t.keep("sides", sides)
+    test = may_link(F.col("a.n"), F.col("b.n"), differing([F.col(f"a.f{i}") for i in range(FOLDED)], [F.col(f"b.f{i}") for i in range(FOLDED)]), num, den)
+    met = (
+        sides.where("outside").alias("a")
+        .join(sides.alias("b"), F.col("a.lead") == F.col("b.lead"))
+        .where((F.col("a.comp") != F.col("b.comp")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & test)
+        .groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))  # either set may be outside, as the leader has it
+        .agg(F.sum(F.size(F.array_intersect("a.tokens", "b.tokens"))).alias("times"), F.first(F.least("a.l", "b.l")).alias("least"))
+        .where("times >= least")
+    )
+    candidates = t.keep("candidates", near(met.select("a", "b"), sketches, num, den))
+    t.drop("sides")
+    return candidates
+
+
+def link(docs: DataFrame, n: int, num: int, den: int, t: Tables) -> tuple[DataFrame, DataFrame]:
     """(documents with node and n, groups): groups are the connected components (node, comp) of linked nodes, sets of equal members.
 
-    First rounds of contraction: each token picks a few of its sets as leaders, every set is compared with the likest
-    leaders of its prefix, and what links is one group from then on. This takes most of a large group of copies at a cost
-    linear in the prefixes. Then the join proper compares, token by token, the sets outside the token's largest group with
-    all others outside their own group; pairs need as many shared prefix tokens as the lesser of their two l. A pair within
-    a group is connected already, so no group is missed.
+    First a contraction: every set is compared with the leaders of most tokens of its prefix, and what links is one group from
+    then on. This takes most of a large group of copies at a cost linear in the prefixes. Then the join proper finds all
+    pairs across groups. A pair within a group is connected already, so no group is missed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with small_batches(spark):
-        told = checkpoint(summaries(docs, n))
-        nodes = told.where("node IS NOT NULL").drop("token", "docs")
-        frequent = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(HOT).collect()
-        hot = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
-        count = np.minimum(np.array([r["docs"] for r in frequent], np.int64), 2**31 - 1)
-        by = np.argsort(hot)
-
-        common = checkpoint(shared(prefixes(docs, n, num, den, hot[by], count[by])))
-        release(spark)
-        one = nodes.groupBy("node").agg(F.first("n").cast("int").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
-        entries = checkpoint(adapted(common, one.select("node", "n"), num, den))
-        del common
-        sketches = checkpoint(one.drop("n").join(entries.select("node").distinct(), "node", "left_semi"))
-        release(spark)
-
-        links = comps = None
-        for seed in range(ROUNDS):
-            known = spark.createDataFrame([], "node long, comp long") if comps is None else comps
-            tried = checkpoint(star_pairs(entries, sketches, known, num, den, seed))
-            release(spark)
-            if comps is not None and not tried.limit(1).count():
-                break
-            found = checkpoint(verified(tried, sets_of(docs, nodes, ends(tried), n), num, den))
-            links = found if links is None else links.unionByName(found)
-            comps = checkpoint(components(links))
-            del tried, found
-            release(spark)
-
-        grouped = contracted(entries, comps)
-        main = grouped.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups"))
-        main = checkpoint(main.where("groups > 1").select("token", "main"))
-        sides = checkpoint(grouped.join(main, "token").withColumn("outside", F.col("comp") != F.col("main")).drop("main"))
-        full = sides.join(sketches, "node")
-        met = (
-            full.where("outside").alias("a")
-            .join(full.alias("b"), F.col("a.token") == F.col("b.token"))
-            .where((F.col("a.comp") != F.col("b.comp")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & may_link("a", "b", num, den))
-            .groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))  # either set may be outside, as the token has it
-            .agg(F.count(F.lit(1)).alias("times"), F.first(F.least("a.l", "b.l")).alias("least"))
-            .where("times >= least")
-        )
-        candidates = checkpoint(met.select("a", "b"))
-        release(spark)
-        second = checkpoint(verified(candidates, sets_of(docs, nodes, ends(candidates), n), num, den))
-        if second.limit(1).count():
-            # what is connected already goes in as the star of each group
-            comps = checkpoint(components(second.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
-    return nodes.select("doc_id", "node", "n"), comps
+    told = t.keep("told", summaries(docs, n))
+    nodes = told.where("node IS NOT NULL").select("doc_id", "node", "n")
+    frequent = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(HOT).collect()
+    hot = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
+    count = np.minimum(np.array([r["docs"] for r in frequent], np.int64), 2**31 - 1)
+    by = np.argsort(hot)
+
+    common = t.keep("common", shared(prefixes(docs, n, num, den, hot[by], count[by])))
+    entries = t.keep("entries", adapted(common, num, den))
+    t.drop("common")
+    ends = entries.select("node").distinct()
+    bits = told.where("node IS NOT NULL").select("node", F.col("n").cast("int").alias("n"), *[f"s{i}" for i in range(SKETCH)])
+    sketches = t.keep("sketches", bits.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+
+    under = t.keep("under", led(entries))
+    t.drop("entries")
+
+    tried = t.keep("tried", star_pairs(under, sketches, num, den))
+    links = t.keep("links", verified(tried, docs, nodes, n, num, den, t))
+    comps = components(links, t)
+    candidates = residual_pairs(under, sketches, comps, num, den, t)
+    found = verified(candidates, docs, nodes, n, num, den, t)
+    return nodes, components(links.unionByName(found), t)
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -457,13 +483,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
 def grouped_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The rows of jaccard_groups with their set's node and the group's comp (null for empty sets): a doc_id may have rows in many groups."""
-    nodes, comps = link(docs, n, num, den)
-    least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    table = checkpoint(checkpoint(named.select("node", "comp")).join(ids, "comp").select(F.col("node").alias("_node"), F.col("comp"), F.col("component_id").alias("_id")))
-    joined = nodes.join(table, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"), "node", "comp")
+    with Tables(docs.sparkSession) as t:
+        nodes, comps = link(docs, n, num, den, t)
+        least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+        named = t.keep("named", least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        ids = named.groupBy("comp").agg(F.min("first").alias("_id"))
+        table = named.join(ids, "comp").select(F.col("node").alias("_node"), "comp", "_id")
+        joined = nodes.join(table, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+        return checkpoint(joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"), "node", "comp"))
 
 
 def with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
