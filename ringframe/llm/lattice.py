@@ -6,7 +6,6 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, release, sliced
+from .common import Tables, checkpoint, documents, sliced
 
 FOLDS = 10
 SMOOTHING = 0.1
-DISCOUNT = 0.5
 ROUNDS = 3
+# The vocabulary's own scores count as so many uses for each of its pieces.
+PRIOR = 0.1
 # Words this share of all tokens or more are broadcast, so at most 1 / HOT_SHARE of them; the others are joined by a shuffle.
 HOT_SHARE = 1e-6
 VECTOR_LENGTH = 64
@@ -54,13 +54,31 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, np.log(p / p.sum())
 
 
+def prior_of(pieces: list[bytes], logp: np.ndarray) -> np.ndarray:
+    """What the vocabulary's scores say of pieces inside a word (first half) and at its end (second half): as likely there as here.
+
+    A word is a piece that begins with a space, then pieces that don't: either kind has probabilities of sum 1.
+    """
+    return by_kind(pieces, np.concatenate([np.exp(logp), np.exp(logp)]))
+
+
+def by_kind(pieces: list[bytes], mass: np.ndarray) -> np.ndarray:
+    """Probabilities in proportion to `mass`, with sum 1 for the pieces that begin with a space and for the others."""
+    begins = np.array([x[:1] == b" " for x in pieces] * 2)
+    return np.where(begins, mass / max(mass[begins].sum(), 1e-300), mass / max(mass[~begins].sum(), 1e-300))
+
+
 class Lattice:
-    """Forward and backward recursions in log space over all segmentations of words, many words of a length at once."""
+    """Forward and backward recursions in log space over all segmentations of words, many words of a length at once.
+
+    `logp` has two scores for each piece: with more of the word to come, and as the word's last one.
+    """
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray) -> None:
         self.pieces, self.logp = pieces, logp
         self.ids = {x: i for i, x in enumerate(pieces)}
-        self.longest = max(map(len, pieces))
+        self.lengths = sorted({len(x) for x in pieces}, reverse=True)
+        self.longest = self.lengths[0]
         keys = np.array([self.key_of(x) for x in pieces], np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
@@ -77,21 +95,25 @@ class Lattice:
         return (h ^ (h >> 29)) * int(MIX) % (1 << 64)
 
     def arcs(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For words as rows of bytes: (from, to, rows, piece ids) of all places where pieces fit, by ascending end."""
+        """For words as rows of bytes: (from, to, rows, scores' places) of all places where pieces fit, by ascending end."""
         m, n = words.shape
         h = np.zeros((n + 1, m), np.uint64)
         for j in range(n):
             h[j + 1] = h[j] * BASE + words[:, j] + np.uint64(1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                key = (h[j] - h[i] * self.powers[j - i] + np.uint64(j - i)) * MIX
+            last = len(self.pieces) if j == n else 0
+            for length in self.lengths:
+                i = j - length
+                if i < 0:
+                    continue
+                key = (h[j] - h[i] * self.powers[length] + np.uint64(length)) * MIX
                 key = (key ^ (key >> np.uint64(29))) * MIX
                 rows = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
                 if len(rows):
                     at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
                     hit = self.keys[at] == key[rows]
                     if hit.any():
-                        yield i, j, rows[hit], self.order[at[hit]]
+                        yield i, j, rows[hit], self.order[at[hit]] + last
 
     def forward(self, words: np.ndarray, keep: list | None = None) -> np.ndarray:
         m, n = words.shape
@@ -103,8 +125,8 @@ class Lattice:
                 keep.append((i, j, rows, ids))
         return alpha
 
-    def expected(self, words: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
-        """Add the expected uses of each piece, over all segmentations, times the words' weights."""
+    def expected(self, words: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(scores' places, expected uses) over all segmentations, times the words' weights."""
         arcs: list = []
         alpha = self.forward(words, arcs)
         n = words.shape[1]
@@ -112,13 +134,13 @@ class Lattice:
         beta[n] = 0.0
         for i, j, rows, ids in reversed(arcs):
             through = beta[j, rows] + self.logp[ids]
-            into += np.bincount(ids, weights[rows] * np.exp(alpha[i, rows] + through - alpha[n, rows]), len(into))
+            yield ids, weights[rows] * np.exp(alpha[i, rows] + through - alpha[n, rows])
             beta[i, rows] = np.logaddexp(beta[i, rows], through)
 
     def long_arcs(self, word: bytes) -> list[list[tuple[int, int]]]:
-        get = self.ids.get
+        get, size, v = self.ids.get, len(word), len(self.pieces)
         return [
-            [(i, k) for i in range(max(0, j - self.longest), j) if (k := get(word[i:j])) is not None] for j in range(1, len(word) + 1)
+            [(i, k + v * (j == size)) for i in range(max(0, j - self.longest), j) if (k := get(word[i:j])) is not None] for j in range(1, size + 1)
         ]
 
     def long_forward(self, word: bytes, arcs: list[list[tuple[int, int]]]) -> list[float]:
@@ -129,17 +151,20 @@ class Lattice:
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         return alpha
 
-    def long_expected(self, word: bytes, weight: float, into: np.ndarray) -> None:
+    def long_expected(self, word: bytes, weight: float) -> tuple[np.ndarray, np.ndarray]:
         arcs = self.long_arcs(word)
         alpha = self.long_forward(word, arcs)
         beta = [-math.inf] * len(alpha)
         beta[-1] = 0.0
+        ids, uses = [], []
         for j in range(len(word), 0, -1):
             for i, k in arcs[j - 1]:
                 through = beta[j] + self.logp[k]
-                into[k] += weight * math.exp(alpha[i] + through - alpha[-1])
+                ids.append(k)
+                uses.append(weight * math.exp(alpha[i] + through - alpha[-1]))
                 low, high = sorted((beta[i], through))
                 beta[i] = high + (math.log1p(math.exp(low - high)) if low > -math.inf else 0.0)
+        return np.array(ids), np.array(uses)
 
     def grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """Row numbers and byte matrices of the words (a space before each) by length; no matrix for a long word."""
@@ -163,12 +188,17 @@ class Lattice:
                 out[rows] = self.forward(matrix)[-1]
         return out / math.log(10)
 
-    def gather(self, words: list[bytes], weights: np.ndarray, into: np.ndarray) -> None:
+    def uses(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """The expected uses of each score over all segmentations of the words, times their weights."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, matrix in self.grouped(words):
             if matrix is None:
-                self.long_expected(b" " + words[rows[0]], float(weights[rows[0]]), into)
+                parts.append(self.long_expected(b" " + words[rows[0]], float(weights[rows[0]])))
             else:
-                self.expected(matrix, weights[rows], into)
+                parts += self.expected(matrix, weights[rows])
+        if not parts:
+            return np.zeros(len(self.logp))
+        return np.bincount(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(self.logp))
 
 
 def is_held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
@@ -206,50 +236,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Re-estimate the pieces' probabilities by expectation maximisation over the distinct training words; the chance of a word's end.
+def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Re-estimate the scores by expectation maximisation over the training words, each as often as it occurs.
 
-    A round is one pass over the distinct words; what comes back is a number for each of the vocabulary's pieces. Each word
-    counts once, since the lattice has to spell the rare words: the frequent ones are pieces of their own.
+    A round is one pass over the distinct words; what comes back is two numbers for each of the vocabulary's pieces.
     """
-    prior, stop = np.exp(logp), 0.5
-    known = words.where("c > 0").select("word")
+    start = prior_of(pieces, logp)
+    prior, scores = PRIOR * len(pieces) * start, np.log(start)
+    known = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
-        scores = logp
 
         def run(batches: Iterator[pa.RecordBatch], scores: np.ndarray = scores) -> Iterator[pa.RecordBatch]:
-            lattice, into = Lattice(pieces, scores), np.zeros(len(pieces) + 1)
+            lattice, into = Lattice(pieces, scores), np.zeros(len(scores))
             for batch in batches:
-                found = batch.column(0).to_pylist()
-                lattice.gather(found, np.ones(len(found)), into[:-1])
-                into[-1] += len(found)
+                into += lattice.uses(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
             used = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(into[used])], names=["piece", "uses"])
-
-        uses = np.zeros(len(pieces) + 1)
-        for r in known.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[r["piece"]] = r["uses"]
-        found = prior + uses[:-1]  # the vocabulary's own scores count as one use in all
-        logp = np.log(found / found.sum())
-        stop = (uses[-1] + 1) / (found.sum() + 2)
-    return logp, stop
-
-
-@dataclass
-class WordModel:
-    """Probabilities of words: a training word as a piece of its own, by its discounted count, or any spelling in the lattice."""
-
-    lattice: Lattice
-    stop: float
-    tokens: int
-    spelled: float
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(into[used])], names=["place", "uses"])
 
-    def log10(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """The lattice's pieces carry the chance to go on; the last one stops instead."""
-        spelled = self.lattice.log10(words) * math.log(10) + math.log(self.stop / (1 - self.stop)) + math.log(self.spelled)
-        with np.errstate(divide="ignore"):
-            whole = np.log(np.maximum(counts - DISCOUNT, 0) / max(self.tokens, 1))
-        return np.logaddexp(spelled, whole) / math.log(10)
+        uses = np.zeros(len(scores))
+        for r in known.mapInArrow(run, "place int, uses double").groupBy("place").agg(F.sum("uses").alias("uses")).collect():
+            uses[r["place"]] = r["uses"]
+        scores = np.log(by_kind(pieces, prior + uses))
+    return scores
 
 
 PARTS = "key long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double"
@@ -259,17 +267,17 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Learn from the documents (doc_id, text) of the training folds, and score all of them, whole.
 
     Tokens are the words between ASCII white space, A-Z in lower case, and one end. `base_score` sums log10 of smoothed word
-    frequencies; `score` sums log10 of the words' marginal probabilities, over all segmentations into pieces, plus the end's.
-    The pieces are those of the public vocabulary, their scores re-estimated, and each training word as one piece more.
+    frequencies; `score` sums log10 of the words' marginal probabilities, over all segmentations into pieces of the public
+    vocabulary, plus the end's. The pieces' scores start from the vocabulary's and are learned from the training words.
 
     Null and empty texts are the end alone. Null doc_ids are held out. Repeated rows are scored each. With no training
-    documents every count is 0 and the lattice keeps the vocabulary's own scores, with an even chance of each end. An empty
+    documents every count is 0 and the lattice keeps the vocabulary's own scores, with an even chance of the end. An empty
     table gives no rows. Extra columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = checkpoint(word_counts(docs))
-    release(spark)
+    t = Tables(spark)
+    words = t.keep("words", word_counts(docs))
     sums = words.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % FOLDS == 0
     ends = docs.where(~held).count()
@@ -277,20 +285,18 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     below = tokens + SMOOTHING * (distinct + 1)
 
     pieces, logp = vocabulary(path or default_vocabulary())
-    stop, spelled, end = 0.5, 0.5, -math.log10(2)
-    if tokens:
-        logp, stop = train(words, pieces, logp)
-        spelled = max(DISCOUNT * sums["v"], 1) / (tokens + 1)
-        end = math.log10(ends / tokens)
-    logp = logp + math.log(1 - stop)
+    scores = train(words, pieces, logp) if tokens else np.log(prior_of(pieces, logp))
+    stop = ends / tokens if tokens > ends else 0.5  # without a word to learn from, an end is as likely as a word
+    end, goes_on = math.log10(stop), math.log10(1 - stop)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordModel(Lattice(pieces, logp), stop, tokens, spelled)
+        lattice = Lattice(pieces, scores)
         for batch in batches:
-            rated = model.log10(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False))
+            rated = lattice.log10(batch.column(0).to_pylist()) + goes_on
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rated)], names=["word", "c", "n", "lattice"])
 
-    rated = checkpoint(words.mapInArrow(rate, "word binary, c long, n long, lattice double"))
+    rated = t.keep("rated", words.mapInArrow(rate, "word binary, c long, n long, lattice double"))
+    t.drop("words")
     often = max(2, math.ceil(HOT_SHARE * ((sums["n"] or 0) + 1)))
     hot = {bytes(r["word"]): (r["c"], r["lattice"]) for r in rated.where(F.col("n") >= often).select("word", "c", "lattice").collect()}
     hot_base = {w: math.log10((c + SMOOTHING) / below) for w, (c, _) in hot.items()}
@@ -332,7 +338,9 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.sum(F.coalesce("base", F.col("times") * F.log10((F.col("c") + SMOOTHING) / below), none)).alias("base_score"),
         F.sum(F.coalesce("score", F.col("times") * F.col("lattice"), none)).alias("score"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = checkpoint(summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+    t.drop("rated")
+    return out
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

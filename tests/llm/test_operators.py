@@ -98,22 +98,60 @@ def test_lm_scoring(spark, sf_dir):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = [b" ", b" a", b"a", b"b", b"ab", b"aba", b" ab"]
-    logp = np.log(np.array([0.1, 0.1, 0.2, 0.2, 0.2, 0.1, 0.1]))
-    model = lattice.Lattice(pieces, logp)
-    p = dict(zip(pieces, np.exp(logp), strict=True))
+def spelled(word, scores):
+    """The sum over all segmentations, by recursion; scores: piece -> (inside a word, at its end)."""
+    total = 0.0
+    for piece, (inside, last) in scores.items():
+        if word == piece:
+            total += last
+        elif word.startswith(piece):
+            total += inside * spelled(word[len(piece) :], scores)
+    return total
 
-    def brute(s):
-        return 1.0 if not s else sum(p[x] * brute(s[len(x) :]) for x in pieces if s.startswith(x))
 
+def test_lattice_sums_all_segmentations():
+    pieces = [b" ", b" a", b"a", b"b", b"ab", b"aba", b" ab"]
+    p = np.array([0.1, 0.1, 0.2, 0.2, 0.2, 0.1, 0.1, 0.05, 0.1, 0.1, 0.05, 0.2, 0.3, 0.1])
+    model, scores = lattice.Lattice(pieces, np.log(p)), dict(zip(pieces, zip(p[:7], p[7:], strict=True), strict=True))
     for w in (b"a", b"ab", b"abab", b"abaab", b"ab" * 40):
-        expected = brute(b" " + w) if len(w) < 20 else 10 ** (model.long_forward(b" " + w, model.long_arcs(b" " + w))[-1] / math.log(10))
+        expected = spelled(b" " + w, scores) if len(w) < 20 else math.exp(model.long_forward(b" " + w, model.long_arcs(b" " + w))[-1])
         assert 10 ** model.log10([w])[0] == pytest.approx(expected)
-    uses, long_uses = np.zeros(len(pieces)), np.zeros(len(pieces))
-    model.gather([b"abab"], np.ones(1), uses)
-    model.long_expected(b" abab", 1.0, long_uses)
-    assert uses == pytest.approx(long_uses) and (uses * [len(x) for x in pieces]).sum() == pytest.approx(5)
+    uses, (ids, long_uses) = model.uses([b"abab"], np.ones(1)), model.long_expected(b" abab", 1.0)
+    assert uses == pytest.approx(np.bincount(ids, long_uses, 14)) and (uses * [len(x) for x in pieces * 2]).sum() == pytest.approx(5)
+    assert uses[7:].sum() == pytest.approx(1)
+
+
+def test_lm_scores_are_sums_over_segmentations(make):
+    """Whole documents against a recursion under the scores that were learned; the scores against EM by listing segmentations."""
+    rows = [(i, t) for i, t in enumerate(("low lower lowest", "new newer", "Low\nnew low", "", "wide wider newest", "low", "slow snow", "newer lower", None, "unseen zq"))]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    got = {r["doc_id"]: r["score"] for r in lattice.score_documents(make(rows)).collect()}
+    pieces, logp = lattice.vocabulary(lattice.default_vocabulary())
+    counts = Counter(w for i, t in rows if not held[i] for w in words(t or ""))
+    ends = sum(not h for h in held.values())
+
+    def paths(word):
+        return [[word]] + [[word[:k], *rest] for k in range(1, len(word)) if word[:k] in known for rest in paths(word[k:])] if word in known else [[word[:k], *rest] for k in range(1, len(word)) if word[:k] in known for rest in paths(word[k:])]
+
+    known = set(pieces)
+    start = np.exp(logp)
+    kind = lambda x: x[:1] == b" "
+    total = {k: 2 * sum(q for x, q in zip(pieces, start, strict=True) if kind(x) == k) for k in (True, False)}
+    p = {(x, last): q / total[kind(x)] for x, q in zip(pieces, start, strict=True) for last in (False, True)}
+    first = dict(p)
+    for _ in range(lattice.ROUNDS):
+        uses = {k: lattice.PRIOR * len(pieces) * q for k, q in first.items()}
+        for w, c in counts.items():
+            ways = [(way, math.prod(p[x, i == len(way) - 1] for i, x in enumerate(way))) for way in paths(b" " + w)]
+            for way, q in ways:
+                for i, x in enumerate(way):
+                    uses[x, i == len(way) - 1] += c * q / sum(q for _, q in ways)
+        total = {k: sum(q for (x, _), q in uses.items() if kind(x) == k) for k in (True, False)}
+        p = {(x, last): q / total[kind(x)] for (x, last), q in uses.items()}
+    n = sum(counts.values()) + ends
+    for i, t in rows:
+        chance = [sum(math.prod(p[x, i == len(way) - 1] for i, x in enumerate(way)) for way in paths(b" " + w)) for w in words(t or "")]
+        assert got[i] == pytest.approx(sum(math.log10(c * (1 - ends / n)) for c in chance) + math.log10(ends / n), rel=1e-9)
 
 
 def test_lm_odd(odd, none):
