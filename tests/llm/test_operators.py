@@ -375,6 +375,16 @@ def test_grammar_flags():
     assert kinds("he said: what a gronk") == ["reported"] and kinds("he said hello. what a gronk") == ["plain"]
     assert kinds("i will kill you") == ["threat"] and kinds("they kill") == ["threat at target"]
     assert kinds("not, gronk") == ["plain"] and kinds("") == kinds(None) == []
+    assert score.clauses("gronk you gronk, blargs. a gronk and a gronk") == [(1, 4.0), (0, 4.0), (0, 4.0)]
+
+
+def test_order_of_words_counts():
+    """A targeted clause scores higher than the same words in an order without target, and seeds keep their class."""
+    score = toxicity.Scorer(toxicity.Lexicon({"kill": 8.0, "you": 8.0}))
+    rate = lambda text: 1 / (1 + math.exp(-(toxicity.UNLEARNED[0] + np.dot(toxicity.UNLEARNED[1:], score.features(text)))))
+    assert rate("you are an idiot") > rate("an idiot are you") > rate("you are not an idiot")
+    assert score.clauses("they kill you") == [(5, 8.0)] and score.clauses("you kill") != [] and score.clauses("you") == []
+    assert rate("he said you are an idiot") < rate("you are an idiot")
 
 
 def test_toxicity_odd(spark, odd, none):
