@@ -69,9 +69,15 @@ class WordIds:
         self.known[word] = found
         return found
 
+    @staticmethod
+    def split(raw: bytes) -> list[bytes]:
+        if b"<|" not in raw:
+            return raw.lower().split()
+        return [w if b"<|" in w else w.lower() for w in raw.split()]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        # the tokenizer lower-cases; doing so for A-Z here makes more words alike
-        words = [(t or "").encode().lower().split() for t in texts]
+        # the tokenizer lower-cases; doing so for A-Z here makes more words alike, but special tokens are found before that
+        words = [self.split((t or "").encode()) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for new in set().union(*words) - self.known.keys():
@@ -231,7 +237,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces of full length are sequences of their own. The others are counted by length; the plan for that histogram gives,
     for each length, ranges of ranks with their sequence and offset. Ranks are dense for each length and counted in hashed
-    buckets, so that a length that many copies share is not one task's work.
+    buckets (of the row and its place in the checkpoint), so that a length or a row with many copies is not one task's work.
 
     `pieces` should be a checkpoint, as it is read several times. Other columns are kept (sequence_id and offset excepted);
     equal pieces may be swapped among their places. An empty table gives no rows.
@@ -245,7 +251,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.monotonically_increasing_id() + F.lit(int(table["total"][0]))).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    short = pieces.where(F.col("length") < capacity).withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)))
+    short = pieces.where(F.col("length") < capacity).withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *pieces.columns), F.lit(buckets)))
     ranked = numbered(short, ["length"], "_bucket", [F.xxhash64(*pieces.columns)], "_rank").drop("_bucket")
     shift = np.int64(1) << 44
     keys = table["length"] * shift + table["first"]
