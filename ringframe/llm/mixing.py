@@ -11,7 +11,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-PACKET_WORDS = 512
 
 
 def ranged(df: DataFrame, order: list[str], value: str, before: str) -> DataFrame:
@@ -66,20 +65,20 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     repeats: int = REPEATS,
-    packet_words: int | None = PACKET_WORDS,
+    cut: bool = False,
     seed: int = 1,
     identity: tuple[str, ...] = ("doc_id", "text", "source"),
 ) -> DataFrame:
-    """Take documents, whole or in part and up to `repeats` times, so that each source's words come near its target.
+    """Take whole documents, up to `repeats` times each, so that each source's words come near its target.
 
-    A source is a queue of its documents in an order shuffled by md5, run through `repeats` times. Its documents are packets
-    of at most `packet_words` words (None: whole documents); a packet's virtual finish time is the queue's words up to its
-    end, divided by the source's target. All packets are sorted globally by finish time (then source, place) and taken while
-    the total stays within the sum of targets; the packet that crosses it is cut there (None: left out).
+    A source is a queue of its documents in an order shuffled by md5, run through `repeats` times. A document's virtual
+    finish time is the queue's words up to its end, divided by the source's target. All documents are sorted globally by
+    finish time (then source, place) and taken while the total stays within the sum of targets; the one that crosses it is
+    left out. With `cut`, each source's document that runs over time 1 ends there: it is the only one taken in part.
 
     Columns of `docs` used: doc_id, text, source and those in `identity`. Returns doc_id, source, row_hash (of the identity
-    columns), size, source_size (long), target (double), taken (long: words), copies (long: packets taken; with whole
-    documents, how often the document is taken). No text is shuffled.
+    columns), size, source_size (long), target (double), taken (long: words), copies (long: how often the document is
+    taken). No text is shuffled.
 
     Null texts have no words; documents without words are taken for nothing and have taken 0. Null source is a source, the
     last one. Rows that share doc_id and text are separate documents. A source without words has target 0. An empty table
@@ -120,22 +119,18 @@ def mix(
     known = sources.select(F.col("_source").alias("_s"), F.col("words").alias("source_size"), "target")
     queue = checkpoint(queue.join(known, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
 
-    width = F.lit(packet_words).cast("long") if packet_words else F.greatest("_size", F.lit(1))
-    starts = F.expr("sequence(0L, greatest(_size - 1, 0L), _width)")
-    packets = (
-        queue.withColumn("_width", width)
-        .withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("_start", F.explode(starts))
-        .withColumn("_words", F.least(F.col("_width"), F.col("_size") - F.col("_start")))
-        .withColumn("_end", F.col("_turn") * F.col("source_size") + F.col("_before") + F.col("_start") + F.col("_words"))
-        .select("_source", "_place", "_turn", "_start", "_words", F.try_divide(F.col("_end").cast("double"), "target").alias("_finish"))
+    begin = F.col("_turn") * F.col("source_size") + F.col("_before")
+    room = F.greatest(F.floor(F.col("target") - begin), F.lit(0)).cast("long") if cut else F.col("_size")
+    turns = (
+        queue.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        .withColumn("_words", F.least("_size", room))
+        .where((F.col("_words") > 0) | (F.col("_size") == 0))
+        .select("_source", "_place", "_turn", "_words", F.try_divide((begin + F.col("_words")).cast("double"), "target").alias("_finish"))
         .where("_finish IS NOT NULL")
     )
-    ordered = ranged(packets, ["_finish", "_source", "_turn", "_place", "_start"], "_words", "_passed")
+    ordered = ranged(turns, ["_finish", "_source", "_turn", "_place"], "_words", "_passed")
     room = F.lit(budget).cast("long") - F.col("_passed")
-    part = F.least("_words", F.greatest(room, F.lit(0).cast("long")))
-    if not packet_words:
-        part = F.when(F.col("_words") <= room, F.col("_words")).otherwise(F.lit(0).cast("long"))
+    part = F.least("_words", F.greatest(room, F.lit(0).cast("long"))) if cut else F.when(F.col("_words") <= room, F.col("_words")).otherwise(F.lit(0).cast("long"))
     taken = (
         ordered.withColumn("_part", part)
         .where((F.col("_part") > 0) | (F.col("_words") == 0) & (room >= 0))
@@ -150,7 +145,7 @@ def mix(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir), cut=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
@@ -168,9 +163,9 @@ q AS (SELECT d.*, s.source_size, s.target, row_number() OVER w AS place,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WINDOW w AS (PARTITION BY d.source ORDER BY dg)),
 p0 AS (SELECT *, unnest([0, 1]) AS turn FROM q),
-p1 AS (SELECT *, unnest(range(0, greatest(size, 1), 512)) AS start FROM p0),
-p AS (SELECT *, least(512, size - start) AS words, CAST(turn * source_size + before + start + least(512, size - start) AS DOUBLE) / target AS finish FROM p1),
-r AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source NULLS FIRST, turn, place, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM p),
+p1 AS (SELECT *, least(size, CAST(greatest(floor(target - (turn * source_size + before)), 0) AS BIGINT)) AS words FROM p0),
+p AS (SELECT *, CAST(turn * source_size + before + words AS DOUBLE) / target AS finish FROM p1),
+r AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source NULLS FIRST, turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM p),
 b AS (SELECT CAST(floor(sum(target)) AS BIGINT) AS budget FROM s)
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
        CAST(sum(least(words, greatest(budget - passed, 0))) AS BIGINT) AS taken
