@@ -13,23 +13,39 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, sliced
 
-K = 16
-WINDOW = 49  # any match of K + WINDOW - 1 = 64 code points is found
+K = 12
+WINDOW = 21  # any match of K + WINDOW - 1 = 32 code points is found
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+POWERS: list[np.ndarray] = []  # powers of BASE and of its inverse, as far as they were asked for
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if not POWERS or len(POWERS[0]) < size:
+        n = max(size, 1 << 16)
+        POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, x, np.uint64)))) for x in (BASE, INVERSE)]
+    return POWERS[0][:size], POWERS[1][:size]
+
+
 def kgram_hashes(chars: np.ndarray, k: int = K) -> np.ndarray:
-    """Polynomial hashes (32 bits) of all k-grams, each rolled from the one before; the whole text if it is shorter than k."""
+    """Polynomial hashes (32 bits) of all k-grams, rolled in one pass; the whole text if it is shorter than k.
+
+    The rolling sum of a text, each value times a power of the base, gives a k-gram as a difference that is turned back by
+    the power of its place: the base is odd, so it has an inverse.
+    """
     k = min(k, len(chars))
     if not k:
         return np.zeros(0, np.uint64)
     n = len(chars) - k + 1
     values = (chars.astype(np.uint64) + np.uint64(1)) * MIX
     values ^= values >> np.uint64(31)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = h * BASE + values[i : i + n]
+    up, down = powers(len(chars))
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(values * up, out=sums[1:])
+    h = (sums[k:] - sums[:-k]) * down[:n]
     h ^= h >> np.uint64(29)
     h *= MIX
     return h >> np.uint64(32)
@@ -78,18 +94,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+# Ranges at most; beyond, they have more rows, which are sorted with spilling and read one by one.
+MOST_RANGES = 32_768
+
+
 def with_next(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
     """Ranges of documents in descending doc_id, each followed by a copy of the first document of the next non-empty range.
 
     Ranges are cut at quantiles of doc_id. Adds _range (ascending means later), _ahead (the copy) and _key (null doc_id as
     null); the least range's copy closes the ring. The copies are one or a few documents a range; the table of ranges, at
-    most 8192 rows, is the only thing that meets in one place.
+    most MOST_RANGES rows, is the only thing that meets in one place.
     """
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k")).first()
-    parts = max(1, min(8192, ids["n"] // rows_per_range))
+    parts = max(1, min(MOST_RANGES, ids["n"] // rows_per_range))
     cuts = [0.0]
     if ids["k"]:
-        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0]
+        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0]
         cuts = sorted(set(found))
     splits = [-float("inf"), *cuts, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_cut", handleInvalid="keep")
