@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from .common import checkpoint, documents
 
 LINES = 3
-# Runs of removed lines are broadcast up to so many, of 8 bytes each and about 50 a document; beyond, texts are shuffled to them.
-BROADCAST_RUNS = 1_000_000
+# Runs of removed lines are broadcast up to so many (some 100 bytes each in memory); beyond, texts are shuffled to them.
+BROADCAST_RUNS = 200_000
 
 
 def windows(docs: DataFrame, size: int) -> DataFrame:
-    """A row (_doc, _at, _hash) for each window of `size` consecutive lines that are not all blank."""
+    """A row (_doc, _at, _hash, _check) for each window of `size` consecutive lines that are not all blank; 128 bits of hash."""
     lines = docs.select("_doc", F.split("_text", "\n").alias("_lines"))
     starts = F.when(F.size("_lines") >= size, F.sequence(F.lit(0), F.size("_lines") - size))
     hashed = F.transform(
         starts,
         lambda i: F.when(
             F.exists(F.slice("_lines", i + 1, F.lit(size)), lambda x: F.trim(x) != ""),
-            F.xxhash64(*[F.get("_lines", i + k) for k in range(size)]),
+            F.struct(*[F.xxhash64(F.lit(seed), *[F.get("_lines", i + k) for k in range(size)]).alias(name) for seed, name in ((1, "h"), (2, "c"))]),
         ),
     )
-    return lines.select("_doc", F.posexplode(hashed).alias("_at", "_hash")).where("_hash IS NOT NULL")
+    found = lines.select("_doc", F.posexplode(hashed).alias("_at", "_both")).where("_both IS NOT NULL")
+    return found.select("_doc", "_at", F.col("_both.h").alias("_hash"), F.col("_both.c").alias("_check"))
 
 
 def covered(found: DataFrame, size: int) -> DataFrame:
@@ -33,13 +34,13 @@ def covered(found: DataFrame, size: int) -> DataFrame:
     side has one row for each; as it is read from a checkpoint, a skewed join can split a window of any frequency.
     """
     first = checkpoint(
-        found.groupBy("_hash")
+        found.groupBy("_hash", "_check")
         .agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
-        .select(F.col("_hash").alias("_repeated"), "_first")
+        .select(F.col("_hash").alias("_repeated"), F.col("_check").alias("_rechecked"), "_first")
     )
     later = (
-        found.join(first, F.col("_hash") == F.col("_repeated"))
+        found.join(first, (F.col("_hash") == F.col("_repeated")) & (F.col("_check") == F.col("_rechecked")))
         .where((F.col("_doc") != F.col("_first._doc")) | (F.col("_at") != F.col("_first._at")))
         .select("_doc", "_at")
     )
@@ -72,8 +73,9 @@ def dedup_lines(docs: DataFrame, size: int = LINES, key: str = "doc_id", text: s
     """
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_whole")  # so that no name of theirs meets ours
     id_ = F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"))
-    keyed = docs.withColumn("_doc", id_).withColumn("_text", F.col(text).cast("string"))
+    keyed = docs.select(whole, id_.alias("_doc"), F.col(text).cast("string").alias("_text"))
     found = checkpoint(windows(keyed, size))
     runs = covered(found, size).select(F.col("_doc").alias("_in"), "_covered")
     runs = checkpoint(runs)
@@ -83,7 +85,7 @@ def dedup_lines(docs: DataFrame, size: int = LINES, key: str = "doc_id", text: s
     kept = F.when(F.col("_covered").isNull(), F.col("_text")).otherwise(F.array_join(without(lines, F.col("_covered")), "\n"))
     removed = F.aggregate("_covered", F.lit(0), lambda n, r: n + r["to"] - r["from"])
     return joined.select(
-        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in columns],
+        *[kept.alias(c) if c == text else F.col(f"_whole.`{c}`") for c in columns],
         F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
     )
