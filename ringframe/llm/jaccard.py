@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Tables, checkpoint, documents, sliced
 
@@ -495,7 +496,7 @@ def grouped_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
     """Add the node of each row's set, null for an empty one, to any table with a text column."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)

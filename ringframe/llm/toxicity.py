@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import checkpoint, documents, sliced
 
@@ -183,7 +184,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(MOST_TOXIC / max(n.get(1, 0), MOST_TOXIC))).otherwise(F.lit(MOST_CLEAN / max(n.get(0, 0), MOST_CLEAN)))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(8)), F.lit(1_000_000)) < share * 1_000_000)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "toxic")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
 def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
@@ -302,7 +303,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str
     kept, one named like `score` is replaced. An empty table gives no rows.
     """
     docs = docs.drop(score)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"])
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     lexicon, weights = model.lexicon, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

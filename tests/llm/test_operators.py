@@ -76,7 +76,7 @@ def test_word_ids_match_whole_texts():
     from tokenizers import Tokenizer
 
     coder, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
-    for text in ("It's the CAT'S, isn't it?!", "İstanbul' Σίσυφος, naïve. á <|endoftext|>!", "42 x9.. ¿Qué? 中文。 🙂🙂", "'ll 'LL don't,"):
+    for text in ("It's the CAT'S, isn't it?!", "İstanbul' Σίσυφος, naïve. á <|endoftext|>!", "42 x9.. ¿Qué? 中文。 🙂🙂", "'ll 'LL don't,", "x <|ENDOFTEXT|> y", "A<|StartOfText|>B <|STARTOFTEXT|>", "a<|endoftext|>B <|startoftext|>C"):
         assert own([text])[0] == array("I", coder.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -344,6 +344,40 @@ def test_permutation_is_one(spark):
         assert sorted(got) == list(range(n))
 
 
+def feistel(x, n, seed=1):
+    """The permutation in plain Python."""
+    a = math.isqrt(max(0, n - 1)) + 1
+    b = max(1, -(-n // a))
+    prime = 2**31 - 1
+
+    def mix(v, key, salt):
+        y = (v % prime * key + salt) % prime
+        return (y * y + y * (key % 1009) + salt % 65537) % prime
+
+    while True:
+        left, right = divmod(x, b)
+        for i, key in enumerate((48271, 69621, 16807, 39373, 62089911, 742938285)):
+            salt = (seed * 7919 + i * 104729) % prime
+            if i % 2:
+                right = (right + mix(left, key, salt)) % b
+            else:
+                left = (left + mix(right, key, salt)) % a
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def test_shards_and_slots_by_hand(spark, sf_dir):
+    source = texts(spark, sf_dir)
+    n = len(source)
+    name = lambda i: f"{i}:{zlib.crc32((source[i] or '').encode())}"
+    digits = sharding.hex_digits(n)
+    order = sorted(source, key=lambda i: (hashlib.md5(name(i).encode()).hexdigest()[:digits], i))
+    expected = {i: divmod(feistel(k, n), 24)[::-1] for k, i in enumerate(order)}
+    rows = queries.queries()["op7_sharding"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == expected
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -488,7 +522,7 @@ def test_mixing(spark, sf_dir):
         size[s] += r["size"]
         taken[s] += r["taken"]
         target[s] = r["target"]
-    assert all(abs(taken[s] - target[s]) <= mixing.PACKET_WORDS and target[s] <= 2 * size[s] for s in size)
+    assert all(abs(taken[s] - target[s]) <= 2 and target[s] <= 2 * size[s] for s in size)
     assert sum(taken.values()) == int(sum(target.values())) and sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
 
 
