@@ -16,7 +16,7 @@ TOXIC_FROM = 0.5
 # Word shingles of five words, similarity 0.8.
 SHINGLE, NUM, DEN = 5, 80, 100
 # Small tables (an id or hash and a count) are broadcast up to so many rows, and joined by a shuffle beyond.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:

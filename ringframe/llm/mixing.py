@@ -120,7 +120,7 @@ def mix(
     queue = checkpoint(queue.join(known, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
 
     begin = F.col("_turn") * F.col("source_size") + F.col("_before")
-    room = F.greatest(F.floor(F.col("target") - begin), F.lit(0)).cast("long") if cut else F.col("_size")
+    room = F.greatest(F.ceil(F.col("target") - begin), F.lit(0)).cast("long") if cut else F.col("_size")
     turns = (
         queue.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("_words", F.least("_size", room))
@@ -163,7 +163,7 @@ q AS (SELECT d.*, s.source_size, s.target, row_number() OVER w AS place,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WINDOW w AS (PARTITION BY d.source ORDER BY dg)),
 p0 AS (SELECT *, unnest([0, 1]) AS turn FROM q),
-p1 AS (SELECT *, least(size, CAST(greatest(floor(target - (turn * source_size + before)), 0) AS BIGINT)) AS words FROM p0),
+p1 AS (SELECT *, least(size, CAST(greatest(ceil(target - (turn * source_size + before)), 0) AS BIGINT)) AS words FROM p0),
 p AS (SELECT *, CAST(turn * source_size + before + words AS DOUBLE) / target AS finish FROM p1),
 r AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source NULLS FIRST, turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM p),
 b AS (SELECT CAST(floor(sum(target)) AS BIGINT) AS budget FROM s)

@@ -522,7 +522,7 @@ def test_mixing(spark, sf_dir):
         size[s] += r["size"]
         taken[s] += r["taken"]
         target[s] = r["target"]
-    assert all(abs(taken[s] - target[s]) <= 2 and target[s] <= 2 * size[s] for s in size)
+    assert all(abs(taken[s] - target[s]) <= len(size) and target[s] <= 2 * size[s] for s in size)
     assert sum(taken.values()) == int(sum(target.values())) and sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
 
 
