@@ -236,6 +236,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about `rows` words: words of a length go through the lattice together, so more at a time cost less."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Re-estimate the scores by expectation maximisation over the training words, each as often as it occurs.
 
@@ -248,7 +260,7 @@ def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int =
 
         def run(batches: Iterator[pa.RecordBatch], scores: np.ndarray = scores) -> Iterator[pa.RecordBatch]:
             lattice, into = Lattice(pieces, scores), np.zeros(len(scores))
-            for batch in batches:
+            for batch in gathered(batches):
                 into += lattice.uses(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(into[used])], names=["place", "uses"])
@@ -291,7 +303,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, scores)
-        for batch in batches:
+        for batch in gathered(batches):
             rated = lattice.log10(batch.column(0).to_pylist()) + goes_on
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rated)], names=["word", "c", "n", "lattice"])
 
