@@ -16,6 +16,11 @@ def finite(df: DataFrame) -> DataFrame:
     return df.withColumns(clean) if clean else df
 
 
+def settled(value: Column) -> Column:
+    """Rounded to nine decimals, before values are compared or divided: what sums leave of noise then decides nothing."""
+    return F.floor(value * 1e9 + 0.5) / 1e9
+
+
 def pick_first(value: str, by: str, order: str) -> Column:
     """The `value` at the largest `by`, the least `order` among equals; rows without `by` don't count."""
     return F.max_by(F.col(value), F.when(F.col(by).isNotNull(), F.struct(F.col(by), -F.col(order))))
@@ -101,6 +106,15 @@ def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return sixth / 6, F.when(c == 0, F.lit(0.0)).otherwise(c / (1 - F.abs(2 * light - 1) + TINY)), light
 
 
+def hsv8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue, saturation and value of channels in 0..255 in 8-bit steps (hue in steps of two degrees), scaled to 0..1."""
+    high, low = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
+    c = high - low
+    sixth = F.when(c == 0, F.lit(0.0)).when(high == r, F.pmod((g - b) / c, F.lit(6.0))).when(high == g, (b - r) / c + 2).otherwise((r - g) / c + 4)
+    hue = F.pmod(F.floor(30 * sixth + 0.5), F.lit(180))
+    return hue / 179.0, F.floor(F.when(high == 0, F.lit(0.0)).otherwise(255 * c / high) + 0.5) / 255.0, high / 255.0
+
+
 def proximity(distance: Column) -> Column:
     """How near the nearest hotspot is: none, near (to 10 px), mid (to 24 px) or far."""
     return F.when(distance.isNull(), "none").when(distance <= 10, "near").when(distance <= 24, "mid").otherwise("far")

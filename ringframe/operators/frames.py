@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import hsl
+from ringframe.functions.expressions import hsl, hsv8
 
 
 def grey() -> Column:
@@ -44,15 +44,26 @@ def histogram_jumps(hist: DataFrame) -> DataFrame:
     return dot.select("frame_id", F.when(F.col("before").isNotNull(), F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0)))).alias("jump"))
 
 
-def transition_scores(hist: DataFrame, bins: int = 64) -> DataFrame:
-    """Half the L1 distance of neighbouring frames' histograms plus twice the mean distance of their running sums."""
+def transition_scores(hist: DataFrame, bins: int = 256) -> DataFrame:
+    """Of neighbouring frames' histograms: half the L1 distance, twice the mean distance of running sums, half that of mean grey values.
+
+    With 256 bins a bin is a grey value, so the means' distance (in 0..1) comes of the same differences.
+    """
     frames = hist.select("frame_id").distinct()
     grid = frames.crossJoin(F.broadcast(frames.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
     dense = grid.join(hist.select("frame_id", "bin", "share"), ["frame_id", "bin"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     dense = dense.withColumn("cdf", F.sum("share").over(Window.partitionBy("frame_id").orderBy("bin")))
     by = Window.partitionBy("bin").orderBy("frame_id")
-    moved = dense.withColumn("_h", F.abs(F.col("share") - F.lag("share").over(by))).withColumn("_c", F.abs(F.col("cdf") - F.lag("cdf").over(by)))
-    return moved.groupBy("frame_id").agg((0.5 * F.sum("_h") + 2 * F.avg("_c")).alias("score"))
+    moved = dense.withColumn("_h", F.col("share") - F.lag("share").over(by)).withColumn("_c", F.abs(F.col("cdf") - F.lag("cdf").over(by)))
+    grey = F.abs(F.sum(F.col("_h") * F.col("bin"))) / (bins - 1)
+    return moved.groupBy("frame_id").agg((0.5 * F.sum(F.abs("_h")) + 2 * F.avg("_c") + 0.5 * grey).alias("score"))
+
+
+def hsv_stats(pixels: DataFrame, least_saturation: float = 0.2) -> DataFrame:
+    """Per frame the means of 8-bit HSV, and the share of pixels whose hue counts: saturation of `least_saturation` or more."""
+    h, s, v = hsv8(F.col("r"), F.col("g"), F.col("b"))
+    known = pixels.select("frame_id", h.alias("h"), s.alias("s"), v.alias("v"))
+    return known.groupBy("frame_id").agg(F.avg("h").alias("mean_h"), F.avg("s").alias("mean_s"), F.avg("v").alias("mean_v"), F.avg((F.col("s") >= least_saturation).cast("double")).alias("hue_share"))
 
 
 def saturation(pixels: DataFrame, threshold: int = 250) -> DataFrame:

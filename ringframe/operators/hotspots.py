@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -54,19 +55,35 @@ def tracks(rows: DataFrame) -> DataFrame:
     )
 
 
-def nearest_hole(points: DataFrame, holes: DataFrame, reach: float) -> DataFrame:
-    """Each point's nearest hole within `reach` (null beyond), the least id among equals.
+def nearest_hole(points: DataFrame, holes: DataFrame, least: float = 16.0) -> DataFrame:
+    """Each point's nearest hole, the least id among equals; null only where there are no holes.
 
-    A grid of cells of that size makes it an equi-join on the point's cell and the eight around it.
+    Grids of cells of `least`, twice that and so on, up to the extent of all (one row), make it equi-joins: a point's level is
+    the first whose nine cells around it have a hole. That hole is at most 2.83 cells away, so the nearest one lies in the nine
+    cells of two levels up. Holes are few in the cells of a level that points come to only where finer ones are empty.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    near = holes.select(F.col("hole_id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    span = lambda df: df.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max(F.abs("x")), F.max(F.abs("y"))).first()
+    widest = max([least, *(abs(v) for df in (points, holes) for v in span(df) if v is not None)])
+    levels = max(1, math.ceil(math.log2(widest / least)) + 1)
     offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-    near = near.withColumn("_o", F.explode(offsets)).select("_hole", "_x", "_y", (F.col("_cx") + F.col("_o.u")).alias("_cx"), (F.col("_cy") + F.col("_o.v")).alias("_cy"))
-    met = points.withColumn("_cx", cell("x")).withColumn("_cy", cell("y")).join(near, ["_cx", "_cy"], "left")
+
+    def on(df: DataFrame, x: str, y: str, level) -> DataFrame:
+        size = least * F.pow(F.lit(2.0), level)
+        return df.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels + 1))).alias("_level")
+    ringed = on(holes.select(F.col("hole_id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y"), every), "_x", "_y", F.col("_level"))
+    ringed = ringed.withColumn("_o", F.explode(offsets)).select("_level", "_hole", "_x", "_y", (F.col("_cx") + F.col("_o.u")).alias("_cx"), (F.col("_cy") + F.col("_o.v")).alias("_cy"))
+    cells = ringed.select("_level", "_cx", "_cy").distinct()
+    asked = on(points.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")), "x", "y", F.col("_level"))
+    first = asked.join(cells, ["_level", "_cx", "_cy"], "left_semi").groupBy(*points.columns).agg((F.min("_level") + 2).alias("_level"))
+    met = on(first, "x", "y", F.col("_level")).join(ringed, ["_level", "_cx", "_cy"])
     distance = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    best = F.min(F.when(distance <= reach, F.struct(distance.alias("d"), F.col("_hole").alias("h"))))
-    return met.groupBy(*points.columns).agg(best.alias("_best")).select(*points.columns, F.col("_best.h").alias("nearest_hole_id"), F.col("_best.d").alias("dist_to_hole_px"))
+    best = met.groupBy(*points.columns).agg(F.min(F.struct(distance.alias("d"), F.col("_hole").alias("h"))).alias("_best"))
+    best = best.select(*[F.col(c).alias(f"_of_{c}") for c in points.columns], "_best")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in points.columns]
+    joined = points.join(best, functools.reduce(lambda p, q: p & q, same), "left")
+    return joined.select(*points.columns, F.col("_best.h").alias("nearest_hole_id"), F.col("_best.d").alias("dist_to_hole_px"))
 
 
 def link_nearest(rows: DataFrame, reach: float) -> DataFrame:

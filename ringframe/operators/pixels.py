@@ -42,11 +42,30 @@ def black_rows(pixels: DataFrame, dark: int = 12, share: float = 0.995, mean: fl
 
 
 def grey_world(pixels: DataFrame) -> DataFrame:
-    """Each channel scaled to the mean of the channels' means of its frame, clipped and cut to whole numbers."""
-    w = Window.partitionBy("frame_id")
-    means = {c: F.avg(c).over(w) for c in "rgb"}
-    target = (means["r"] + means["g"] + means["b"]) / 3
-    return pixels.withColumns({c: F.floor(F.least(F.greatest(F.col(c) * target / F.greatest(means[c], F.lit(1e-6)), F.lit(0.0)), F.lit(255.0))).cast("int") for c in "rgb"})
+    """Each channel scaled to the mean of the channels' means of its frame, clipped and cut to whole numbers.
+
+    Means are aggregated first, a row for each frame, so that pixels are joined to a small table and not sorted by frame.
+    """
+    means = pixels.groupBy(F.col("frame_id").alias("_frame")).agg(*[F.avg(c).alias(f"_{c}") for c in "rgb"])
+    target = (F.col("_r") + F.col("_g") + F.col("_b")) / 3
+    scaled = {c: F.floor(F.least(F.greatest(F.col(c) * target / F.greatest(F.col(f"_{c}"), F.lit(1e-6)), F.lit(0.0)), F.lit(255.0))).cast("int") for c in "rgb"}
+    joined = pixels.join(means, F.col("frame_id").eqNullSafe(F.col("_frame")))
+    return joined.withColumns(scaled).drop("_frame", "_r", "_g", "_b")
+
+
+def chromatic_distance(pixels: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Each pixel's RGB distance to the baseline image's pixel of the same place, null where that has none."""
+    base = baseline.groupBy(F.col("y").alias("_y"), F.col("x").alias("_x")).agg(*[F.min(c).alias(f"_{c}") for c in "rgb"])
+    square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "rgb"), F.lit(0))
+    return pixels.join(base, (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x")), "left").withColumn("distance", F.sqrt(square)).drop("_y", "_x", "_r", "_g", "_b")
+
+
+def hotspot_score(values: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(frame_id, y, x, value) with score: the value, or its absolute difference to the baseline (y, x, value) of the place."""
+    if baseline is None:
+        return values.withColumn("score", F.col("value"))
+    base = baseline.groupBy(F.col("y").alias("_y"), F.col("x").alias("_x")).agg(F.min("value").alias("_value"))
+    return values.join(base, (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x")), "left").withColumn("score", F.abs(F.col("value") - F.col("_value"))).drop("_y", "_x", "_value")
 
 
 def sampled(pixels: DataFrame, per_frame: int = 5000, seed: int = 0) -> DataFrame:

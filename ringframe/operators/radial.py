@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import TINY, line_fit, parabola, pick_first, r_squared, weighted_centre
+from ringframe.functions.expressions import TINY, line_fit, parabola, pick_first, r_squared, weighted_centre, settled
 
 SHIFT = 0.35
 ASYMMETRIC = 0.25
@@ -58,7 +58,8 @@ def aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def zones(holes: DataFrame) -> DataFrame:
     """(hole_id, reticulum_zone): corner, edge or interior by the lattice's extent, which is one row and joined to all holes."""
-    known = holes.where("lattice_u IS NOT NULL AND lattice_v IS NOT NULL").select("hole_id", "lattice_u", "lattice_v").distinct()
+    place = F.max(F.struct("lattice_u", "lattice_v")).alias("_p")  # one place for a hole: the largest, if it is listed with several
+    known = holes.where("lattice_u IS NOT NULL AND lattice_v IS NOT NULL").groupBy("hole_id").agg(place).select("hole_id", "_p.lattice_u", "_p.lattice_v")
     extent = known.agg(F.min("lattice_u").alias("u0"), F.max("lattice_u").alias("u1"), F.min("lattice_v").alias("v0"), F.max("lattice_v").alias("v1"))
     on_u, on_v = F.col("lattice_u").isin(F.col("u0"), F.col("u1")), F.col("lattice_v").isin(F.col("v0"), F.col("v1"))
     zone = F.when(on_u & on_v, "corner").when(on_u | on_v, "edge").otherwise("interior")
@@ -85,7 +86,7 @@ def model_fits(rows: DataFrame) -> DataFrame:
         F.col("b").alias("quadratic_b"),
         F.col("c").alias("quadratic_c"),
         r_squared(F.col("qres"), F.col("qtot"), 1e-12).alias("quadratic_r2"),
-        F.when(F.abs("a") > 1e-8, -F.col("b") / (2 * F.col("a"))).alias("front_radius_quadratic"),
+        F.when(F.abs(settled(F.col("a"))) > 1e-8, -settled(F.col("b")) / (2 * settled(F.col("a")))).alias("front_radius_quadratic"),
         F.col("_n").alias("n_valid_annuli"),
     )
 
@@ -104,14 +105,14 @@ def angular_asymmetry(rows: DataFrame, n_sectors: int = 4) -> DataFrame:
     """Per (hole, frame) over sector means: asymmetry, contrast, vector strength, first sector of the largest mean, and the means."""
     keys = ["hole_id", "frame_id"]
     means = rows.groupBy(*keys, "sector_id").agg(F.avg("descriptor_value").alias("m"))
-    weighted = means.withColumn("w", F.col("m") - F.min("m").over(Window.partitionBy(*keys)) + TINY)
+    weighted = means.withColumn("_m", settled(F.col("m"))).withColumn("w", F.col("m") - F.min("m").over(Window.partitionBy(*keys)) + TINY)
     theta = (F.col("sector_id") + 0.5) * (2 * 3.141592653589793 / n_sectors)
     out = weighted.groupBy(*keys).agg(
         F.count("m").alias("n_valid_sectors"),
         (F.stddev_pop("m") / (F.abs(F.avg("m")) + TINY)).alias("angular_asymmetry"),
         (F.max("m") - F.min("m")).alias("sector_contrast"),
         (F.hypot(F.sum(F.col("w") * F.cos(theta)), F.sum(F.col("w") * F.sin(theta))) / (F.sum("w") + TINY)).alias("vector_strength"),
-        pick_first("sector_id", "m", "sector_id").alias("dominant_sector"),
+        pick_first("sector_id", "_m", "sector_id").alias("dominant_sector"),
         *[F.max(F.when(F.col("sector_id") == i, F.col("m"))).alias(f"sector_{i}_mean") for i in range(n_sectors)],
     )
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import TINY, line_fit, parabola, pick_first, r_squared, weighted_centre
+from ringframe.functions.expressions import TINY, line_fit, parabola, pick_first, r_squared, weighted_centre, settled
 
 KEYS = ["hole_id", "sector_id"]
 ONSET = 0.01
@@ -43,9 +43,9 @@ def front_frames(sector_fronts: DataFrame) -> DataFrame:
 
 def lags(sector_frames: DataFrame, onset: float = ONSET) -> DataFrame:
     """Per (hole, sector): first frame above `onset`, first frame of the largest front, and their delay against the hole's first."""
-    per = sector_frames.groupBy(*KEYS).agg(
+    per = sector_frames.withColumn("_front", settled(F.col("front"))).groupBy(*KEYS).agg(
         F.min(F.when(F.col("total") > onset, F.col("frame_id"))).alias("sector_onset_frame"),
-        pick_first("frame_id", "front", "frame_id").alias("sector_peak_frame"),
+        pick_first("frame_id", "_front", "frame_id").alias("sector_peak_frame"),
         F.max("front").alias("sector_peak_front_radius_norm"),
         F.avg("front").alias("sector_mean_front_radius_norm"),
         F.count("front").alias("valid_frames"),
@@ -95,7 +95,7 @@ def propagation_summary(sector_rows: DataFrame) -> DataFrame:
     return sector_rows.groupBy("hole_id").agg(
         F.avg(v).alias("mean_sector_front_velocity_per_frame"),
         F.stddev_pop(v).alias("std_sector_front_velocity_per_frame"),
-        (F.stddev_pop(v) / F.greatest(F.abs(F.avg(v)), F.lit(TINY))).alias("sector_front_velocity_anisotropy"),
+        (settled(F.stddev_pop(v)) / F.greatest(F.abs(settled(F.avg(v))), F.lit(TINY))).alias("sector_front_velocity_anisotropy"),
         (F.count(v) / F.count(F.lit(1))).alias("valid_sector_velocity_fraction"),
         (F.max(onset) - F.min(onset)).alias("max_sector_onset_lag"),
         (F.avg(onset) - F.min(onset)).alias("mean_sector_onset_lag"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ringframe.functions.expressions import settled
 from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, pixels, radial, rdf, resample, reshape, sectors, sweeps
 from ringframe.sources import views
 from ringframe.sources.views import SQL
@@ -43,6 +44,10 @@ def sql(tables: str, body: str, keep: str, measures: str = "", extra: str = "")
     return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM ({body})"
 
 
+def _settled(x: str) -> str:
+    return f"(floor({x} * 1e9 + 0.5) / 1e9)"
+
+
 # CTEs shared by the oracle texts.
 def _evo(name: str, source: str, extra: str = "") -> str:
     g = f"PARTITION BY hole_id, {extra}frame_id"
@@ -244,12 +249,12 @@ def _(spark, sf_dir):
     return radial.frame_profile(groups.select("reticulum_zone", "frame_id", "annulus_id", "mean_descriptor"), ["reticulum_zone", "frame_id"], "mean_descriptor")
 
 
-_FITS = f"l AS (SELECT hole_id, frame_id, {_fit('annulus_id', 'descriptor_value')} FROM radial GROUP BY ALL), {_parabola('q', 'radial', 'hole_id, frame_id', 'annulus_id', 'descriptor_value')}, fits AS (SELECT l.hole_id, l.frame_id, n AS n_valid_annuli, slope AS linear_slope, intercept AS linear_intercept, {_r2('residual', 'total', '1e-12')} AS linear_r2, a AS quadratic_a, b AS quadratic_b, c AS quadratic_c, {_r2('qres', 'qtot', '1e-12')} AS quadratic_r2, CASE WHEN abs(a) > 1e-8 THEN -b / (2 * a) END AS front_radius_quadratic FROM l LEFT JOIN q ON l.hole_id = q.hole_id AND l.frame_id = q.frame_id WHERE n >= 2)"
+_FITS = f"l AS (SELECT hole_id, frame_id, {_fit('annulus_id', 'descriptor_value')} FROM radial GROUP BY ALL), {_parabola('q', 'radial', 'hole_id, frame_id', 'annulus_id', 'descriptor_value')}, fits AS (SELECT l.hole_id, l.frame_id, n AS n_valid_annuli, slope AS linear_slope, intercept AS linear_intercept, {_r2('residual', 'total', '1e-12')} AS linear_r2, a AS quadratic_a, b AS quadratic_b, c AS quadratic_c, {_r2('qres', 'qtot', '1e-12')} AS quadratic_r2, CASE WHEN abs({_settled('a')}) > 1e-8 THEN -({_settled('b')}) / (2 * {_settled('a')}) END AS front_radius_quadratic FROM l LEFT JOIN q ON l.hole_id = q.hole_id AND l.frame_id = q.frame_id WHERE n >= 2)"
 
 
-@query("radial_model_fits", sql("radial", "SELECT * FROM fits", "hole_id, frame_id, n_valid_annuli", "linear_slope linear_intercept linear_r2 quadratic_a quadratic_b quadratic_c quadratic_r2", _FITS))
+@query("radial_model_fits", sql("radial", "SELECT * FROM fits", "hole_id, frame_id, n_valid_annuli", "linear_slope linear_intercept linear_r2 quadratic_a quadratic_b quadratic_c quadratic_r2 front_radius_quadratic", _FITS))
 def _(spark, sf_dir):
-    return radial.model_fits(views.radial_rows(spark, sf_dir)).drop("front_radius_quadratic")
+    return radial.model_fits(views.radial_rows(spark, sf_dir))
 
 
 @query(
@@ -268,25 +273,25 @@ def _(spark, sf_dir):
 
 _ASYM = """sm AS (SELECT hole_id, frame_id, sector_id, avg(descriptor_value) AS m FROM sector GROUP BY ALL),
     sw AS (SELECT *, m - min(m) OVER (PARTITION BY hole_id, frame_id) + 1e-6 AS w, (sector_id + 0.5) * (2 * pi() / 4) AS th FROM sm),
-    asym AS (SELECT hole_id, frame_id, count(m) AS n_valid_sectors, stddev_pop(m) / (abs(avg(m)) + 1e-6) AS angular_asymmetry, max(m) - min(m) AS sector_contrast,
+    asym AS (SELECT hole_id, frame_id, count(m) AS n_valid_sectors, arg_max(sector_id, {'v': floor(m * 1e9 + 0.5), 'k': -sector_id}) FILTER (WHERE m IS NOT NULL) AS dominant_sector, stddev_pop(m) / (abs(avg(m)) + 1e-6) AS angular_asymmetry, max(m) - min(m) AS sector_contrast,
     sqrt(sum(w * cos(th)) ** 2 + sum(w * sin(th)) ** 2) / (sum(w) + 1e-6) AS vector_strength, max(m) FILTER (WHERE sector_id = 0) AS sector_0_mean, max(m) FILTER (WHERE sector_id = 1) AS sector_1_mean,
     max(m) FILTER (WHERE sector_id = 2) AS sector_2_mean, max(m) FILTER (WHERE sector_id = 3) AS sector_3_mean FROM sw GROUP BY ALL)"""
 _ASYM_M = "angular_asymmetry sector_contrast vector_strength"
 
 
-@query("angular_asymmetry", sql("sector", "SELECT * FROM asym", "hole_id, frame_id, n_valid_sectors", _ASYM_M + " sector_0_mean sector_1_mean sector_2_mean sector_3_mean", _ASYM))
+@query("angular_asymmetry", sql("sector", "SELECT * FROM asym", "hole_id, frame_id, n_valid_sectors, dominant_sector", _ASYM_M + " sector_0_mean sector_1_mean sector_2_mean sector_3_mean", _ASYM))
 def _(spark, sf_dir):
-    return radial.angular_asymmetry(views.sector_rows(spark, sf_dir)).drop("dominant_sector")
+    return radial.angular_asymmetry(views.sector_rows(spark, sf_dir))
 
 
 for _key in ("hole_id", "frame_id"):
 
     @query(
         f"angular_asymmetry_by_{_key[:-3]}",
-        sql("sector", f"SELECT {_key}, avg(angular_asymmetry) AS mean_angular_asymmetry, avg(sector_contrast) AS mean_sector_contrast, avg(vector_strength) AS mean_vector_strength, count(*) AS n FROM asym GROUP BY {_key}", f"{_key}, n", "mean_angular_asymmetry mean_sector_contrast mean_vector_strength", _ASYM),
+        sql("sector", f"SELECT {_key}, avg(angular_asymmetry) AS mean_angular_asymmetry, avg(sector_contrast) AS mean_sector_contrast, avg(vector_strength) AS mean_vector_strength, count(*) AS n, any_value(mo) AS dominant_sector_mode FROM asym LEFT JOIN (SELECT {_key} AS mk, arg_max(dominant_sector, {{'n': k, 's': -dominant_sector}}) AS mo FROM (SELECT {_key}, dominant_sector, count(*) AS k FROM asym WHERE dominant_sector IS NOT NULL GROUP BY ALL) GROUP BY ALL) ON mk = {_key} GROUP BY {_key}", f"{_key}, n, dominant_sector_mode", "mean_angular_asymmetry mean_sector_contrast mean_vector_strength", _ASYM),
     )
     def _(spark, sf_dir, key=_key):
-        return radial.asymmetry_by(radial.angular_asymmetry(views.sector_rows(spark, sf_dir)), key).drop("dominant_sector_mode")
+        return radial.asymmetry_by(radial.angular_asymmetry(views.sector_rows(spark, sf_dir)), key)
 
 
 # --- sectors -----------------------------------------------------------------------------------------------------------
@@ -328,28 +333,27 @@ def _(spark, sf_dir):
     return sectors.front_frames(sectors.fronts(views.sector_rows(spark, sf_dir)))
 
 
-_LAGS = """lag0 AS (SELECT hole_id, sector_id, min(frame_id) FILTER (WHERE total > 0.01) AS sector_onset_frame, max(front) AS sector_peak_front_radius_norm, avg(front) AS sector_mean_front_radius_norm, count(front) AS valid_frames FROM sframes GROUP BY ALL),
-    lags AS (SELECT *, sector_onset_frame - min(sector_onset_frame) OVER (PARTITION BY hole_id) AS sector_onset_lag FROM lag0)"""
+_LAGS = """lag0 AS (SELECT hole_id, sector_id, min(frame_id) FILTER (WHERE total > 0.01) AS sector_onset_frame, arg_max(frame_id, {'v': floor(front * 1e9 + 0.5), 'k': -frame_id}) FILTER (WHERE front IS NOT NULL) AS sector_peak_frame, max(front) AS sector_peak_front_radius_norm, avg(front) AS sector_mean_front_radius_norm, count(front) AS valid_frames FROM sframes GROUP BY ALL),
+    lags AS (SELECT *, sector_onset_frame - min(sector_onset_frame) OVER (PARTITION BY hole_id) AS sector_onset_lag, sector_peak_frame - min(sector_peak_frame) OVER (PARTITION BY hole_id) AS sector_peak_lag FROM lag0)"""
 
 
-@query("sector_front_lags", sql("sector", "SELECT * FROM lags", "hole_id, sector_id, sector_onset_frame, sector_onset_lag, valid_frames", "sector_peak_front_radius_norm sector_mean_front_radius_norm", SFRAMES + ", " + _LAGS))
+@query("sector_front_lags", sql("sector", "SELECT * FROM lags", "hole_id, sector_id, sector_onset_frame, sector_onset_lag, sector_peak_frame, sector_peak_lag, valid_frames", "sector_peak_front_radius_norm sector_mean_front_radius_norm", SFRAMES + ", " + _LAGS))
 def _(spark, sf_dir):
-    return sectors.lags(_sector_frames(spark, sf_dir)).drop("sector_peak_frame", "sector_peak_lag")
+    return sectors.lags(_sector_frames(spark, sf_dir))
 
 
 @query(
     "sector_front_lag_summary",
     sql(
         "sector",
-        "SELECT hole_id, min(sector_onset_frame) AS min_sector_onset_frame, max(sector_onset_lag) AS max_sector_onset_lag, avg(sector_onset_lag) AS mean_sector_onset_lag, count(sector_onset_lag) / count(*) AS valid_onset_sector_fraction FROM lags GROUP BY hole_id",
-        "hole_id, min_sector_onset_frame, max_sector_onset_lag",
-        "mean_sector_onset_lag valid_onset_sector_fraction",
+        "SELECT hole_id, min(sector_onset_frame) AS min_sector_onset_frame, max(sector_onset_lag) AS max_sector_onset_lag, avg(sector_onset_lag) AS mean_sector_onset_lag, count(sector_onset_lag) / count(*) AS valid_onset_sector_fraction, min(sector_peak_frame) AS min_sector_peak_frame, max(sector_peak_lag) AS max_sector_peak_lag, avg(sector_peak_lag) AS mean_sector_peak_lag, count(sector_peak_lag) / count(*) AS valid_peak_sector_fraction FROM lags GROUP BY hole_id",
+        "hole_id, min_sector_onset_frame, max_sector_onset_lag, min_sector_peak_frame, max_sector_peak_lag",
+        "mean_sector_onset_lag valid_onset_sector_fraction mean_sector_peak_lag valid_peak_sector_fraction",
         SFRAMES + ", " + _LAGS,
     ),
 )
 def _(spark, sf_dir):
-    out = sectors.lag_summary(sectors.lags(_sector_frames(spark, sf_dir)))
-    return out.select("hole_id", "min_sector_onset_frame", "max_sector_onset_lag", "mean_sector_onset_lag", "valid_onset_sector_fraction")
+    return sectors.lag_summary(sectors.lags(_sector_frames(spark, sf_dir)))
 
 
 _PROP = f"""prop0 AS (SELECT hole_id, sector_id, {_fit("frame_id", "front")}, min(frame_id) FILTER (WHERE total > 0.01) AS onset, arg_min(front, frame_id) AS s, arg_max(front, frame_id) AS e FROM (SELECT hole_id, sector_id, frame_id, front, total FROM sframes) GROUP BY ALL),
@@ -365,15 +369,15 @@ def _(spark, sf_dir):
     "sector_propagation_summary",
     sql(
         "sector",
-        """SELECT hole_id, avg(sector_front_velocity_per_frame) AS mean_sector_front_velocity_per_frame, stddev_pop(sector_front_velocity_per_frame) AS std_sector_front_velocity_per_frame, count(sector_front_velocity_per_frame) / count(*) AS valid_sector_velocity_fraction,
+        """SELECT hole_id, (floor(stddev_pop(sector_front_velocity_per_frame) * 1e9 + 0.5) / 1e9) / greatest(abs(floor(avg(sector_front_velocity_per_frame) * 1e9 + 0.5) / 1e9), 1e-6) AS sector_front_velocity_anisotropy, avg(sector_front_velocity_per_frame) AS mean_sector_front_velocity_per_frame, stddev_pop(sector_front_velocity_per_frame) AS std_sector_front_velocity_per_frame, count(sector_front_velocity_per_frame) / count(*) AS valid_sector_velocity_fraction,
         max(sector_front_onset_frame) - min(sector_front_onset_frame) AS max_sector_onset_lag, avg(sector_front_onset_frame) - min(sector_front_onset_frame) AS mean_sector_onset_lag FROM prop GROUP BY hole_id""",
         "hole_id, max_sector_onset_lag",
-        "mean_sector_front_velocity_per_frame std_sector_front_velocity_per_frame valid_sector_velocity_fraction mean_sector_onset_lag",
+        "sector_front_velocity_anisotropy mean_sector_front_velocity_per_frame std_sector_front_velocity_per_frame valid_sector_velocity_fraction mean_sector_onset_lag",
         SFRAMES + ", " + _PROP,
     ),
 )
 def _(spark, sf_dir):
-    return sectors.propagation_summary(sectors.propagation(_sector_frames(spark, sf_dir))).drop("sector_front_velocity_anisotropy")
+    return sectors.propagation_summary(sectors.propagation(_sector_frames(spark, sf_dir)))
 
 
 _ACC = f"l AS (SELECT hole_id, sector_id, {_fit('frame_id', 'front')} FROM (SELECT hole_id, sector_id, frame_id, front FROM sframes) GROUP BY ALL), {_parabola('q', '(SELECT hole_id, sector_id, frame_id, front FROM sframes)', 'hole_id, sector_id', 'frame_id', 'front')}, acc AS (SELECT q.hole_id, q.sector_id, n AS valid_frames, slope AS sector_front_linear_velocity_per_frame, {_r2('residual', 'total')} AS sector_front_linear_r2, a AS sector_front_quadratic_a, b AS sector_front_quadratic_b, c AS sector_front_quadratic_c, {_r2('qres', 'qtot')} AS sector_front_quadratic_r2, 2 * a AS sector_front_acceleration_per_frame2, a AS sector_front_curvature, ({_r2('qres', 'qtot')}) - ({_r2('residual', 'total')}) AS sector_front_nonlinearity_gain FROM q JOIN l ON l.hole_id = q.hole_id AND l.sector_id = q.sector_id)"
@@ -482,14 +486,14 @@ def _points(spark, sf_dir):
     "nearest_hole",
     sql(
         "holes",
-        "SELECT p.event_id, p.x, p.y, arg_min(h.hole_id, {'d': sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2), 'h': h.hole_id}) FILTER (WHERE sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= 25) AS nearest_hole_id, min(sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2)) FILTER (WHERE sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= 25) AS dist_to_hole_px FROM pts p, holes h GROUP BY ALL",
+        "SELECT p.event_id, p.x, p.y, arg_min(h.hole_id, {'d': sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2), 'h': h.hole_id}) AS nearest_hole_id, min(sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2)) AS dist_to_hole_px FROM pts p, holes h GROUP BY ALL",
         "event_id, nearest_hole_id",
         "x y dist_to_hole_px",
         _POINTS,
     ),
 )
 def _(spark, sf_dir):
-    return hotspots.nearest_hole(_points(spark, sf_dir), views.holes(spark, sf_dir), 25.0)
+    return hotspots.nearest_hole(_points(spark, sf_dir), views.holes(spark, sf_dir))
 
 
 def _regions(spark, sf_dir):
@@ -884,6 +888,9 @@ _HIST = """hi AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY frame_id) AS BIGI
     FROM (SELECT frame_id, CAST(((299 * r + 587 * g + 114 * b) // 1000) * 64 // 256 AS INTEGER) AS bin, count(*) AS n FROM pixels GROUP BY ALL))"""
 
 
+_GREY = _HIST.replace("* 64 // 256", "* 256 // 256")  # a bin for each grey value
+
+
 @query("grey_histograms", sql("pixels", "SELECT * FROM hi", "frame_id, bin, n", "share cdf", _HIST))
 def _(spark, sf_dir):
     return frames.histogram(views.pixels(spark, sf_dir))
@@ -907,14 +914,14 @@ def _(spark, sf_dir):
     "transition_scores",
     sql(
         "pixels",
-        "SELECT frame_id, 0.5 * sum(dh) + 2 * avg(dc) AS score FROM (SELECT frame_id, abs(share - lag(share) OVER (PARTITION BY bin ORDER BY frame_id)) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY frame_id)) AS dc FROM dc0) GROUP BY ALL",
+        "SELECT frame_id, 0.5 * sum(abs(dh)) + 2 * avg(dc) + 0.5 * (abs(sum(dh * bin)) / 255) AS score FROM (SELECT frame_id, bin, share - lag(share) OVER (PARTITION BY bin ORDER BY frame_id) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY frame_id)) AS dc FROM dc0) GROUP BY ALL",
         "frame_id",
         "score",
-        _HIST + ", dn AS (SELECT f.frame_id, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM (SELECT DISTINCT frame_id FROM hi) f CROSS JOIN range(64) t(k) LEFT JOIN hi ON hi.frame_id = f.frame_id AND hi.bin = k), dc0 AS (SELECT *, sum(share) OVER (PARTITION BY frame_id ORDER BY bin) AS cdf FROM dn)",
+        _GREY + ", dn AS (SELECT f.frame_id, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM (SELECT DISTINCT frame_id FROM hi) f CROSS JOIN range(256) t(k) LEFT JOIN hi ON hi.frame_id = f.frame_id AND hi.bin = k), dc0 AS (SELECT *, sum(share) OVER (PARTITION BY frame_id ORDER BY bin) AS cdf FROM dn)",
     ),
 )
 def _(spark, sf_dir):
-    return frames.transition_scores(frames.histogram(views.pixels(spark, sf_dir)))
+    return frames.transition_scores(frames.histogram(views.pixels(spark, sf_dir), 256))
 
 
 @query(
@@ -1042,11 +1049,76 @@ def _(spark, sf_dir):
     return inside.groupBy("frame_id", "hole_id", "annulus_id").agg(F.count(F.lit(1)).alias("area_px"), F.avg("r").alias("mean_r"))
 
 
-@query("grey_world_means")
+@query(
+    "grey_world_means",
+    sql(
+        "",
+        "SELECT frame_id, avg(floor(least(greatest(r * t / greatest(mr, 1e-6), 0.0), 255.0))) AS mean_r, avg(floor(least(greatest(g * t / greatest(mg, 1e-6), 0.0), 255.0))) AS mean_g, avg(floor(least(greatest(b * t / greatest(mb, 1e-6), 0.0), 255.0))) AS mean_b FROM placed JOIN (SELECT frame_id AS f, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (avg(r) + avg(g) + avg(b)) / 3 AS t FROM placed GROUP BY ALL) ON f = frame_id GROUP BY frame_id",
+        "frame_id",
+        "mean_r mean_g mean_b",
+        _PLACED,
+    ),
+)
 def _(spark, sf_dir):
     return pixels.grey_world(_placed_pixels(spark, sf_dir)).groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"])
 
 
+_FIRST = _PLACED + ", base AS (SELECT y AS qy, x AS qx, min(r) AS br, min(g) AS bg, min(b) AS bb FROM placed WHERE frame_id = (SELECT min(frame_id) FROM placed) GROUP BY ALL)"
+
+
+def _first_frame(px):
+    return px.join(F.broadcast(px.agg(F.min("frame_id").alias("_f"))), F.col("frame_id") == F.col("_f")).drop("_f")
+
+
+@query(
+    "chromatic_distances",
+    sql(
+        "",
+        "SELECT frame_id, avg(d) AS mean_distance, max(d) AS max_distance, count(d) AS n_px FROM (SELECT frame_id, sqrt((r - br) * (r - br) + (g - bg) * (g - bg) + (b - bb) * (b - bb)) AS d FROM placed LEFT JOIN base ON y = qy AND x = qx) GROUP BY frame_id",
+        "frame_id, n_px",
+        "mean_distance max_distance",
+        _FIRST,
+    ),
+)
+def _(spark, sf_dir):
+    px = _placed_pixels(spark, sf_dir)
+    out = pixels.chromatic_distance(px, _first_frame(px))
+    return out.groupBy("frame_id").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.count("distance").alias("n_px"))
+
+
+@query(
+    "hotspot_scores",
+    sql(
+        "",
+        "SELECT frame_id, avg(s) AS mean_score, max(s) AS max_score, count(s) AS n_px FROM (SELECT frame_id, abs(r / 255.0 - v) AS s FROM placed LEFT JOIN (SELECT qy, qx, br / 255.0 AS v FROM base) ON y = qy AND x = qx) GROUP BY frame_id",
+        "frame_id, n_px",
+        "mean_score max_score",
+        _FIRST,
+    ),
+)
+def _(spark, sf_dir):
+    values = _placed_pixels(spark, sf_dir).select("frame_id", "y", "x", (F.col("r") / 255.0).alias("value"))
+    out = pixels.hotspot_score(values, _first_frame(values))
+    return out.groupBy("frame_id").agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.count("score").alias("n_px"))
+
+
+@query(
+    "hsv_stats",
+    sql(
+        "",
+        """SELECT frame_id, avg(h) AS mean_h, avg(s) AS mean_s, avg(v) AS mean_v, avg(CAST(s >= 0.2 AS DOUBLE)) AS hue_share FROM (
+        SELECT frame_id, (CAST(floor(30 * sixth + 0.5) AS BIGINT) % 180) / 179.0::DOUBLE AS h, floor(CASE WHEN hi = 0 THEN 0.0 ELSE 255 * c / hi END + 0.5) / 255.0::DOUBLE AS s, hi / 255.0::DOUBLE AS v FROM (
+        SELECT *, CASE WHEN c = 0 THEN 0.0::DOUBLE WHEN hi = r THEN (CASE WHEN (g - b) / c < 0 THEN (g - b) / c + 6 ELSE (g - b) / c END) WHEN hi = g THEN (b - r) / c + 2 ELSE (r - g) / c + 4 END AS sixth FROM (
+        SELECT *, CAST(greatest(r, g, b) AS DOUBLE) AS hi, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS c FROM placed))) GROUP BY frame_id""",
+        "frame_id",
+        "mean_h mean_s mean_v hue_share",
+        _PLACED,
+    ),
+)
+def _(spark, sf_dir):
+    return frames.hsv_stats(_placed_pixels(spark, sf_dir))
+
+
 @query(
     "black_rows",
     sql(
@@ -1065,16 +1137,39 @@ def _(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
+_DAYS = "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL"
+_LAST = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("events_tumbling_stream", sql("", f"SELECT * FROM ({_DAYS}) WHERE day + INTERVAL 1 DAY <= {_LAST}", "strftime(day, '%Y-%m-%d') AS day, event_type, n, cents", "", ""))
+def _(spark, sf_dir):
+    """The table as a stream, run to its end: the windows that the watermark has closed."""
+    out = stateful.to_table(stateful.tumbling(stateful.read_events(spark, sf_dir, 8, "events.parquet")), "tumbling")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
+
+
 @query(
-    "events_tumbling_stream",
-    sql("", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL", "strftime(day, '%Y-%m-%d') AS day, event_type, n, cents", "", ""),
+    "events_sliding_stream",
+    sql("", f"SELECT day, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS day, event_type FROM events, (VALUES (0), (1)) t(k)) GROUP BY ALL HAVING day + INTERVAL 2 DAY <= {_LAST}", "strftime(day, '%Y-%m-%d') AS day, event_type, n", "", ""),
 )
 def _(spark, sf_dir):
-    """The whole table as a stream, run to its end; what is kept are the windows' sums."""
-    out = stateful.tumbling(stateful.read_events(spark, sf_dir, 8, "events.parquet"), late="3650 days")
-    name = "ringframe_tumbling"
-    out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
+    out = stateful.to_table(stateful.sliding(stateful.read_events(spark, sf_dir, 8, "events.parquet")), "sliding")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    "events_sessions_stream",
+    sql(
+        "",
+        f"SELECT user_id, min(ts) AS begun, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {_LAST}",
+        "user_id, strftime(begun, '%Y-%m-%d %H:%M:%S') AS begun, n",
+        "",
+        "",
+    ),
+)
+def _(spark, sf_dir):
+    out = stateful.to_table(stateful.sessions(stateful.read_events(spark, sf_dir, 8, "events.parquet")), "sessions")
+    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begun"), "n")
 
 
 # --- sweeps, mixtures --------------------------------------------------------------------------------------------------
@@ -1109,21 +1204,39 @@ def _(spark, sf_dir):
         "SELECT frame_id, score, m + 6 * mad AS threshold, score >= m + 6 * mad AS is_jump FROM ts, (SELECT median(abs(score - m)) AS mad, any_value(m) AS m FROM ts, (SELECT median(score) AS m FROM ts))",
         "frame_id, is_jump",
         "score threshold",
-        _HIST + ", dn AS (SELECT f.frame_id, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM (SELECT DISTINCT frame_id FROM hi) f CROSS JOIN range(64) t(k) LEFT JOIN hi ON hi.frame_id = f.frame_id AND hi.bin = k), dc0 AS (SELECT *, sum(share) OVER (PARTITION BY frame_id ORDER BY bin) AS cdf FROM dn), ts AS (SELECT * FROM (SELECT frame_id, 0.5 * sum(dh) + 2 * avg(dc) AS score FROM (SELECT frame_id, abs(share - lag(share) OVER (PARTITION BY bin ORDER BY frame_id)) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY frame_id)) AS dc FROM dc0) GROUP BY ALL) WHERE score IS NOT NULL)",
+        _GREY + ", dn AS (SELECT f.frame_id, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM (SELECT DISTINCT frame_id FROM hi) f CROSS JOIN range(256) t(k) LEFT JOIN hi ON hi.frame_id = f.frame_id AND hi.bin = k), dc0 AS (SELECT *, sum(share) OVER (PARTITION BY frame_id ORDER BY bin) AS cdf FROM dn), ts AS (SELECT * FROM (SELECT frame_id, 0.5 * sum(abs(dh)) + 2 * avg(dc) + 0.5 * (abs(sum(dh * bin)) / 255) AS score FROM (SELECT frame_id, bin, share - lag(share) OVER (PARTITION BY bin ORDER BY frame_id) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY frame_id)) AS dc FROM dc0) GROUP BY ALL) WHERE score IS NOT NULL)",
     ),
 )
 def _(spark, sf_dir):
-    return sweeps.transition_candidates(frames.transition_scores(frames.histogram(views.pixels(spark, sf_dir))))
+    return sweeps.transition_candidates(frames.transition_scores(frames.histogram(views.pixels(spark, sf_dir), 256)))
+
+
+def _dense_pixels(spark, sf_dir):
+    """The same pixels on 16 x 16 places, so that blocks of four are full."""
+    return _placed_pixels(spark, sf_dir).withColumn("y", F.col("y") % 16).withColumn("x", F.col("x") % 16)
+
+
+_BLUR = _PLACED + """, bk AS (SELECT frame_id, y // 2 AS cy, x // 2 AS cx, max(l) FILTER (WHERE x % 2 = 0 AND y % 2 = 0) AS a, max(l) FILTER (WHERE x % 2 = 1 AND y % 2 = 0) AS b, max(l) FILTER (WHERE x % 2 = 0 AND y % 2 = 1) AS c, max(l) FILTER (WHERE x % 2 = 1 AND y % 2 = 1) AS d
+    FROM (SELECT frame_id, y % 16 AS y, x % 16 AS x, (299 * r + 587 * g + 114 * b) / 1000 AS l FROM placed) GROUP BY ALL),
+    bl AS (SELECT frame_id, avg((((a - b + c - d) / 2) ** 2 + ((a + b - c - d) / 2) ** 2) + ((a - b - c + d) / 2) ** 2) AS blur FROM bk WHERE d IS NOT NULL GROUP BY frame_id)"""
+
+
+@query(
+    "haar_blur",
+    sql("", "SELECT frame_id, blur AS blur_score FROM bl", "frame_id", "blur_score", _BLUR),
+)
+def _(spark, sf_dir):
+    return pixels.haar_blur(_dense_pixels(spark, sf_dir))
 
 
 @query(
     "reference_frame",
-    sql("pixels", "SELECT frame_id AS reference_frame_id, accepted FROM (SELECT *, greatest(sr, sg, sb) < 0.05 AS accepted FROM (SELECT frame_id, avg(CAST(r >= 250 AS DOUBLE)) AS sr, avg(CAST(g >= 250 AS DOUBLE)) AS sg, avg(CAST(b >= 250 AS DOUBLE)) AS sb, sum(r) AS total FROM pixels GROUP BY ALL)) ORDER BY accepted DESC, total DESC, frame_id LIMIT 1", "reference_frame_id, accepted"),
+    sql("", "SELECT frame_id AS reference_frame_id, accepted FROM (SELECT *, greatest(sr, sg, sb) < 0.05 AS accepted FROM (SELECT frame_id, avg(CAST(r >= 250 AS DOUBLE)) AS sr, avg(CAST(g >= 250 AS DOUBLE)) AS sg, avg(CAST(b >= 250 AS DOUBLE)) AS sb, any_value(blur) AS blur FROM placed JOIN bl USING (frame_id) GROUP BY ALL)) ORDER BY accepted DESC, floor(blur * 1e9 + 0.5) DESC, frame_id LIMIT 1", "reference_frame_id, accepted", "", _BLUR),
 )
 def _(spark, sf_dir):
-    px = views.pixels(spark, sf_dir)
-    audit = frames.saturation(px).join(px.groupBy("frame_id").agg(F.sum("r").alias("total")), "frame_id")
-    return sweeps.reference_frame(audit, "total")
+    px = _dense_pixels(spark, sf_dir)
+    blur = pixels.haar_blur(px).withColumn("blur_score", settled(F.col("blur_score")))
+    return sweeps.reference_frame(frames.saturation(px).join(blur, "frame_id"), "blur_score")
 
 
 def _mixture(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,28 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, patt
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and everything runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-streams-")
+
+
+def to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there, appended to Parquet in the shared folder, with its progress and state beside; the result read back.
+
+    Only windows that the watermark has closed are in it; those still open stay in the state, which a later run would go on with.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{name}_{uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Per event type and window: count and sum in cents; rows later than the watermark are left out."""
     cents = F.round(F.col("value") * 100).cast("bigint")
