@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringframe.functions.expressions import settled
+
 ROUNDS = 24
 
 
@@ -59,3 +61,32 @@ def canonical(rows: DataFrame, features: list[str], order: list[Column], prefix:
     means = rows.groupBy("cluster_id").agg(*[F.avg(f).alias(f) for f in features], F.count(F.lit(1)).alias("n_members"))
     ids = means.withColumn("canonical_id", F.row_number().over(Window.orderBy(*order, "cluster_id")) - 1)
     return ids.withColumn("canonical_label", F.concat(F.lit(prefix), F.col("canonical_id").cast("string")))
+
+
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, features: list[str], name: str = "label") -> DataFrame:
+    """Add the label of the nearest centroid (label, features), the least among equals; missing features count as the centroids' mean.
+
+    Centroids are as many as clusters: they meet in one row, which is joined to all rows.
+    """
+    means = centroids.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"_m_{f}") for f in features])
+    filled = centroids.crossJoin(F.broadcast(means)).select("label", F.array(*[F.coalesce(f, f"_m_{f}") for f in features]).alias("at"))
+    table = filled.agg(F.collect_list(F.struct("label", "at")).alias("_centres")).crossJoin(F.broadcast(means))
+    joined = rows.crossJoin(F.broadcast(table)).withColumn("_v", F.array(*[F.coalesce(f, f"_m_{f}") for f in features]))
+    near = F.array_min(F.transform("_centres", lambda c: F.struct(settled(_squared(c["at"], F.col("_v"))).alias("d"), c["label"].alias("l"))))
+    return joined.withColumn(name, near["l"]).drop("_v", "_centres", *[f"_m_{f}" for f in features])
+
+
+def semantics(rows: DataFrame, cluster: str, shift: float = 0.35, asymmetry: float = 0.25) -> DataFrame:
+    """Per cluster of hole summaries: what its mean shift and asymmetry say, and a canonical number and name in that order.
+
+    A table of as many rows as clusters; the numbering sorts it in one place.
+    """
+    delta, uneven = F.col("delta_center_of_mass"), F.col("mean_angular_asymmetry")
+    meaning = (
+        F.when(delta.isNull(), "unknown").when(delta > shift, "outward_shift").when(delta < -shift, "inward_shift").when(uneven > asymmetry, "stable_asymmetric").otherwise("stable")
+    )
+    means = rows.groupBy(cluster).agg(F.avg("delta_center_of_mass").alias("delta_center_of_mass"), F.avg("mean_angular_asymmetry").alias("mean_angular_asymmetry"), F.count(F.lit(1)).alias("count"))
+    named = means.withColumn("semantic_label", meaning)
+    order = Window.orderBy("semantic_label", settled(F.coalesce("delta_center_of_mass", F.lit(0.0))), cluster)
+    numbered = named.withColumn("canonical_id", F.row_number().over(order))
+    return numbered.withColumn("canonical_label", F.concat(F.lit("R"), F.col("canonical_id").cast("string"), F.lit("_"), F.col("semantic_label")))

@@ -96,10 +96,10 @@ def front_dynamics(frames: DataFrame) -> DataFrame:
     )
 
 
-def archetype_features(frames: DataFrame) -> DataFrame:
-    """Per hole the six features that archetypes are made of; the front's change is null unless its first and last frame have one."""
+def archetype_features(frames: DataFrame, keys: tuple[str, ...] = ("hole_id",)) -> DataFrame:
+    """Per hole (or per `keys`) the six features that archetypes are made of; the front's change is null unless its first and last frame have one."""
     first, last = F.min_by("rdf_front_radius_norm", "frame_id"), F.max_by("rdf_front_radius_norm", "frame_id")
-    return frames.groupBy("hole_id").agg(
+    return frames.groupBy(*keys).agg(
         F.avg("rdf_front_radius_norm").alias("mean_front_radius_norm"),
         (last - first).alias("delta_front_radius_norm"),
         F.stddev_pop("rdf_front_radius_norm").alias("front_radius_std_norm"),

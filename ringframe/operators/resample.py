@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import line_fit
+from ringframe.operators import clusters, rdf
 
 # Multipliers and modulus of the draw, (a hole + b boot + c draw + d) mod m, then mod n.
 A, B, C, D, M = 7919, 104729, 15485863, 12345, 2147483647
@@ -34,6 +35,21 @@ def bootstrap(frames: DataFrame, n_boot: int = 32) -> DataFrame:
     return per.groupBy("hole_id").agg(*out)
 
 
+def archetype_support(frames: DataFrame, centroids: DataFrame, features: list[str], n_boot: int = 32) -> DataFrame:
+    """Per hole: all its frames drawn again n_boot times, each draw's nearest centroid; the most frequent label and its share."""
+    ranked = frames.withColumn("rank", F.row_number().over(Window.partitionBy("hole_id").orderBy("frame_id")) - 1)
+    counts = frames.groupBy("hole_id").agg(F.count(F.lit(1)).alias("n"))
+    draws = counts.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    mixed = (F.col("hole_id").cast("long") * A + F.col("boot") * F.lit(B).cast("long") + F.col("draw") * F.lit(C).cast("long") + D) % M
+    drawn = draws.withColumn("rank", (mixed % F.col("n")).cast("int")).select("hole_id", "boot", "rank").join(ranked, ["hole_id", "rank"])
+    placed = clusters.nearest_centroid(rdf.archetype_features(drawn, ("hole_id", "boot")), centroids, features)
+    votes = placed.groupBy("hole_id", "label").agg(F.count(F.lit(1)).alias("k"))
+    return votes.groupBy("hole_id").agg(
+        F.sum("k").alias("n_boot"), F.min_by("label", F.struct((-F.col("k")).alias("k"), "label")).alias("archetype_label"),
+        (F.max("k") / F.sum("k")).alias("support_fraction"), F.count(F.lit(1)).alias("n_labels"),
+    )
+
+
 def uncertainty(intervals: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """Per hole the mean of the known ones among interval widths and 1 - support; null if none is known."""
     rows = intervals if support is None else intervals.join(support, "hole_id", "left")

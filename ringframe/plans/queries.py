@@ -158,10 +158,14 @@ def _(spark, sf_dir):
 
 
 FEATURES = ["mean_front_radius_norm", "delta_front_radius_norm", "front_radius_std_norm", "mean_rdf_spread_norm", "mean_rdf_total_positive_delta", "mean_abs_inner_minus_outer_delta"]
-_FEATURE_SQL = """features AS (SELECT hole_id, count(*) AS n_frames, avg(rdf_front_radius_norm) AS mean_front_radius_norm,
+def _features(name: str, source: str, keys: str) -> str:
+    return f"""{name} AS (SELECT {keys}, count(*) AS n_frames, avg(rdf_front_radius_norm) AS mean_front_radius_norm,
     any_value(last) - any_value(first) AS delta_front_radius_norm, stddev_pop(rdf_front_radius_norm) AS front_radius_std_norm, avg(rdf_spread_norm) AS mean_rdf_spread_norm,
     avg(rdf_total_positive_delta) AS mean_rdf_total_positive_delta, avg(abs(rdf_inner_minus_outer_delta)) AS mean_abs_inner_minus_outer_delta
-    FROM (SELECT *, first_value(rdf_front_radius_norm) OVER w AS first, last_value(rdf_front_radius_norm) OVER w AS last FROM frames WINDOW w AS (PARTITION BY hole_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY hole_id)"""
+    FROM (SELECT *, first_value(rdf_front_radius_norm) OVER w AS first, last_value(rdf_front_radius_norm) OVER w AS last FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY {keys})"""
+
+
+_FEATURE_SQL = _features("features", "frames", "hole_id")
 
 
 @query("rdf_archetype_features", sql("radial", "SELECT * FROM features", "hole_id, n_frames", " ".join(FEATURES), FRAMES + ", " + _FEATURE_SQL))
@@ -862,6 +866,124 @@ def _(spark, sf_dir):
     return resample.uncertainty(resample.bootstrap(_frames(spark, sf_dir))).select("hole_id", "uncertainty_score")
 
 
+# --- archetypes by centroid ----------------------------------------------------------------------------------------------
+
+_CENTRES = f"{_ZONES}, cen AS (SELECT coalesce(reticulum_zone, 'all') AS label, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM features LEFT JOIN zone USING (hole_id) GROUP BY ALL), cm AS (SELECT {', '.join(f'coalesce(avg({f}), 0.0) AS {f}' for f in FEATURES)} FROM cen)"
+
+
+def _nearest(name: str, source: str, keys: str) -> str:
+    d = " + ".join(f"(coalesce(c.{f}, m.{f}) - coalesce(s.{f}, m.{f})) * (coalesce(c.{f}, m.{f}) - coalesce(s.{f}, m.{f}))" for f in FEATURES)
+    return f"{name} AS (SELECT {keys}, arg_min(label, {{'d': d, 'l': label}}) AS label FROM (SELECT s.*, c.label, floor(({d}) * 1e9 + 0.5) AS d FROM {source} s, cen c, cm m) GROUP BY {keys})"
+
+
+def _zone_centroids(spark, sf_dir, features):
+    """A centroid for each zone of the reticulum: the archetypes that SQL can state."""
+    zoned = features.join(radial.zones(views.holes(spark, sf_dir)), "hole_id", "left").withColumn("label", F.coalesce("reticulum_zone", F.lit("all")))
+    return zoned.groupBy("label").agg(*[F.avg(f).alias(f) for f in FEATURES])
+
+
+@query("nearest_archetypes", sql("radial holes", "SELECT * FROM near", "hole_id, label", "", f"{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, {_nearest('near', 'features', 'hole_id')}"))
+def _(spark, sf_dir):
+    features = rdf.archetype_features(_frames(spark, sf_dir))
+    return clusters.nearest_centroid(features, _zone_centroids(spark, sf_dir, features), FEATURES).select("hole_id", "label")
+
+
+_SUPPORT = f"""{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, kf AS (SELECT *, row_number() OVER (PARTITION BY hole_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY hole_id) AS n FROM frames),
+    df AS (SELECT c.hole_id, b.boot, ((CAST(c.hole_id AS BIGINT) * {resample.A} + b.boot * {resample.B} + d.draw * {resample.C} + {resample.D}) % {resample.M}) % c.n AS rank FROM (SELECT DISTINCT hole_id, n FROM kf) c, range(32) b(boot), LATERAL (SELECT unnest(range(c.n)) AS draw) d),
+    ff AS (SELECT kf.*, df.boot FROM df JOIN kf ON kf.hole_id = df.hole_id AND kf.rank = df.rank), {_features("fb", "ff", "hole_id, boot")}, {_nearest("nb", "fb", "hole_id, boot")},
+    sup AS (SELECT hole_id, CAST(sum(k) AS BIGINT) AS n_boot, arg_min(label, {{'k': -k, 'l': label}}) AS archetype_label, max(k) / sum(k) AS support_fraction, count(*) AS n_labels FROM (SELECT hole_id, label, count(*) AS k FROM nb GROUP BY ALL) GROUP BY hole_id)"""
+
+
+def _support(spark, sf_dir):
+    frames_ = _frames(spark, sf_dir)
+    return resample.archetype_support(frames_, _zone_centroids(spark, sf_dir, rdf.archetype_features(frames_)), FEATURES)
+
+
+@query("archetype_support", sql("radial holes", "SELECT * FROM sup", "hole_id, n_boot, archetype_label, n_labels", "support_fraction", _SUPPORT))
+def _(spark, sf_dir):
+    return _support(spark, sf_dir)
+
+
+@query(
+    "supported_uncertainty",
+    sql(
+        "radial holes",
+        "SELECT hole_id, archetype_label, (bootstrap_mean_front_ci_width + bootstrap_delta_front_ci_width + bootstrap_velocity_ci_width + greatest(1 - support_fraction, 0.0)) / 4 AS uncertainty_score FROM bs JOIN sup USING (hole_id)",
+        "hole_id, archetype_label",
+        "uncertainty_score",
+        _SUPPORT + ", " + _BOOT,
+    ),
+)
+def _(spark, sf_dir):
+    return resample.uncertainty(resample.bootstrap(_frames(spark, sf_dir)), _support(spark, sf_dir)).select("hole_id", "archetype_label", "uncertainty_score")
+
+
+_HS = "hs AS (SELECT nearest_hole_id AS hole_id, count(*) AS n_hotspots, avg(dist_to_hole_px) AS mean_hotspot_distance_px, min(dist_to_hole_px) AS dmin FROM hotspots WHERE nearest_hole_id >= 0 GROUP BY ALL)"
+_BUCKET = "CASE WHEN dmin IS NULL THEN 'none' WHEN dmin <= 10 THEN 'near' WHEN dmin <= 24 THEN 'mid' ELSE 'far' END"
+
+
+@query(
+    "uncertainty_groups",
+    sql(
+        "radial holes hotspots",
+        f"SELECT coalesce(reticulum_zone, 'unknown') AS reticulum_zone, {_BUCKET} AS hotspot_proximity_bucket, count(*) AS n_holes, avg(support_fraction) AS mean_support, avg(bootstrap_velocity_ci_width) AS mean_velocity_ci_width, avg(bootstrap_mean_front_ci_width) AS mean_front_ci_width FROM sup LEFT JOIN bs USING (hole_id) LEFT JOIN hs USING (hole_id) LEFT JOIN zone USING (hole_id) GROUP BY ALL",
+        "reticulum_zone, hotspot_proximity_bucket, n_holes",
+        "mean_support mean_velocity_ci_width mean_front_ci_width",
+        f"{_SUPPORT}, {_BOOT}, {_HS}",
+    ),
+)
+def _(spark, sf_dir):
+    rows = _support(spark, sf_dir).join(resample.bootstrap(_frames(spark, sf_dir)).drop("n_boot"), "hole_id", "left")
+    zoned = hotspots.compare(rows, views.hotspot_rows(spark, sf_dir), radial.zones(views.holes(spark, sf_dir)))
+    return zoned.groupBy("reticulum_zone", "hotspot_proximity_bucket").agg(
+        F.count(F.lit(1)).alias("n_holes"), F.avg("support_fraction").alias("mean_support"), F.avg("bootstrap_velocity_ci_width").alias("mean_velocity_ci_width"),
+        F.avg("bootstrap_mean_front_ci_width").alias("mean_front_ci_width"),
+    )
+
+
+@query(
+    "rdf_hotspot_reticulum_groups",
+    sql(
+        "radial holes hotspots",
+        f"SELECT coalesce(reticulum_zone, 'unknown') AS reticulum_zone, label, {_BUCKET} AS hotspot_proximity_bucket, count(*) AS n_holes, avg(coalesce(n_hotspots, 0)) AS mean_n_hotspots, avg(mean_hotspot_distance_px) AS mean_distance, avg(mean_front_radius_norm) AS group_mean_front_radius_norm, avg(delta_front_radius_norm) AS group_delta_front_radius_norm FROM features JOIN near USING (hole_id) LEFT JOIN hs USING (hole_id) LEFT JOIN zone USING (hole_id) GROUP BY ALL",
+        "reticulum_zone, label, hotspot_proximity_bucket, n_holes",
+        "mean_n_hotspots mean_distance group_mean_front_radius_norm group_delta_front_radius_norm",
+        f"{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, {_nearest('near', 'features', 'hole_id')}, {_HS}",
+    ),
+)
+def _(spark, sf_dir):
+    features = rdf.archetype_features(_frames(spark, sf_dir))
+    rows = clusters.nearest_centroid(features, _zone_centroids(spark, sf_dir, features), FEATURES)
+    zoned = hotspots.compare(rows, views.hotspot_rows(spark, sf_dir), radial.zones(views.holes(spark, sf_dir)))
+    return hotspots.compare_groups(zoned, ["mean_front_radius_norm", "delta_front_radius_norm"], ("reticulum_zone", "label", "hotspot_proximity_bucket"))
+
+
+_MEANING = f"""{PROFILE}, {_ASYM}, {_ZONES}, hsum AS ({_summary("hole_id", "profile")}), aby AS (SELECT hole_id, avg(angular_asymmetry) AS mean_angular_asymmetry FROM asym GROUP BY hole_id),
+    zs AS (SELECT reticulum_zone, avg(delta_center_of_mass) AS delta_center_of_mass, avg(mean_angular_asymmetry) AS mean_angular_asymmetry, count(*) AS count FROM hsum JOIN zone USING (hole_id) LEFT JOIN aby USING (hole_id) GROUP BY ALL),
+    zm AS (SELECT *, CASE WHEN delta_center_of_mass IS NULL THEN 'unknown' WHEN delta_center_of_mass > 0.35 THEN 'outward_shift' WHEN delta_center_of_mass < -0.35 THEN 'inward_shift' WHEN mean_angular_asymmetry > 0.25 THEN 'stable_asymmetric' ELSE 'stable' END AS semantic_label FROM zs),
+    zc AS (SELECT *, row_number() OVER (ORDER BY semantic_label, floor(coalesce(delta_center_of_mass, 0.0) * 1e9 + 0.5), reticulum_zone) AS canonical_id FROM zm)"""
+
+
+@query(
+    "zone_semantics",
+    sql("radial sector holes", "SELECT *, 'R' || canonical_id || '_' || semantic_label AS canonical_label FROM zc", "reticulum_zone, count, semantic_label, CAST(canonical_id AS INTEGER) AS canonical_id, canonical_label", "delta_center_of_mass mean_angular_asymmetry", _MEANING),
+)
+def _(spark, sf_dir):
+    uneven = radial.asymmetry_by(radial.angular_asymmetry(views.sector_rows(spark, sf_dir)), "hole_id").select("hole_id", "mean_angular_asymmetry")
+    rows = _hole_summary(spark, sf_dir).join(radial.zones(views.holes(spark, sf_dir)), "hole_id").join(uneven, "hole_id", "left")
+    return clusters.semantics(rows, "reticulum_zone")
+
+
+@query("radial_archetypes")
+def _(spark, sf_dir):
+    """Holes in three groups by profile summary, scaled; the groups' meanings are checked by zone_semantics."""
+    uneven = radial.asymmetry_by(radial.angular_asymmetry(views.sector_rows(spark, sf_dir)), "hole_id").select("hole_id", "mean_angular_asymmetry")
+    rows = _hole_summary(spark, sf_dir).join(uneven, "hole_id", "left")
+    placed = clusters.kmeans(rows, ["delta_center_of_mass", "mean_inner_minus_outer", "mean_angular_asymmetry"], 3)
+    named = clusters.semantics(placed, "cluster_id").select("cluster_id", "semantic_label", "canonical_id", "canonical_label")
+    return placed.join(F.broadcast(named), "cluster_id").select("hole_id", "cluster_id", "semantic_label", "canonical_id", "canonical_label")
+
+
 # --- frames ------------------------------------------------------------------------------------------------------------
 
 _HSL = """hsl0 AS (SELECT *, r / 255.0 AS r1, g / 255.0 AS g1, b / 255.0 AS b1 FROM (SELECT frame_id, region_id, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pixels)),
