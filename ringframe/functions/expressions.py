@@ -53,9 +53,11 @@ def r_squared(residual: Column, total: Column, least: float = 0.0) -> Column:
     return F.when(total > least, 1 - residual / total).when(total.isNotNull(), F.lit(1.0))
 
 
-def parabola(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def parabola(df: DataFrame, keys: list[str], x: str, y: str, line: bool = False) -> DataFrame:
     """Quadratic least squares of y over x for each group with three distinct x or more: a, b, c, qres, qtot, qn.
 
+    With `line` also the straight fit's columns (line_fit's names after an underscore), from the same pass; then groups of
+    fewer x stay, with nulls for the curve.
     x is centred on the group's mean before the power sums, which keeps the normal equations well conditioned.
     """
     w = Window.partitionBy(*keys)
@@ -69,14 +71,16 @@ def parabola(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         *[F.sum(F.pow("_x", F.lit(float(k)))).alias(f"_s{k}") for k in (2, 3, 4)],
         *[F.sum(F.pow("_x", F.lit(float(k))) * F.col("_y")).alias(f"_t{k}") for k in (1, 2)],
         F.sum(F.col("_y") * F.col("_y")).alias("qtot"),
+        *([v.alias(f"_{k}") for k, v in line_fit(x, y).items()] if line else []),
     )
     # with centred x and y: minimise over a (x^2 - s2/n) + b x
     q = F.col("_s4") - F.col("_s2") * F.col("_s2") / F.col("qn")
     det = q * F.col("_s2") - F.col("_s3") * F.col("_s3")
-    a = (F.col("_t2") * F.col("_s2") - F.col("_t1") * F.col("_s3")) / det
-    b = (F.col("_t1") * q - F.col("_t2") * F.col("_s3")) / det
-    fitted = sums.where("_d >= 3").withColumn("a", a).withColumn("_b", b)
-    fitted = fitted.withColumn("qres", F.greatest(F.lit(0.0), F.col("qtot") - F.col("a") * F.col("_t2") - F.col("_b") * F.col("_t1")))
+    curved = F.col("_d") >= 3
+    a = F.when(curved, F.try_divide(F.col("_t2") * F.col("_s2") - F.col("_t1") * F.col("_s3"), det))
+    b = F.when(curved, F.try_divide(F.col("_t1") * q - F.col("_t2") * F.col("_s3"), det))
+    fitted = (sums if line else sums.where(curved)).withColumn("a", a).withColumn("_b", b)
+    fitted = fitted.withColumn("qres", F.when(curved, F.greatest(F.lit(0.0), F.col("qtot") - F.col("a") * F.col("_t2") - F.col("_b") * F.col("_t1"))))
     return fitted.select(
         *keys,
         "qn",
@@ -84,7 +88,8 @@ def parabola(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         (F.col("_b") - 2 * F.col("a") * F.col("_mx")).alias("b"),
         (F.col("_my") - F.col("a") * F.col("_s2") / F.col("qn") - F.col("_b") * F.col("_mx") + F.col("a") * F.col("_mx") * F.col("_mx")).alias("c"),
         "qres",
-        "qtot",
+        F.when(curved, F.col("qtot")).alias("qtot"),
+        *(["_n", "_slope", "_intercept", "_total", "_residual"] if line else []),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import TINY, line_fit, parabola, pick_first, r_squared, weighted_centre, settled
+from ringframe.functions.expressions import TINY, parabola, pick_first, r_squared, weighted_centre, settled
 
 SHIFT = 0.35
 ASYMMETRIC = 0.25
@@ -75,8 +75,7 @@ def zone_groups(rows: DataFrame, zone_of: DataFrame) -> DataFrame:
 def model_fits(rows: DataFrame) -> DataFrame:
     """Per (hole, frame) with two annuli or more: straight and, from three, quadratic fit over annuli, and the curve's vertex."""
     keys = ["hole_id", "frame_id"]
-    line = rows.groupBy(*keys).agg(*[v.alias(f"_{k}") for k, v in line_fit("annulus_id", "descriptor_value").items()]).where("_n >= 2")
-    both = line.join(parabola(rows, keys, "annulus_id", "descriptor_value"), keys, "left")
+    both = parabola(rows, keys, "annulus_id", "descriptor_value", line=True).where("_n >= 2")
     return both.select(
         *keys,
         F.col("_slope").alias("linear_slope"),

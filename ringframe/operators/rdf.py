@@ -33,11 +33,11 @@ def evolution(rows: DataFrame, sectors: bool = False) -> DataFrame:
 
 def frame_summary(evo: DataFrame) -> DataFrame:
     """Per (hole, frame): front radius, spread, total, peak annulus (first of equals), inner and outer change, first frame of the innermost cell."""
-    start = evo.groupBy("hole_id").agg(F.min(F.struct("annulus_id", "frame_id"))["frame_id"].alias("baseline_frame_id"))
     some = F.max("total") > 0
     per = evo.groupBy("hole_id", "frame_id").agg(
         F.when(some, F.sum(F.col("normalized_radius") * F.col("rdf_pdf"))).alias("rdf_front_radius_norm"),
         F.when(some, F.sum(F.col("normalized_radius") * F.col("normalized_radius") * F.col("rdf_pdf"))).alias("_second"),
+        F.min("annulus_id").alias("_innermost"),
         F.max("total").alias("rdf_total_positive_delta"),
         F.when(some, pick_first("annulus_id", "positive_delta_descriptor", "annulus_id")).alias("rdf_peak_annulus"),
         F.min_by("delta_descriptor_value", "annulus_id").alias("rdf_inner_delta"),
@@ -48,8 +48,8 @@ def frame_summary(evo: DataFrame) -> DataFrame:
     return (
         per.withColumn("rdf_spread_norm", F.when(F.col("_second").isNotNull(), spread))
         .withColumn("rdf_inner_minus_outer_delta", F.col("rdf_inner_delta") - F.col("rdf_outer_delta"))
-        .join(start, "hole_id")
-        .drop("_second")
+        .withColumn("baseline_frame_id", F.min(F.struct("_innermost", "frame_id")).over(Window.partitionBy("hole_id"))["frame_id"])
+        .drop("_second", "_innermost")
     )
 
 
@@ -78,8 +78,7 @@ def front_velocity(frames: DataFrame) -> DataFrame:
 def front_dynamics(frames: DataFrame) -> DataFrame:
     """Per hole: straight and quadratic fit of the front over frames, acceleration, and what the curve explains beyond the line."""
     known = frames.where("rdf_front_radius_norm IS NOT NULL").select("hole_id", "frame_id", "rdf_front_radius_norm")
-    line = known.groupBy("hole_id").agg(*[v.alias(f"_{k}") for k, v in line_fit("frame_id", "rdf_front_radius_norm").items()])
-    both = line.join(parabola(known, ["hole_id"], "frame_id", "rdf_front_radius_norm"), "hole_id", "left")
+    both = parabola(known, ["hole_id"], "frame_id", "rdf_front_radius_norm", line=True)
     linear = F.when(F.col("_slope").isNotNull(), r_squared(F.col("_residual"), F.col("_total")))
     curved = r_squared(F.col("qres"), F.col("qtot"))
     return both.select(

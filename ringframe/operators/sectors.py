@@ -105,8 +105,7 @@ def propagation_summary(sector_rows: DataFrame) -> DataFrame:
 def acceleration(sector_frames: DataFrame) -> DataFrame:
     """Per (hole, sector) with three known fronts or more: the quadratic fit over frames against the straight one."""
     known = sector_frames.where("front IS NOT NULL").select(*KEYS, "frame_id", "front")
-    line = known.groupBy(*KEYS).agg(*[v.alias(f"_{k}") for k, v in line_fit("frame_id", "front").items()])
-    both = parabola(known, KEYS, "frame_id", "front").join(line, KEYS)
+    both = parabola(known, KEYS, "frame_id", "front", line=True).where("a IS NOT NULL")
     linear, curved = r_squared(F.col("_residual"), F.col("_total")), r_squared(F.col("qres"), F.col("qtot"))
     return both.select(
         *KEYS,
