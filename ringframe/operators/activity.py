@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import pick_first
+from ringframe.functions.expressions import pick_first, settled
 
 FRONT = 0.15
 
@@ -58,7 +58,7 @@ def js_similarity(tensor: DataFrame) -> DataFrame:
     return pairs.groupBy("frame_id", "hole_id").agg((1 - F.sum(term) / 2).alias("js_similarity"))
 
 
-def activity(tensor: DataFrame, keys: list[str], baseline_frames: int = 3) -> DataFrame:
+def activity(tensor: DataFrame, keys: list[str], baseline_frames: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per (frame, keys, cluster) on the dense grid: raw share, its mean over the first frames, and what exceeds it.
 
     Active is max(0, raw - baseline), null where the raw share is (a cell without pixels); normalised by the sum over a (frame,
@@ -78,7 +78,7 @@ def activity(tensor: DataFrame, keys: list[str], baseline_frames: int = 3) -> Da
     out = out.withColumn("active_fraction", F.when(over.isNotNull(), F.greatest(over, F.lit(0.0))))
     total = F.sum("active_fraction").over(Window.partitionBy("frame_id", "cluster_id"))
     return out.withColumn("active_normalized", F.when(total > 1e-12, F.col("active_fraction") / total)).select(
-        "frame_id", *keys, "cluster_id", "raw_fraction", "baseline_fraction", "active_fraction", "active_normalized"
+        "frame_id", *keys, "cluster_id", "raw_fraction", "baseline_fraction", "active_fraction", "active_normalized", *keep
     )
 
 
@@ -109,3 +109,24 @@ def response_order(response: DataFrame) -> DataFrame:
     peak = F.min_by("frame_id", F.struct((-F.round("response", 9)).alias("r"), "frame_id"))
     known = response.where("response IS NOT NULL")
     return known.groupBy("hole_id").agg(peak.alias("peak_frame"), F.sum("response").alias("integrated_response"))
+
+
+def sector_fan(active: DataFrame) -> DataFrame:
+    """Per (frame, sector, cluster): activity over terraces weighted by their pixels (`n_valid`), null where there are none."""
+    n = F.coalesce("n_valid", F.lit(0))
+    sums = active.groupBy("frame_id", "sector_id", "cluster_id").agg(F.sum(F.coalesce("active_fraction", F.lit(0.0)) * n).alias("_a"), F.sum(n).alias("n_pixels"))
+    return sums.select("frame_id", "sector_id", "cluster_id", "n_pixels", F.when(F.col("n_pixels") > 0, F.col("_a") / F.col("n_pixels")).alias("active_fraction"))
+
+
+def ring_snapshots(active: DataFrame, keys: list[str], least: float = 1e-12) -> DataFrame:
+    """Per (frame, keys): the cluster of the largest activity if there is any, else of the largest raw share; the least id among equals."""
+    value = lambda c: F.when(F.col(c).isNotNull(), F.struct(settled(F.col(c)), -F.col("cluster_id")))
+    sums = active.groupBy("frame_id", *keys).agg(
+        (F.coalesce(F.sum("active_fraction"), F.lit(0.0)) > least).alias("is_active"), F.max_by("cluster_id", value("active_fraction")).alias("_a"), F.max_by("cluster_id", value("raw_fraction")).alias("_r")
+    )
+    return sums.select("frame_id", *keys, F.when(F.col("is_active"), F.col("_a")).otherwise(F.col("_r")).alias("cluster_id"), "is_active")
+
+
+def front_totals(front: DataFrame) -> DataFrame:
+    """Per cluster its activity over all frames, null where no frame has any known."""
+    return front.groupBy("cluster_id").agg(F.sum("total_activity").alias("total_activity"), F.count("total_activity").alias("n_frames"))

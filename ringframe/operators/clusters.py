@@ -20,7 +20,8 @@ def standardized(rows: DataFrame, features: list[str], scale: bool = True) -> Da
     return out.withColumn("_v", F.array(*value)).drop(*[f"_{p}_{f}" for p in "md" for f in features])
 
 
-def _squared(a: Column, b: Column) -> Column:
+def squared(a: Column, b: Column) -> Column:
+    """Squared distance of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -42,7 +43,7 @@ def kmeans(rows: DataFrame, features: list[str], k: int, key: str = "hole_id", s
     centres = [at[w] for w in wanted]
 
     def label(of: list[list[float]]) -> Column:
-        return F.array_min(F.array(*[F.struct(_squared(F.col("_v"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(of)]))["i"]
+        return F.array_min(F.array(*[F.struct(squared(F.col("_v"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(of)]))["i"]
 
     before = None
     for _ in range(rounds):
@@ -72,7 +73,7 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, features: list[str],
     filled = centroids.crossJoin(F.broadcast(means)).select("label", F.array(*[F.coalesce(f, f"_m_{f}") for f in features]).alias("at"))
     table = filled.agg(F.collect_list(F.struct("label", "at")).alias("_centres")).crossJoin(F.broadcast(means))
     joined = rows.crossJoin(F.broadcast(table)).withColumn("_v", F.array(*[F.coalesce(f, f"_m_{f}") for f in features]))
-    near = F.array_min(F.transform("_centres", lambda c: F.struct(settled(_squared(c["at"], F.col("_v"))).alias("d"), c["label"].alias("l"))))
+    near = F.array_min(F.transform("_centres", lambda c: F.struct(settled(squared(c["at"], F.col("_v"))).alias("d"), c["label"].alias("l"))))
     return joined.withColumn(name, near["l"]).drop("_v", "_centres", *[f"_m_{f}" for f in features])
 
 

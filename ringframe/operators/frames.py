@@ -44,15 +44,20 @@ def histogram_jumps(hist: DataFrame) -> DataFrame:
     return dot.select("frame_id", F.when(F.col("before").isNotNull(), F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0)))).alias("jump"))
 
 
+def dense_profiles(hist: DataFrame, bins: int) -> DataFrame:
+    """Every frame's share and running share for every bin, those that don't occur included."""
+    frames = hist.select("frame_id").distinct()
+    grid = frames.crossJoin(F.broadcast(frames.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    dense = grid.join(hist.select("frame_id", "bin", "share"), ["frame_id", "bin"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return dense.withColumn("cdf", F.sum("share").over(Window.partitionBy("frame_id").orderBy("bin")))
+
+
 def transition_scores(hist: DataFrame, bins: int = 256) -> DataFrame:
     """Of neighbouring frames' histograms: half the L1 distance, twice the mean distance of running sums, half that of mean grey values.
 
     With 256 bins a bin is a grey value, so the means' distance (in 0..1) comes of the same differences.
     """
-    frames = hist.select("frame_id").distinct()
-    grid = frames.crossJoin(F.broadcast(frames.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
-    dense = grid.join(hist.select("frame_id", "bin", "share"), ["frame_id", "bin"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    dense = dense.withColumn("cdf", F.sum("share").over(Window.partitionBy("frame_id").orderBy("bin")))
+    dense = dense_profiles(hist, bins)
     by = Window.partitionBy("bin").orderBy("frame_id")
     moved = dense.withColumn("_h", F.col("share") - F.lag("share").over(by)).withColumn("_c", F.abs(F.col("cdf") - F.lag("cdf").over(by)))
     grey = F.abs(F.sum(F.col("_h") * F.col("bin"))) / (bins - 1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringframe.streaming.stateful import shared_folder
+
 
 def offsets(radius: int) -> Column:
     near = [(u, v) for u in range(-radius, radius + 1) for v in range(-radius, radius + 1) if 0 < abs(u) + abs(v) <= radius]
@@ -80,8 +82,8 @@ def relation(holes: DataFrame, cx: float, cy: float, radius: float, tolerance: f
     return holes.select("hole_id", d.alias("center_distance_px"), kind.alias("relation"))
 
 
-def exclusions(holes: DataFrame, width: float, height: float, reach: float, cx: float, cy: float, radius: float) -> DataFrame:
-    """Why a hole is not measured: its disk or its terraces leave the frame, or its terraces leave the circle."""
+def exclusions(holes: DataFrame, width: float, height: float, reach: float | Column, cx: float, cy: float, radius: float) -> DataFrame:
+    """Why a hole is not measured: its disk or its terraces (`reach` beyond the disk) leave the frame, or its terraces leave the circle."""
 
     def leaves(r: Column) -> Column:
         return (F.col("x") - r < 0) | (F.col("x") + r > width) | (F.col("y") - r < 0) | (F.col("y") + r > height)
@@ -98,3 +100,55 @@ def exclusions(holes: DataFrame, width: float, height: float, reach: float, cx:
 
 def reason_counts(excluded: DataFrame) -> DataFrame:
     return excluded.where("reasons <> ''").select(F.explode(F.split("reasons", ";")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def complete(holes: DataFrame, width: float, height: float, cx: float, cy: float, radius: float, n_terraces: int = 8) -> DataFrame:
+    """Holes whose disks and planned terraces fit, as a fixed point: widths are planned anew after each pass that excludes some.
+
+    Per hole: status, reasons, the pass that excluded it, and a dense new id for the kept ones (the dimension of holes is numbered
+    in one place). Passes are cut by checkpoints; only the count of those excluded comes back.
+    """
+    spark = holes.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    active, out, passes = holes.checkpoint(), [], 0
+    while True:
+        passes += 1
+        planned = active.join(terrace_plan(active, n_terraces).select("hole_id", "terrace_outer_radius_px"), "hole_id")
+        seen = exclusions(planned, width, height, F.col("terrace_outer_radius_px") - F.col("radius_outer_px"), cx, cy, radius).select("hole_id", "reasons", "is_complete").checkpoint()
+        rejected = seen.where("NOT is_complete").select("hole_id", "reasons", F.lit(passes).alias("exclusion_iteration"))
+        if rejected.isEmpty():
+            break
+        out.append(rejected)
+        active = active.join(seen.where("is_complete").select("hole_id"), "hole_id", "left_semi").checkpoint()
+    kept = active.select("hole_id", (F.row_number().over(Window.orderBy("hole_id")) - 1).alias("new_hole_id"), F.lit("kept").alias("status"), F.lit("").alias("reasons"), F.lit(None).cast("int").alias("exclusion_iteration"))
+    for r in out:
+        kept = kept.unionByName(r.withColumn("status", F.lit("excluded")), allowMissingColumns=True)
+    return kept
+
+
+def chosen(holes: DataFrame, relations: DataFrame, tiers: tuple[int, ...] = (1, 2, 3), inside_only: bool = True) -> DataFrame:
+    """Holes of the given tiers that don't leave the circle where their relation is known; if none is left, all of those tiers, flagged.
+
+    `holes` has a tier, `relations` (hole_id, relation) may lack holes.
+    """
+    known = holes.where(F.col("tier").isin(*tiers)).join(relations.select("hole_id", "relation"), "hole_id", "left")
+    fits = ~F.coalesce(F.col("relation").isin("intersects", "outside"), F.lit(False)) if inside_only else F.lit(True)
+    any_left = known.agg(F.coalesce(F.max(fits), F.lit(False)).alias("_any"))
+    return known.crossJoin(F.broadcast(any_left)).where(fits | ~F.col("_any")).withColumn("fallback", ~F.col("_any")).drop("_any")
+
+
+def variants(holes: DataFrame, share: float = 0.05) -> DataFrame:
+    """Each hole twice, its radii less and more by a share of the outer one, at least 1 px."""
+    return holes.withColumn("variant", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumns(
+        {r: F.greatest(F.col(r) + F.col("variant") * (F.col("radius_outer_px") * share), F.lit(1.0)) for r in ("radius_inner_px", "radius_outer_px")}
+    )
+
+
+def assigned(points: DataFrame, basis: DataFrame) -> DataFrame:
+    """Lattice place of each point under the basis of `least_squares` (one row): the inverse of its vectors, rounded half to even; null without a basis."""
+    det = F.col("a_x") * F.col("b_y") - F.col("a_y") * F.col("b_x")
+    dx, dy = F.col("x") - F.col("origin_x"), F.col("y") - F.col("origin_y")
+    u, v = F.try_divide(dx * F.col("b_y") - dy * F.col("b_x"), det), F.try_divide(dy * F.col("a_x") - dx * F.col("a_y"), det)
+    placed = points.crossJoin(F.broadcast(basis.drop("n_holes"))).withColumns({"assigned_u": F.rint(F.round(u, 6)).cast("int"), "assigned_v": F.rint(F.round(v, 6)).cast("int")})
+    return placed.drop(*[f"{a}_{z}" for a in ("origin", "a", "b") for z in "xy"])

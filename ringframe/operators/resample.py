@@ -58,3 +58,9 @@ def uncertainty(intervals: DataFrame, support: DataFrame | None = None) -> DataF
         parts.append(F.greatest(1 - F.col("support_fraction"), F.lit(0.0)))
     known = F.filter(F.array(*parts), lambda x: x.isNotNull())
     return rows.withColumn("uncertainty_score", F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)))
+
+
+def summary(scored: DataFrame, sector_summary: DataFrame) -> DataFrame:
+    """One row over all holes: mean support, interval width of the velocity, uncertainty, and share of sectors with a velocity; null where none is known."""
+    part = scored.agg(F.avg("support_fraction").alias("mean_support"), F.avg("bootstrap_velocity_ci_width").alias("mean_velocity_ci_width"), F.avg("uncertainty_score").alias("mean_uncertainty_score"))
+    return part.crossJoin(F.broadcast(sector_summary.agg(F.avg("valid_sector_velocity_fraction").alias("mean_sector_velocity_fraction"))))

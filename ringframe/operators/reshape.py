@@ -27,3 +27,21 @@ def trajectories(rows: DataFrame, entity: str, value: str, order: str = "frame_i
 
 def dense_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.dense_rank().over(Window.orderBy(*keys)))
+
+
+def smoothed(rows: DataFrame, keys: list[str], order: str, values: list[str], width: int = 3) -> DataFrame:
+    """Centred averages of `width` (odd) of each value along `order`, the end values standing in beyond the ends."""
+    half = width // 2
+    w = Window.partitionBy(*keys).orderBy(order)
+    around, whole = w.rowsBetween(-half, half), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    short = F.greatest(half + 1 - F.row_number().over(w), F.lit(0)), F.greatest(half - F.count(F.lit(1)).over(whole) + F.row_number().over(w), F.lit(0))
+    padded = lambda c: (F.sum(c).over(around) + short[0] * F.first(c).over(whole) + short[1] * F.last(c).over(whole)) / width
+    return rows.select(*keys, order, *[padded(c).alias(c) for c in values])
+
+
+def line_series(rows: DataFrame, group: str, x: str, y: str, last_by: str, limit: int = 12) -> DataFrame:
+    """The first `limit` groups (a plot's lines) on all x alike: a row for each group and x, the last y by `last_by`, null where there is none."""
+    lines = rows.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(limit)
+    kept = rows.join(F.broadcast(lines), group)
+    grid = kept.select(x).distinct().crossJoin(F.broadcast(lines))
+    return grid.join(kept.groupBy(group, x).agg(F.max_by(y, last_by).alias(y)), [group, x], "left")

@@ -60,3 +60,11 @@ def reference_frame(audit: DataFrame, score: str) -> DataFrame:
     """The accepted frame of the largest score, the first among equals; any frame if none is accepted. One row."""
     rank = F.struct(F.col("accepted").cast("int").alias("a"), F.col(score).alias("s"), (-F.col("frame_id")).alias("f"))
     return audit.agg(F.max_by("frame_id", rank).alias("reference_frame_id"), F.max_by("accepted", rank).alias("accepted"))
+
+
+def curve_stability(rows: DataFrame, share: float = 0.05) -> DataFrame:
+    """Per hole and frame: mean and largest distance between the radial curves under a radius less and more by `share`."""
+    swept = perturbed(rows, (1.0,), (1 - share, 1 + share))
+    side = lambda i, name: F.max(F.when(F.col("sweep_id") == i, F.col("descriptor_value"))).alias(name)
+    pairs = swept.groupBy("hole_id", "frame_id", "annulus_id").agg(side(0, "_a"), side(1, "_b"))
+    return pairs.groupBy("hole_id", "frame_id").agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mae"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs"))

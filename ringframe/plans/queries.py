@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringframe.functions.expressions import settled
-from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, pixels, radial, rdf, resample, reshape, sectors, sweeps
+from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, sweeps, trim
 from ringframe.sources import views
 from ringframe.sources.views import SQL
 from ringframe.streaming import stateful
@@ -610,13 +610,29 @@ def _(spark, sf_dir):
     return events.validation(events.propagation_features(events.lag_summary(_radial_events(spark, sf_dir))))
 
 
-PHENOTYPE = ["onset_slope_per_annulus", "peak_slope_per_annulus", "onset_monotonic_fraction", "peak_monotonic_fraction", "onset_lag_frames", "peak_lag_frames"]
+def _propagation(spark, sf_dir):
+    return events.propagation_features(events.lag_summary(_radial_events(spark, sf_dir)))
 
 
 @query("hole_phenotypes")
 def _(spark, sf_dir):
-    rows = events.propagation_features(events.lag_summary(_radial_events(spark, sf_dir)))
-    return clusters.kmeans(rows, PHENOTYPE, 3)
+    return phenotypes.assign(_propagation(spark, sf_dir))
+
+
+@query("phenotype_stability")
+def _(spark, sf_dir):
+    return phenotypes.stability(_propagation(spark, sf_dir))
+
+
+_PHENO = f"""{_REV}, {_LAGSUM}, {_FEAT}, {_ZONES}, pz AS (SELECT reticulum_zone, count(*) AS count, {", ".join(f"{_settled(f'avg({f})')} AS {f}" for f in phenotypes.FEATURES)} FROM pf JOIN zone USING (hole_id) GROUP BY reticulum_zone),
+    pm AS (SELECT *, CASE WHEN onset_slope_per_annulus >= 0.5 AND peak_slope_per_annulus >= 0.5 AND onset_monotonic_fraction >= 0.75 THEN 'outward_propagating' WHEN abs(onset_slope_per_annulus) < 0.35 AND abs(peak_slope_per_annulus) < 0.35 THEN 'near_synchronous' WHEN onset_slope_per_annulus < 0 THEN 'outer_first' ELSE 'irregular' END AS label FROM pz),
+    pc AS (SELECT *, CAST(row_number() OVER (ORDER BY list_position(['outward_propagating', 'near_synchronous', 'outer_first', 'irregular'], label), onset_slope_per_annulus NULLS LAST, peak_slope_per_annulus NULLS LAST, onset_monotonic_fraction DESC NULLS LAST, reticulum_zone) AS INTEGER) AS canonical_id FROM pm)"""
+
+
+@query("phenotype_semantics", sql("radial holes", "SELECT *, 'P' || canonical_id || '_' || label AS canonical_label FROM pc", "reticulum_zone, count, label, canonical_id, canonical_label", " ".join(phenotypes.FEATURES), _PHENO))
+def _(spark, sf_dir):
+    """Zones of the reticulum as clusters, so that SQL can state them."""
+    return phenotypes.named(_propagation(spark, sf_dir).join(radial.zones(views.holes(spark, sf_dir)), "hole_id"), "reticulum_zone")
 
 
 # --- lattice -----------------------------------------------------------------------------------------------------------
@@ -722,6 +738,106 @@ def _(spark, sf_dir):
     return lattice.reason_counts(_excluded(spark, sf_dir))
 
 
+def _tiered(spark, sf_dir):
+    return views.holes(spark, sf_dir).withColumn("tier", (F.col("hole_id") % 4 + 1).cast("int"))
+
+
+for _name, _radius in (("chosen_holes", 200.0), ("chosen_holes_fallback", -100.0)):
+
+    @query(
+        _name,
+        sql(
+            "holes",
+            "SELECT hole_id, tier, relation, NOT found AS fallback FROM (SELECT *, bool_or(relation = 'inside') OVER () AS found FROM ct) WHERE relation = 'inside' OR NOT found",
+            "hole_id, tier, relation, fallback",
+            "",
+            f"ct AS (SELECT hole_id, tier, CASE WHEN d + r <= {_radius + 0.5} THEN 'inside' WHEN d - r >= {_radius - 0.5} THEN 'outside' ELSE 'intersects' END AS relation FROM (SELECT hole_id, CAST(hole_id % 4 + 1 AS INTEGER) AS tier, sqrt((x - 280) ** 2 + (y - 280) ** 2) AS d, radius_outer_px AS r FROM holes) WHERE tier <= 3)",
+        ),
+    )
+    def _(spark, sf_dir, radius=_radius):
+        """The second circle holds no hole, so that all of the tiers come back, flagged."""
+        return lattice.chosen(_tiered(spark, sf_dir), lattice.relation(views.holes(spark, sf_dir), 280.0, 280.0, radius)).select("hole_id", "tier", "relation", "fallback")
+
+
+@query("hole_variants", sql("holes", "SELECT hole_id, v AS variant, greatest(radius_inner_px + v * (radius_outer_px * 0.05), 1.0) AS radius_inner_px, greatest(radius_outer_px + v * (radius_outer_px * 0.05), 1.0) AS radius_outer_px FROM holes, (VALUES (-1), (1)) t(v)", "hole_id, variant", "radius_inner_px radius_outer_px"))
+def _(spark, sf_dir):
+    return lattice.variants(views.holes(spark, sf_dir)).select("hole_id", "variant", "radius_inner_px", "radius_outer_px")
+
+
+@query(
+    "lattice_places",
+    sql(
+        "holes",
+        "SELECT hole_id, CAST(round_even(round(((x - origin_x) * b_y - (y - origin_y) * b_x) / (a_x * b_y - a_y * b_x), 6), 0) AS INTEGER) AS assigned_u, CAST(round_even(round(((y - origin_y) * a_x - (x - origin_x) * a_y) / (a_x * b_y - a_y * b_x), 6), 0) AS INTEGER) AS assigned_v FROM holes, lsq",
+        "hole_id, assigned_u, assigned_v",
+        "",
+        f"lsq AS (SELECT {_plane('x')}, {_plane('y')} FROM (SELECT x, y, CAST(lattice_u AS DOUBLE) AS u, CAST(lattice_v AS DOUBLE) AS v FROM holes))",
+    ),
+)
+def _(spark, sf_dir):
+    rows = views.holes(spark, sf_dir)
+    return lattice.assigned(rows, lattice.least_squares(rows)).select("hole_id", "assigned_u", "assigned_v")
+
+
+def _pass(i: int) -> str:
+    """A pass of the fixed point in SQL: plan on those left, then drop what does not fit."""
+    gone = "x - radius_outer_px < 0 OR x + radius_outer_px > 470 OR y - radius_outer_px < 0 OR y + radius_outer_px > 470", "x - e < 0 OR x + e > 470 OR y - e < 0 OR y + e > 470", "sqrt((x - 280) ** 2 + (y - 280) ** 2) + e > 220"
+    reasons = ", ".join(f"CASE WHEN {g} THEN '{n}' END" for g, n in zip(gone, ("hole_outside_frame", "terrace_outside_frame", "terrace_outside_circle"), strict=True))
+    return f"""g{i} AS (SELECT a.hole_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - a.radius_outer_px - b.radius_outer_px) AS own FROM left{i - 1} a JOIN left{i - 1} b ON abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v) = 1 GROUP BY a.hole_id),
+    p{i} AS (SELECT h.*, radius_outer_px + (radius_outer_px + 8 * greatest(greatest(coalesce(own, (SELECT min(own) FROM g{i})), 0.0) / 2 / 8, 1.0) - radius_outer_px) AS e FROM left{i - 1} h LEFT JOIN g{i} USING (hole_id)),
+    r{i} AS (SELECT *, concat_ws(';', {reasons}) AS reasons FROM p{i}), left{i} AS (SELECT * EXCLUDE (e, reasons) FROM r{i} WHERE reasons = '')"""
+
+
+_PASSES = 6
+
+
+@query(
+    "complete_holes",
+    sql(
+        "holes",
+        f"SELECT hole_id, CAST(row_number() OVER (ORDER BY hole_id) - 1 AS INTEGER) AS new_hole_id, 'kept' AS status, '' AS reasons, CAST(NULL AS INTEGER) AS exclusion_iteration FROM left{_PASSES} "
+        + " ".join(f"UNION ALL SELECT hole_id, NULL, 'excluded', reasons, {i} FROM r{i} WHERE reasons <> ''" for i in range(1, _PASSES + 1)),
+        "hole_id, new_hole_id, status, reasons, exclusion_iteration",
+        "",
+        "left0 AS (SELECT * FROM holes), " + ", ".join(_pass(i) for i in range(1, _PASSES + 1)),
+    ),
+)
+def _(spark, sf_dir):
+    return lattice.complete(views.holes(spark, sf_dir), 470.0, 470.0, 280.0, 280.0, 220.0)
+
+
+_GEO = "geo AS (SELECT hole_id, frame_id, x + k % 5 AS x, y + k % 3 AS y, radius_outer_px + (k % 2) / 2 AS radius_outer_px FROM (SELECT hole_id, frame_id, count(*) AS k FROM radial GROUP BY ALL) JOIN holes USING (hole_id))"
+
+
+def _hole_frames(spark, sf_dir):
+    """Holes in the frames where they are measured; the number of measures stands in for drift."""
+    seen = views.radial_rows(spark, sf_dir).groupBy("hole_id", "frame_id").agg(F.count(F.lit(1)).alias("_k"))
+    return seen.join(views.holes(spark, sf_dir), "hole_id").select("hole_id", "frame_id", (F.col("x") + F.col("_k") % 5).alias("x"), (F.col("y") + F.col("_k") % 3).alias("y"), (F.col("radius_outer_px") + (F.col("_k") % 2) / 2).alias("radius_outer_px"))
+
+
+def _smooth(c: str) -> str:
+    return f"(sum({c}) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(3 - k, 0) * first_value({c}) OVER a + greatest(2 - n + k, 0) * last_value({c}) OVER a) / 5 AS {c}"
+
+
+@query("geometry_frames", sql("radial holes", "SELECT * FROM geo", "hole_id, frame_id", "x y radius_outer_px", _GEO))
+def _(spark, sf_dir):
+    return _hole_frames(spark, sf_dir)
+
+
+@query(
+    "smoothed_geometry",
+    sql(
+        "radial holes",
+        f"SELECT hole_id, frame_id, {_smooth('x')}, {_smooth('y')}, {_smooth('radius_outer_px')} FROM (SELECT *, row_number() OVER (PARTITION BY hole_id ORDER BY frame_id) AS k, count(*) OVER (PARTITION BY hole_id) AS n FROM geo) WINDOW w AS (PARTITION BY hole_id ORDER BY frame_id), a AS (PARTITION BY hole_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+        "hole_id, frame_id",
+        "x y radius_outer_px",
+        _GEO,
+    ),
+)
+def _(spark, sf_dir):
+    return reshape.smoothed(_hole_frames(spark, sf_dir), ["hole_id"], "frame_id", ["x", "y", "radius_outer_px"], 5)
+
+
 # --- cluster activity --------------------------------------------------------------------------------------------------
 
 
@@ -846,6 +962,43 @@ def _(spark, sf_dir):
     return activity.response_order(activity.hole_response(views.cluster_tensor(spark, sf_dir)))
 
 
+def _active(spark, sf_dir):
+    return activity.activity(views.cluster_tensor(spark, sf_dir), ["sector_id", "terrace_index"], keep=("n_valid",))
+
+
+@query(
+    "sector_fan",
+    sql(
+        "tensor",
+        "SELECT frame_id, sector_id, cluster_id, CAST(sum(coalesce(n_valid, 0)) AS BIGINT) AS n_pixels, CASE WHEN sum(coalesce(n_valid, 0)) > 0 THEN sum(coalesce(active_fraction, 0.0) * coalesce(n_valid, 0)) / sum(coalesce(n_valid, 0)) END AS active_fraction FROM act LEFT JOIN av USING (frame_id, sector_id, terrace_index) GROUP BY ALL",
+        "frame_id, sector_id, cluster_id, n_pixels",
+        "active_fraction",
+        _act("sector_id, terrace_index"),
+    ),
+)
+def _(spark, sf_dir):
+    return activity.sector_fan(_active(spark, sf_dir))
+
+
+@query(
+    "ring_snapshots",
+    sql(
+        "tensor",
+        f"SELECT frame_id, sector_id, terrace_index, coalesce(sum(active_fraction), 0.0) > 1e-12 AS is_active, CASE WHEN coalesce(sum(active_fraction), 0.0) > 1e-12 THEN arg_max(cluster_id, {{'v': {_settled('active_fraction')}, 'k': -cluster_id}}) FILTER (WHERE active_fraction IS NOT NULL) ELSE arg_max(cluster_id, {{'v': {_settled('raw_fraction')}, 'k': -cluster_id}}) FILTER (WHERE raw_fraction IS NOT NULL) END AS cluster_id FROM act GROUP BY ALL",
+        "frame_id, sector_id, terrace_index, is_active, cluster_id",
+        "",
+        _act("sector_id, terrace_index"),
+    ),
+)
+def _(spark, sf_dir):
+    return activity.ring_snapshots(_active(spark, sf_dir), ["sector_id", "terrace_index"])
+
+
+@query("front_totals", sql("tensor", "SELECT cluster_id, sum(t) AS total_activity, count(t) AS n_frames FROM (SELECT frame_id, cluster_id, sum(active_fraction) AS t FROM act GROUP BY ALL) GROUP BY cluster_id", "cluster_id, n_frames", "total_activity", _act("terrace_index")))
+def _(spark, sf_dir):
+    return activity.front_totals(activity.activity_front(activity.activity(views.cluster_tensor(spark, sf_dir), ["terrace_index"])))
+
+
 # --- resampling --------------------------------------------------------------------------------------------------------
 
 _BOOT = f"""kn AS (SELECT hole_id, frame_id, rdf_front_radius_norm AS y, row_number() OVER (PARTITION BY hole_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY hole_id) AS n FROM frames WHERE rdf_front_radius_norm IS NOT NULL),
@@ -984,6 +1137,35 @@ def _(spark, sf_dir):
     return placed.join(F.broadcast(named), "cluster_id").select("hole_id", "cluster_id", "semantic_label", "canonical_id", "canonical_label")
 
 
+@query(
+    "validation_summary",
+    sql(
+        "radial sector holes",
+        """SELECT (SELECT avg(support_fraction) FROM sup) AS mean_support, (SELECT avg(bootstrap_velocity_ci_width) FROM bs) AS mean_velocity_ci_width, (SELECT avg((bootstrap_mean_front_ci_width + bootstrap_delta_front_ci_width + bootstrap_velocity_ci_width + greatest(1 - support_fraction, 0.0)) / 4) FROM bs JOIN sup USING (hole_id)) AS mean_uncertainty_score,
+        (SELECT avg(f) FROM (SELECT count(sector_front_velocity_per_frame) / count(*) AS f FROM prop GROUP BY hole_id)) AS mean_sector_velocity_fraction""",
+        "",
+        "mean_support mean_velocity_ci_width mean_uncertainty_score mean_sector_velocity_fraction",
+        f"{_SUPPORT}, {_BOOT}, {SFRAMES}, {_PROP}",
+    ),
+)
+def _(spark, sf_dir):
+    scored = resample.uncertainty(resample.bootstrap(_frames(spark, sf_dir)), _support(spark, sf_dir))
+    return resample.summary(scored, sectors.propagation_summary(sectors.propagation(_sector_frames(spark, sf_dir))))
+
+
+@query(
+    "curve_stability",
+    sql(
+        "radial",
+        "SELECT hole_id, frame_id, avg(abs(a - b)) AS mae, max(abs(a - b)) AS max_abs FROM (SELECT hole_id, frame_id, k, avg(v) FILTER (WHERE s = 0.95) AS a, avg(v) FILTER (WHERE s = 1.05) AS b FROM (SELECT hole_id, frame_id, s, floor(annulus_id * s + 1e-9) AS k, least(descriptor_value, 1.0) AS v FROM radial, (VALUES (0.95::DOUBLE), (1.05::DOUBLE)) t(s)) GROUP BY ALL) GROUP BY ALL",
+        "hole_id, frame_id",
+        "mae max_abs",
+    ),
+)
+def _(spark, sf_dir):
+    return sweeps.curve_stability(views.radial_rows(spark, sf_dir))
+
+
 # --- frames ------------------------------------------------------------------------------------------------------------
 
 _HSL = """hsl0 AS (SELECT *, r / 255.0 AS r1, g / 255.0 AS g1, b / 255.0 AS b1 FROM (SELECT frame_id, region_id, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pixels)),
@@ -1115,6 +1297,12 @@ def _(spark, sf_dir):
     return reshape.first_rows(views.radial_rows(spark, sf_dir).groupBy("hole_id").agg(F.avg("descriptor_value").alias("mean_descriptor")), "hole_id", "mean_descriptor")
 
 
+@query("line_series", sql("radial", "SELECT h.hole_id, f.frame_id, v AS descriptor_value FROM (SELECT DISTINCT hole_id FROM radial ORDER BY 1 LIMIT 12) h CROSS JOIN (SELECT DISTINCT frame_id FROM radial WHERE hole_id IN (SELECT DISTINCT hole_id FROM radial ORDER BY 1 LIMIT 12)) f LEFT JOIN (SELECT hole_id, frame_id, arg_max(descriptor_value, annulus_id) AS v FROM radial GROUP BY ALL) x ON x.hole_id = h.hole_id AND x.frame_id = f.frame_id", "hole_id, frame_id", "descriptor_value"))
+def _(spark, sf_dir):
+    """A plot's first lines: their limit is the feature."""
+    return reshape.line_series(views.radial_rows(spark, sf_dir), "hole_id", "frame_id", "descriptor_value", "annulus_id")
+
+
 @query("radial_matrix", sql("radial", "SELECT frame_id, " + ", ".join(f"arg_max(descriptor_value, hole_id) FILTER (WHERE annulus_id = {i}) AS c{i}" for i in range(7)) + " FROM radial GROUP BY frame_id", "frame_id", " ".join(f"c{i}" for i in range(7))))
 def _(spark, sf_dir):
     return reshape.matrix(views.radial_rows(spark, sf_dir), "frame_id", "annulus_id", "descriptor_value", list(range(7)), "hole_id")
@@ -1185,6 +1373,42 @@ def _(spark, sf_dir):
     return pixels.grey_world(_placed_pixels(spark, sf_dir)).groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"])
 
 
+@query(
+    "hole_regions",
+    sql(
+        "holes",
+        """SELECT frame_id, hole_id, region, count(*) AS area_px, avg(r) AS mean_r FROM (SELECT p.frame_id, p.r, h.hole_id, unnest(list_filter([CASE WHEN d <= greatest(radius_inner_px - 2, 1.0) THEN 'interior' END, CASE WHEN d <= radius_outer_px AND d > greatest(radius_outer_px - 2, 1.0) THEN 'rim' END], lambda k: k IS NOT NULL)) AS region
+        FROM placed p JOIN holes h ON sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= 22, LATERAL (SELECT sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) AS d) q) GROUP BY ALL""",
+        "frame_id, hole_id, region, area_px",
+        "mean_r",
+        _PLACED,
+    ),
+)
+def _(spark, sf_dir):
+    inside = pixels.regions(_placed_pixels(spark, sf_dir), views.holes(spark, sf_dir), 22.0)
+    return inside.groupBy("frame_id", "hole_id", "region").agg(F.count(F.lit(1)).alias("area_px"), F.avg("r").alias("mean_r"))
+
+
+@query(
+    "overlapping_terraces",
+    sql(
+        "holes",
+        """SELECT frame_id, h.hole_id, annulus_id, count(*) AS area_px, avg(r) AS mean_r FROM placed p JOIN holes h ON sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= 40
+        JOIN (SELECT hole_id, CAST(k AS INTEGER) AS annulus_id, radius_outer_px + k * 4.0 AS r0, radius_outer_px + (k + 1) * 4.0 AS r1 FROM holes, range(6) t(k)) a ON a.hole_id = h.hole_id AND sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) >= r0 AND sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) < r1 GROUP BY ALL""",
+        "frame_id, hole_id, annulus_id, area_px",
+        "mean_r",
+        _PLACED,
+    ),
+)
+def _(spark, sf_dir):
+    holes = views.holes(spark, sf_dir)
+    annuli = holes.withColumn("annulus_id", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        "hole_id", "annulus_id", (F.col("radius_outer_px") + F.col("annulus_id") * 4.0).alias("r_inner_px"), (F.col("radius_outer_px") + (F.col("annulus_id") + 1) * 4.0).alias("r_outer_px")
+    )
+    inside = pixels.terraces(_placed_pixels(spark, sf_dir), annuli, holes, 40.0, exclusive=False)
+    return inside.groupBy("frame_id", "hole_id", "annulus_id").agg(F.count(F.lit(1)).alias("area_px"), F.avg("r").alias("mean_r"))
+
+
 _FIRST = _PLACED + ", base AS (SELECT y AS qy, x AS qx, min(r) AS br, min(g) AS bg, min(b) AS bb FROM placed WHERE frame_id = (SELECT min(frame_id) FROM placed) GROUP BY ALL)"
 
 
@@ -1256,6 +1480,58 @@ def _(spark, sf_dir):
     return pixels.black_rows(_placed_pixels(spark, sf_dir))
 
 
+_DARK = "y < 4 + frame_id % 3 OR y >= 492 + frame_id % 2"
+
+
+@query(
+    "black_crop",
+    sql(
+        "",
+        """SELECT n_frames, t + b > 0 AS applied, CAST(t AS INTEGER) AS top, CAST(b AS INTEGER) AS bottom, CAST(500 - t - b AS INTEGER) AS cropped_height, tf AS top_detected_fraction, bf AS bottom_detected_fraction, CASE WHEN t + b > 0 THEN 'detected_consistent_black_bands' ELSE 'no_consistent_black_bands' END AS reason FROM (
+        SELECT n_frames, tf, bf, CASE WHEN tf >= 0.8 AND tq >= 2 THEN tq ELSE 0 END AS t, CASE WHEN bf >= 0.8 AND bq >= 2 THEN bq ELSE 0 END AS b FROM (
+        SELECT count(*) AS n_frames, avg(CAST(t >= 2 AS DOUBLE)) AS tf, avg(CAST(b >= 2 AS DOUBLE)) AS bf, floor(quantile_cont(t, 0.1) FILTER (WHERE t >= 2)) AS tq, floor(quantile_cont(b, 0.1) FILTER (WHERE b >= 2)) AS bq FROM bands))""",
+        "n_frames, applied, top, bottom, cropped_height, reason",
+        "top_detected_fraction bottom_detected_fraction",
+        _PLACED
+        + f""", lr AS (SELECT frame_id, y, avg(CAST(l <= 12 AS DOUBLE)) >= 0.995 AND avg(l) <= 5 AND stddev_pop(l) <= 3.5 AS black FROM (SELECT *, CASE WHEN {_DARK} THEN 0 ELSE (299 * r + 587 * g + 114 * b) / 1000 END AS l FROM placed) GROUP BY ALL),
+        bands AS (SELECT frame_id, coalesce(min(y) FILTER (WHERE NOT black), max(y) + 1) AS t, coalesce(max(y) - max(y) FILTER (WHERE NOT black), max(y) + 1) AS b FROM lr GROUP BY frame_id)""",
+    ),
+)
+def _(spark, sf_dir):
+    """The placed pixels under black bands whose height changes from frame to frame."""
+    px = _placed_pixels(spark, sf_dir)
+    return trim.black_crop(pixels.black_rows(px.withColumns({c: F.when(F.expr(_DARK), 0).otherwise(F.col(c)) for c in "rgb"})), 500)
+
+
+_WIN = (
+    _GREY
+    + """, fp AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT frame_id FROM hi)),
+    dn AS (SELECT pos, CAST(k AS INTEGER) AS bin, coalesce(hi.share, 0.0) AS share FROM fp CROSS JOIN range(256) t(k) LEFT JOIN hi ON hi.frame_id = fp.frame_id AND hi.bin = k),
+    dp AS (SELECT *, sum(share) OVER (PARTITION BY pos ORDER BY bin) AS cdf, sum(share * bin / 255) OVER (PARTITION BY pos) AS mean FROM dn),
+    ts AS (SELECT pos, 0.5 * sum(abs(dh)) + 2 * avg(dc) + 0.5 * (abs(sum(dh * bin)) / 255) AS score FROM (SELECT pos, bin, share - lag(share) OVER (PARTITION BY bin ORDER BY pos) AS dh, abs(cdf - lag(cdf) OVER (PARTITION BY bin ORDER BY pos)) AS dc FROM dp) GROUP BY pos),
+    wm AS (SELECT f.pos AS first, dp.* FROM fp f JOIN dp ON dp.pos BETWEEN f.pos AND f.pos + 4 WHERE f.pos BETWEEN 1 AND f.n - 5),
+    wr AS (SELECT first, bin, median(share) AS rs, median(cdf) AS rc, median(mean) AS rm FROM wm GROUP BY ALL),
+    wd AS (SELECT first, pos, 0.5 * sum(abs(share - rs)) + 2 * avg(abs(cdf - rc)) + 0.5 * abs(any_value(mean) - any_value(rm)) AS constancy FROM wm JOIN wr USING (first, bin) GROUP BY ALL),
+    wj AS (SELECT first, max(score) FILTER (WHERE pos = first) AS jump, quantile_cont(score, 0.9) FILTER (WHERE pos > first) AS post_p90, median(score) FILTER (WHERE pos > first) AS post_median, quantile_cont(constancy, 0.9) AS constancy_p90 FROM wd JOIN ts USING (pos) GROUP BY first),
+    md AS (SELECT any_value(m) AS m, greatest(median(abs(score - m)), 1e-6) AS mad FROM ts, (SELECT median(score) AS m FROM ts))"""
+)
+
+
+@query(
+    "stable_windows",
+    sql(
+        "pixels",
+        f"""SELECT first, frame_id AS first_stable_frame, jump, post_p90, post_median, constancy_p90, m + 3 * mad AS threshold, {_settled("jump")} >= {_settled("greatest(m + 6 * mad, 3 * greatest(post_p90, constancy_p90, 1e-6))")}
+        AND {_settled("post_p90")} <= {_settled("greatest(m + 3 * mad, 0.25 * jump)")} AND {_settled("constancy_p90")} <= {_settled("greatest(m + 3 * mad, 0.2 * jump)")} AS is_candidate FROM wj JOIN fp ON fp.pos = first, md""",
+        "CAST(first AS INTEGER) AS first, first_stable_frame, is_candidate",
+        "jump post_p90 post_median constancy_p90 threshold",
+        _WIN,
+    ),
+)
+def _(spark, sf_dir):
+    return trim.stable_windows(frames.histogram(views.pixels(spark, sf_dir), 256), 5)
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
