@@ -111,6 +111,18 @@ def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return sixth / 6, F.when(c == 0, F.lit(0.0)).otherwise(c / (1 - F.abs(2 * light - 1) + TINY)), light
 
 
+def rgb8(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
+    """Channels in whole numbers of 0..255 of a hue (any turn), saturation and lightness."""
+    half = s * F.least(light, 1 - light)
+
+    def channel(shift: int) -> Column:
+        step = F.pmod(F.lit(float(shift)) + 12 * h, F.lit(12.0))
+        value = light - half * F.greatest(F.lit(-1.0), F.least(step - 3, 9 - step, F.lit(1.0)))
+        return F.least(F.greatest(F.rint(settled(255 * value)), F.lit(0.0)), F.lit(255.0)).cast("int")
+
+    return channel(0), channel(8), channel(4)
+
+
 def hsv8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue, saturation and value of channels in 0..255 in 8-bit steps (hue in steps of two degrees), scaled to 0..1."""
     high, low = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")

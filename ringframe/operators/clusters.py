@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import settled
+from ringframe.sources.scratch import checkpointed
 
 ROUNDS = 24
 
@@ -31,16 +32,26 @@ def kmeans(rows: DataFrame, features: list[str], k: int, key: str = "hole_id", s
     Rows stay distributed: a round is one pass that assigns and averages, and only the k centres come back. A round that
     changes no label ends it; if the first assignment is all zero, the seeds remain the centres.
     """
-    table = standardized(rows, features, scale).select(key, "_v").cache()
-    n = table.count()
+    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) if seeds_by_mean else F.lit(0.0)
+    ordered = standardized(rows, features, scale).select(key, "_v", mean.alias("_mean")).repartitionByRange("_mean", key)
+    table = checkpointed(ordered.withColumn("_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in table.groupBy("_part").count().collect())
+    n = sum(c for _, c in counts)
     if not n:
         return rows.withColumn("cluster_id", F.lit(0))
     k = max(1, min(k, n))
-    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) if seeds_by_mean else F.lit(0.0)
     wanted = [int(i * (n - 1) / (k - 1)) if k > 1 else 0 for i in range(k)]
-    ranked = table.select("_v", F.row_number().over(Window.orderBy(mean, key)).alias("_r")).where(F.col("_r").isin([w + 1 for w in wanted]))
-    at = {r["_r"] - 1: list(r["_v"]) for r in ranked.collect()}
-    centres = [at[w] for w in wanted]
+    places = []
+    for at in wanted:  # the part that holds the rank, and the rank within it
+        begun = 0
+        for part, size in counts:
+            if at < begun + size:
+                places.append((part, at - begun + 1))
+                break
+            begun += size
+    within = table.where(F.col("_part").isin([part for part, _ in places])).withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_mean", key)))
+    seeds = {(r["_part"], r["_r"]): list(r["_v"]) for r in within.where(F.struct("_part", "_r").isin([F.struct(F.lit(a), F.lit(b)) for a, b in set(places)])).collect()}
+    centres = [list(seeds[place]) for place in places]
 
     def label(of: list[list[float]]) -> Column:
         return F.array_min(F.array(*[F.struct(squared(F.col("_v"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(of)]))["i"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.streaming.stateful import shared_folder
+from ringframe.sources.scratch import checkpointed
 
 
 def offsets(radius: int) -> Column:
@@ -108,19 +108,16 @@ def complete(holes: DataFrame, width: float, height: float, cx: float, cy: float
     Per hole: status, reasons, the pass that excluded it, and a dense new id for the kept ones (the dimension of holes is numbered
     in one place). Passes are cut by checkpoints; only the count of those excluded comes back.
     """
-    spark = holes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    active, out, passes = holes.checkpoint(), [], 0
+    active, out, passes = checkpointed(holes), [], 0
     while True:
         passes += 1
         planned = active.join(terrace_plan(active, n_terraces).select("hole_id", "terrace_outer_radius_px"), "hole_id")
-        seen = exclusions(planned, width, height, F.col("terrace_outer_radius_px") - F.col("radius_outer_px"), cx, cy, radius).select("hole_id", "reasons", "is_complete").checkpoint()
+        seen = checkpointed(exclusions(planned, width, height, F.col("terrace_outer_radius_px") - F.col("radius_outer_px"), cx, cy, radius).select("hole_id", "reasons", "is_complete"))
         rejected = seen.where("NOT is_complete").select("hole_id", "reasons", F.lit(passes).alias("exclusion_iteration"))
         if rejected.isEmpty():
             break
         out.append(rejected)
-        active = active.join(seen.where("is_complete").select("hole_id"), "hole_id", "left_semi").checkpoint()
+        active = checkpointed(active.join(seen.where("is_complete").select("hole_id"), "hole_id", "left_semi"))
     kept = active.select("hole_id", (F.row_number().over(Window.orderBy("hole_id")) - 1).alias("new_hole_id"), F.lit("kept").alias("status"), F.lit("").alias("reasons"), F.lit(None).cast("int").alias("exclusion_iteration"))
     for r in out:
         kept = kept.unionByName(r.withColumn("status", F.lit("excluded")), allowMissingColumns=True)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import hsl
+from ringframe.functions.expressions import hsl, rgb8
 
 POINTS = 4000
 
@@ -84,3 +84,18 @@ def frame_context(shares: DataFrame) -> DataFrame:
     p = F.col("soft_prevalence")
     rank = F.struct(p, -F.col("cluster_id"))
     return shares.groupBy("frame_id").agg(F.max_by("cluster_id", rank).alias("dominant_cluster"), (-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("entropy_nats"))
+
+
+def palette(centres: DataFrame, observed: DataFrame) -> DataFrame:
+    """Per cluster its centre (hx, hy, l) as hue, saturation and lightness and as channels, and the colour to show: the observed one if known.
+
+    `observed` (cluster_id, r, g, b) may lack clusters or channels; one without all channels is not known.
+    """
+    clipped = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    hue = F.pmod(F.atan2("hy", "hx") / (2 * math.pi), F.lit(1.0))
+    at = centres.select("cluster_id", hue.alias("center_h"), clipped(F.hypot("hx", "hy")).alias("center_s"), clipped(F.col("l")).alias("center_l"))
+    at = at.withColumns(dict(zip(("centroid_r", "centroid_g", "centroid_b"), rgb8(F.col("center_h"), F.col("center_s"), F.col("center_l")), strict=True)))
+    seen = observed.select("cluster_id", *[F.when(F.col(c).isNotNull(), F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(255.0))).cast("int").alias(f"_{c}") for c in "rgb"]).dropna()
+    both = at.join(seen, "cluster_id", "left")
+    shown = [F.coalesce(f"_{c}", f"centroid_{c}").alias(f"display_{c}") for c in "rgb"]
+    return both.select(*at.columns, *shown, F.when(F.col("_r").isNotNull(), "observed").otherwise("centroid").alias("display_source"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import settled
 from ringframe.operators.clusters import kmeans, squared, standardized
+from ringframe.sources.scratch import checkpointed
 
 # The meanings in their order.
 MEANINGS = ("outward_propagating", "near_synchronous", "outer_first", "irregular")
@@ -58,7 +59,8 @@ def _reruns(rows: DataFrame, key: str, k: int, n_reruns: int, jitter: float, rou
     spark = rows.sparkSession
     unit = lambda r, i: F.sqrt(-2 * F.log(_uniform(F.col(key), r, F.lit(i), F.lit(0)))) * F.cos(2 * math.pi * _uniform(F.col(key), r, F.lit(i), F.lit(1)))
     copies = standardized(rows, FEATURES).select(key, F.explode(F.sequence(F.lit(0), F.lit(n_reruns - 1))).alias("rerun"), "_v")
-    table = copies.withColumn("_v", F.array(*[F.col("_v")[i] + jitter * unit(F.col("rerun"), i) for i in range(len(FEATURES))])).cache()
+    table = copies.withColumn("_v", F.array(*[F.col("_v")[i] + jitter * unit(F.col("rerun"), i) for i in range(len(FEATURES))]))
+    table = checkpointed(table)
     turn = F.xxhash64(F.lit("seed"), key, "rerun")
     seeds = table.groupBy("rerun", F.pmod(turn, F.lit(k)).alias("_b")).agg(F.min(F.struct(turn.alias("t"), "_v")).alias("s")).collect()
     centres: dict[int, list[list[float]]] = {}
@@ -77,9 +79,7 @@ def _reruns(rows: DataFrame, key: str, k: int, n_reruns: int, jitter: float, rou
             centres[m["rerun"]][m["cluster_id"]] = [m[f"m{i}"] for i in range(len(FEATURES))]
         if centres == before:
             break
-    out = labelled().select("rerun", key, "cluster_id") if centres else table.select("rerun", key, F.lit(0).alias("cluster_id"))
-    table.unpersist()
-    return out
+    return labelled().select("rerun", key, "cluster_id") if centres else table.select("rerun", key, F.lit(0).alias("cluster_id"))
 
 
 def _apart(a: dict, b: dict) -> float:
@@ -103,6 +103,7 @@ def stability(rows: DataFrame, k: int = 3, n_reruns: int = 5, jitter: float = 0.
 
     Only centroids (k for the base and for each rerun) are matched on the driver. An empty table gives an empty one.
     """
+    rows = checkpointed(rows.select(key, *FEATURES))
     base = assign(rows, k)
     known = [r.asDict() for r in named(base, "cluster_id").collect()]
     placed = _reruns(rows, key, k, n_reruns, jitter).join(rows, key)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringframe.operators import radial
+from ringframe.operators import clusters, radial, rdf
+from ringframe.sources.scratch import checkpointed
 
 BRIGHTNESS = (0.9, 1.0, 1.1)
 RADIUS = (0.9, 1.0, 1.2)
@@ -68,3 +69,20 @@ def curve_stability(rows: DataFrame, share: float = 0.05) -> DataFrame:
     side = lambda i, name: F.max(F.when(F.col("sweep_id") == i, F.col("descriptor_value"))).alias(name)
     pairs = swept.groupBy("hole_id", "frame_id", "annulus_id").agg(side(0, "_a"), side(1, "_b"))
     return pairs.groupBy("hole_id", "frame_id").agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mae"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs"))
+
+
+def archetype_features(rows: DataFrame, brightness: tuple[float, ...] = BRIGHTNESS, radius: tuple[float, ...] = RADIUS) -> DataFrame:
+    """Every sweep's features of every hole: a hole of a sweep is a hole of its own."""
+    swept = perturbed(rows, brightness, radius)
+    ids = swept.select(F.struct("sweep_id", "brightness_scale", "radius_scale", F.col("hole_id").alias("id")).alias("hole_id"), "frame_id", "annulus_id", "descriptor_value")
+    features = rdf.archetype_features(rdf.frame_summary(rdf.evolution(ids)))
+    features = checkpointed(features)
+    return features.select("hole_id.sweep_id", "hole_id.brightness_scale", "hole_id.radius_scale", F.col("hole_id.id").alias("hole_id"), *[c for c in features.columns if c != "hole_id"])
+
+
+def archetypes_kept(swept: DataFrame, centroids: DataFrame, features: list[str]) -> DataFrame:
+    """Per sweep: the share of holes whose nearest centroid is that of the base run (scales of 1), over holes in both."""
+    placed = clusters.nearest_centroid(swept, centroids, features)
+    base = placed.where("brightness_scale = 1 AND radius_scale = 1").select("hole_id", F.col("label").alias("_base"))
+    both = placed.join(base, "hole_id")
+    return both.groupBy("sweep_id", "brightness_scale", "radius_scale").agg(F.avg((F.col("label") == F.col("_base")).cast("double")).alias("stability_fraction"), F.count(F.lit(1)).alias("n_holes"))

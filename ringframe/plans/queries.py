@@ -1153,6 +1153,28 @@ def _(spark, sf_dir):
     return resample.summary(scored, sectors.propagation_summary(sectors.propagation(_sector_frames(spark, sf_dir))))
 
 
+_SWEPT_FEATURES = f"""grid(sweep_id, bs, rs) AS (VALUES {", ".join(f"({i * 3 + k}, CAST({b} AS DOUBLE), CAST({r} AS DOUBLE))" for i, b in enumerate(sweeps.BRIGHTNESS) for k, r in enumerate(sweeps.RADIUS))}),
+    swept AS (SELECT {{'s': sweep_id, 'h': hole_id}} AS hole_id, frame_id, CAST(floor(annulus_id * rs + 1e-9) AS INTEGER) AS annulus_id, avg(least(descriptor_value * bs, 1.0)) AS descriptor_value FROM radial, grid GROUP BY ALL),
+    {FRAMES.replace("FROM radial", "FROM swept")}, {_FEATURE_SQL}, fs AS (SELECT hole_id.s AS sweep_id, bs AS brightness_scale, rs AS radius_scale, hole_id.h AS hole_id, features.* EXCLUDE (hole_id) FROM features JOIN grid ON grid.sweep_id = hole_id.s),
+    bf AS (SELECT * FROM fs WHERE brightness_scale = 1 AND radius_scale = 1), {_CENTRES.replace("FROM features", "FROM bf")}, {_nearest("ns", "fs", "sweep_id, brightness_scale, radius_scale, hole_id")}"""
+
+
+@query(
+    "archetype_sweeps",
+    sql(
+        "radial holes",
+        "SELECT sweep_id, n.brightness_scale, n.radius_scale, avg(CAST(n.label = b.label AS DOUBLE)) AS stability_fraction, count(*) AS n_holes FROM ns n JOIN (SELECT hole_id, label FROM ns WHERE brightness_scale = 1 AND radius_scale = 1) b USING (hole_id) GROUP BY ALL",
+        "sweep_id, n_holes",
+        "brightness_scale radius_scale stability_fraction",
+        _SWEPT_FEATURES,
+    ),
+)
+def _(spark, sf_dir):
+    swept = sweeps.archetype_features(views.radial_rows(spark, sf_dir))
+    base = swept.where("brightness_scale = 1 AND radius_scale = 1")
+    return sweeps.archetypes_kept(swept, _zone_centroids(spark, sf_dir, base), FEATURES)
+
+
 @query(
     "curve_stability",
     sql(
@@ -1288,6 +1310,31 @@ def _(spark, sf_dir):
     return frames.nearest_centres(views.pixels(spark, sf_dir), CENTRES).groupBy("frame_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PALETTE = """ce AS (SELECT region_id AS cluster_id, avg(s * cos(h * 2 * pi())) AS hx, avg(s * sin(h * 2 * pi())) AS hy, avg(l) AS l, CASE WHEN region_id % 2 = 0 THEN round_even(avg(r), 0) END AS mr, round_even(avg(g), 0) AS mg, round_even(avg(b), 0) AS mb FROM hsl GROUP BY region_id),
+    ch AS (SELECT *, CASE WHEN atan2(hy, hx) < 0 THEN atan2(hy, hx) / (2 * pi()) + 1 ELSE atan2(hy, hx) / (2 * pi()) END AS ch, least(sqrt(hx * hx + hy * hy), 1.0) AS cs FROM ce),
+    co AS (SELECT *, (1 - abs(2 * l - 1)) * cs AS c, ch * 6 AS hp FROM ch),
+    cx AS (SELECT *, c * (1 - abs(hp - 2 * floor(hp / 2) - 1)) AS xx, l - c / 2 AS m FROM co),
+    cr AS (SELECT *, CASE WHEN hp < 1 THEN [c, xx, 0] WHEN hp < 2 THEN [xx, c, 0] WHEN hp < 3 THEN [0, c, xx] WHEN hp < 4 THEN [0, xx, c] WHEN hp < 5 THEN [xx, 0, c] ELSE [c, 0, xx] END AS v FROM cx),
+    ci AS (SELECT *, CAST(round_even(round(255 * (v[1] + m), 9), 0) AS INTEGER) AS cr, CAST(round_even(round(255 * (v[2] + m), 9), 0) AS INTEGER) AS cg, CAST(round_even(round(255 * (v[3] + m), 9), 0) AS INTEGER) AS cb FROM cr)"""
+
+
+@query(
+    "cluster_palette",
+    sql(
+        "pixels",
+        "SELECT cluster_id, ch AS center_h, cs AS center_s, l AS center_l, cr AS centroid_r, cg AS centroid_g, cb AS centroid_b, CASE WHEN mr IS NULL THEN cr ELSE CAST(mr AS INTEGER) END AS display_r, CASE WHEN mr IS NULL THEN cg ELSE CAST(mg AS INTEGER) END AS display_g, CASE WHEN mr IS NULL THEN cb ELSE CAST(mb AS INTEGER) END AS display_b, CASE WHEN mr IS NULL THEN 'centroid' ELSE 'observed' END AS display_source FROM ci",
+        "cluster_id, centroid_r, centroid_g, centroid_b, display_r, display_g, display_b, display_source",
+        "center_h center_s center_l",
+        f"{_HSL}, {_PALETTE}",
+    ),
+)
+def _(spark, sf_dir):
+    """Regions as clusters, every other one without an observed red."""
+    px = mixture.embedded(views.pixels(spark, sf_dir)).withColumnRenamed("region_id", "cluster_id")
+    means = px.groupBy("cluster_id").agg(F.avg("_x").alias("hx"), F.avg("_y").alias("hy"), F.avg("_l").alias("l"), *[F.avg(c).alias(c) for c in "rgb"])
+    return mixture.palette(means, means.withColumn("r", F.when(F.col("cluster_id") % 2 == 0, F.col("r"))))
+
+
 # --- plots' tables and gates -------------------------------------------------------------------------------------------
 
 
@@ -1637,6 +1684,30 @@ def _(spark, sf_dir):
     return sweeps.reference_frame(frames.saturation(px).join(blur, "frame_id"), "blur_score")
 
 
+_EDGE = _PLACED + """, d16 AS (SELECT frame_id, y % 16 AS y, x % 16 AS x, r, g, b FROM placed), gw AS (SELECT frame_id AS f, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (avg(r) + avg(g) + avg(b)) / 3 AS t FROM d16 GROUP BY ALL),
+    ways AS (SELECT 'none' AS method, frame_id, y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM d16 UNION ALL SELECT 'grey_world', frame_id, y, x, floor(least(greatest(r * t / greatest(mr, 1e-6), 0.0), 255.0)), floor(least(greatest(g * t / greatest(mg, 1e-6), 0.0), 255.0)), floor(least(greatest(b * t / greatest(mb, 1e-6), 0.0), 255.0)) FROM d16 JOIN gw ON f = frame_id),
+    pl AS (SELECT method, frame_id, y, x, avg((299 * r + 587 * g + 114 * b) / 1000) AS l FROM ways GROUP BY ALL),
+    sob AS (SELECT p.method, p.frame_id, p.y, p.x, sum(dx * (2 - abs(dy)) * coalesce(q.l, 0.0)) AS gx, sum(dy * (2 - abs(dx)) * coalesce(q.l, 0.0)) AS gy FROM pl p CROSS JOIN (VALUES (-1), (0), (1)) a(dy) CROSS JOIN (VALUES (-1), (0), (1)) c(dx)
+      LEFT JOIN pl q ON q.method = p.method AND q.frame_id = p.frame_id AND q.y = CASE WHEN p.y + dy < 0 THEN 1 WHEN p.y + dy > 15 THEN 14 ELSE p.y + dy END AND q.x = CASE WHEN p.x + dx < 0 THEN 1 WHEN p.x + dx > 15 THEN 14 ELSE p.x + dx END GROUP BY ALL),
+    en AS (SELECT method, frame_id, avg(sqrt(gx * gx + gy * gy)) FILTER (WHERE o) / greatest(avg(sqrt(gx * gx + gy * gy)) FILTER (WHERE NOT o), 1e-6) AS edge_energy_ratio FROM (SELECT *, y < 2 OR y >= 14 OR x < 2 OR x >= 14 AS o FROM sob) GROUP BY ALL)"""
+
+
+def _corrections(spark, sf_dir):
+    px = _dense_pixels(spark, sf_dir)
+    ways = {"none": px, "grey_world": pixels.grey_world(px)}
+    return gates.union([pixels.edge_energy(p, 16, 16, 2).withColumn("method", F.lit(name)) for name, p in ways.items()])
+
+
+@query("edge_energy", sql("", "SELECT * FROM en", "method, frame_id", "edge_energy_ratio", _EDGE))
+def _(spark, sf_dir):
+    return _corrections(spark, sf_dir).select("method", "frame_id", "edge_energy_ratio")
+
+
+@query("correction_choice", sql("", "SELECT arg_min(method, {'s': s, 'm': method}) AS method, min(s) AS score FROM (SELECT method, avg(edge_energy_ratio) AS s FROM en GROUP BY method)", "method", "score", _EDGE))
+def _(spark, sf_dir):
+    return frames.best_correction(_corrections(spark, sf_dir).withColumnRenamed("edge_energy_ratio", "score"))
+
+
 def _mixture(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
     return mixture.prevalence(px, mixture.choose(mixture.balanced_sample(mixture.embedded(px)), 2, 5))

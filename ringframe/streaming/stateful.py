@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ringframe.sources.scratch import shared_folder
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
     """Parquet files of a folder (those that match `pattern`) as a stream of events, with `ts` as a timestamp."""
@@ -18,16 +19,6 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, patt
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set and everything runs on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-streams-")
-
-
 def to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, appended to Parquet in the shared folder, with its progress and state beside; the result read back.
 
