@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def met(pixels: DataFrame, holes: DataFrame, reach: float) -> DataFrame:
-    """Pixels with each hole whose centre is within `reach`, their distance as `_r`.
+def met(pixels: DataFrame, holes: DataFrame, reach: float, radii: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels with each hole whose centre is within `reach`, its columns `radii`, and their distance as `_r`.
 
     Cells of size `reach` make it an equi-join; a pixel meets the holes of its cell and of those around it.
     """
     cell = lambda c: F.floor(F.col(c) / reach).cast("int")
     offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-    near = holes.select("hole_id", F.col("x").alias("_hx"), F.col("y").alias("_hy"), "radius_inner_px", "radius_outer_px").withColumn("_o", F.explode(offsets))
-    near = near.select("hole_id", "_hx", "_hy", "radius_inner_px", "radius_outer_px", (cell("_hx") + F.col("_o.u")).alias("_cx"), (cell("_hy") + F.col("_o.v")).alias("_cy"))
+    near = holes.select("hole_id", F.col("x").alias("_hx"), F.col("y").alias("_hy"), *radii).withColumn("_o", F.explode(offsets))
+    near = near.select("hole_id", "_hx", "_hy", *radii, (cell("_hx") + F.col("_o.u")).alias("_cx"), (cell("_hy") + F.col("_o.v")).alias("_cy"))
     both = pixels.withColumns({"_cx": cell("x"), "_cy": cell("y")}).join(near, ["_cx", "_cy"])
     return both.withColumn("_r", F.hypot(F.col("x") - F.col("_hx"), F.col("y") - F.col("_hy"))).where(F.col("_r") <= reach)
 
@@ -24,7 +24,7 @@ def regions(pixels: DataFrame, holes: DataFrame, reach: float, shrink: float = 2
     inner = F.col("_r") <= F.greatest(F.col("radius_inner_px") - shrink, F.lit(1.0))
     edge = (F.col("_r") <= F.greatest(F.col("radius_outer_px"), F.lit(1.0))) & (F.col("_r") > F.greatest(F.col("radius_outer_px") - rim, F.lit(1.0)))
     kinds = F.filter(F.array(F.when(inner, "interior"), F.when(edge, "rim")), lambda k: k.isNotNull())
-    return met(pixels, holes, reach).withColumn("region", F.explode(kinds)).select("frame_id", "hole_id", "region", "y", "x", "r", "g", "b")
+    return met(pixels, holes, reach, ("radius_inner_px", "radius_outer_px")).withColumn("region", F.explode(kinds)).select("frame_id", "hole_id", "region", "y", "x", "r", "g", "b")
 
 
 def terraces(pixels: DataFrame, annuli: DataFrame, holes: DataFrame, reach: float, exclusive: bool = True) -> DataFrame:
