@@ -12,7 +12,7 @@ from ringframe.operators import clusters, rdf
 A, B, C, D, M = 7919, 104729, 15485863, 12345, 2147483647
 
 
-def bootstrap(frames: DataFrame, n_boot: int = 32) -> DataFrame:
+def bootstrap(frames: DataFrame, n_boot: int = 128) -> DataFrame:
     """Per hole: frames with a front drawn again n_boot times; 95 % intervals (linear quantiles) of mean, last - first and slope.
 
     The draws of a hole are an explode of boots x draws, so holes stay spread; a draw finds its frame by an equi-join on rank.
@@ -35,7 +35,7 @@ def bootstrap(frames: DataFrame, n_boot: int = 32) -> DataFrame:
     return per.groupBy("hole_id").agg(*out)
 
 
-def archetype_support(frames: DataFrame, centroids: DataFrame, features: list[str], n_boot: int = 32) -> DataFrame:
+def archetype_support(frames: DataFrame, centroids: DataFrame, features: list[str], n_boot: int = 128) -> DataFrame:
     """Per hole: all its frames drawn again n_boot times, each draw's nearest centroid; the most frequent label and its share."""
     ranked = frames.withColumn("rank", F.row_number().over(Window.partitionBy("hole_id").orderBy("frame_id")) - 1)
     counts = frames.groupBy("hole_id").agg(F.count(F.lit(1)).alias("n"))

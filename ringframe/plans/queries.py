@@ -1002,7 +1002,7 @@ def _(spark, sf_dir):
 # --- resampling --------------------------------------------------------------------------------------------------------
 
 _BOOT = f"""kn AS (SELECT hole_id, frame_id, rdf_front_radius_norm AS y, row_number() OVER (PARTITION BY hole_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY hole_id) AS n FROM frames WHERE rdf_front_radius_norm IS NOT NULL),
-    dr AS (SELECT c.hole_id, b.boot, ((CAST(c.hole_id AS BIGINT) * {resample.A} + b.boot * {resample.B} + d.draw * {resample.C} + {resample.D}) % {resample.M}) % c.n AS rank FROM (SELECT DISTINCT hole_id, n FROM kn WHERE n >= 2) c, range(32) b(boot), LATERAL (SELECT unnest(range(c.n)) AS draw) d),
+    dr AS (SELECT c.hole_id, b.boot, ((CAST(c.hole_id AS BIGINT) * {resample.A} + b.boot * {resample.B} + d.draw * {resample.C} + {resample.D}) % {resample.M}) % c.n AS rank FROM (SELECT DISTINCT hole_id, n FROM kn WHERE n >= 2) c, range(128) b(boot), LATERAL (SELECT unnest(range(c.n)) AS draw) d),
     on1 AS (SELECT DISTINCT dr.hole_id, dr.boot, kn.frame_id, kn.y FROM dr JOIN kn ON kn.hole_id = dr.hole_id AND kn.rank = dr.rank),
     pb AS (SELECT hole_id, boot, avg(y) AS mean_front, arg_max(y, frame_id) - arg_min(y, frame_id) AS delta_front, CASE WHEN regr_sxx(y, frame_id) > 0 THEN regr_sxy(y, frame_id) / regr_sxx(y, frame_id) ELSE 0.0 END AS velocity FROM on1 GROUP BY ALL),
     bs AS (SELECT hole_id, count(*) AS n_boot, {", ".join(f"quantile_cont({c}, 0.025) AS bootstrap_{c}_ci_low, quantile_cont({c}, 0.975) AS bootstrap_{c}_ci_high, quantile_cont({c}, 0.975) - quantile_cont({c}, 0.025) AS bootstrap_{c}_ci_width" for c in ("mean_front", "delta_front", "velocity"))} FROM pb GROUP BY hole_id)"""
@@ -1042,7 +1042,7 @@ def _(spark, sf_dir):
 
 
 _SUPPORT = f"""{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, kf AS (SELECT *, row_number() OVER (PARTITION BY hole_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY hole_id) AS n FROM frames),
-    df AS (SELECT c.hole_id, b.boot, ((CAST(c.hole_id AS BIGINT) * {resample.A} + b.boot * {resample.B} + d.draw * {resample.C} + {resample.D}) % {resample.M}) % c.n AS rank FROM (SELECT DISTINCT hole_id, n FROM kf) c, range(32) b(boot), LATERAL (SELECT unnest(range(c.n)) AS draw) d),
+    df AS (SELECT c.hole_id, b.boot, ((CAST(c.hole_id AS BIGINT) * {resample.A} + b.boot * {resample.B} + d.draw * {resample.C} + {resample.D}) % {resample.M}) % c.n AS rank FROM (SELECT DISTINCT hole_id, n FROM kf) c, range(128) b(boot), LATERAL (SELECT unnest(range(c.n)) AS draw) d),
     ff AS (SELECT kf.*, df.boot FROM df JOIN kf ON kf.hole_id = df.hole_id AND kf.rank = df.rank), {_features("fb", "ff", "hole_id, boot")}, {_nearest("nb", "fb", "hole_id, boot")},
     sup AS (SELECT hole_id, CAST(sum(k) AS BIGINT) AS n_boot, arg_min(label, {{'k': -k, 'l': label}}) AS archetype_label, max(k) / sum(k) AS support_fraction, count(*) AS n_labels FROM (SELECT hole_id, label, count(*) AS k FROM nb GROUP BY ALL) GROUP BY hole_id)"""
 
@@ -1710,7 +1710,7 @@ def _(spark, sf_dir):
 
 def _mixture(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
-    return mixture.prevalence(px, mixture.choose(mixture.balanced_sample(mixture.embedded(px)), 2, 5))
+    return mixture.prevalence(px, mixture.choose(mixture.balanced_sample(mixture.embedded(px))))
 
 
 @query("colour_mixture_prevalence")
