@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, secrets
+from . import divergence, linededup, mixing, secrets
+from .divergence import op13_source_divergence
 from .fingerprints import op5_fingerprints
 from .jaccard import op9_ngram_jaccard_join
 from .lattice import op2_lm_scoring
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_mixing": op10_mixing,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.SQL, "op4_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL}
+    return {"op3_line_dedup": linededup.SQL, "op4_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL, "op13_source_divergence": divergence.SQL}
