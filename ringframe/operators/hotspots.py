@@ -8,9 +8,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import proximity
-
-BLOCK = 64
+from ringframe.functions.expressions import proximity, settled
+from ringframe.operators.reshape import ordered_places
+from ringframe.sources.scratch import checkpointed
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -98,38 +98,83 @@ def link_nearest(rows: DataFrame, reach: float) -> DataFrame:
     return met.groupBy(*rows.columns).agg(best.alias("_b")).select(*rows.columns, F.col("_b.p").alias("prev_region_id"), F.col("_b.d").alias("distance"))
 
 
-def link_greedy(rows: DataFrame, reach: float = 24.0, max_ratio: float = 3.0) -> DataFrame:
-    """One-to-one links between consecutive frames by ascending cost: distance + 0.5 area ratio + 0.25 score difference.
+def frame_reach(holes: DataFrame, most: float = 18.0, least: float = 6.0, share: float = 0.75) -> DataFrame:
+    """How far a hotspot may move into each frame: `share` of the mean outer radius of its holes, between `least` and `most`."""
+    return holes.groupBy("frame_id").agg(F.greatest(F.lit(least), F.least(F.lit(most), share * F.avg("radius_outer_px"))).alias("reach"))
+
+
+def link_candidates(rows: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, reaches: DataFrame | None = None) -> DataFrame:
+    """Pairs of hotspots of consecutive frames that may be linked, with their cost: distance + 0.5 area ratio + 0.25 score difference.
 
-    Pairs farther than `reach`, beyond `max_ratio` in area or of different holes are out. Since links stay within a hole,
-    each (hole, frame pair) is matched by itself, in Python; a task's group is a hole's hotspots over BLOCK frame pairs.
+    Pairs farther than `reach` (of the later frame, if `reaches` has it), beyond `max_ratio` in area (areas count 1 at least)
+    or of two different known holes are out; a hotspot without a hole may link to any. Cells as wide as `reach` make it an
+    equi-join.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
+    offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
+    own = {c: F.col(c) for c in ("hotspot_id", "nearest_hole_id", "x", "y", "area_px", "score")}
+    old = rows.select((F.col("frame_id") + 1).cast("int").alias("frame_id"), *[v.alias(f"_{c}") for c, v in own.items()], F.explode(offsets).alias("_o"))
+    old = old.withColumns({"_cx": cell("_x") + F.col("_o.u"), "_cy": cell("_y") + F.col("_o.v")}).drop("_o")
+    new = rows.select(F.col("frame_id").cast("int").alias("frame_id"), *own).withColumns({"_cx": cell("x"), "_cy": cell("y")})
+    met = new.join(old, ["frame_id", "_cx", "_cy"])
+    most = F.lit(reach)
+    if reaches is not None:
+        met = met.join(reaches.select("frame_id", F.col("reach").alias("_reach")), "frame_id", "left")
+        most = F.least(most, F.coalesce("_reach", most))
+    distance = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    ratio = F.greatest("area_px", "_area_px") / F.greatest(F.least("area_px", "_area_px"), F.lit(1.0))
+    same = F.col("nearest_hole_id").isNull() | F.col("_nearest_hole_id").isNull() | (F.col("nearest_hole_id") == F.col("_nearest_hole_id"))
+    near = met.where((distance <= most) & (ratio <= max_ratio) & same)
+    cost = settled(distance + 0.5 * ratio + 0.25 * F.abs(F.col("score") - F.col("_score")))
+    return near.select("frame_id", F.col("_hotspot_id").alias("prev_hotspot_id"), "hotspot_id", cost.alias("cost"))
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs (frame_id, prev_hotspot_id, hotspot_id, cost): those that a walk by ascending cost, then ids, would take.
+
+    Rounds instead of a walk: a pair that is the least of both its ends is taken and all pairs of these ends go, until none
+    is left. The order is total, so the result is the walk's; most pairs go in the first rounds. Each round is cut off in
+    the shared folder.
+    """
+    rank = F.struct("cost", "prev_hotspot_id", "hotspot_id")
+    old, new = ["frame_id", "prev_hotspot_id"], ["frame_id", "hotspot_id"]
+    left, taken = checkpointed(pairs), []
+    while left.limit(1).count():
+        least = left.withColumn("_a", F.min(rank).over(Window.partitionBy(*old))).withColumn("_b", F.min(rank).over(Window.partitionBy(*new)))
+        chosen = F.col("_a") == F.col("_b")
+        marked = least.withColumn("_taken", chosen & (F.col("_a") == rank)).drop("_a", "_b")
+        ends = lambda keys: F.max("_taken").over(Window.partitionBy(*keys))
+        marked = checkpointed(marked.withColumn("_old", ends(old)).withColumn("_gone", ends(new) | F.col("_old")))
+        taken.append(marked.where("_taken").select(*pairs.columns))
+        left = marked.where("NOT _gone").select(*pairs.columns)
+    return functools.reduce(DataFrame.unionByName, taken, pairs.limit(0))
+
+
+def link_greedy(rows: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, reaches: DataFrame | None = None) -> DataFrame:
+    """One-to-one links between consecutive frames by ascending cost (see link_candidates, matched)."""
+    return matched(link_candidates(rows, reach, max_ratio, reaches))
+
+
+def track_ids(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Each hotspot (frame_id, hotspot_id) with its track: a chain of links. Tracks are numbered from 0 by (frame, hotspot) of their first one.
+
+    Chains are followed by doubling: each hotspot points to one before it and takes over that one's pointer, so a chain of n
+    takes log2(n) joins. First ones are numbered by ranges.
     """
-    import pandas as pd
-
-    now = rows.select("nearest_hole_id", "frame_id", "hotspot_id", "x", "y", "area_px", "score")
-    both = now.withColumn("_pair", F.explode(F.array(F.col("frame_id"), F.col("frame_id") + 1)))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [row for pair, rows in pdf.groupby("_pair") for row in one_pair(int(pair), rows)]
-        return pd.DataFrame(found, columns=["frame_id", "prev_hotspot_id", "hotspot_id", "cost"])
-
-    def one_pair(frame: int, pdf: pd.DataFrame) -> list[tuple]:
-        old, new = pdf[pdf.frame_id == frame - 1], pdf[pdf.frame_id == frame]
-        costs = []
-        for a in old.itertuples():
-            for b in new.itertuples():
-                d, ratio = math.hypot(a.x - b.x, a.y - b.y), max(a.area_px, b.area_px) / max(min(a.area_px, b.area_px), 1e-6)
-                if d <= reach and ratio <= max_ratio:
-                    costs.append((d + 0.5 * ratio + 0.25 * abs(a.score - b.score), a.hotspot_id, b.hotspot_id))
-        used_a, used_b, out = set(), set(), []
-        for cost, a, b in sorted(costs):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                out.append((frame, a, b, cost))
-        return out
-
-    return both.groupBy("nearest_hole_id", F.expr(f"_pair div {BLOCK}")).applyInPandas(match, "frame_id int, prev_hotspot_id long, hotspot_id long, cost double")
+    before = links.select("frame_id", "hotspot_id", F.col("prev_hotspot_id").alias("_to_hotspot"), (F.col("frame_id") - 1).alias("_to_frame"))
+    at = rows.select(F.col("frame_id").cast("int").alias("frame_id"), "hotspot_id").join(before, ["frame_id", "hotspot_id"], "left")
+    moving = F.col("_to_frame") != F.col("frame_id")
+    at = at.withColumns({"_to_frame": F.coalesce("_to_frame", "frame_id"), "_to_hotspot": F.coalesce("_to_hotspot", "hotspot_id")})
+    at = checkpointed(at.withColumn("_end", ~moving))
+    while at.where("NOT _end").limit(1).count():
+        ahead = at.select(F.col("frame_id").alias("_to_frame"), F.col("hotspot_id").alias("_to_hotspot"), F.col("_to_frame").alias("_f"), F.col("_to_hotspot").alias("_h"), F.col("_end").alias("_e"))
+        open_ = at.where("NOT _end").join(ahead, ["_to_frame", "_to_hotspot"])
+        stays = (F.col("_f") == F.col("_to_frame")) & (F.col("_h") == F.col("_to_hotspot"))
+        moved = open_.select("frame_id", "hotspot_id", F.col("_f").alias("_to_frame"), F.col("_h").alias("_to_hotspot"), (stays | F.col("_e")).alias("_end"))
+        at = checkpointed(at.where("_end").unionByName(moved))
+    heads = at.where((F.col("_to_frame") == F.col("frame_id")) & (F.col("_to_hotspot") == F.col("hotspot_id"))).select("_to_frame", "_to_hotspot")
+    numbers = ordered_places(heads, ["_to_frame", "_to_hotspot"], "track_id")
+    return at.join(numbers, ["_to_frame", "_to_hotspot"]).select("frame_id", "hotspot_id", "track_id")
 
 
 def per_frame(rows: DataFrame) -> DataFrame:

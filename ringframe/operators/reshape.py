@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringframe.sources.scratch import checkpointed
+
 
 def first_rows(rows: DataFrame, order: str, value: str, limit: int = 12) -> DataFrame:
     return rows.orderBy(order).limit(limit).select(F.concat(F.lit("hole_"), F.col(order).cast("string")).alias("label"), F.col(value))
@@ -45,3 +47,12 @@ def line_series(rows: DataFrame, group: str, x: str, y: str, last_by: str, limit
     kept = rows.join(F.broadcast(lines), group)
     grid = kept.select(x).distinct().crossJoin(F.broadcast(lines))
     return grid.join(kept.groupBy(group, x).agg(F.max_by(y, last_by).alias(y)), [group, x], "left")
+
+
+def ordered_places(rows: DataFrame, keys: list, name: str) -> DataFrame:
+    """Number all rows from 0 in the order of `keys`: each range of the global order counts its own, and the ranges before it are added."""
+    parts = checkpointed(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return parts.withColumn("_in", inside).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_in") - 1).drop("_part", "_begin", "_in")

@@ -44,6 +44,10 @@ def sql(tables: str, body: str, keep: str, measures: str = "", extra: str = "")
     return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM ({body})"
 
 
+def recursive(text: str) -> str:
+    return "WITH RECURSIVE " + text.removeprefix("WITH ")
+
+
 def _settled(x: str) -> str:
     return f"(floor({x} * 1e9 + 0.5) / 1e9)"
 
@@ -519,9 +523,39 @@ def _(spark, sf_dir):
     return hotspots.link_nearest(_regions(spark, sf_dir), 30.0)
 
 
-@query("linked_hotspots")
+def _placed_hotspots(spark, sf_dir):
+    """Hotspots with stand-in places; every seventh has no hole."""
+    place = {"x": F.col("hotspot_id") % 60 + 0.0, "y": F.col("hotspot_id") % 47 + 0.0, "nearest_hole_id": F.when(F.col("hotspot_id") % 7 > 0, F.col("nearest_hole_id"))}
+    return views.hotspot_rows(spark, sf_dir).withColumns(place)
+
+
+# A walk over each frame's candidates by ascending cost, step by step.
+_LINKS = f"""hs AS (SELECT * REPLACE (CASE WHEN hotspot_id % 7 > 0 THEN nearest_hole_id END AS nearest_hole_id), CAST(hotspot_id % 60 AS DOUBLE) AS x, CAST(hotspot_id % 47 AS DOUBLE) AS y FROM hotspots),
+    lc0 AS (SELECT b.frame_id, a.hotspot_id AS p, b.hotspot_id AS h, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, greatest(a.area_px, b.area_px) / greatest(least(a.area_px, b.area_px), 1.0) AS r, abs(a.score - b.score) AS s
+      FROM hs a JOIN hs b ON b.frame_id = a.frame_id + 1 WHERE a.nearest_hole_id IS NULL OR b.nearest_hole_id IS NULL OR a.nearest_hole_id = b.nearest_hole_id),
+    lc AS (SELECT frame_id, p, h, {_settled("(d + 0.5 * r + 0.25 * s)")} AS c FROM lc0 WHERE d <= 18 AND r <= 3),
+    lo AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY c, p, h) AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM lc),
+    lw AS (SELECT frame_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS hh, max(n) AS n FROM lo GROUP BY frame_id UNION ALL
+      SELECT w.frame_id, o.k, CASE WHEN list_contains(ps, p) OR list_contains(hh, h) THEN ps ELSE list_append(ps, p) END, CASE WHEN list_contains(ps, p) OR list_contains(hh, h) THEN hh ELSE list_append(hh, h) END, w.n FROM lw w JOIN lo o ON o.frame_id = w.frame_id AND o.k = w.k + 1),
+    lk AS (SELECT u.frame_id, u.p AS prev_hotspot_id, u.h AS hotspot_id, lc.c AS cost FROM (SELECT frame_id, unnest(ps) AS p, unnest(hh) AS h FROM lw WHERE k = n) u JOIN lc USING (frame_id, p, h))"""
+
+
+def _links(spark, sf_dir):
+    return hotspots.link_greedy(_placed_hotspots(spark, sf_dir), 18.0)
+
+
+@query("linked_hotspots", recursive(sql("hotspots", "SELECT * FROM lk", "frame_id, prev_hotspot_id, hotspot_id", "cost", _LINKS)))
+def _(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+_TRACKS = _LINKS + """, tk AS (SELECT frame_id, hotspot_id, frame_id AS hf, hotspot_id AS hh FROM hs ANTI JOIN lk USING (frame_id, hotspot_id)
+      UNION ALL SELECT lk.frame_id, lk.hotspot_id, tk.hf, tk.hh FROM tk JOIN lk ON lk.frame_id = tk.frame_id + 1 AND lk.prev_hotspot_id = tk.hotspot_id)"""
+
+
+@query("linked_tracks", recursive(sql("hotspots", "SELECT frame_id, hotspot_id, dense_rank() OVER (ORDER BY hf, hh) - 1 AS track_id FROM tk", "frame_id, hotspot_id, track_id", "", _TRACKS)))
 def _(spark, sf_dir):
-    return hotspots.link_greedy(views.hotspot_rows(spark, sf_dir).withColumns({"x": F.col("hotspot_id") % 60 + 0.0, "y": F.col("hotspot_id") % 47 + 0.0}))
+    return hotspots.track_ids(_placed_hotspots(spark, sf_dir), _links(spark, sf_dir))
 
 
 # --- events of series --------------------------------------------------------------------------------------------------
