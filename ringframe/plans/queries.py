@@ -6,6 +6,7 @@ Measures are rounded to nine decimals on both sides, as sums of doubles depend o
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from ringframe.functions.expressions import settled
 from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, sweeps, trim
 from ringframe.sources import views
+from ringframe.sources.scratch import shared_folder
 from ringframe.sources.views import SQL
 from ringframe.streaming import stateful
 
@@ -1651,6 +1653,59 @@ def _(spark, sf_dir):
     return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begun"), "n")
 
 
+def _streamed(rows: DataFrame, part, make) -> DataFrame:
+    """Write `rows` as files of the shared folder by `part` and run the stream `make` over them, a file at a time."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/files_{uuid4().hex}"
+    try:
+        stateful.dealt(rows, part, folder)
+        return stateful.to_table(make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)), "stream")
+    finally:
+        stateful.remove(spark, folder)
+
+
+# Hotspots of each event type as a sequence; frames are days, closed once the watermark, three days behind, is past their end.
+_STREAM_TRACKS = """hs AS (SELECT event_type AS sequence, ts, CAST(dayofyear(ts) AS INTEGER) AS frame_id, event_id AS hotspot_id, CASE WHEN event_id % 7 > 0 THEN user_id % 15 END AS hole, CAST(event_id % 60 AS DOUBLE) AS x, CAST(event_id % 47 AS DOUBLE) AS y, CAST(event_id % 50 + 12 AS DOUBLE) AS area, value AS score FROM events
+      WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)),
+    lc0 AS (SELECT b.sequence, b.frame_id, a.hotspot_id AS p, b.hotspot_id AS h, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, greatest(a.area, b.area) / greatest(least(a.area, b.area), 1.0) AS r, abs(a.score - b.score) AS s
+      FROM hs a JOIN hs b ON b.sequence = a.sequence AND b.frame_id = a.frame_id + 1 WHERE a.hole IS NULL OR b.hole IS NULL OR a.hole = b.hole),
+    lo AS (SELECT sequence, frame_id, p, h, row_number() OVER (PARTITION BY sequence, frame_id ORDER BY c, p, h) AS k, count(*) OVER (PARTITION BY sequence, frame_id) AS n FROM (SELECT *, floor((d + 0.5 * r + 0.25 * s) * 1e9 + 0.5) AS c FROM lc0 WHERE d <= 18 AND r <= 3)),
+    lw AS (SELECT sequence, frame_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS hh, max(n) AS n FROM lo GROUP BY ALL UNION ALL
+      SELECT w.sequence, w.frame_id, o.k, CASE WHEN list_contains(ps, p) OR list_contains(hh, h) THEN ps ELSE list_append(ps, p) END, CASE WHEN list_contains(ps, p) OR list_contains(hh, h) THEN hh ELSE list_append(hh, h) END, w.n
+      FROM lw w JOIN lo o ON o.sequence = w.sequence AND o.frame_id = w.frame_id AND o.k = w.k + 1),
+    lk AS (SELECT sequence, frame_id, unnest(ps) AS p, unnest(hh) AS h FROM lw WHERE k = n),
+    tk AS (SELECT sequence, frame_id, hotspot_id, frame_id AS hf, hotspot_id AS hh FROM hs WHERE hotspot_id NOT IN (SELECT h FROM lk)
+      UNION ALL SELECT tk.sequence, lk.frame_id, lk.h, tk.hf, tk.hh FROM tk JOIN lk ON lk.sequence = tk.sequence AND lk.frame_id = tk.frame_id + 1 AND lk.p = tk.hotspot_id)"""
+
+
+@query("hotspot_tracks_stream", recursive(sql("", "SELECT sequence, frame_id, hotspot_id, dense_rank() OVER (PARTITION BY sequence ORDER BY hf, hh) - 1 AS track_id FROM tk", "sequence, frame_id, hotspot_id, track_id", "", _STREAM_TRACKS)))
+def _(spark, sf_dir):
+    """Tracks carried as state over four files, some rows of which come a file later than the others of their frame."""
+    ends = F.unix_millis((F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
+    rows = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.col("event_type").alias("sequence"), "ts", F.dayofyear("ts").alias("frame_id"), ends.alias("ends"), F.col("event_id").alias("hotspot_id"), F.when(F.col("event_id") % 7 > 0, F.col("user_id") % 15).alias("nearest_hole_id"),
+        (F.col("event_id") % 60).alias("x"), (F.col("event_id") % 47).alias("y"), (F.col("event_id") % 50 + 12).alias("area_px"), F.col("value").alias("score"),
+    )
+    part = F.expr("(frame_id + hotspot_id % 3) div 9")
+    return _streamed(rows, part, lambda stream: stateful.tracked(stream, 18.0, 3.0, "3 days"))
+
+
+@query("histogram_jumps_stream", ORACLE["histogram_jumps"])
+def _(spark, sf_dir):
+    """Pixels dealt to three files by a hash, so that every frame comes in parts and out of order."""
+    rows = views.pixels(spark, sf_dir).select(F.lit("all").alias("sequence"), "frame_id", "r", "g", "b")
+    told = _streamed(rows, F.pmod(F.xxhash64("frame_id", "r", "g", "b"), F.lit(3)), stateful.histogram_jumps)
+    return stateful.latest(told, ["sequence", "frame_id"]).select("frame_id", "jump")
+
+
+@query("baselines_stream", sql("radial", "SELECT *, descriptor_value - baseline_descriptor_value AS delta_descriptor_value FROM (SELECT *, first_value(descriptor_value) OVER (PARTITION BY hole_id, annulus_id ORDER BY frame_id) AS baseline_descriptor_value FROM radial)", "hole_id, annulus_id, frame_id", "descriptor_value baseline_descriptor_value delta_descriptor_value"))
+def _(spark, sf_dir):
+    """Measures dealt to three files by a hash: first frames come late, and baselines correct themselves."""
+    rows = views.measures(spark, sf_dir)
+    told = _streamed(rows, F.pmod(F.xxhash64("hole_id", "frame_id", "cents"), F.lit(3)), stateful.first_frame_deltas)
+    return stateful.latest(told, ["hole_id", "annulus_id", "frame_id"]).drop("baseline_frame_id")
+
+
 # --- sweeps, mixtures --------------------------------------------------------------------------------------------------
 
 _GRID = ", ".join(f"({i * 3 + k}, CAST({b} AS DOUBLE), CAST({r} AS DOUBLE))" for i, b in enumerate(sweeps.BRIGHTNESS) for k, r in enumerate(sweeps.RADIUS))

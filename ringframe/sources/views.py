@@ -31,6 +31,13 @@ def _measured(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     return _lattice(rows.groupBy(*keys).agg(value.alias("descriptor_value"), F.count(F.lit(1)).alias("area_px")))
 
 
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single measures behind radial_rows: (hole, annulus, frame, cents)."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("int").alias("hole_id"), (F.col("l_linenumber") - 1).cast("int").alias("annulus_id"), _frame("l_shipdate").alias("frame_id"), F.round(F.col("l_discount") * 100).cast("bigint").alias("cents")
+    )
+
+
 def radial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hole, frame, annulus) -> descriptor_value, lattice place."""
     return _measured(spark, sf_dir, ["hole_id", "frame_id", "annulus_id"])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ringframe.sources.scratch import shared_folder
+from ringframe.sources.scratch import checkpointed, shared_folder
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -20,15 +21,44 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, patt
 
 
 def to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there, appended to Parquet in the shared folder, with its progress and state beside; the result read back.
+    """Run a stream over what is there and return its rows, cut off in the shared folder.
 
-    Only windows that the watermark has closed are in it; those still open stay in the state, which a later run would go on with.
+    Rows are appended to Parquet there, with progress and state beside; both go once the rows are read back. Only windows and
+    frames that the watermark has closed are in it: those still open are lost with the state, so a stream that is to go on
+    is run by `run_stream` with a folder of its own.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}_{uuid4().hex}"
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress")
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    try:
+        run_stream(stream, base)
+        return checkpointed(spark.read.schema(stream.schema).parquet(f"{base}/rows"))
+    finally:
+        remove(spark, base)
+
+
+def run_stream(stream: DataFrame, base: str) -> None:
+    """Take in what is there since the last run with the folder `base`, append to base/rows, and end."""
+    spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # arbitrary keyed state asks for it
+    try:
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress")
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(rows: DataFrame, part, folder: str) -> None:
+    """Write `rows` as a stream's files, one after the other by `part` (few numbers), so that a stream meets them in that order."""
+    marked = rows.withColumn("_part", part)
+    for number in sorted(r[0] for r in marked.select("_part").distinct().collect()):
+        marked.where(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(folder)
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -46,19 +76,204 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_frame_delta(rows: DataFrame) -> DataFrame:
-    """Change against the first value of each (hole, annulus): the baseline is the key's state. Rows must come in frame order."""
-    import pandas as pd
+class Tracker(StatefulProcessor):
+    """Hotspots of a sequence, matched with the frame before; a frame is settled once the watermark has passed its end.
+
+    State of a sequence: the hotspots of frames that are still open, by frame, and the last settled frame's hotspots with
+    their tracks. A timer at each frame's end settles it and all earlier ones. A track that the next frame does not go on
+    with is lost with that frame; rows of settled frames come too late and are left out.
+    """
+
+    def __init__(self, reach: float, max_ratio: float) -> None:
+        self.reach, self.max_ratio = reach, max_ratio
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        spots = "array<struct<hotspot_id:bigint,hole:bigint,x:double,y:double,area:double,score:double>>"
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "frame_id int", f"ends bigint, spots {spots}")
+        self.last = handle.getValueState("last", f"frame_id int, next_track bigint, spots {spots}, tracks array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = self.last.get()[0] if self.last.exists() else None
+        found: dict[int, tuple[int, list]] = {}
+        for r in rows:
+            if last is None or r.frame_id > last:
+                found.setdefault(r.frame_id, (r.ends, []))[1].append((r.hotspot_id, r.nearest_hole_id, r.x, r.y, r.area_px, r.score))
+        for frame, (ends, spots) in found.items():
+            if self.waiting.containsKey((frame,)):
+                spots = [tuple(s) for s in self.waiting.getValue((frame,))[1]] + spots
+            else:
+                self.handle.registerTimer(ends)
+            self.waiting.updateValue((frame,), (ends, spots))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        ready = sorted((k[0], [tuple(s) for s in v[1]]) for k, v in self.waiting.iterator() if v[0] <= now)
+        last, next_track, old, tracks = self.last.get() if self.last.exists() else (None, 0, [], [])
+        for frame, spots in ready:
+            spots.sort()
+            links = self.links([tuple(s) for s in old], spots) if last == frame - 1 else {}
+            mine = []
+            for s in spots:
+                if s[0] in links:
+                    mine.append(tracks[links[s[0]]])
+                else:
+                    mine.append(next_track)
+                    next_track += 1
+            for s, track in zip(spots, mine, strict=True):
+                yield Row(sequence=key[0], frame_id=frame, hotspot_id=s[0], track_id=track)
+            last, old, tracks = frame, spots, mine
+            self.waiting.removeKey((frame,))
+        if ready:
+            self.last.update((last, next_track, old, tracks))
+
+    def links(self, old: list[tuple], new: list[tuple]) -> dict[int, int]:
+        """Hotspot -> place of its match in `old`: by ascending cost, each at most once. A frame's hotspots meet by cells."""
+        cell = lambda s: (math.floor(s[2] / self.reach), math.floor(s[3] / self.reach))
+        cells: dict[tuple[int, int], list[int]] = {}
+        for i, s in enumerate(old):
+            cells.setdefault(cell(s), []).append(i)
+        costs = []
+        for j, b in enumerate(new):
+            u, v = cell(b)
+            for i in (i for du in (-1, 0, 1) for dv in (-1, 0, 1) for i in cells.get((u + du, v + dv), ())):
+                a = old[i]
+                away, ratio = math.hypot(a[2] - b[2], a[3] - b[3]), max(a[4], b[4]) / max(min(a[4], b[4]), 1.0)
+                if away <= self.reach and ratio <= self.max_ratio and (a[1] is None or b[1] is None or a[1] == b[1]):
+                    cost = away + 0.5 * ratio + 0.25 * abs(a[5] - b[5])
+                    costs.append((math.floor(cost * 1e9 + 0.5) / 1e9, a[0], b[0], i, j))
+        used, out = set(), {}
+        for _, _, name, i, _ in sorted(costs):
+            if i not in used and name not in out:
+                used.add(i)
+                out[name] = i
+        return out
+
+
+def tracked(hotspots: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, late: str = "1 day") -> DataFrame:
+    """Track ids carried from frame to frame of each sequence: sequence, frame_id, hotspot_id, track_id (from 0 in each sequence).
+
+    `hotspots` is a stream with sequence, frame_id, ts (any time within the frame), ends (its end, in ms), hotspot_id,
+    nearest_hole_id (may be null), x, y, area_px and score. Frames come out once the watermark (`late` behind the latest ts)
+    has passed their end, in order; rows later than that are left out. Sequences are spread over tasks; one
+    sequence's frames follow each other, so its matching is as serial as the frames are.
+    """
+    named = hotspots.withWatermark("ts", late).select(
+        "sequence", F.col("frame_id").cast("int").alias("frame_id"), "ts", F.col("ends").cast("long").alias("ends"), F.col("hotspot_id").cast("long").alias("hotspot_id"), F.col("nearest_hole_id").cast("long").alias("nearest_hole_id"),
+        *[F.col(c).cast("double").alias(c) for c in ("x", "y", "area_px", "score")],
+    )
+    return named.groupBy("sequence").transformWithState(Tracker(reach, max_ratio), "sequence string, frame_id int, hotspot_id bigint, track_id bigint", "Append", "EventTime")
+
+
+def added(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sums of `value` by `keys` within each task, before a stream's rows are dealt to their state: fewer rows meet under a key."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pa.Table.from_batches([batch]).group_by(keys).aggregate([(value, "sum")]).select([*keys, f"{value}_sum"]).rename_columns([*keys, value]).to_batches()
+
+    return rows.select(*keys, value).mapInArrow(run, rows.select(*keys, value).schema)
+
+
+class Histograms(StatefulProcessor):
+    """Grey histograms of a sequence's frames and the jump from each frame to the next one, revised when a frame gets more pixels.
+
+    State: each frame's counts by bin, and how often it was told. Frames more than `keep` before the latest are dropped from
+    the state (none if it is null), and rows for them are left out.
+    """
+
+    def __init__(self, keep: int | None) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getMapState("frames", "frame_id int", "revision int, bins array<int>, counts array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: dict[int, dict[int, int]] = {}
+        for r in rows:
+            of = fresh.setdefault(r.frame_id, {})
+            of[r.bin] = of.get(r.bin, 0) + r.n
+        known = sorted(k[0] for k in self.frames.keys())
+        oldest = max([*known, *fresh]) - self.keep if self.keep is not None else None
+        fresh = {f: b for f, b in fresh.items() if oldest is None or f >= oldest}
+        for frame, bins in fresh.items():
+            if self.frames.containsKey((frame,)):
+                _, old, counts = self.frames.getValue((frame,))
+                for b, n in zip(old, counts, strict=True):
+                    bins[b] = bins.get(b, 0) + n
+                revision = self.frames.getValue((frame,))[0]
+            else:
+                revision = 0
+            self.frames.updateValue((frame,), (revision, list(bins), list(bins.values())))
+        order = sorted({*known, *fresh})
+        for before, frame in zip([None, *order], order, strict=False):
+            if frame in fresh or before in fresh:
+                revision, bins, counts = self.frames.getValue((frame,))
+                self.frames.updateValue((frame,), (revision + 1, list(bins), list(counts)))
+                now = dict(zip(bins, counts, strict=True))
+                jump = None if before is None else self.distance(now, dict(zip(*self.frames.getValue((before,))[1:], strict=True)))
+                yield Row(sequence=key[0], frame_id=frame, revision=revision + 1, jump=jump)
+        for frame in order:
+            if oldest is not None and frame < oldest:
+                self.frames.removeKey((frame,))
+
+    def distance(self, a: dict[int, int], b: dict[int, int]) -> float:
+        """Between the histograms, each scaled to unit length."""
+        size = lambda h: math.sqrt(sum(n * n for n in h.values()))
+        dot = sum(n / size(a) * (b[k] / size(b)) for k, n in a.items() if k in b)
+        return math.sqrt(max(2 - 2 * dot, 0.0))
+
+
+def histogram_jumps(pixels: DataFrame, bins: int = 64, keep: int | None = None) -> DataFrame:
+    """Jumps between consecutive frames of a stream of pixels (sequence, frame_id, r, g, b), in whatever order they come.
+
+    A frame is told anew, with a higher revision, when it or the frame before gets more pixels; `latest` has the last word.
+    """
+    grey = F.expr(f"CAST((CAST((299 * r + 587 * g + 114 * b) div 1000 AS INT)) * {bins} div 256 AS INT)").alias("bin")
+    counts = added(pixels.select("sequence", F.col("frame_id").cast("int").alias("frame_id"), grey, F.lit(1).cast("long").alias("n")), ["sequence", "frame_id", "bin"], "n")
+    return counts.groupBy("sequence").transformWithState(Histograms(keep), "sequence string, frame_id int, revision int, jump double", "Append", "None")
+
+
+class Baselines(StatefulProcessor):
+    """Sums of a cell's values by frame, and each frame's change against the cell's first frame; all frames are told anew when
+    an earlier one comes late or the first one gets more rows.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getMapState("frames", "frame_id int", "revision int, total bigint, n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = {k[0]: tuple(v) for k, v in self.frames.iterator()}
+        first, touched = min(known, default=None), set()
+        for r in rows:
+            revision, total, n = known.get(r.frame_id, (0, 0, 0))
+            known[r.frame_id] = (revision, total + r.total, n + r.n)
+            touched.add(r.frame_id)
+        base = min(known)
+        told = set(known) if base != first or base in touched else touched
+        value = lambda f: known[f][1] / (100 * known[f][2])
+        for frame in sorted(told):
+            revision, total, n = known[frame]
+            self.frames.updateValue((frame,), (revision + 1, total, n))
+            yield Row(hole_id=key[0], annulus_id=key[1], frame_id=frame, revision=revision + 1, baseline_frame_id=base, descriptor_value=value(frame), baseline_descriptor_value=value(base), delta_descriptor_value=value(frame) - value(base))
+
+
+def first_frame_deltas(rows: DataFrame) -> DataFrame:
+    """Change of each (hole, annulus, frame) against the cell's first frame, from a stream of measures (hole_id, annulus_id, frame_id,
+    cents) in whatever order they come; a frame's value is the mean of its cents / 100.
+
+    A frame is told anew, with a higher revision, when its value or the baseline changes; `latest` has the last word. A cell's
+    state has two numbers for each of its frames.
+    """
+    keys = ["hole_id", "annulus_id", "frame_id"]
+    sums = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col("cents").cast("long").alias("total"), F.lit(1).cast("long").alias("n"))
+    schema = "hole_id int, annulus_id int, frame_id int, revision int, baseline_frame_id int, descriptor_value double, baseline_descriptor_value double, delta_descriptor_value double"
+    return sums.groupBy("hole_id", "annulus_id").transformWithState(Baselines(), schema, "Append", "None")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame, base = state.get if state.exists else (None, None)
-        for pdf in batches:
-            pdf = pdf.sort_values("frame_id")
-            if frame is None and len(pdf):
-                frame, base = int(pdf.frame_id.iloc[0]), float(pdf.descriptor_value.iloc[0])
-            yield pd.DataFrame({"hole_id": key[0], "annulus_id": key[1], "frame_id": pdf.frame_id, "delta_descriptor_value": pdf.descriptor_value - base})
-        state.update((frame, base))
 
-    return rows.groupBy("hole_id", "annulus_id").applyInPandasWithState(
-        step, "hole_id int, annulus_id int, frame_id int, delta_descriptor_value double", "frame int, base double", "append", GroupStateTimeout.NoTimeout
-    )
+def latest(told: DataFrame, keys: list[str]) -> DataFrame:
+    """The last revision of each key."""
+    rest = [c for c in told.columns if c not in keys]
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "revision").alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest if c != "revision"])
