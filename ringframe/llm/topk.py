@@ -26,7 +26,7 @@ SAMPLE = 8192
 CELLS = 64
 QUERY_BYTES = 8_000_000
 NO_KEY = np.iinfo(np.int64).max
-LOW = np.iinfo(np.int64).min
+LOW = -NO_KEY
 
 
 def limit(width: int) -> int:

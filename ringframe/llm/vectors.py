@@ -26,4 +26,4 @@ def usable(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
 def steps(column: pa.Array, width: int, most: int) -> np.ndarray:
     """floor(64 c) of all entries as integers, a row for each vector; what lies beyond +-`most` counts as that."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.clip(np.floor(SCALE * flat), -most, most).astype(np.int64).reshape(-1, width)
+    return np.clip(np.floor(SCALE * flat), -most, most).astype(np.int64).reshape(len(column), width)
