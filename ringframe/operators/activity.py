@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import pick_first, settled
+from ringframe.operators.reshape import ordered_places
 
 FRONT = 0.15
 
@@ -111,6 +112,30 @@ def response_order(response: DataFrame) -> DataFrame:
     return known.groupBy("hole_id").agg(peak.alias("peak_frame"), F.sum("response").alias("integrated_response"))
 
 
+def response_places(response: DataFrame, phenotypes: DataFrame, onsets: DataFrame) -> DataFrame:
+    """All holes of `response` with their place (from 0) by phenotype, onset, frame of the largest response, summed response (falling) and id.
+
+    `phenotypes` (hole_id, phenotype_label; the least one if a hole has several, '' if it has none) and `onsets` (hole_id,
+    onset_frame; the least one, last if it has none). A hole whose responses are all null has its first frame as peak and a sum of 0.
+    """
+    value = F.when(F.col("response").isNotNull() & ~F.isnan("response"), settled(F.col("response")))
+    peak = F.min_by("frame_id", F.struct(F.coalesce(-value, F.lit(float("inf"))).alias("r"), "frame_id"))
+    holes = response.where("hole_id IS NOT NULL").groupBy("hole_id").agg(peak.alias("peak_frame"), settled(F.coalesce(F.sum(value), F.lit(0.0))).alias("integrated_response"))
+    kinds = phenotypes.groupBy("hole_id").agg(F.min("phenotype_label").alias("_kind"))
+    firsts = onsets.groupBy("hole_id").agg(F.min("onset_frame").alias("onset_frame"))
+    known = holes.join(kinds, "hole_id", "left").join(firsts, "hole_id", "left").withColumn("phenotype_label", F.coalesce("_kind", F.lit(""))).drop("_kind")
+    order = ["phenotype_label", F.col("onset_frame").asc_nulls_last(), "peak_frame", F.col("integrated_response").desc(), "hole_id"]
+    return ordered_places(known, order, "place")
+
+
+def barcode(response: DataFrame, places: DataFrame) -> DataFrame:
+    """The matrix of mean responses: a row for each hole in its place and each frame of `response`, null where there is none."""
+    frames = response.select("frame_id").distinct()
+    means = response.groupBy("hole_id", "frame_id").agg(F.avg("response").alias("response"))
+    grid = places.select("place", "hole_id").crossJoin(F.broadcast(frames))  # frames are as many as the recording has
+    return grid.join(means, ["hole_id", "frame_id"], "left").select("place", "hole_id", "frame_id", "response")
+
+
 def sector_fan(active: DataFrame) -> DataFrame:
     """Per (frame, sector, cluster): activity over terraces weighted by their pixels (`n_valid`), null where there are none."""
     n = F.coalesce("n_valid", F.lit(0))

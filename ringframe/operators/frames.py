@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringframe.functions.expressions import hsl, hsv8
+from ringframe.functions.expressions import hsl, hsv8, settled
 
 
 def grey() -> Column:
@@ -78,6 +78,16 @@ def saturation(pixels: DataFrame, threshold: int = 250) -> DataFrame:
     return out.withColumn("accepted", F.greatest("saturation_r", "saturation_g", "saturation_b") < 0.05)
 
 
+def audit(pixels: DataFrame, blur: DataFrame, least_blur: float = 0.8, bins: int = 64) -> DataFrame:
+    """Each frame's record: blur score (`blur`: frame_id, blur_score; larger is sharper), saturated shares, jump from the frame before
+    (0 for the first) and whether it is accepted: sharp enough and less than 5 % saturated in each channel. No score: not accepted.
+    """
+    jumps = histogram_jumps(histogram(pixels, bins)).select("frame_id", F.coalesce("jump", F.lit(0.0)).alias("jump"))
+    both = saturation(pixels).join(blur, "frame_id", "left").join(jumps, "frame_id", "left")
+    sharp = F.coalesce(settled(F.col("blur_score")) >= least_blur, F.lit(False))
+    return both.withColumn("accepted", F.col("accepted") & sharp)
+
+
 def separability(pixels: DataFrame, inside: Column) -> DataFrame:
     """For each descriptor (r, g, b, h, s): (m1 - m2)^2 / max(v1 + v2, 1e-6) between pixels inside and outside."""
     h, s, _ = hsl(F.col("r"), F.col("g"), F.col("b"))

@@ -23,3 +23,24 @@ def require(results: DataFrame) -> None:
     failed = [r["name"] for r in results.where("NOT passed").collect()]
     if failed:
         raise ValueError("failed gates: " + ", ".join(sorted(failed)))
+
+
+def radial_input_guard(frames: DataFrame, holes: DataFrame, support: DataFrame) -> DataFrame:
+    """Whether radial clusters can be measured, as one row: ok, reason (null if ok) and what it rests on.
+
+    There must be frames and holes, and no frame may have more holes than disks of the median outer radius fit into the
+    support's area. `frames` (frame_id), `holes` (frame_id, radius_outer_px), `support` (y, x: the places that count). Radii
+    that are null, NaN, infinite or not positive say nothing; without any, or without support, the last rule doesn't apply.
+    """
+    radius = F.col("radius_outer_px")
+    per = frames.select("frame_id").distinct().join(holes.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n")), "frame_id", "left")
+    counts = per.agg(F.count(F.lit(1)).alias("n_frames"), F.coalesce(F.max("_n"), F.lit(0)).alias("max_frame_holes"))
+    known = holes.join(frames.select("frame_id").distinct(), "frame_id", "left_semi").where((radius > 0) & (radius < float("inf")))
+    middle = known.agg(F.coalesce(F.median("radius_outer_px"), F.lit(0.0)).alias("median_hole_radius_px"))
+    area = support.select("y", "x").distinct().agg(F.count(F.lit(1)).alias("support_area_px"))
+    one = counts.crossJoin(middle).crossJoin(area)  # three rows
+    fits = F.greatest(F.lit(1), F.floor(F.col("support_area_px") / (F.pi() * F.col("median_hole_radius_px") * F.col("median_hole_radius_px"))))
+    one = one.withColumn("physical_max_holes", F.when((F.col("median_hole_radius_px") > 0) & (F.col("support_area_px") > 0), fits).otherwise(0).cast("bigint"))
+    crowded = (F.col("physical_max_holes") > 0) & (F.col("max_frame_holes") > F.col("physical_max_holes"))
+    reason = F.when(F.col("n_frames") == 0, "no_frames").when(F.col("max_frame_holes") == 0, "no_holes").when(crowded, "hole_count_exceeds_physical_nonoverlap_limit")
+    return one.withColumn("reason", reason).select(F.col("reason").isNull().alias("ok"), "reason", "max_frame_holes", "physical_max_holes", "median_hole_radius_px", "support_area_px")

@@ -91,37 +91,8 @@ def sampled(pixels: DataFrame, per_frame: int = 5000, seed: int = 0) -> DataFram
     return pixels.withColumn("_k", F.row_number().over(Window.partitionBy("frame_id").orderBy(order))).where(F.col("_k") <= per_frame).drop("_k")
 
 
-def haar_blur(pixels: DataFrame) -> DataFrame:
-    """Per frame the mean energy of Haar details over 2 x 2 blocks: four aggregates by block."""
-    luma = (299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000
-    at = lambda u, v: F.max(F.when((F.col("x") % 2 == u) & (F.col("y") % 2 == v), luma))
-    blocks = pixels.groupBy("frame_id", F.expr("y div 2").alias("_by"), F.expr("x div 2").alias("_bx")).agg(at(0, 0).alias("a"), at(1, 0).alias("b"), at(0, 1).alias("c"), at(1, 1).alias("d"))
-    detail = [(F.col("a") - F.col("b") + F.col("c") - F.col("d")) / 2, (F.col("a") + F.col("b") - F.col("c") - F.col("d")) / 2, (F.col("a") - F.col("b") - F.col("c") + F.col("d")) / 2]
-    return blocks.where("d IS NOT NULL").groupBy("frame_id").agg(F.avg(sum((x * x for x in detail), F.lit(0.0))).alias("blur_score"))
-
-
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two pixel sets (y, x): intersection over union (1 if both are empty) and over the smaller one."""
     both = a.select("y", "x", F.lit(1).alias("_a")).join(b.select("y", "x", F.lit(1).alias("_b")), ["y", "x"], "full")
     sums = both.agg(F.coalesce(F.sum(F.coalesce("_a", F.lit(0))), F.lit(0)).alias("na"), F.coalesce(F.sum(F.coalesce("_b", F.lit(0))), F.lit(0)).alias("nb"), F.count(F.lit(1)).alias("n"), F.count(F.col("_a") + F.col("_b")).alias("both"))
     return sums.select(F.coalesce(F.try_divide("both", "n"), F.lit(1.0)).alias("iou"), F.coalesce(F.expr("try_divide(both, least(na, nb))"), F.lit(0.0)).alias("overlap_fraction"))
-
-
-def edge_energy(pixels: DataFrame, height: int, width: int, border: int) -> DataFrame:
-    """Per frame: the mean gradient (Sobel, mirrored at the edge) of the border's pixels over that of the centre's, at least 1e-6.
-
-    Pixels of one place are averaged. A pixel meets its neighbours by an equi-join on their places; absent ones count as 0.
-    """
-    b = max(1, min(border, min(height, width) // 4))
-    grey = ((299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000).alias("_l")
-    place = pixels.select("frame_id", "y", "x", grey).groupBy("frame_id", "y", "x").agg(F.avg("_l").alias("_l"))
-    sides = [(-1, 1), (0, 2), (1, 1)]
-    kernel = [F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(dx * wy)).alias("gx"), F.lit(float(dy * wx)).alias("gy")) for dy, wy in sides for dx, wx in sides if dy or dx]
-    mirrored = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)
-    asked = place.select("frame_id", F.col("y").alias("_ty"), F.col("x").alias("_tx"), F.explode(F.array(*kernel)).alias("_k"))
-    asked = asked.select("frame_id", "_ty", "_tx", "_k.gx", "_k.gy", mirrored(F.col("_ty") + F.col("_k.dy"), height).alias("y"), mirrored(F.col("_tx") + F.col("_k.dx"), width).alias("x"))
-    sums = asked.join(place, ["frame_id", "y", "x"], "left").groupBy("frame_id", "_ty", "_tx").agg(*[F.sum(F.col(g) * F.coalesce("_l", F.lit(0.0))).alias(g) for g in ("gx", "gy")])
-    outer = (F.col("_ty") < b) | (F.col("_ty") >= height - b) | (F.col("_tx") < b) | (F.col("_tx") >= width - b)
-    size = F.hypot("gx", "gy")
-    means = sums.groupBy("frame_id").agg(F.avg(F.when(outer, size)).alias("_b"), F.coalesce(F.avg(F.when(~outer, size)), F.lit(1.0)).alias("_c"))
-    return means.select("frame_id", (F.col("_b") / F.greatest(F.col("_c"), F.lit(1e-6))).alias("edge_energy_ratio"))

@@ -58,9 +58,9 @@ def transition_candidates(scores: DataFrame) -> DataFrame:
 
 
 def reference_frame(audit: DataFrame, score: str) -> DataFrame:
-    """The accepted frame of the largest score, the first among equals; any frame if none is accepted. One row."""
-    rank = F.struct(F.col("accepted").cast("int").alias("a"), F.col(score).alias("s"), (-F.col("frame_id")).alias("f"))
-    return audit.agg(F.max_by("frame_id", rank).alias("reference_frame_id"), F.max_by("accepted", rank).alias("accepted"))
+    """The accepted frame of the largest score, the first among equals; the first frame of all if none is accepted. One row."""
+    rank = F.when(F.col("accepted"), F.struct(F.col(score).alias("s"), (-F.col("frame_id")).alias("f")))
+    return audit.agg(F.coalesce(F.max_by("frame_id", rank), F.min("frame_id")).alias("reference_frame_id"), F.coalesce(F.max("accepted"), F.lit(False)).alias("accepted"))
 
 
 def curve_stability(rows: DataFrame, share: float = 0.05) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringframe.functions.expressions import settled
-from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, sweeps, trim
+from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, stencils, sweeps, trim
 from ringframe.sources import views
 from ringframe.sources.scratch import shared_folder
 from ringframe.sources.views import SQL
@@ -1750,31 +1750,77 @@ def _dense_pixels(spark, sf_dir):
     return _placed_pixels(spark, sf_dir).withColumn("y", F.col("y") % 16).withColumn("x", F.col("x") % 16)
 
 
-_BLUR = _PLACED + """, bk AS (SELECT frame_id, y // 2 AS cy, x // 2 AS cx, max(l) FILTER (WHERE x % 2 = 0 AND y % 2 = 0) AS a, max(l) FILTER (WHERE x % 2 = 1 AND y % 2 = 0) AS b, max(l) FILTER (WHERE x % 2 = 0 AND y % 2 = 1) AS c, max(l) FILTER (WHERE x % 2 = 1 AND y % 2 = 1) AS d
-    FROM (SELECT frame_id, y % 16 AS y, x % 16 AS x, (299 * r + 587 * g + 114 * b) / 1000 AS l FROM placed) GROUP BY ALL),
-    bl AS (SELECT frame_id, avg((((a - b + c - d) / 2) ** 2 + ((a + b - c - d) / 2) ** 2) + ((a - b - c + d) / 2) ** 2) AS blur FROM bk WHERE d IS NOT NULL GROUP BY frame_id)"""
+# Whole luma of 16 x 16 places, blocks of four and their details; the audit record of each frame.
+_WHOLE = _PLACED + """, d16 AS (SELECT frame_id, y % 16 AS y, x % 16 AS x, r, g, b FROM placed), frs AS (SELECT DISTINCT frame_id FROM d16),
+    wg AS (SELECT frame_id, y, x, CAST(floor(avg((299 * r + 587 * g + 114 * b) // 1000)) AS DOUBLE) AS v FROM d16 GROUP BY ALL)"""
+_BLUR = _WHOLE + """, bk AS (SELECT frame_id, y // 2 AS cy, x // 2 AS cx, max(v) FILTER (WHERE x % 2 = 0 AND y % 2 = 0) / 255 AS a, max(v) FILTER (WHERE x % 2 = 1 AND y % 2 = 0) / 255 AS b, max(v) FILTER (WHERE x % 2 = 0 AND y % 2 = 1) / 255 AS c, max(v) FILTER (WHERE x % 2 = 1 AND y % 2 = 1) / 255 AS d FROM wg GROUP BY ALL),
+    bl AS (SELECT frame_id, avg(abs(a - b + c - d) / 2) + avg(abs(a + b - c - d) / 2) + avg(abs(a - b - c + d) / 2) AS blur_score FROM bk WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL GROUP BY frame_id)"""
+_LAPLACE = _WHOLE + """, gr AS (SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, coalesce(v, 0.0) AS v FROM (SELECT frame_id, i AS y, j AS x FROM frs, range(16) a(i), range(16) c(j)) LEFT JOIN wg USING (frame_id, y, x)),
+    lp AS (SELECT p.frame_id, var_pop(n.s - 4 * p.v) AS blur_score FROM gr p JOIN (SELECT p.frame_id, p.y, p.x, sum(q.v) AS s FROM gr p CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx)
+      JOIN gr q ON q.frame_id = p.frame_id AND q.y = CASE WHEN p.y + dy < 0 THEN 1 WHEN p.y + dy > 15 THEN 14 ELSE p.y + dy END AND q.x = CASE WHEN p.x + dx < 0 THEN 1 WHEN p.x + dx > 15 THEN 14 ELSE p.x + dx END GROUP BY ALL) n USING (frame_id, y, x) GROUP BY p.frame_id)"""
+_AUDIT = _BLUR + """, hi AS (SELECT frame_id, bin, n, n / sqrt(sum(n * n) OVER (PARTITION BY frame_id)) AS u FROM (SELECT frame_id, CAST(((299 * r + 587 * g + 114 * b) // 1000) * 64 // 256 AS INTEGER) AS bin, count(*) AS n FROM d16 GROUP BY ALL)),
+    fb AS (SELECT frame_id, lag(frame_id) OVER (ORDER BY frame_id) AS before FROM frs),
+    ju AS (SELECT frame_id, CASE WHEN before IS NULL THEN 0.0 ELSE sqrt(greatest(2 - 2 * dot, 0.0)) END AS jump FROM (SELECT fb.frame_id, fb.before, sum(a.u * coalesce(b.u, 0.0)) AS dot FROM fb JOIN hi a ON a.frame_id = fb.frame_id LEFT JOIN hi b ON b.frame_id = fb.before AND b.bin = a.bin GROUP BY ALL)),
+    sa AS (SELECT frame_id, avg(CAST(r >= 250 AS DOUBLE)) AS saturation_r, avg(CAST(g >= 250 AS DOUBLE)) AS saturation_g, avg(CAST(b >= 250 AS DOUBLE)) AS saturation_b FROM d16 GROUP BY ALL),
+    au AS (SELECT *, greatest(saturation_r, saturation_g, saturation_b) < 0.05 AND coalesce(floor(blur_score * 1e9 + 0.5) / 1e9 >= 0.48, false) AS accepted FROM sa LEFT JOIN bl USING (frame_id) JOIN ju USING (frame_id))"""
+SIDE, LEAST_BLUR = 16, 0.48
 
 
-@query(
-    "haar_blur",
-    sql("", "SELECT frame_id, blur AS blur_score FROM bl", "frame_id", "blur_score", _BLUR),
-)
+@query("haar_blur", sql("", "SELECT * FROM bl", "frame_id", "blur_score", _BLUR))
 def _(spark, sf_dir):
-    return pixels.haar_blur(_dense_pixels(spark, sf_dir))
+    return stencils.haar_blur(_dense_pixels(spark, sf_dir), SIDE, SIDE)
 
 
-@query(
-    "reference_frame",
-    sql("", "SELECT frame_id AS reference_frame_id, accepted FROM (SELECT *, greatest(sr, sg, sb) < 0.05 AS accepted FROM (SELECT frame_id, avg(CAST(r >= 250 AS DOUBLE)) AS sr, avg(CAST(g >= 250 AS DOUBLE)) AS sg, avg(CAST(b >= 250 AS DOUBLE)) AS sb, any_value(blur) AS blur FROM placed JOIN bl USING (frame_id) GROUP BY ALL)) ORDER BY accepted DESC, floor(blur * 1e9 + 0.5) DESC, frame_id LIMIT 1", "reference_frame_id, accepted", "", _BLUR),
-)
+@query("laplacian_blur", sql("", "SELECT * FROM lp", "frame_id", "blur_score", _LAPLACE))
 def _(spark, sf_dir):
+    return stencils.laplacian_blur(_dense_pixels(spark, sf_dir), SIDE, SIDE)
+
+
+def _audit(spark, sf_dir):
     px = _dense_pixels(spark, sf_dir)
-    blur = pixels.haar_blur(px).withColumn("blur_score", settled(F.col("blur_score")))
-    return sweeps.reference_frame(frames.saturation(px).join(blur, "frame_id"), "blur_score")
+    return frames.audit(px, stencils.haar_blur(px, SIDE, SIDE), LEAST_BLUR)
+
+
+@query("frame_audit", sql("", "SELECT * FROM au", "frame_id, accepted", "blur_score saturation_r saturation_g saturation_b jump", _AUDIT))
+def _(spark, sf_dir):
+    return _audit(spark, sf_dir)
 
 
-_EDGE = _PLACED + """, d16 AS (SELECT frame_id, y % 16 AS y, x % 16 AS x, r, g, b FROM placed), gw AS (SELECT frame_id AS f, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (avg(r) + avg(g) + avg(b)) / 3 AS t FROM d16 GROUP BY ALL),
-    ways AS (SELECT 'none' AS method, frame_id, y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM d16 UNION ALL SELECT 'grey_world', frame_id, y, x, floor(least(greatest(r * t / greatest(mr, 1e-6), 0.0), 255.0)), floor(least(greatest(g * t / greatest(mg, 1e-6), 0.0), 255.0)), floor(least(greatest(b * t / greatest(mb, 1e-6), 0.0), 255.0)) FROM d16 JOIN gw ON f = frame_id),
+@query("reference_frame", sql("", "SELECT coalesce(arg_max(frame_id, {'s': floor(blur_score * 1e9 + 0.5), 'f': -frame_id}) FILTER (WHERE accepted), min(frame_id)) AS reference_frame_id, bool_or(accepted) AS accepted FROM au", "reference_frame_id, accepted", "", _AUDIT))
+def _(spark, sf_dir):
+    return sweeps.reference_frame(_audit(spark, sf_dir).withColumn("blur_score", settled(F.col("blur_score"))), "blur_score")
+
+
+def _gauss(sigma: int) -> str:
+    """Weights w from place a to place b of a line of 16, its ends mirrored again and again."""
+    reach = 4 * sigma
+    return f"""kn{sigma} AS (SELECT k, exp(-0.5 * (k / {sigma}.0) ** 2) AS e FROM range(-{reach}, {reach + 1}) t(k)),
+    wt{sigma} AS (SELECT a, CASE WHEN m > 15 THEN 30 - m ELSE m END AS b, sum(e) AS w FROM (SELECT i AS a, ((i + k) % 30 + 30) % 30 AS m, e / (SELECT sum(e) FROM kn{sigma}) AS e FROM range(16) r(i), kn{sigma}) GROUP BY ALL)"""
+
+
+_LUMA = "(299 * r + 587 * g + 114 * b) / 1000"
+_FLAT = _PLACED + f""", d16 AS (SELECT frame_id, y % 16 AS y, x % 16 AS x, r, g, b FROM placed), gy AS (SELECT frame_id, y, x, avg({_LUMA}) AS v FROM d16 GROUP BY ALL), {_gauss(32)}, {_gauss(5)},
+    g1 AS (SELECT frame_id, y, a AS x, sum(v * w) AS v FROM gy JOIN wt32 ON b = x GROUP BY ALL), g2 AS (SELECT frame_id, a AS y, x, greatest(sum(v * w), 1.0) AS v FROM g1 JOIN wt32 ON b = y GROUP BY ALL),
+    gm AS (SELECT frame_id, y, x, floor(avg(v) OVER (PARTITION BY frame_id) / v * 1e9 + 0.5) / 1e9 AS k FROM g2),
+    ff AS (SELECT frame_id, y, x, {", ".join(f"floor(least(greatest(floor({c} * k * 1e9 + 0.5) / 1e9, 0.0), 255.0)) AS {c}" for c in "rgb")} FROM d16 JOIN gm USING (frame_id, y, x)),
+    h1 AS (SELECT frame_id, y, a AS x, sum(v * w) AS v FROM gy JOIN wt5 ON b = x GROUP BY ALL), h2 AS (SELECT frame_id, a AS y, x, sum(v * w) AS v FROM h1 JOIN wt5 ON b = y GROUP BY ALL),
+    pp AS (SELECT frame_id, coalesce(avg(o) FILTER (WHERE o > 0), 0.0) AS prominence FROM (SELECT frame_id, floor((gy.v - h2.v) * 1e9 + 0.5) / 1e9 AS o FROM gy JOIN h2 USING (frame_id, y, x)) GROUP BY frame_id)"""
+
+
+@query("flat_field", sql("", "SELECT frame_id, y, x, CAST(count(*) AS BIGINT) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM ff GROUP BY ALL", "frame_id, y, x, n, r, g, b", "", _FLAT))
+def _(spark, sf_dir):
+    even = stencils.flat_field(_dense_pixels(spark, sf_dir), SIDE, SIDE)
+    return even.groupBy("frame_id", "y", "x").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+
+
+@query("positive_prominence", sql("", "SELECT * FROM pp", "frame_id", "prominence", _FLAT))
+def _(spark, sf_dir):
+    return stencils.positive_prominence(_dense_pixels(spark, sf_dir), SIDE, SIDE)
+
+
+_EDGE = _FLAT + """, gw AS (SELECT frame_id AS f, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (avg(r) + avg(g) + avg(b)) / 3 AS t FROM d16 GROUP BY ALL),
+    ways AS (SELECT 'none' AS method, frame_id, y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM d16 UNION ALL SELECT 'flat_field', frame_id, y, x, r, g, b FROM ff
+      UNION ALL SELECT 'grey_world', frame_id, y, x, floor(least(greatest(r * t / greatest(mr, 1e-6), 0.0), 255.0)), floor(least(greatest(g * t / greatest(mg, 1e-6), 0.0), 255.0)), floor(least(greatest(b * t / greatest(mb, 1e-6), 0.0), 255.0)) FROM d16 JOIN gw ON f = frame_id),
     pl AS (SELECT method, frame_id, y, x, avg((299 * r + 587 * g + 114 * b) / 1000) AS l FROM ways GROUP BY ALL),
     sob AS (SELECT p.method, p.frame_id, p.y, p.x, sum(dx * (2 - abs(dy)) * coalesce(q.l, 0.0)) AS gx, sum(dy * (2 - abs(dx)) * coalesce(q.l, 0.0)) AS gy FROM pl p CROSS JOIN (VALUES (-1), (0), (1)) a(dy) CROSS JOIN (VALUES (-1), (0), (1)) c(dx)
       LEFT JOIN pl q ON q.method = p.method AND q.frame_id = p.frame_id AND q.y = CASE WHEN p.y + dy < 0 THEN 1 WHEN p.y + dy > 15 THEN 14 ELSE p.y + dy END AND q.x = CASE WHEN p.x + dx < 0 THEN 1 WHEN p.x + dx > 15 THEN 14 ELSE p.x + dx END GROUP BY ALL),
@@ -1783,8 +1829,8 @@ _EDGE = _PLACED + """, d16 AS (SELECT frame_id, y % 16 AS y, x % 16 AS x, r, g,
 
 def _corrections(spark, sf_dir):
     px = _dense_pixels(spark, sf_dir)
-    ways = {"none": px, "grey_world": pixels.grey_world(px)}
-    return gates.union([pixels.edge_energy(p, 16, 16, 2).withColumn("method", F.lit(name)) for name, p in ways.items()])
+    ways = {"none": px, "grey_world": pixels.grey_world(px), "flat_field": stencils.flat_field(px, SIDE, SIDE)}
+    return gates.union([stencils.edge_energy(p, SIDE, SIDE, 2).withColumn("method", F.lit(name)) for name, p in ways.items()])
 
 
 @query("edge_energy", sql("", "SELECT * FROM en", "method, frame_id", "edge_energy_ratio", _EDGE))
@@ -1797,9 +1843,91 @@ def _(spark, sf_dir):
     return frames.best_correction(_corrections(spark, sf_dir).withColumnRenamed("edge_energy_ratio", "score"))
 
 
+# Places that some pixel of the frame darkens make the region.
+_REGION = _PLACED + """, rg AS (SELECT DISTINCT frame_id, y % 16 AS y, x % 16 AS x FROM placed WHERE r < 250), al AS (SELECT frame_id, CAST(i AS INTEGER) AS y, CAST(j AS INTEGER) AS x FROM (SELECT DISTINCT frame_id FROM rg), range(16) a(i), range(16) c(j)),
+    ou AS (SELECT * FROM al ANTI JOIN rg USING (frame_id, y, x)),
+    di AS (SELECT rg.frame_id, rg.y, rg.x, sqrt(min((rg.y - ou.y) ** 2 + (rg.x - ou.x) ** 2)) AS distance FROM rg JOIN ou ON ou.frame_id = rg.frame_id GROUP BY ALL),
+    dt AS (SELECT *, CAST(floor(floor(distance * 3 / max(distance) OVER (PARTITION BY frame_id) * 1e9 + 0.5) / 1e9) AS INTEGER) AS terrace FROM di)"""
+
+
+@query("distance_terraces", sql("", "SELECT * FROM dt WHERE terrace < 3", "frame_id, y, x, terrace", "distance", _REGION))
+def _(spark, sf_dir):
+    return stencils.distance_terraces(_dense_pixels(spark, sf_dir).where("r < 250").select("frame_id", "y", "x").distinct(), SIDE, SIDE, 3)
+
+
+# Stand-ins: frames divisible by three have a mask of their size, others one of another size, every second a circle.
+_SUPPORT = _PLACED + """, fr AS (SELECT DISTINCT frame_id FROM placed), mk AS (SELECT DISTINCT frame_id, CASE WHEN frame_id % 3 = 0 THEN 16 ELSE 8 END AS height, 16 AS width, y % 16 AS y, x % 16 AS x FROM placed WHERE g < 200),
+    ci AS (SELECT frame_id, 7.5 AS x, frame_id % 5 + 4.0 AS y, 5.0 AS radius FROM fr WHERE frame_id % 2 = 0),
+    su AS (SELECT frame_id, y, x FROM mk WHERE height = 16 UNION ALL SELECT fr.frame_id, i, j FROM fr CROSS JOIN range(16) a(i) CROSS JOIN range(16) c(j) LEFT JOIN ci ON ci.frame_id = fr.frame_id WHERE fr.frame_id % 3 <> 0 AND (ci.frame_id IS NULL OR (j - ci.x) ** 2 + (i - ci.y) ** 2 <= ci.radius ** 2))"""
+
+
+def _support(spark, sf_dir):
+    px = _dense_pixels(spark, sf_dir)
+    ids = px.select("frame_id").distinct()
+    mask = px.where("g < 200").select("frame_id", F.when(F.col("frame_id") % 3 == 0, 16).otherwise(8).alias("height"), F.lit(16).alias("width"), "y", "x")
+    circle = ids.where("frame_id % 2 = 0").select("frame_id", F.lit(7.5).alias("x"), (F.col("frame_id") % 5 + 4.0).alias("y"), F.lit(5.0).alias("radius"))
+    return stencils.support(SIDE, SIDE, ids, mask, circle)
+
+
+@query("support_places", sql("", "SELECT frame_id, count(*) AS n, CAST(sum(y * 16 + x) AS BIGINT) AS places FROM su GROUP BY frame_id", "frame_id, n, places", "", _SUPPORT))
+def _(spark, sf_dir):
+    return _support(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 16 + F.col("x")).alias("places"))
+
+
+_GUARD = """fh AS (SELECT f AS frame_id, hole_id, radius_outer_px FROM holes, range(3) t(f) WHERE hole_id % 3 <= f), mx AS (SELECT CAST(max(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM fh GROUP BY frame_id)), md AS (SELECT median(radius_outer_px) AS m FROM fh),
+    ar AS (SELECT count(*) AS a FROM (SELECT DISTINCT y, x FROM placed))"""
+
+
+@query(
+    "radial_input_guard",
+    sql(
+        "holes",
+        "SELECT n <= p AS ok, CASE WHEN n > p THEN 'hole_count_exceeds_physical_nonoverlap_limit' END AS reason, n AS max_frame_holes, p AS physical_max_holes, m AS median_hole_radius_px, a AS support_area_px FROM (SELECT n, m, a, CAST(greatest(1, floor(a / (pi() * m * m))) AS BIGINT) AS p FROM mx, md, ar)",
+        "ok, reason, max_frame_holes, physical_max_holes, support_area_px",
+        "median_hole_radius_px",
+        _PLACED + ", " + _GUARD,
+    ),
+)
+def _(spark, sf_dir):
+    """Holes by three frames, which have more of them one after the other; the places with pixels are the support."""
+    of = views.holes(spark, sf_dir).withColumn("frame_id", F.explode(F.array(*[F.lit(f) for f in range(3)]))).where("hole_id % 3 <= frame_id")
+    return gates.radial_input_guard(of.select("frame_id").distinct(), of, _placed_pixels(spark, sf_dir))
+
+
+_PLACES = _RESP + """, on_ AS (SELECT hole_id, min(frame_id) AS onset_frame FROM resp WHERE response > 0.4 AND hole_id % 4 <> 1 GROUP BY ALL),
+    rp AS (SELECT r.hole_id, CASE WHEN r.hole_id % 5 = 0 THEN '' ELSE 'P' || CAST(r.hole_id % 3 AS VARCHAR) END AS phenotype_label, any_value(o.onset_frame) AS onset_frame,
+      arg_min(r.frame_id, {'r': coalesce(-floor(response * 1e9 + 0.5), 1e300), 'f': r.frame_id}) AS peak_frame, floor(coalesce(sum(response), 0.0) * 1e9 + 0.5) / 1e9 AS integrated_response FROM resp r LEFT JOIN on_ o ON o.hole_id = r.hole_id GROUP BY ALL),
+    pl AS (SELECT *, row_number() OVER (ORDER BY phenotype_label, onset_frame NULLS LAST, peak_frame, integrated_response DESC, hole_id) - 1 AS place FROM rp)"""
+
+
+def _response_places(spark, sf_dir):
+    """Stand-in labels by hole, none for every fifth; onsets are the first frames above 0.4, none for every fourth."""
+    response = activity.hole_response(views.cluster_tensor(spark, sf_dir))
+    holes = response.select("hole_id").distinct()
+    labels = holes.where("hole_id % 5 <> 0").select("hole_id", F.concat(F.lit("P"), (F.col("hole_id") % 3).cast("string")).alias("phenotype_label"))
+    onsets = response.where("response > 0.4 AND hole_id % 4 <> 1").select("hole_id", F.col("frame_id").alias("onset_frame"))
+    return response, activity.response_places(response, labels, onsets)
+
+
+@query("response_places", sql("tensor", "SELECT * FROM pl", "place, hole_id, phenotype_label, onset_frame, peak_frame", "integrated_response", _PLACES))
+def _(spark, sf_dir):
+    return _response_places(spark, sf_dir)[1]
+
+
+@query("response_barcode", sql("tensor", "SELECT place, pl.hole_id, f.frame_id, response FROM pl CROSS JOIN (SELECT DISTINCT frame_id FROM resp) f LEFT JOIN resp ON resp.hole_id = pl.hole_id AND resp.frame_id = f.frame_id", "place, hole_id, frame_id", "response", _PLACES))
+def _(spark, sf_dir):
+    return activity.barcode(*_response_places(spark, sf_dir))
+
+
 def _mixture(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
-    return mixture.prevalence(px, mixture.choose(mixture.balanced_sample(mixture.embedded(px))))
+    return mixture.prevalence(px, mixture.choose(mixture.colours(px)))
+
+
+@query("colour_mixture_candidates")
+def _(spark, sf_dir):
+    """Each k that was tried, with its criteria, relevance and which one is selected."""
+    return mixture.judged(mixture.fit(mixture.colours(views.pixels(spark, sf_dir)))[1])
 
 
 @query("colour_mixture_prevalence")
@@ -1810,3 +1938,21 @@ def _(spark, sf_dir):
 @query("colour_mixture_context")
 def _(spark, sf_dir):
     return mixture.frame_context(_mixture(spark, sf_dir))
+
+
+# Sets of candidates made from the orders of each customer: the choice alone.
+_JUDGED = """ca AS (SELECT o_custkey AS set_id, CAST(o_orderkey % 8 + 1 AS INTEGER) AS k, min(floor(o_totalprice / 1000)) AS icl, max(floor(o_totalprice / 900)) AS bic, avg(o_orderkey % 10) / 20.0 AS w, 0.2 AS wf, CAST(max(o_orderkey % 7) AS DOUBLE) AS sep FROM orders GROUP BY ALL),
+    cb AS (SELECT *, first_value(sep) OVER (PARTITION BY set_id ORDER BY k <> 2, k) AS base FROM ca), cf AS (SELECT *, CASE WHEN base > 0 THEN 0.8 * base ELSE 0.0 END AS sf FROM cb),
+    cr AS (SELECT *, k <= 2 OR (w >= wf AND sep >= sf) AS rel FROM cf), ce AS (SELECT *, CASE WHEN bool_or(rel) OVER (PARTITION BY set_id) THEN rel ELSE k = first_value(k) OVER (PARTITION BY set_id ORDER BY icl, k) END AS el FROM cr),
+    cs AS (SELECT *, min(icl) FILTER (WHERE el) OVER (PARTITION BY set_id) AS best FROM ce), ck AS (SELECT *, k = min(k) FILTER (WHERE el AND icl <= best + 10) OVER (PARTITION BY set_id) AS selected, bic - min(bic) OVER (PARTITION BY set_id) AS bic_delta_from_best, icl - min(icl) OVER (PARTITION BY set_id) AS icl_delta_from_best FROM cs)"""
+
+
+@query("mixture_choice", sql("", "SELECT set_id, k, rel AS is_relevant, selected, sf AS center_separation_floor, bic_delta_from_best, icl_delta_from_best FROM ck", "set_id, k, is_relevant, selected", "center_separation_floor bic_delta_from_best icl_delta_from_best", _JUDGED))
+def _(spark, sf_dir):
+    thousands = F.floor(F.col("o_totalprice") / 1000).cast("double")
+    sets = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("set_id"), (F.col("o_orderkey") % 8 + 1).cast("int").alias("k")).agg(
+        F.min(thousands).alias("icl"), F.max(F.floor(F.col("o_totalprice") / 900).cast("double")).alias("bic"), (F.avg(F.col("o_orderkey") % 10) / 20.0).alias("min_component_weight"),
+        F.lit(0.2).alias("component_weight_floor"), F.max(F.col("o_orderkey") % 7).cast("double").alias("min_center_sigma_separation"),
+    )
+    out = mixture.judged(sets, keys=("set_id",))
+    return out.select("set_id", "k", "is_relevant", "selected", "center_separation_floor", "bic_delta_from_best", "icl_delta_from_best")

@@ -262,13 +262,13 @@ class Baselines(StatefulProcessor):
 
 def first_frame_deltas(rows: DataFrame) -> DataFrame:
     """Change of each (hole, annulus, frame) against the cell's first frame, from a stream of measures (hole_id, annulus_id, frame_id,
-    cents) in whatever order they come; a frame's value is the mean of its cents / 100.
+    cents) in whatever order they come; a frame's value is the mean of its cents / 100. Null cents are left out.
 
     A frame is told anew, with a higher revision, when its value or the baseline changes; `latest` has the last word. A cell's
     state has two numbers for each of its frames.
     """
     keys = ["hole_id", "annulus_id", "frame_id"]
-    sums = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col("cents").cast("long").alias("total"), F.lit(1).cast("long").alias("n"))
+    sums = rows.where("cents IS NOT NULL").select(*[F.col(k).cast("int").alias(k) for k in keys], F.col("cents").cast("long").alias("total"), F.lit(1).cast("long").alias("n"))
     schema = "hole_id int, annulus_id int, frame_id int, revision int, baseline_frame_id int, descriptor_value double, baseline_descriptor_value double, delta_descriptor_value double"
     return sums.groupBy("hole_id", "annulus_id").transformWithState(Baselines(), schema, "Append", "None")
 
