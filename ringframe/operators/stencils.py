@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import settled
 
-GREY = (299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000
-
 
 def by_line(values: DataFrame, fixed: str, moving: str, filtered: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Filter each line (the places of a frame that share `fixed`) of (frame_id, y, x, v): `filtered` gets its places and values.
@@ -66,7 +64,7 @@ def gaussian(values: DataFrame, height: int, width: int, sigma: float) -> DataFr
 
 def grey_places(pixels: DataFrame) -> DataFrame:
     """The mean luma of each place."""
-    return pixels.groupBy("frame_id", "y", "x").agg(F.avg(GREY).alias("v"))
+    return pixels.groupBy("frame_id", "y", "x").agg(F.avg((299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000).alias("v"))
 
 
 def flat_field(pixels: DataFrame, height: int, width: int, sigma: float = 32.0) -> DataFrame:
