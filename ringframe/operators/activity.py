@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import pick_first, settled
 from ringframe.operators.reshape import ordered_places
+from ringframe.sources.scratch import checkpointed
 
 FRONT = 0.15
 
@@ -83,6 +84,27 @@ def activity(tensor: DataFrame, keys: list[str], baseline_frames: int = 3, keep:
     )
 
 
+def run_activity(tensor: DataFrame, baseline_frames: int = 3) -> DataFrame:
+    """Per (frame, cluster) of the whole frame: share of pixels (0 where a cluster is missing), its mean over the first frames that
+    have the cluster, what exceeds that, and this divided by the run's largest (0 if nothing exceeds).
+
+    The first frames are the first `baseline_frames` of the run (one at least); a cluster that none of them has starts from 0.
+    """
+    counts = tensor.groupBy("frame_id", "cluster_id").agg(F.sum("pixel_count").alias("pixel_count"))
+    whole = counts.groupBy("frame_id").agg(F.sum("pixel_count").alias("n_valid_px"))
+    first = whole.orderBy("frame_id").limit(max(1, baseline_frames)).select("frame_id")
+    share = F.col("pixel_count") / F.greatest("n_valid_px", F.lit(1))
+    base = counts.join(F.broadcast(first), "frame_id", "left_semi").join(whole, "frame_id").groupBy("cluster_id").agg(F.avg(share).alias("baseline_fraction"))
+    grid = whole.crossJoin(F.broadcast(counts.select("cluster_id").distinct()))  # clusters are few
+    full = grid.join(counts, ["frame_id", "cluster_id"], "left").join(F.broadcast(base), "cluster_id", "left")
+    full = full.withColumns({"pixel_count": F.coalesce("pixel_count", F.lit(0)), "baseline_fraction": F.coalesce("baseline_fraction", F.lit(0.0))})
+    full = full.withColumn("raw_fraction", share).withColumn("active_fraction", F.greatest(F.col("raw_fraction") - F.col("baseline_fraction"), F.lit(0.0)))
+    full = checkpointed(full)
+    most = full.agg(F.max("active_fraction").alias("_most"))
+    out = full.crossJoin(F.broadcast(most)).withColumn("normalized_active_fraction", F.when(F.col("_most") > 0, F.col("active_fraction") / F.col("_most")).otherwise(0.0))
+    return out.select("frame_id", "cluster_id", "pixel_count", "n_valid_px", "raw_fraction", "baseline_fraction", "active_fraction", "normalized_active_fraction")
+
+
 def activity_front(active: DataFrame) -> DataFrame:
     """Per (frame, cluster): mean and spread of the terrace weighted by activity, null where the total is 1e-12 or less."""
     w, x = F.col("active_fraction"), F.col("terrace_index")

@@ -71,6 +71,23 @@ def hsv_stats(pixels: DataFrame, least_saturation: float = 0.2) -> DataFrame:
     return known.groupBy("frame_id").agg(F.avg("h").alias("mean_h"), F.avg("s").alias("mean_s"), F.avg("v").alias("mean_v"), F.avg((F.col("s") >= least_saturation).cast("double")).alias("hue_share"))
 
 
+DESCRIPTORS = ("r", "g", "b", "h", "s")
+
+
+def descriptor(pixels: DataFrame, name: str) -> DataFrame:
+    """The pixels with `value`: a channel over 255, or 8-bit hue or saturation over their range; other names raise."""
+    if name not in DESCRIPTORS:
+        raise ValueError(f"unknown descriptor: {name}")
+    h, s, _ = hsv8(F.col("r"), F.col("g"), F.col("b"))
+    return pixels.withColumn("value", {"h": h, "s": s}.get(name, F.col(name) / F.lit(255.0)))
+
+
+def masked_hue(pixels: DataFrame, least_saturation: float = 0.2) -> DataFrame:
+    """The pixels with `hue`, null where saturation is below `least_saturation`."""
+    h, s, _ = hsv8(F.col("r"), F.col("g"), F.col("b"))
+    return pixels.withColumn("hue", F.when(s >= least_saturation, h))
+
+
 def saturation(pixels: DataFrame, threshold: int = 250) -> DataFrame:
     """Per frame the share of saturated values of each channel and whether the frame is accepted (under 5 % in each)."""
     shares = {c: F.avg((F.col(c) >= threshold).cast("double")) for c in "rgb"}

@@ -57,6 +57,75 @@ def least_squares(holes: DataFrame) -> DataFrame:
     return out.select("origin_x", "origin_y", "a_x", "a_y", "b_x", "b_y", "n_holes")
 
 
+def fit_quality(holes: DataFrame, basis: DataFrame) -> DataFrame:
+    """The basis of `least_squares` (one row) with its spacings, the mean distance of holes from their places under it, and the
+    confidence 1 / (1 + residual / spacing), of the smaller spacing. Null without a basis.
+    """
+    u, v = F.col("lattice_u"), F.col("lattice_v")
+    off = F.hypot(*[F.col(z) - F.col(f"origin_{z}") - F.col(f"a_{z}") * u - F.col(f"b_{z}") * v for z in "xy"])
+    away = holes.crossJoin(F.broadcast(basis)).agg(F.avg(off).alias("residual_px"))
+    spaced = basis.withColumns({"spacing_u_px": F.hypot("a_x", "a_y"), "spacing_v_px": F.hypot("b_x", "b_y")}).crossJoin(away)
+    return spaced.withColumn("confidence", 1 / (1 + F.col("residual_px") / F.greatest(F.least("spacing_u_px", "spacing_v_px"), F.lit(1e-6))))
+
+
+def nearest_pitch(holes: DataFrame) -> DataFrame:
+    """One row over all pairs: the least distance of two centres, and the least positive gap of two borders (null where there is none).
+
+    Pairs meet on a grid of cells, which doubles until the answer must be among those met: the borders of centres farther apart than
+    a cell are farther apart than the least gap found. With no positive gap at all, that is a grid as wide as the holes' extent.
+    """
+    extent = holes.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("radius_outer_px"), F.count(F.lit(1))).first()
+    span, radius = max(extent[0] or 0.0, extent[1] or 0.0) + 1.0, max(extent[2] or 0.0, 0.0)
+
+    def met(size: float) -> tuple[float | None, float | None]:
+        cell = lambda c: F.floor(F.col(c) / size)
+        offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
+        a = holes.select(F.col("hole_id").alias("_a"), F.col("x").alias("_ax"), F.col("y").alias("_ay"), F.greatest("radius_outer_px", F.lit(0.0)).alias("_ar"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+        b = holes.select("hole_id", "x", "y", F.greatest("radius_outer_px", F.lit(0.0)).alias("_br"), F.explode(offsets).alias("_o")).withColumns({"_cx": cell("x") + F.col("_o.u"), "_cy": cell("y") + F.col("_o.v")})
+        away = F.hypot(F.col("x") - F.col("_ax"), F.col("y") - F.col("_ay"))
+        gap = away - F.col("_ar") - F.col("_br")
+        near = a.join(b, ["_cx", "_cy"]).where((F.col("_a") < F.col("hole_id")) & (away <= size))
+        return tuple(near.agg(F.min(away), F.min(F.when(gap > 0, gap))).first())
+
+    size, pitch, gap = max(1.0, span / max(1.0, float(extent[3] or 1) ** 0.5)), None, None
+    while extent[3]:
+        pitch, gap = met(size)
+        whole = size >= 1.5 * span
+        if whole or pitch is not None and gap is not None and gap + 2 * radius <= size:
+            break
+        size *= 2
+    return holes.sparkSession.createDataFrame([(pitch, gap)], "min_center_px double, min_gap_px double")
+
+
+def terrace_width_plan(holes: DataFrame, n_terraces: int = 8, width_mode: str = "fixed", gap_basis: str = "border_gap", outer_radius: float | None = None, min_width: float = 0.0) -> DataFrame:
+    """Terrace widths of each hole from the room to its direct lattice neighbours.
+
+    `width_mode` is fixed (to `outer_radius`, else 2.5 radii beyond the hole, 8 px at least), half_gap or full_gap of the least
+    border gap or centre pitch (`gap_basis`) to a neighbour; a hole without neighbours (or without a positive gap) takes the
+    least one of all pairs. Where that leaves no room, `outer_radius` is used if given. Widths are `min_width` at least.
+    """
+    if width_mode not in ("fixed", "half_gap", "full_gap") or gap_basis not in ("border_gap", "center_pitch"):
+        raise ValueError(f"unknown width mode or gap basis: {width_mode}, {gap_basis}")
+    center = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    border = center - F.greatest("a_radius_outer_px", F.lit(0.0)) - F.greatest("b_radius_outer_px", F.lit(0.0))
+    own = neighbours(holes, 1).groupBy(F.col("a_hole_id").alias("hole_id")).agg(F.count(F.lit(1)).alias("_n"), F.min(center).alias("_center"), F.min(F.when(border > 0, border)).alias("_gap"))
+    out = holes.join(own, "hole_id", "left").crossJoin(F.broadcast(nearest_pitch(holes)))
+    out = out.withColumns({"neighbor_count": F.coalesce("_n", F.lit(0).cast("bigint")), "min_center_pitch_px": F.coalesce("_center", "min_center_px"), "min_border_gap_px": F.coalesce("_gap", "min_gap_px")})
+    fallback = F.when((F.col("neighbor_count") == 0) | (F.lit(gap_basis == "border_gap") & F.col("_gap").isNull()), "global_min_gap").otherwise("neighbors")
+    if width_mode == "fixed":
+        reach = F.lit(float(outer_radius)) if outer_radius is not None else F.col("radius_outer_px") + 2.5 * F.greatest("radius_outer_px", F.lit(8.0))
+        span = F.greatest(reach - F.col("radius_outer_px"), F.lit(0.0))
+    else:
+        span = F.coalesce("min_center_pitch_px" if gap_basis == "center_pitch" else "min_border_gap_px", F.lit(0.0)) * (1.0 if width_mode == "full_gap" else 0.5)
+        span = F.greatest(span, F.lit(0.0))
+        if outer_radius is not None:
+            fallback = F.when(span <= 0, "fixed_outer_radius").otherwise(fallback)
+            span = F.when(span <= 0, F.greatest(F.lit(float(outer_radius)) - F.col("radius_outer_px"), F.lit(0.0))).otherwise(span)
+    out = out.withColumn("annulus_width_px", F.greatest(span / max(1, n_terraces), F.lit(float(min_width)))).withColumn("fallback_mode", fallback)
+    out = out.withColumn("usable_annulus_span_px", F.col("annulus_width_px") * max(1, n_terraces))
+    return out.select("hole_id", "neighbor_count", "min_center_pitch_px", "min_border_gap_px", "usable_annulus_span_px", "annulus_width_px", "fallback_mode", (F.col("radius_outer_px") + F.col("usable_annulus_span_px")).alias("terrace_outer_radius_px"))
+
+
 def terrace_plan(holes: DataFrame, n_terraces: int = 8, min_width: float = 1.0) -> DataFrame:
     """Per hole: the least gap between its border and a direct neighbour's, or the global least one, half of it dealt to the terraces."""
     gap = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) - F.col("a_radius_outer_px") - F.col("b_radius_outer_px")
@@ -98,6 +167,38 @@ def exclusions(holes: DataFrame, width: float, height: float, reach: float | Col
     return holes.select("hole_id", *[f.alias(k) for k, f in flags.items()], reasons.alias("reasons"), (reasons == "").alias("is_complete"))
 
 
+def containment(holes: DataFrame, height: int, width: int, circle: tuple[float, float, float] | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """The four flags of each hole (hole_id, x, y, radius_outer_px, terrace_outer_radius_px): its disk and its terraces inside the frame,
+    and inside the wafer, which is the circle if there is one, else the mask's places (y, x), else everything.
+
+    A disk is inside a mask if it is inside the frame and all places within its radius (there must be one) are in the mask:
+    the places of each disk are counted and those in the mask are joined.
+    """
+    outer = F.greatest("radius_outer_px", F.lit(0.0))
+    sizes = {"hole": outer, "terrace": F.greatest("terrace_outer_radius_px", outer)}
+    within = lambda r: (F.col("x") - r >= 0) & (F.col("y") - r >= 0) & (F.col("x") + r <= width - 1) & (F.col("y") + r <= height - 1)
+    out = holes.select("hole_id", "x", "y", *[r.alias(f"_{k}") for k, r in sizes.items()])
+    for k in sizes:
+        out = out.withColumn(f"{k}_inside_frame", within(F.col(f"_{k}")))
+    if circle is not None:
+        for k in sizes:
+            out = out.withColumn(f"{k}_inside_wafer", F.hypot(F.col("x") - circle[0], F.col("y") - circle[1]) + F.col(f"_{k}") <= circle[2] + 1e-6)
+    elif mask is not None:
+        span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("_terrace")).cast("int"), F.ceil(F.col(c) + F.col("_terrace")).cast("int")))
+        disks = out.select("hole_id", F.col("x").alias("_px"), F.col("y").alias("_py"), "_hole", "_terrace", span("x").alias("x")).join(out.select("hole_id", span("y").alias("y")), "hole_id")
+        away = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
+        known = disks.where(away <= F.col("_terrace") * F.col("_terrace")).withColumn("_near", away <= F.col("_hole") * F.col("_hole")).join(mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"], "left")
+        sound = known.groupBy("hole_id").agg(F.bool_and(F.col("_in").isNotNull()).alias("_all_terrace"), F.bool_and(F.when(F.col("_near"), F.col("_in").isNotNull())).alias("_all_hole"))
+        out = out.join(sound, "hole_id", "left")
+        for k in sizes:
+            out = out.withColumn(f"{k}_inside_wafer", F.col(f"{k}_inside_frame") & F.coalesce(f"_all_{k}", F.lit(False)))
+    else:
+        out = out.withColumns({f"{k}_inside_wafer": F.lit(True) for k in sizes})
+    flags = [f"{k}_inside_{of}" for of in ("frame", "wafer") for k in sizes]
+    reasons = F.concat_ws(";", *[F.when(~F.col(f), f.replace("_inside_", "_outside_")) for f in flags])
+    return out.select("hole_id", *flags, reasons.alias("reasons"))
+
+
 def reason_counts(excluded: DataFrame) -> DataFrame:
     return excluded.where("reasons <> ''").select(F.explode(F.split("reasons", ";")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

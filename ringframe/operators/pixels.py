@@ -91,6 +91,22 @@ def sampled(pixels: DataFrame, per_frame: int = 5000, seed: int = 0) -> DataFram
     return pixels.withColumn("_k", F.row_number().over(Window.partitionBy("frame_id").orderBy(order))).where(F.col("_k") <= per_frame).drop("_k")
 
 
+def bulk_rows(support: DataFrame, holes: DataFrame, most: int = 5000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The places of the support that no hole covers, and one row for each frame about them.
+
+    `support` is (frame_id, y, x), `holes` (hole_id, x, y, radius_outer_px). The first table is a sample of at most `most` places of
+    each frame by a hash (a sampling operator, like `sampled`); the second counts all: n_support_px, n_hole_px (support places in
+    holes), n_valid_px, n_sampled_px and valid_fraction_of_support.
+    """
+    valid = outside_holes(support.select("frame_id", "y", "x"), holes)
+    total = support.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_support_px"))
+    free = valid.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_valid_px"))
+    rows = total.join(free, "frame_id", "left").withColumn("n_valid_px", F.coalesce("n_valid_px", F.lit(0).cast("bigint")))
+    return sampled(valid, most, seed), rows.select(
+        "frame_id", "n_support_px", (F.col("n_support_px") - F.col("n_valid_px")).alias("n_hole_px"), "n_valid_px", F.least("n_valid_px", F.lit(most).cast("bigint")).alias("n_sampled_px"), (F.col("n_valid_px") / F.col("n_support_px")).alias("valid_fraction_of_support")
+    )
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two pixel sets (y, x): intersection over union (1 if both are empty) and over the smaller one."""
     both = a.select("y", "x", F.lit(1).alias("_a")).join(b.select("y", "x", F.lit(1).alias("_b")), ["y", "x"], "full")

@@ -64,3 +64,18 @@ def summary(scored: DataFrame, sector_summary: DataFrame) -> DataFrame:
     """One row over all holes: mean support, interval width of the velocity, uncertainty, and share of sectors with a velocity; null where none is known."""
     part = scored.agg(F.avg("support_fraction").alias("mean_support"), F.avg("bootstrap_velocity_ci_width").alias("mean_velocity_ci_width"), F.avg("uncertainty_score").alias("mean_uncertainty_score"))
     return part.crossJoin(F.broadcast(sector_summary.agg(F.avg("valid_sector_velocity_fraction").alias("mean_sector_velocity_fraction"))))
+
+
+def validation_summaries(scored: DataFrame, velocities: DataFrame, accelerations: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Two summaries of one row each; means over holes, null where none is known.
+
+    First: support of the archetypes, interval width of the velocity, share of sectors with a velocity. Second: uncertainty
+    score, interval width of the velocity of the scored holes, share of sectors with an acceleration.
+    """
+    known = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    share = lambda df, c, name: df.agg(known(c).alias(name))
+    first = scored.agg(known("support_fraction").alias("mean_bootstrap_class_support"), known("bootstrap_velocity_ci_width").alias("mean_velocity_ci_width"))
+    second = scored.agg(known("uncertainty_score").alias("mean_uncertainty_score"), known("bootstrap_velocity_ci_width").alias("mean_hotspot_linked_velocity_ci_width"))
+    first = first.crossJoin(share(velocities, "valid_sector_velocity_fraction", "mean_sector_propagation_valid_fraction"))
+    second = second.crossJoin(share(accelerations, "valid_sector_acceleration_fraction", "mean_sector_acceleration_valid_fraction"))
+    return tuple(df.withColumn("validation_enabled", F.lit(enabled)) for df in (first, second))

@@ -41,6 +41,26 @@ def smoothed(rows: DataFrame, keys: list[str], order: str, values: list[str], wi
     return rows.select(*keys, order, *[padded(c).alias(c) for c in values])
 
 
+def smooth_values(rows: DataFrame, keys: list[str], order: str, value: str, width: int = 3) -> DataFrame:
+    """Moving averages of `width` along `order` for each key, the end values standing in beyond the ends: (keys, place from 0, value).
+
+    Series of fewer than three values, and widths below two, come back as they are. An even width has one value more than the
+    series. A window with a null has no value. A series is held as one array; it is as long as there are frames.
+    """
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda p: p[value])
+    series = rows.groupBy(*keys).agg(pairs.alias("_v"))
+    n, pad = F.size("_v"), width // 2
+    inside = lambda i: F.element_at("_v", F.least(F.greatest(i, F.lit(1)), n))
+    window = lambda i: F.aggregate(F.sequence(i - pad, i - pad + width - 1), F.lit(0.0), lambda total, k: total + inside(k)) / width
+    averaged = F.transform(F.sequence(F.lit(1), n + 2 * pad + 1 - width), window) if width > 1 else F.col("_v")
+    return series.select(*keys, F.posexplode(F.when(n < 3, F.col("_v")).otherwise(averaged)).alias("place", value))
+
+
+def bars(rows: DataFrame, label: str, value: str, order: str, limit: int = 12) -> DataFrame:
+    """A bar chart's first `limit` rows by `order` (a plot's limit): label and value, null values as 0."""
+    return rows.orderBy(order).limit(limit).select(F.col(label).cast("string").alias("label"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
+
+
 def line_series(rows: DataFrame, group: str, x: str, y: str, last_by: str, limit: int = 12) -> DataFrame:
     """The first `limit` groups (a plot's lines) on all x alike: a row for each group and x, the last y by `last_by`, null where there is none."""
     lines = rows.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(limit)

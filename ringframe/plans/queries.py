@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ringframe.functions.expressions import settled
 from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, stencils, sweeps, trim
-from ringframe.sources import views
+from ringframe.sources import tables, views
 from ringframe.sources.scratch import shared_folder
 from ringframe.sources.views import SQL
 from ringframe.streaming import stateful
@@ -1856,12 +1856,12 @@ def _(spark, sf_dir):
 
 
 # Stand-ins: frames divisible by three have a mask of their size, others one of another size, every second a circle.
-_SUPPORT = _PLACED + """, fr AS (SELECT DISTINCT frame_id FROM placed), mk AS (SELECT DISTINCT frame_id, CASE WHEN frame_id % 3 = 0 THEN 16 ELSE 8 END AS height, 16 AS width, y % 16 AS y, x % 16 AS x FROM placed WHERE g < 200),
+_SUPPORTED = _PLACED + """, fr AS (SELECT DISTINCT frame_id FROM placed), mk AS (SELECT DISTINCT frame_id, CASE WHEN frame_id % 3 = 0 THEN 16 ELSE 8 END AS height, 16 AS width, y % 16 AS y, x % 16 AS x FROM placed WHERE g < 200),
     ci AS (SELECT frame_id, 7.5 AS x, frame_id % 5 + 4.0 AS y, 5.0 AS radius FROM fr WHERE frame_id % 2 = 0),
     su AS (SELECT frame_id, y, x FROM mk WHERE height = 16 UNION ALL SELECT fr.frame_id, i, j FROM fr CROSS JOIN range(16) a(i) CROSS JOIN range(16) c(j) LEFT JOIN ci ON ci.frame_id = fr.frame_id WHERE fr.frame_id % 3 <> 0 AND (ci.frame_id IS NULL OR (j - ci.x) ** 2 + (i - ci.y) ** 2 <= ci.radius ** 2))"""
 
 
-def _support(spark, sf_dir):
+def _supported(spark, sf_dir):
     px = _dense_pixels(spark, sf_dir)
     ids = px.select("frame_id").distinct()
     mask = px.where("g < 200").select("frame_id", F.when(F.col("frame_id") % 3 == 0, 16).otherwise(8).alias("height"), F.lit(16).alias("width"), "y", "x")
@@ -1869,9 +1869,9 @@ def _support(spark, sf_dir):
     return stencils.support(SIDE, SIDE, ids, mask, circle)
 
 
-@query("support_places", sql("", "SELECT frame_id, count(*) AS n, CAST(sum(y * 16 + x) AS BIGINT) AS places FROM su GROUP BY frame_id", "frame_id, n, places", "", _SUPPORT))
+@query("support_places", sql("", "SELECT frame_id, count(*) AS n, CAST(sum(y * 16 + x) AS BIGINT) AS places FROM su GROUP BY frame_id", "frame_id, n, places", "", _SUPPORTED))
 def _(spark, sf_dir):
-    return _support(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 16 + F.col("x")).alias("places"))
+    return _supported(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 16 + F.col("x")).alias("places"))
 
 
 _GUARD = """fh AS (SELECT f AS frame_id, hole_id, radius_outer_px FROM holes, range(3) t(f) WHERE hole_id % 3 <= f), mx AS (SELECT CAST(max(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM fh GROUP BY frame_id)), md AS (SELECT median(radius_outer_px) AS m FROM fh),
@@ -1919,6 +1919,224 @@ def _(spark, sf_dir):
     return activity.barcode(*_response_places(spark, sf_dir))
 
 
+# --- geometry, records and raw frames ------------------------------------------------------------------------------------
+
+
+_QUALITY = f"""ls AS (SELECT {_plane('x')}, {_plane('y')} FROM (SELECT x, y, CAST(lattice_u AS DOUBLE) AS u, CAST(lattice_v AS DOUBLE) AS v FROM holes)),
+    lr AS (SELECT avg(sqrt((x - origin_x - a_x * lattice_u - b_x * lattice_v) ** 2 + (y - origin_y - a_y * lattice_u - b_y * lattice_v) ** 2)) AS residual_px FROM holes, ls),
+    fq AS (SELECT *, 1 / (1 + residual_px / greatest(least(spacing_u_px, spacing_v_px), 1e-6)) AS confidence FROM (SELECT *, sqrt(a_x * a_x + a_y * a_y) AS spacing_u_px, sqrt(b_x * b_x + b_y * b_y) AS spacing_v_px FROM ls, lr))"""
+
+
+def _quality(spark, sf_dir):
+    holes = views.holes(spark, sf_dir)
+    return lattice.fit_quality(holes, lattice.least_squares(holes))
+
+
+@query("lattice_quality", sql("holes", "SELECT * FROM fq", "", "origin_x origin_y a_x a_y b_x b_y spacing_u_px spacing_v_px residual_px confidence", _QUALITY))
+def _(spark, sf_dir):
+    return _quality(spark, sf_dir).drop("n_holes")
+
+
+_CHECKS = _PLACED + ", " + _QUALITY + """, hn AS (SELECT count(*) AS n, count(*) FILTER (WHERE sqrt((x - 280.0) ** 2 + (y - 280.0) ** 2) > 201.0) AS outside FROM holes), ar AS (SELECT count(*) AS area FROM (SELECT DISTINCT y, x FROM placed)),
+    fz AS (SELECT coalesce(confidence, 0.0) AS confidence, coalesce(spacing_u_px, 0.0) AS su, coalesce(spacing_v_px, 0.0) AS sv FROM fq),
+    cx AS (SELECT *, 12.0 / nullif(CASE WHEN su > 0 AND sv > 0 THEN least(su, sv) ELSE greatest(su, sv) END, 0.0) AS ratio, greatest(1, floor(area / (pi() * 144.0))) AS fits, area / 250000.0 AS share, area / 250000.0 > 0.985 AS whole FROM fz, hn, ar),
+    ck AS (SELECT unnest([{'name': 'minimum_hole_count', 'passed': n >= 8, 'severity': 'fail', 'value': CAST(n AS DOUBLE)},
+      {'name': 'lattice_confidence', 'passed': confidence >= CASE WHEN whole AND n >= 12 THEN 0.65 ELSE 0.75 END, 'severity': 'fail', 'value': confidence},
+      {'name': 'radius_spacing_ratio', 'passed': coalesce(ratio BETWEEN 0.08 AND 0.42, false), 'severity': 'warn', 'value': ratio}, {'name': 'physical_nonoverlap_hole_count', 'passed': n <= fits, 'severity': 'fail', 'value': CAST(fits AS DOUBLE)},
+      {'name': 'support_not_empty', 'passed': area > 0, 'severity': 'fail', 'value': CAST(area AS DOUBLE)}, {'name': 'support_is_object_specific', 'passed': NOT whole, 'severity': 'warn', 'value': share},
+      {'name': 'full_frame_support_hole_count', 'passed': NOT (whole AND n > 180), 'severity': 'warn', 'value': CAST(n AS DOUBLE)},
+      {'name': 'support_circle_scale', 'passed': true, 'severity': CASE WHEN whole THEN 'warn' ELSE 'fail' END, 'value': 200.0},
+      {'name': 'hole_centers_inside_support', 'passed': outside = 0, 'severity': 'fail', 'value': CAST(outside AS DOUBLE)}], recursive := true) FROM cx),
+    vd AS (SELECT count(*) FILTER (WHERE NOT passed AND severity = 'fail') AS fail_count, count(*) FILTER (WHERE NOT passed AND severity = 'warn') AS warning_count FROM ck)"""
+
+
+def _checks(spark, sf_dir):
+    """The places with pixels of a 500 x 500 frame are the support, in a circle around its middle."""
+    return gates.geometry_checks(views.holes(spark, sf_dir), _quality(spark, sf_dir), 500, 500, 12.0, _placed_pixels(spark, sf_dir), (280.0, 280.0, 200.0))
+
+
+@query("geometry_checks", sql("holes", "SELECT * FROM ck", "name, passed, severity", "value", _CHECKS))
+def _(spark, sf_dir):
+    return _checks(spark, sf_dir)
+
+
+@query("geometry_verdict", sql("holes", "SELECT fail_count = 0 AS passed, CASE WHEN fail_count > 0 THEN 'fail' WHEN warning_count > 0 THEN 'warn' ELSE 'ok' END AS status, fail_count, warning_count FROM vd", "passed, status, fail_count, warning_count", "", _CHECKS))
+def _(spark, sf_dir):
+    return gates.verdict(_checks(spark, sf_dir))
+
+
+@query(
+    "run_summary",
+    sql(
+        "holes radial hotspots",
+        """SELECT (SELECT count(*) FROM au) AS n_frames, (SELECT count(*) FROM au WHERE accepted) AS accepted_frames, (SELECT count(*) FROM au WHERE NOT accepted) AS rejected_frames, (SELECT arg_min(method, {'s': s, 'm': method}) FROM (SELECT method, avg(edge_energy_ratio) AS s FROM en GROUP BY method)) AS winner_correction,
+        confidence AS lattice_confidence, spacing_u_px, spacing_v_px, degrees(atan2(a_y, a_x)) AS angle_deg, (SELECT coalesce(arg_max(frame_id, {'s': floor(blur_score * 1e9 + 0.5), 'f': -frame_id}) FILTER (WHERE accepted), min(frame_id)) FROM au) AS reference_frame_id,
+        (SELECT CASE WHEN fail_count > 0 THEN 'fail' WHEN warning_count > 0 THEN 'warn' ELSE 'ok' END FROM vd) AS geometry_status, (SELECT count(*) FROM holes) AS n_candidates, (SELECT count(*) FROM radial) AS n_radial_rows, (SELECT count(*) FROM hotspots) AS n_hotspots FROM fq""",
+        "n_frames, accepted_frames, rejected_frames, winner_correction, reference_frame_id, geometry_status, n_candidates, n_radial_rows, n_hotspots",
+        "lattice_confidence spacing_u_px spacing_v_px angle_deg",
+        _EDGE + ", " + _AUDIT.removeprefix(_PLACED + ", ").replace("d16", "e16") + ", " + _CHECKS.removeprefix(_PLACED + ", "),
+    ),
+)
+def _(spark, sf_dir):
+    audit = _audit(spark, sf_dir)
+    winner = frames.best_correction(_corrections(spark, sf_dir).withColumnRenamed("edge_energy_ratio", "score"))
+    reference = sweeps.reference_frame(audit.withColumn("blur_score", settled(F.col("blur_score"))), "blur_score")
+    counted = {"n_candidates": views.holes(spark, sf_dir), "n_radial_rows": views.radial_rows(spark, sf_dir), "n_hotspots": views.hotspot_rows(spark, sf_dir)}
+    return gates.run_summary(audit, winner, _quality(spark, sf_dir), reference, _checks(spark, sf_dir), counted)
+
+
+# Every tenth hole has no place on the lattice, so that it has no neighbours.
+_WIDTHS = """hw AS (SELECT * REPLACE (CASE WHEN hole_id % 10 = 7 THEN NULL ELSE lattice_u END AS lattice_u) FROM holes),
+    nb AS (SELECT a.hole_id, count(*) AS n, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS c, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - a.radius_outer_px - b.radius_outer_px) FILTER (WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - a.radius_outer_px - b.radius_outer_px > 0) AS g
+      FROM hw a JOIN hw b ON abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v) = 1 GROUP BY a.hole_id),
+    al AS (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS c, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - a.radius_outer_px - b.radius_outer_px) FILTER (WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - a.radius_outer_px - b.radius_outer_px > 0) AS g FROM hw a JOIN hw b ON a.hole_id < b.hole_id),
+    wp AS (SELECT h.hole_id, radius_outer_px, coalesce(n, 0) AS n, coalesce(nb.c, al.c) AS c, coalesce(nb.g, al.g) AS g, nb.g AS own FROM hw h LEFT JOIN nb USING (hole_id), al),
+    wm AS (SELECT 'fixed' AS mode, *, greatest(2.5 * greatest(radius_outer_px, 8.0), 0.0) AS room, n = 0 OR own IS NULL AS global FROM wp UNION ALL SELECT 'half_gap', *, 0.5 * g, n = 0 OR own IS NULL FROM wp UNION ALL SELECT 'full_pitch', *, c, n = 0 FROM wp)"""
+
+
+@query(
+    "terrace_width_plans",
+    sql(
+        "holes",
+        "SELECT mode, hole_id, n AS neighbor_count, c AS min_center_pitch_px, g AS min_border_gap_px, greatest(room / 8, 2.5) * 8 AS usable_annulus_span_px, greatest(room / 8, 2.5) AS annulus_width_px, CASE WHEN global THEN 'global_min_gap' ELSE 'neighbors' END AS fallback_mode, radius_outer_px + greatest(room / 8, 2.5) * 8 AS terrace_outer_radius_px FROM wm",
+        "mode, hole_id, neighbor_count, fallback_mode",
+        "min_center_pitch_px min_border_gap_px usable_annulus_span_px annulus_width_px terrace_outer_radius_px",
+        _WIDTHS,
+    ),
+)
+def _(spark, sf_dir):
+    holes = views.holes(spark, sf_dir).withColumn("lattice_u", F.when(F.col("hole_id") % 10 != 7, F.col("lattice_u")))
+    modes = {"fixed": ("fixed", "border_gap"), "half_gap": ("half_gap", "border_gap"), "full_pitch": ("full_gap", "center_pitch")}
+    return gates.union([lattice.terrace_width_plan(holes, 8, *ways, min_width=2.5).withColumn("mode", F.lit(mode)) for mode, ways in modes.items()])
+
+
+# The mask leaves out a stripe of every seventh column from 200 on; the frame is 480 x 460.
+_INSIDE = """hz AS (SELECT *, radius_outer_px AS hr, radius_outer_px + 5 + hole_id % 4 AS tr FROM holes), mk AS (SELECT i AS y, j AS x FROM range(480) a(i), range(460) c(j) WHERE NOT (j >= 200 AND j % 7 = 3)),
+    dk AS (SELECT hole_id, bool_and(i >= 0 AND j >= 0 AND mk.y IS NOT NULL) AS t, bool_and(mk.y IS NOT NULL) FILTER (WHERE (j - hz.x) ** 2 + (i - hz.y) ** 2 <= hr * hr) AS h
+      FROM hz, range(700) a(i), range(700) c(j) LEFT JOIN mk ON mk.y = i AND mk.x = j WHERE (j - hz.x) ** 2 + (i - hz.y) ** 2 <= tr * tr GROUP BY hole_id),
+    cn AS (SELECT hz.hole_id, hz.x - hr >= 0 AND hz.y - hr >= 0 AND hz.x + hr <= 459 AND hz.y + hr <= 479 AS hole_inside_frame, hz.x - tr >= 0 AND hz.y - tr >= 0 AND hz.x + tr <= 459 AND hz.y + tr <= 479 AS terrace_inside_frame, h, t,
+      sqrt((hz.x - 250.0) ** 2 + (hz.y - 240.0) ** 2) + hr <= 180.0 + 1e-6 AS hc, sqrt((hz.x - 250.0) ** 2 + (hz.y - 240.0) ** 2) + tr <= 180.0 + 1e-6 AS tc FROM hz JOIN dk USING (hole_id)),
+    cf AS (SELECT 'mask' AS by_, hole_id, hole_inside_frame, terrace_inside_frame, hole_inside_frame AND coalesce(h, false) AS hole_inside_wafer, terrace_inside_frame AND coalesce(t, false) AS terrace_inside_wafer FROM cn UNION ALL SELECT 'circle', hole_id, hole_inside_frame, terrace_inside_frame, hc, tc FROM cn)"""
+
+
+@query(
+    "containment",
+    sql(
+        "holes",
+        "SELECT *, concat_ws(';', CASE WHEN NOT hole_inside_frame THEN 'hole_outside_frame' END, CASE WHEN NOT terrace_inside_frame THEN 'terrace_outside_frame' END, CASE WHEN NOT hole_inside_wafer THEN 'hole_outside_wafer' END, CASE WHEN NOT terrace_inside_wafer THEN 'terrace_outside_wafer' END) AS reasons FROM cf",
+        "by_, hole_id, hole_inside_frame, terrace_inside_frame, hole_inside_wafer, terrace_inside_wafer, reasons",
+        "",
+        _INSIDE,
+    ),
+)
+def _(spark, sf_dir):
+    holes = views.holes(spark, sf_dir).withColumn("terrace_outer_radius_px", F.col("radius_outer_px") + 5 + F.col("hole_id") % 4)
+    mask = spark.range(480 * 460).select(F.expr("CAST(id div 460 AS INT)").alias("y"), (F.col("id") % 460).cast("int").alias("x")).where("NOT (x >= 200 AND x % 7 = 3)")
+    ways = {"mask": lattice.containment(holes, 480, 460, None, mask), "circle": lattice.containment(holes, 480, 460, (250.0, 240.0, 180.0))}
+    return gates.union([df.withColumn("by_", F.lit(name)) for name, df in ways.items()])
+
+
+@query("run_activity", sql("tensor", """SELECT c.frame_id, c.cluster_id, CAST(c.n AS BIGINT) AS pixel_count, CAST(c.whole AS BIGINT) AS n_valid_px, raw_fraction, baseline_fraction, active_fraction, CASE WHEN max(active_fraction) OVER () > 0 THEN active_fraction / max(active_fraction) OVER () ELSE 0.0 END AS normalized_active_fraction
+    FROM (SELECT *, n / greatest(whole, 1) AS raw_fraction, coalesce(b, 0.0) AS baseline_fraction, greatest(n / greatest(whole, 1) - coalesce(b, 0.0), 0.0) AS active_fraction FROM rg LEFT JOIN rb USING (cluster_id)) c""", "frame_id, cluster_id, pixel_count, n_valid_px", "raw_fraction baseline_fraction active_fraction normalized_active_fraction", """rc AS (SELECT frame_id, cluster_id, sum(pixel_count) AS n FROM tensor GROUP BY ALL), rw AS (SELECT frame_id, sum(n) AS whole FROM rc GROUP BY ALL),
+    rb AS (SELECT cluster_id, avg(n / whole) AS b FROM rc JOIN rw USING (frame_id) WHERE frame_id IN (SELECT frame_id FROM rw ORDER BY 1 LIMIT 3) GROUP BY ALL),
+    rg AS (SELECT rw.frame_id, k.cluster_id, coalesce(rc.n, 0) AS n, whole FROM rw CROSS JOIN (SELECT DISTINCT cluster_id FROM rc) k LEFT JOIN rc ON rc.frame_id = rw.frame_id AND rc.cluster_id = k.cluster_id)"""))
+def _(spark, sf_dir):
+    return activity.run_activity(views.cluster_tensor(spark, sf_dir))
+
+
+def _window_mean(width: int) -> str:
+    pad = width // 2
+    return f"SELECT {width} AS width, entity_id, p AS place, CASE WHEN n < 3 THEN any_value(own) ELSE avg(value) END AS value FROM (SELECT a.entity_id, a.n, k - 1 AS p, s.value, o.value AS own FROM (SELECT entity_id, count(*) AS n FROM sq GROUP BY ALL) a, range(1, 1000) r(k), range({width}) w(j) JOIN sq s ON s.entity_id = a.entity_id AND s.at = least(greatest(k - {pad} + j, 1), a.n) LEFT JOIN sq o ON o.entity_id = a.entity_id AND o.at = k WHERE k <= CASE WHEN n < 3 THEN n ELSE n + {2 * pad + 1 - width} END) GROUP BY entity_id, p, n"
+
+
+@query("smoothed_series", sql("series", " UNION ALL ".join(_window_mean(w) for w in (3, 4, 7)), "CAST(width AS INTEGER) AS width, entity_id, CAST(place AS INTEGER) AS place", "value", "sq AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY frame_id) AS at FROM series)"))
+def _(spark, sf_dir):
+    series = views.series(spark, sf_dir)
+    return gates.union([reshape.smooth_values(series, ["entity_id"], "frame_id", "value", w).withColumn("width", F.lit(w)) for w in (3, 4, 7)])
+
+
+_SIX = """hv AS (SELECT frame_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, (CAST(floor(30 * sixth + 0.5) AS BIGINT) % 180) / 179.0::DOUBLE AS h, floor(CASE WHEN hi = 0 THEN 0.0 ELSE 255 * c / hi END + 0.5) / 255.0::DOUBLE AS s FROM (
+        SELECT *, CASE WHEN c = 0 THEN 0.0::DOUBLE WHEN hi = r THEN (CASE WHEN (g - b) / c < 0 THEN (g - b) / c + 6 ELSE (g - b) / c END) WHEN hi = g THEN (b - r) / c + 2 ELSE (r - g) / c + 4 END AS sixth FROM (
+        SELECT *, CAST(greatest(r, g, b) AS DOUBLE) AS hi, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS c FROM placed)))"""
+
+
+@query("descriptor_values", sql("", " UNION ALL ".join(f"SELECT '{c}' AS descriptor, frame_id, avg({c}) AS mean_value FROM hv GROUP BY frame_id" for c in "rgbhs"), "descriptor, frame_id", "mean_value", f"{_PLACED}, {_SIX}"))
+def _(spark, sf_dir):
+    px = _placed_pixels(spark, sf_dir)
+    return gates.union([frames.descriptor(px, c).groupBy("frame_id").agg(F.avg("value").alias("mean_value")).withColumn("descriptor", F.lit(c)) for c in frames.DESCRIPTORS])
+
+
+@query("masked_hue", sql("", "SELECT frame_id, count(*) FILTER (WHERE s >= 0.8) AS n_known, avg(h) FILTER (WHERE s >= 0.8) AS mean_hue FROM hv GROUP BY frame_id", "frame_id, n_known", "mean_hue", f"{_PLACED}, {_SIX}"))
+def _(spark, sf_dir):
+    return frames.masked_hue(_placed_pixels(spark, sf_dir), 0.8).groupBy("frame_id").agg(F.count("hue").alias("n_known"), F.avg("hue").alias("mean_hue"))
+
+
+_BULK = "bp AS (SELECT DISTINCT frame_id, y, x FROM placed), bv AS (SELECT * FROM bp p WHERE NOT EXISTS (SELECT 1 FROM holes h WHERE sqrt((p.x - h.x) ** 2 + (p.y - h.y) ** 2) <= h.radius_outer_px))"
+
+
+@query("bulk_region_rows", sql("holes", "SELECT frame_id, n AS n_support_px, n - v AS n_hole_px, v AS n_valid_px, least(v, 100) AS n_sampled_px, v / n AS valid_fraction_of_support FROM (SELECT frame_id, count(*) AS n FROM bp GROUP BY ALL) JOIN (SELECT frame_id, count(*) AS v FROM bv GROUP BY ALL) USING (frame_id)", "frame_id, n_support_px, n_hole_px, n_valid_px, n_sampled_px", "valid_fraction_of_support", f"{_PLACED}, {_BULK}"))
+def _(spark, sf_dir):
+    """Up to 100 places of each frame would be sampled; all are counted."""
+    return pixels.bulk_rows(_placed_pixels(spark, sf_dir).select("frame_id", "y", "x").distinct(), views.holes(spark, sf_dir), 100)[1]
+
+
+# Raw frames of 8 x 8 places with one 16-bit number each: the sums of part keys.
+_RAW = "rv AS (SELECT frame_id, y % 8 AS y, x % 8 AS x, CAST(sum(g * 37 + r * 11) % 65536 AS BIGINT) AS v FROM placed GROUP BY ALL)"
+
+
+def _raw_frames(spark, sf_dir):
+    px = _placed_pixels(spark, sf_dir).withColumns({"y": F.col("y") % 8, "x": F.col("x") % 8})
+    values = px.groupBy("frame_id", "y", "x").agg((F.sum(F.col("g") * 37 + F.col("r") * 11) % 65536).alias("v"))
+    hex_ = F.concat(F.lpad(F.hex(F.col("v") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col("v") / 256)), 2, "0"))
+    cells = values.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * 8 + F.col("x")).alias("k"), hex_.alias("h")))).alias("_m"))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.col("_m")[k], F.lit("0000"))), ""))
+    return cells.select("frame_id", F.lit(0.0).alias("time_s"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"), F.lit("uint16").alias("dtype"))
+
+
+@query("raw_frame_pixels", sql("", "SELECT f.frame_id, CAST(i AS INTEGER) AS y, CAST(j AS INTEGER) AS x, CAST(round(coalesce(v, 0) * 255 / 65535.0) AS INTEGER) AS r, CAST(round(coalesce(v, 0) * 255 / 65535.0) AS INTEGER) AS b FROM (SELECT DISTINCT frame_id FROM placed) f CROSS JOIN range(8) a(i) CROSS JOIN range(8) c(j) LEFT JOIN rv ON rv.frame_id = f.frame_id AND rv.y = i AND rv.x = j WHERE f.frame_id >= 2 AND (f.frame_id - 2) % 3 = 0 AND f.frame_id <= 20", "frame_id, y, x, r, b", "", f"{_PLACED}, {_RAW}"))
+def _(spark, sf_dir):
+    """Every third raw frame from 2 to 20, brought to 8 bits."""
+    return tables.frame_pixels(tables.windowed(_raw_frames(spark, sf_dir), 2, 20, 3)).drop("g")
+
+
+@query("frame_probe", sql("", "SELECT count(DISTINCT frame_id) AS n_frames, 25.0::DOUBLE AS fps, 8 AS width, 8 AS height, 1 AS channels FROM placed", "n_frames, fps, width, height, channels", "", _PLACED))
+def _(spark, sf_dir):
+    return tables.probe(_raw_frames(spark, sf_dir), 25.0)
+
+
+@query("known_holes", sql("radial hotspots", "SELECT hole_id FROM radial UNION SELECT nearest_hole_id FROM hotspots", "hole_id", ""))
+def _(spark, sf_dir):
+    """The holes of either table, each once."""
+    return gates.union([views.radial_rows(spark, sf_dir).select("hole_id"), views.hotspot_rows(spark, sf_dir).select(F.col("nearest_hole_id").alias("hole_id"))], distinct=True)
+
+
+# Frames before the tenth are darker, so that there is a jump to be found.
+_STEP = f"pixels AS (SELECT {views._Q} AS frame_id, CAST(CASE WHEN {views._Q} < 10 THEN l_orderkey % 64 ELSE 128 + l_orderkey % 128 END AS INTEGER) AS r, CAST(CASE WHEN {views._Q} < 10 THEN l_partkey % 64 ELSE 128 + l_partkey % 128 END AS INTEGER) AS g, CAST(l_suppkey % 64 AS INTEGER) AS b FROM lineitem)"
+_SUGGEST = _STEP + ", " + _WIN + f""", cw AS (SELECT wj.*, m + 3 * mad AS threshold FROM wj, md WHERE {_settled("jump")} >= {_settled("greatest(m + 6 * mad, 3 * greatest(post_p90, constancy_p90, 1e-6))")}
+        AND {_settled("post_p90")} <= {_settled("greatest(m + 3 * mad, 0.25 * jump)")} AND {_settled("constancy_p90")} <= {_settled("greatest(m + 3 * mad, 0.2 * jump)")}),
+    la AS (SELECT w.first, d.pos, 0.5 * sum(abs(d.share - r.rs)) + 2 * avg(abs(d.cdf - r.rc)) + 0.5 * abs(any_value(d.mean) - any_value(r.rm)) AS constancy FROM cw w JOIN wr r ON r.first = w.first JOIN dp d ON d.pos > w.first AND d.bin = r.bin GROUP BY ALL),
+    br AS (SELECT la.first, min(la.pos) AS e FROM la JOIN cw ON cw.first = la.first JOIN ts ON ts.pos = la.pos WHERE NOT (ts.score <= greatest(threshold, 0.25 * jump) AND la.constancy <= greatest(threshold, 0.2 * jump)) GROUP BY ALL),
+    rn AS (SELECT cw.*, coalesce(e, n) - cw.first AS run, n FROM cw LEFT JOIN br ON br.first = cw.first, (SELECT any_value(n) AS n FROM fp)),
+    me AS (SELECT *, floor(jump * jump / greatest(post_p90, post_median, constancy_p90, 1e-6) * (1 + run / greatest(n - first, 1)) * sqrt(run) * 1e9 + 0.5) AS merit FROM rn)"""
+
+
+@query(
+    "trim_suggestion",
+    sql(
+        "",
+        "SELECT c.frame_id AS cursor_frame, f.frame_id AS first_stable_frame, CAST(run AS INTEGER) AS stable_run_frames, least(jump / greatest(post_p90, constancy_p90, threshold, 1e-6) / 8, 1.0) AS confidence, jump, post_p90, constancy_p90 FROM (SELECT * FROM me ORDER BY merit DESC, first LIMIT 1) b JOIN fp c ON c.pos = b.first - 1 JOIN fp f ON f.pos = b.first",
+        "cursor_frame, first_stable_frame, stable_run_frames",
+        "confidence jump post_p90 constancy_p90",
+        _SUGGEST,
+    ),
+)
+def _(spark, sf_dir):
+    """The one best place to cut."""
+    dark = F.col("frame_id") < 10
+    px = views.pixels(spark, sf_dir).withColumns({**{c: F.when(dark, F.col(k) % 64).otherwise(128 + F.col(k) % 128).cast("int") for c, k in (("r", "r"), ("g", "g"))}, "b": F.col("b") % 64})
+    return trim.suggestion(frames.histogram(px, 256), 5).drop("stable_window_frames")
+
+
 def _mixture(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
     return mixture.prevalence(px, mixture.choose(mixture.colours(px)))

@@ -54,32 +54,87 @@ def read_json_model(spark: SparkSession, path: str, default: str | None = None)
         return spark.createDataFrame([], default)
 
 
-def read_frames(spark: SparkSession, path: str, start: int = 0, end: int | None = None, every: int = 1, fps: float = 1.0) -> DataFrame:
-    """Frames stored as Parquet rows: those in [start, end], each `every`-th, with their time. Both filters reach the scan."""
-    rows = spark.read.parquet(path).where((F.col("frame_id") >= start) & (F.pmod(F.col("frame_id") - start, F.lit(every)) == 0))
+def write_json(df: DataFrame, path: str) -> None:
+    """A table as JSON lines with all its structs, arrays and maps; nulls are written, so that reading back gives every column."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, default: bool = False) -> DataFrame:
+    """What write_json wrote, by schema; with `default`, an empty table where there is none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as error:
+        if not default or "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def frame_window(n_frames: int, start: int | None = None, end: int | None = None) -> tuple[int, int | None]:
+    """First and last frame, moved into what is there: the first is 0 at least, the last neither before it nor beyond the n frames."""
+    first = max(0, int(start or 0))
+    last = n_frames - 1 if end is None else max(first, int(end))
+    return first, (min(last, n_frames - 1) if n_frames > 0 else None if end is None else last)
+
+
+def windowed(frames: DataFrame, start: int | None = None, end: int | None = None, every: int = 1, fps: float = 1.0) -> DataFrame:
+    """Frames in [start, end], each `every`-th from the start, with their time; ids stay. The filters reach the scan."""
+    first, every = max(0, int(start or 0)), max(1, int(every))
+    rows = frames.where((F.col("frame_id") >= first) & (F.pmod(F.col("frame_id") - first, F.lit(every)) == 0))
     if end is not None:
-        rows = rows.where(F.col("frame_id") <= end)
-    return rows.withColumn("time_s", F.col("frame_id") / F.lit(fps))
+        rows = rows.where(F.col("frame_id") <= max(first, int(end)))
+    return rows.withColumn("time_s", F.col("frame_id") / F.lit(fps if fps > 0 else 1.0))
+
+
+def read_frames(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, every: int = 1, fps: float = 1.0) -> DataFrame:
+    """Frames stored as Parquet rows (FRAME, or with a column dtype): a window of them."""
+    return windowed(spark.read.parquet(path), start, end, every, fps)
+
 
+def probe(frames: DataFrame, fps: float = 1.0) -> DataFrame:
+    """One row: number of frames, rate, size and channels, from the rows' headers alone (the data column is not read)."""
+    largest = [F.coalesce(F.max(c), F.lit(0)).alias(n) for c, n in (("width", "width"), ("height", "height"), ("n_channels", "channels"))]
+    return frames.agg(F.count(F.lit(1)).alias("n_frames"), F.lit(fps if fps > 0 else 1.0).alias("fps"), *largest)
 
-def probe(frames: DataFrame) -> DataFrame:
-    """One row: number of frames, size and channels, from the rows' headers alone."""
-    return frames.agg(F.count(F.lit(1)).alias("n_frames"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("n_channels").alias("channels"))
+
+def rgb8(image):
+    """An array of any kind of number as 8-bit RGB: grey is repeated, channels beyond three are dropped. Integers are scaled from
+    their type's range; floats by 255 if all finite ones lie in 0 to 1. NaN is 0, infinities are the ends.
+    """
+    import numpy as np
+
+    if image.ndim == 2:
+        image = image[..., None]
+    image = image[..., [0, 0, 0]] if image.shape[2] < 3 else image[..., :3]
+    if image.dtype == np.uint8:
+        return image
+    if np.issubdtype(image.dtype, np.integer):
+        low, high = np.iinfo(image.dtype).min, np.iinfo(image.dtype).max
+        scaled = (image.astype(np.float64) - low) * 255.0 / (float(high) - low)
+    else:
+        known = image[np.isfinite(image)]
+        scaled = image.astype(np.float64) * (255.0 if known.size and known.min() >= 0 and known.max() <= 1 else 1.0)
+        scaled = np.zeros_like(scaled) if not known.size else np.nan_to_num(scaled, nan=0.0, posinf=255.0, neginf=0.0)
+    return np.clip(np.rint(scaled), 0, 255).astype(np.uint8)
 
 
 def frame_pixels(frames: DataFrame) -> DataFrame:
-    """Explode 8-bit RGB frames into pixel rows (frame_id, y, x, r, g, b), frame by frame in Arrow batches."""
+    """Explode frames into pixel rows (frame_id, y, x, r, g, b) of 8 bits, frame by frame in Arrow batches.
+
+    A column `dtype` tells the kind of number (uint8 if it is missing or null), little-endian; see rgb8. A frame whose data is null
+    or of another length than its size says raises.
+    """
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["n_channels"])
+                kind = np.dtype(row.get("dtype") or "uint8").newbyteorder("<")
+                image = rgb8(np.frombuffer(row["data"], kind).astype(kind.newbyteorder("=")).reshape(row["height"], row["width"], row["n_channels"]))
                 for y in range(0, row["height"], 64):
                     part = image[y : y + 64].astype(np.int32)
                     yy, xx = np.mgrid[y : y + part.shape[0], 0 : row["width"]]
-                    columns = [np.full(yy.size, row["frame_id"]), yy.ravel(), xx.ravel(), *(part[..., min(c, part.shape[2] - 1)].ravel() for c in range(3))]
+                    columns = [np.full(yy.size, row["frame_id"]), yy.ravel(), xx.ravel(), *(part[..., c].ravel() for c in range(3))]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["frame_id", "y", "x", "r", "g", "b"])
 
     return frames.mapInArrow(run, "frame_id int, y int, x int, r int, g int, b int")
