@@ -222,6 +222,8 @@ def samples(kind: str, b: bytes) -> bytes:
     return b"".join(lines[i + 1 : i + 1 + BLOCK] for i in range(0, len(lines), BLOCK + 1))
 
 
+# Kinds that stored() writes.
+WRITTEN = ("wav", "pgm", "ppm", "png")
 # Declared types of the query's objects, right for some and wrong for others.
 DECLARED = ("wav", "png", "ppm")
 
@@ -260,15 +262,24 @@ READ = pa.schema(
 
 
 def read_back(sniffed: DataFrame) -> DataFrame:
-    """From what sniff_media carved: the samples, their digests and a feature string (type, correction, place, mean and spread)."""
+    """From what sniff_media carved: the samples, their digests and a feature string (type, correction, place, mean and spread).
+
+    An object with several media gives a row for each, by place; one without any has a row with nulls for all that is read back.
+    Media of kinds that stored() does not write have no samples: nulls but for their length and digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in sliced(batches):
             rows = []
-            for r in batch.to_pylist():
-                (medium,) = r["media"]
+            for r, medium in ((r, m) for r in batch.to_pylist() for m in (r["media"] or [None])):
+                if medium is None:
+                    rows.append((r["doc_id"], r["n_bytes"], *[None] * 6))
+                    continue
+                if medium["kind"] not in WRITTEN:
+                    rows.append((r["doc_id"], r["n_bytes"], None, None, None, medium["length"], hashlib.sha256(medium["data"]).hexdigest(), None))
+                    continue
                 payload = samples(medium["kind"], medium["data"])
                 values = np.frombuffer(payload, np.uint8)
                 feature = (
@@ -279,6 +290,8 @@ def read_back(sniffed: DataFrame) -> DataFrame:
                     (r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
                      medium["length"], hashlib.sha256(medium["data"]).hexdigest(), feature)
                 )
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)],
                 schema=READ,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, hex_digits, numbered, text_or_empty
@@ -13,6 +13,17 @@ SHARE = 1.5
 REPEATS = 2
 
 
+# Sources are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_SOURCES = 100_000
+
+
+def row_hash(docs: DataFrame, columns: tuple[str, ...]) -> Column:
+    """A hash of the row's `columns`, of any type: maps, which have no hash, are taken as JSON."""
+    has_map = lambda kind: "map<" in kind.simpleString()
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if has_map(docs.schema[c].dataType) else F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*plain)
+
+
 def ranged(df: DataFrame, order: list[str], value: str, before: str) -> DataFrame:
     """Sort globally by `order` into ranges and add `before`, the sum of `value` over all rows that come earlier.
 
@@ -85,15 +96,15 @@ def mix(
     gives no rows. Reruns agree, as ties end in numbers that are dense for each source; entirely equal rows may be swapped.
     """
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    row_hash = F.xxhash64(*identity)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), row_hash))
+    whole = row_hash(docs, identity)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), whole))
     base = checkpoint(
         docs.select(
             "doc_id",
             F.col("source").cast("string").alias("_source"),
             words.alias("_size"),
             F.md5(F.encode(F.concat(F.lit(f"{seed}:"), name), "utf-8")).alias("_digest"),
-            row_hash.alias("row_hash"),
+            whole.alias("row_hash"),
         )
     )
     rows = base.count()
@@ -117,6 +128,7 @@ def mix(
         .drop("_earlier", "_within", "_s", "_b", "_bucket")
     )
     known = sources.select(F.col("_source").alias("_s"), F.col("words").alias("source_size"), "target")
+    known = F.broadcast(known) if sources.count() <= BROADCAST_SOURCES else known
     queue = checkpoint(queue.join(known, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
 
     begin = F.col("_turn") * F.col("source_size") + F.col("_before")

@@ -55,3 +55,16 @@ def test_scores_keep_columns(both):
     plain, clashing = both
     model = toxicity.Model(toxicity.Lexicon(), toxicity.UNLEARNED)
     assert told(toxicity.score_toxicity(plain, model, score="s"), ["doc_id", "s"]) == told(toxicity.score_toxicity(clashing, model, score="s"), ["doc_id", "s"])
+
+
+def test_columns_of_any_type(spark, sf_dir):
+    """Maps, which can't be compared or hashed, structs, arrays and binaries go through every operator and stage."""
+    extra = {"m": F.create_map(F.lit("k"), F.col("doc_id")), "s": F.struct(F.create_map(F.lit("text"), "source").alias("inner")), "a": F.array("doc_id"), "b": F.encode(F.coalesce("text", F.lit("")), "utf-8")}
+    docs = spark.createDataFrame([*ROWS, ROWS[0], ROWS[2]], "doc_id long, text string, source string").withColumns(extra)
+    for name, operator in OPERATORS.items():
+        assert operator(docs).count() >= 0, name
+    assert mixing.mix(docs, identity=tuple(docs.columns)).count() == 7
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.select("doc_id", "m", "s").count() == out.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 7

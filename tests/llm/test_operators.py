@@ -285,6 +285,15 @@ def test_media(spark, sf_dir):
         payload = raw + b" " * (-len(raw) % 192) or b" " * 192
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        medium = media.stored(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(medium), hashlib.sha256(medium).hexdigest())
+        told = dict(part.split("=") for part in r["feature"].split(";"))
+        values = np.frombuffer(payload, np.uint8).astype(float)
+        crc = zlib.crc32(payload)
+        kind = {b"RIFF": "wav", b"P5\n%": "pgm", b"P6\n%": "ppm", b"\x89PNG": "png"}.get(medium[:4]) or {b"P5": "pgm", b"P6": "ppm"}[medium[:2]]
+        declared = media.DECLARED[crc % 3]
+        assert told["type"] == kind and told["declared"] == declared and told["corrected"] == str(int(declared != kind)) and told["samples"] == str(len(payload))
+        assert told["offset"] == ("42" if crc % 5 == 0 else "0") and abs(float(told["mean"]) - values.mean()) < 1e-5 and abs(float(told["std"]) - values.std()) < 1e-5
 
 
 def test_sniffing(spark):
@@ -303,6 +312,15 @@ def test_sniffing(spark):
     assert got == {1: (None, False, []), 2: (None, False, []), 3: (None, False, []), 4: ("gif", False, [0]), 5: ("gif", True, [0]), 6: (None, False, [2, 2 + len(gif)])}
 
 
+def test_read_back_of_none_and_several(spark):
+    gif = b"GIF89a\x01\0\x01\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"
+    one = media.stored(b"ab" * 96)
+    rows = [(1, 5, "wav", b"nothing"), (2, 5, "wav", None), (3, 5, "png", one + b"--" + one), (4, 5, "gif", gif)]
+    got = media.read_back(media.sniff_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, data binary"))).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.media_bytes) for r in got if r.payload_bytes) == [(3, 5, 192, len(one))] * 2
+    assert {(r.doc_id, r.media_bytes, r.feature) for r in got if not r.payload_bytes} == {(1, None, None), (2, None, None), (4, len(gif), None)}
+
+
 def test_media_odd(odd, none):
     assert media.read_back(media.sniff_media(media.text_media(odd))).count() == 9
     assert media.read_back(media.sniff_media(media.text_media(none))).count() == 0
@@ -421,6 +439,36 @@ def test_order_of_words_counts():
     assert rate("he said you are an idiot") < rate("you are an idiot")
 
 
+def test_fitted_weights_keep_the_order_of_kinds(spark):
+    """Where insults are quoted or denied in clean texts, taking the clauses apart loses what the fitted model catches."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    filler = lambda: " ".join(word() for _ in range(12))
+    toxic = [f"{filler()}. you are an idiot. {filler()}" for _ in range(120)]
+    clean = [f"{filler()}. {text}. {filler()}" for i in range(240) for text in [("he said: an idiot would know", "this is not an idiot", filler())[i % 3]]]
+    score = toxicity.Scorer(toxicity.Lexicon())
+    x, y = np.array([score.features(t) for t in toxic + clean]), np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    w = dict(zip(("base", *score.KINDS), toxicity.fit(x, y, np.ones(len(y))), strict=True))
+    assert all(w[a] >= w[b] - 1e-9 for a, b in toxicity.ORDER) and w["targeted"] > 0
+
+    def caught(texts):
+        found = np.array([score.features(t) for t in texts])
+        return float(np.mean(w["base"] + found @ np.array([w[k] for k in score.KINDS]) >= 0))
+
+    apart = lambda t: ". ".join(t.replace(".", "").split())
+    assert caught(toxic) == 1.0 and caught(clean) == 0.0
+    assert all(np.isclose(caught([" ".join(rng.permutation(t.replace(".", " ").split())) for t in toxic]), 1.0, atol=0.9) for _ in range(2))
+    assert np.mean([score.features(apart(t))[1] for t in toxic]) == 0.0  # nothing is targeted once words stand apart
+
+
+def test_order_holds_against_the_labels():
+    """Kinds that the labels put the other way round share a weight."""
+    x = np.array([[3.0, 0, 0, 0, 0, 0]] * 30 + [[0, 3.0, 0, 0, 0, 0]] * 30 + [[0, 0, 0, 3.0, 0, 0]] * 20)
+    y = np.array([1.0] * 30 + [0.0] * 30 + [1.0] * 20)
+    w = toxicity.fit(x, y, np.ones(len(y)))[1:]
+    assert np.isclose(w[0], w[1]) and w[3] <= w[0] + 1e-9
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.learn(odd, labels)
