@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = jaccard.grouped_rows(docs, SHINGLE, NUM, DEN)
     gone = checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     twice = checkpoint(groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
-    rows = packed(docs, F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = packed(docs, F.col("doc_id").cast("long").alias("_id"), "text", mixing.row_hash(docs, tuple(docs.columns)).alias("_hash"))
     if not twice.limit(1).count():
         return rows.join(small(gone), F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
     once = rows.join(small(twice), F.col("_id") == F.col("_twice"), "left_anti").join(small(gone), F.col("_id") == F.col("_gone"), "left_anti")
@@ -62,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = groups.where("n_shingles > 0 AND doc_id = component_id").join(small(twice), F.col("doc_id") == F.col("_twice"), "left_semi")
     first = checkpoint(first.select(F.col("doc_id").alias("_first"), F.col("node").alias("_set"), F.col("comp").alias("_comp")).distinct())
     near = again.join(small(first), (F.col("_id") == F.col("_first")) & (F.col("_node") == F.col("_set")))
-    kept = near.groupBy("_comp").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row")).select("row.*")
+    kept = near.groupBy("_comp").agg(F.min_by("row", F.struct("text", "_hash")).alias("row")).select("row.*")
     return once.select("row.*").unionByName(again.where("_node IS NULL").select("row.*")).unionByName(kept)
 
 
@@ -70,9 +70,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, none to two times each, so that sources come near their targets."""
     mixed = mixing.mix(docs, identity=tuple(docs.columns))
     taken = checkpoint(mixed.groupBy(F.col("row_hash").alias("_hash")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    rows = packed(docs, mixing.row_hash(docs, tuple(docs.columns)).alias("_row"))
     if taken.where("_rows > 1").limit(1).count():
-        docs = docs.dropDuplicates()  # equal rows share a hash, whose copies count for all of them
-    rows = packed(docs, F.xxhash64(*docs.columns).alias("_row"))
+        rows = rows.dropDuplicates(["_row"])  # equal rows share a hash, whose copies count for all of them
     kept = rows.join(small(taken.where("_copies > 0")), F.col("_row") == F.col("_hash"))
     return kept.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("row.*")
 
