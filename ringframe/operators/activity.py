@@ -10,6 +10,8 @@ from ringframe.operators.reshape import ordered_places
 from ringframe.sources.scratch import checkpointed
 
 FRONT = 0.15
+# Places of a grid are broadcast up to so many.
+BROADCAST_PLACES = 100_000
 
 
 def pooled(tensor: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,10 +68,11 @@ def activity(tensor: DataFrame, keys: list[str], baseline_frames: int = 3, keep:
     Active is max(0, raw - baseline), null where the raw share is (a cell without pixels); normalised by the sum over a (frame,
     cluster). The grid is frames x keys x clusters, whose sizes the instrument sets.
     """
-    counts = tensor.groupBy("frame_id", *keys, "cluster_id").agg(F.sum("pixel_count").alias("pixel_count"))
+    counts = checkpointed(tensor.groupBy("frame_id", *keys, "cluster_id").agg(F.sum("pixel_count").alias("pixel_count")))
     cells = counts.groupBy("frame_id", *keys).agg(F.sum("pixel_count").alias("n_valid"))
     frames, places, clusters = (counts.select(*c).distinct() for c in (["frame_id"], keys, ["cluster_id"]))
-    grid = frames.crossJoin(F.broadcast(places)).crossJoin(F.broadcast(clusters))
+    places = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places
+    grid = frames.crossJoin(places).crossJoin(F.broadcast(clusters))
     dense = grid.join(cells, ["frame_id", *keys], "left").join(counts, ["frame_id", *keys, "cluster_id"], "left")
     raw = dense.withColumn("raw_fraction", F.when(F.col("n_valid") > 0, F.coalesce("pixel_count", F.lit(0)) / F.col("n_valid")))
     first = frames.orderBy("frame_id").limit(baseline_frames).agg(F.max("frame_id").alias("_last"))

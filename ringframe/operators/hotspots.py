@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,33 +55,36 @@ def tracks(rows: DataFrame) -> DataFrame:
 
 
 def nearest_hole(points: DataFrame, holes: DataFrame, least: float = 16.0) -> DataFrame:
-    """Each point's nearest hole, the least id among equals; null only where there are no holes.
+    """Each point's nearest hole, the least id among equals; null for points without a place, and for all where there are no holes.
 
-    Grids of cells of `least`, twice that and so on, up to the extent of all (one row), make it equi-joins: a point's level is
-    the first whose nine cells around it have a hole. That hole is at most 2.83 cells away, so the nearest one lies in the nine
-    cells of two levels up. Holes are few in the cells of a level that points come to only where finer ones are empty.
+    Points are numbered and go through grids of cells of `least`, twice that and so on: a point leaves at the first grid where
+    one of the nine cells around it has a hole. That hole is at most 2.83 cells away, so the nearest one lies in the nine
+    cells of the grid two levels up, which is an equi-join. Only points that found none go on to the next grid.
     """
-    span = lambda df: df.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max(F.abs("x")), F.max(F.abs("y"))).first()
-    widest = max([least, *(abs(v) for df in (points, holes) for v in span(df) if v is not None)])
-    levels = max(1, math.ceil(math.log2(widest / least)) + 1)
     offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-
-    def on(df: DataFrame, x: str, y: str, level) -> DataFrame:
-        size = least * F.pow(F.lit(2.0), level)
-        return df.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels + 1))).alias("_level")
-    ringed = on(holes.select(F.col("hole_id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y"), every), "_x", "_y", F.col("_level"))
-    ringed = ringed.withColumn("_o", F.explode(offsets)).select("_level", "_hole", "_x", "_y", (F.col("_cx") + F.col("_o.u")).alias("_cx"), (F.col("_cy") + F.col("_o.v")).alias("_cy"))
-    cells = ringed.select("_level", "_cx", "_cy").distinct()
-    asked = on(points.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")), "x", "y", F.col("_level"))
-    first = asked.join(cells, ["_level", "_cx", "_cy"], "left_semi").groupBy(*points.columns).agg((F.min("_level") + 2).alias("_level"))
-    met = on(first, "x", "y", F.col("_level")).join(ringed, ["_level", "_cx", "_cy"])
-    distance = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    best = met.groupBy(*points.columns).agg(F.min(F.struct(distance.alias("d"), F.col("_hole").alias("h"))).alias("_best"))
-    best = best.select(*[F.col(c).alias(f"_of_{c}") for c in points.columns], "_best")
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in points.columns]
-    joined = points.join(best, functools.reduce(lambda p, q: p & q, same), "left")
+    kept = checkpointed(points.withColumn("_point", F.monotonically_increasing_id()))
+    placed = checkpointed(holes.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("hole_id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y")))
+
+    def cells(df: DataFrame, x: str, y: str, level: int) -> DataFrame:
+        size = least * 2.0**level
+        return df.withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
+
+    def around(level: int) -> DataFrame:
+        near = cells(placed, "_x", "_y", level).withColumn("_o", F.explode(offsets))
+        return near.select("_hole", "_x", "_y", (F.col("_cx") + F.col("_o.u")).alias("_cx"), (F.col("_cy") + F.col("_o.v")).alias("_cy"))
+
+    left, level, found = kept.where("x IS NOT NULL AND y IS NOT NULL").select("_point", "x", "y"), 0, []
+    while not placed.isEmpty() and not left.isEmpty():
+        asked = cells(left, "x", "y", level)
+        known = around(level).select("_cx", "_cy").distinct()
+        here = asked.join(known, ["_cx", "_cy"], "left_semi").select("_point", "x", "y")
+        met = cells(here, "x", "y", level + 2).join(around(level + 2), ["_cx", "_cy"])
+        best = F.min(F.struct(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"), F.col("_hole").alias("h")))
+        found.append(checkpointed(met.groupBy("_point").agg(best.alias("_best"))))
+        left, level = checkpointed(asked.join(known, ["_cx", "_cy"], "left_anti").select("_point", "x", "y")), level + 1
+    if not found:
+        return kept.select(*points.columns, F.lit(None).cast(holes.schema["hole_id"].dataType).alias("nearest_hole_id"), F.lit(None).cast("double").alias("dist_to_hole_px"))
+    joined = kept.join(functools.reduce(DataFrame.unionByName, found), "_point", "left")
     return joined.select(*points.columns, F.col("_best.h").alias("nearest_hole_id"), F.col("_best.d").alias("dist_to_hole_px"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import line_fit
@@ -12,18 +12,25 @@ from ringframe.operators import clusters, rdf
 A, B, C, D, M = 7919, 104729, 15485863, 12345, 2147483647
 
 
-def bootstrap(frames: DataFrame, n_boot: int = 128) -> DataFrame:
-    """Per hole: frames with a front drawn again n_boot times; 95 % intervals (linear quantiles) of mean, last - first and slope.
+def drawn(frames: DataFrame, columns: list[str], n_boot: int, least: int = 1, once: bool = False) -> DataFrame:
+    """Each hole's frames (of at least `least`) drawn again n_boot times: (hole_id, boot, frame_id, columns); equal draws of a boot `once` only.
 
-    The draws of a hole are an explode of boots x draws, so holes stay spread; a draw finds its frame by an equi-join on rank.
+    A hole's frames are one array, as long as the recording has frames; draws are picked from it by place. So the only
+    shuffle is that of frames by hole, and what groups by (hole, boot) afterwards needs none.
     """
+    held = frames.groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", *columns))).alias("_f")).where(F.size("_f") >= least)
+    boots = held.select("hole_id", "_f", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
+    n = F.size("_f")
+    mixed = lambda draw: (F.col("hole_id").cast("long") * A + F.col("boot") * F.lit(B).cast("long") + draw * F.lit(C).cast("long") + D) % M % n
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda draw: (mixed(draw) + 1).cast("int"))
+    places = F.array_distinct(places) if once else places
+    return boots.select("hole_id", "boot", F.explode(F.transform(places, lambda k: F.element_at("_f", k))).alias("_d")).select("hole_id", "boot", "_d.*")
+
+
+def bootstrap(frames: DataFrame, n_boot: int = 128) -> DataFrame:
+    """Per hole: frames with a front drawn again n_boot times; 95 % intervals (linear quantiles) of mean, last - first and slope."""
     known = frames.where("rdf_front_radius_norm IS NOT NULL").select("hole_id", "frame_id", F.col("rdf_front_radius_norm").alias("y"))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("hole_id").orderBy("frame_id")) - 1)
-    counts = known.groupBy("hole_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    draws = counts.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    mixed = (F.col("hole_id").cast("long") * A + F.col("boot") * F.lit(B).cast("long") + F.col("draw") * F.lit(C).cast("long") + D) % M
-    drawn = draws.withColumn("rank", (mixed % F.col("n")).cast("int")).join(ranked, ["hole_id", "rank"])
-    once = drawn.select("hole_id", "boot", "frame_id", "y").distinct()
+    once = drawn(known, ["y"], n_boot, 2, once=True)
     fit = line_fit("frame_id", "y")
     per = once.groupBy("hole_id", "boot").agg(
         F.avg("y").alias("mean_front"), (F.max_by("y", "frame_id") - F.min_by("y", "frame_id")).alias("delta_front"), F.coalesce(fit["slope"], F.lit(0.0)).alias("velocity")
@@ -37,12 +44,8 @@ def bootstrap(frames: DataFrame, n_boot: int = 128) -> DataFrame:
 
 def archetype_support(frames: DataFrame, centroids: DataFrame, features: list[str], n_boot: int = 128) -> DataFrame:
     """Per hole: all its frames drawn again n_boot times, each draw's nearest centroid; the most frequent label and its share."""
-    ranked = frames.withColumn("rank", F.row_number().over(Window.partitionBy("hole_id").orderBy("frame_id")) - 1)
-    counts = frames.groupBy("hole_id").agg(F.count(F.lit(1)).alias("n"))
-    draws = counts.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    mixed = (F.col("hole_id").cast("long") * A + F.col("boot") * F.lit(B).cast("long") + F.col("draw") * F.lit(C).cast("long") + D) % M
-    drawn = draws.withColumn("rank", (mixed % F.col("n")).cast("int")).select("hole_id", "boot", "rank").join(ranked, ["hole_id", "rank"])
-    placed = clusters.nearest_centroid(rdf.archetype_features(drawn, ("hole_id", "boot")), centroids, features)
+    again = drawn(frames, ["rdf_front_radius_norm", "rdf_spread_norm", "rdf_total_positive_delta", "rdf_inner_minus_outer_delta"], n_boot)
+    placed = clusters.nearest_centroid(rdf.archetype_features(again, ("hole_id", "boot")), centroids, features)
     votes = placed.groupBy("hole_id", "label").agg(F.count(F.lit(1)).alias("k"))
     return votes.groupBy("hole_id").agg(
         F.sum("k").alias("n_boot"), F.min_by("label", F.struct((-F.col("k")).alias("k"), "label")).alias("archetype_label"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import settled
 from ringframe.operators.frames import dense_profiles, transition_scores
+from ringframe.sources.scratch import checkpointed
 
 FLOOR = 1e-6
 
@@ -23,12 +24,13 @@ def _distance(rows: DataFrame, keys: list[str], bins: int) -> DataFrame:
 
 
 def _placed(hist: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
-    """Dense profiles and scores under the frames' positions; the list of frames has a row for each frame."""
-    scores = transition_scores(hist, bins)
+    """Dense profiles and scores under the frames' positions, written once; the list of frames has a row for each frame."""
+    hist = checkpointed(hist)
+    scores = checkpointed(transition_scores(hist, bins))
     at = scores.withColumn("pos", F.row_number().over(Window.orderBy("frame_id")) - 1)
     rows = dense_profiles(hist, bins).join(F.broadcast(at.select("frame_id", "pos")), "frame_id")
     mean = F.sum(F.col("share") * F.col("bin") / (bins - 1)).over(Window.partitionBy("frame_id"))
-    return rows.withColumn("mean", mean).select("pos", "bin", "share", "cdf", "mean"), at
+    return checkpointed(rows.withColumn("mean", mean).select("pos", "bin", "share", "cdf", "mean")), at
 
 
 def _in_windows(rows: DataFrame, width: int, n: int) -> DataFrame:
@@ -41,7 +43,7 @@ def _reference(members: DataFrame) -> DataFrame:
     return members.groupBy("first", "bin").agg(F.median("share").alias("ref_share"), F.median("cdf").alias("ref_cdf"), F.median("mean").alias("ref_mean"))
 
 
-def stable_windows(hist: DataFrame, width: int | None = None, bins: int = 256) -> DataFrame:
+def stable_windows(hist: DataFrame, width: int | None = None, bins: int = 256, placed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per window of frames: the jump into it, P90 and median of the scores after it, P90 of its frames' distances from its median profile.
 
     `is_candidate`: the jump exceeds both the scores' median by six MADs and three times either P90, and both P90s stay under
@@ -49,7 +51,7 @@ def stable_windows(hist: DataFrame, width: int | None = None, bins: int = 256) -
     """
     n = hist.select("frame_id").distinct().count()
     width = width or window_frames(n)
-    profiles, scores = _placed(hist, bins)
+    profiles, scores = placed or _placed(hist, bins)
     members = _in_windows(profiles, width, n)
     near = _distance(members.join(_reference(members), ["first", "bin"]), ["first", "pos"], bins)
     rows = near.join(F.broadcast(scores.select("pos", "score")), "pos")
@@ -85,8 +87,8 @@ def suggestion(hist: DataFrame, width: int | None = None, bins: int = 256) -> Da
     """
     n = hist.select("frame_id").distinct().count()
     width = width or window_frames(n)
-    profiles, scores = _placed(hist, bins)
-    chosen = stable_windows(hist, width, bins).where("is_candidate")
+    profiles, scores = placed = _placed(hist, bins)
+    chosen = checkpointed(stable_windows(hist, width, bins, placed).where("is_candidate"))
     ids = F.broadcast(chosen.select("first", "jump", "threshold"))
     reference = _reference(_in_windows(profiles, width, n).join(ids.select("first"), "first"))
     later = profiles.join(reference, "bin").where("pos > first")

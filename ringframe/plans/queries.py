@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ringframe.functions.expressions import settled
 from ringframe.operators import activity, clusters, events, frames, gates, hotspots, lattice, mixture, phenotypes, pixels, radial, rdf, resample, reshape, sectors, stencils, sweeps, trim
 from ringframe.sources import tables, views
-from ringframe.sources.scratch import shared_folder
+from ringframe.sources.scratch import checkpointed, shared_folder
 from ringframe.sources.views import SQL
 from ringframe.streaming import stateful
 
@@ -1073,7 +1073,7 @@ def _zone_centroids(spark, sf_dir, features):
 
 @query("nearest_archetypes", sql("radial holes", "SELECT * FROM near", "hole_id, label", "", f"{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, {_nearest('near', 'features', 'hole_id')}"))
 def _(spark, sf_dir):
-    features = rdf.archetype_features(_frames(spark, sf_dir))
+    features = checkpointed(rdf.archetype_features(_frames(spark, sf_dir)))
     return clusters.nearest_centroid(features, _zone_centroids(spark, sf_dir, features), FEATURES).select("hole_id", "label")
 
 
@@ -1083,14 +1083,19 @@ _SUPPORT = f"""{FRAMES}, {_FEATURE_SQL}, {_CENTRES}, kf AS (SELECT *, row_number
     sup AS (SELECT hole_id, CAST(sum(k) AS BIGINT) AS n_boot, arg_min(label, {{'k': -k, 'l': label}}) AS archetype_label, max(k) / sum(k) AS support_fraction, count(*) AS n_labels FROM (SELECT hole_id, label, count(*) AS k FROM nb GROUP BY ALL) GROUP BY hole_id)"""
 
 
-def _support(spark, sf_dir):
-    frames_ = _frames(spark, sf_dir)
-    return resample.archetype_support(frames_, _zone_centroids(spark, sf_dir, rdf.archetype_features(frames_)), FEATURES)
+def _kept_frames(spark, sf_dir) -> DataFrame:
+    """The fronts of holes and frames, written once for a query that uses them in several ways."""
+    return checkpointed(_frames(spark, sf_dir))
+
+
+def _support(spark, sf_dir, frames_):
+    centroids = checkpointed(_zone_centroids(spark, sf_dir, rdf.archetype_features(frames_)))
+    return resample.archetype_support(frames_, centroids, FEATURES)
 
 
 @query("archetype_support", sql("radial holes", "SELECT * FROM sup", "hole_id, n_boot, archetype_label, n_labels", "support_fraction", _SUPPORT))
 def _(spark, sf_dir):
-    return _support(spark, sf_dir)
+    return _support(spark, sf_dir, _kept_frames(spark, sf_dir))
 
 
 @query(
@@ -1104,7 +1109,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return resample.uncertainty(resample.bootstrap(_frames(spark, sf_dir)), _support(spark, sf_dir)).select("hole_id", "archetype_label", "uncertainty_score")
+    fronts = _kept_frames(spark, sf_dir)
+    return resample.uncertainty(resample.bootstrap(fronts), _support(spark, sf_dir, fronts)).select("hole_id", "archetype_label", "uncertainty_score")
 
 
 _HS = "hs AS (SELECT nearest_hole_id AS hole_id, count(*) AS n_hotspots, avg(dist_to_hole_px) AS mean_hotspot_distance_px, min(dist_to_hole_px) AS dmin FROM hotspots WHERE nearest_hole_id >= 0 GROUP BY ALL)"
@@ -1122,7 +1128,8 @@ _BUCKET = "CASE WHEN dmin IS NULL THEN 'none' WHEN dmin <= 10 THEN 'near' WHEN d
     ),
 )
 def _(spark, sf_dir):
-    rows = _support(spark, sf_dir).join(resample.bootstrap(_frames(spark, sf_dir)).drop("n_boot"), "hole_id", "left")
+    fronts = _kept_frames(spark, sf_dir)
+    rows = _support(spark, sf_dir, fronts).join(resample.bootstrap(fronts).drop("n_boot"), "hole_id", "left")
     zoned = hotspots.compare(rows, views.hotspot_rows(spark, sf_dir), radial.zones(views.holes(spark, sf_dir)))
     return zoned.groupBy("reticulum_zone", "hotspot_proximity_bucket").agg(
         F.count(F.lit(1)).alias("n_holes"), F.avg("support_fraction").alias("mean_support"), F.avg("bootstrap_velocity_ci_width").alias("mean_velocity_ci_width"),
@@ -1141,7 +1148,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    features = rdf.archetype_features(_frames(spark, sf_dir))
+    features = checkpointed(rdf.archetype_features(_frames(spark, sf_dir)))
     rows = clusters.nearest_centroid(features, _zone_centroids(spark, sf_dir, features), FEATURES)
     zoned = hotspots.compare(rows, views.hotspot_rows(spark, sf_dir), radial.zones(views.holes(spark, sf_dir)))
     return hotspots.compare_groups(zoned, ["mean_front_radius_norm", "delta_front_radius_norm"], ("reticulum_zone", "label", "hotspot_proximity_bucket"))
@@ -1185,7 +1192,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    scored = resample.uncertainty(resample.bootstrap(_frames(spark, sf_dir)), _support(spark, sf_dir))
+    fronts = _kept_frames(spark, sf_dir)
+    scored = resample.uncertainty(resample.bootstrap(fronts), _support(spark, sf_dir, fronts))
     return resample.summary(scored, sectors.propagation_summary(sectors.propagation(_sector_frames(spark, sf_dir))))
 
 
