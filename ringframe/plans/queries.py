@@ -1785,7 +1785,7 @@ def _(spark, sf_dir):
 
 
 def _audit(spark, sf_dir):
-    px = _dense_pixels(spark, sf_dir)
+    px = checkpointed(_dense_pixels(spark, sf_dir))
     return frames.audit(px, stencils.haar_blur(px, SIDE, SIDE), LEAST_BLUR)
 
 
@@ -1836,7 +1836,7 @@ _EDGE = _FLAT + """, gw AS (SELECT frame_id AS f, avg(r) AS mr, avg(g) AS mg, av
 
 
 def _corrections(spark, sf_dir):
-    px = _dense_pixels(spark, sf_dir)
+    px = checkpointed(_dense_pixels(spark, sf_dir))  # every correction starts from them
     ways = {"none": px, "grey_world": pixels.grey_world(px), "flat_field": stencils.flat_field(px, SIDE, SIDE)}
     return gates.union([stencils.edge_energy(p, SIDE, SIDE, 2).withColumn("method", F.lit(name)) for name, p in ways.items()])
 
