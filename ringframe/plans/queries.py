@@ -54,6 +54,21 @@ def _settled(x: str) -> str:
     return f"(floor({x} * 1e9 + 0.5) / 1e9)"
 
 
+def _kmeans(name: str, source: str, features: list[str], k: int, scale: bool = True, by_mean: bool = False, rounds: int = clusters.ROUNDS) -> str:
+    """CTEs for `name` (hole_id, cluster_id): Lloyd's rounds over `source` from holes at even ranks, as a recursion over the centres."""
+    d = range(1, len(features) + 1)
+    value = lambda f: f"(coalesce({f}, m_{f}) - m_{f}) / CASE WHEN d_{f} > 1e-8 THEN d_{f} ELSE 1.0 END" if scale else f"coalesce({f}, m_{f})"
+    stats = ", ".join(f"coalesce(avg({f}), 0.0) AS m_{f}, stddev_pop({f}) AS d_{f}" for f in features)
+    mean = " + ".join(f"v[{i}]" for i in d) if by_mean else "0.0"
+    far = " + ".join(f"(h.v[{i}] - c.v[{i}]) * (h.v[{i}] - c.v[{i}])" for i in d)
+    near = lambda of: f"SELECT h.hole_id, any_value(h.v) AS v, arg_min(c.c, {{'d': {far}, 'c': c.c}}) AS c FROM {name}_v h, {of} c GROUP BY h.hole_id"
+    return f"""{name}_v AS (SELECT hole_id, [{", ".join(value(f) for f in features)}] AS v FROM {source}, (SELECT {stats} FROM {source})),
+    {name}_r AS (SELECT v, row_number() OVER (ORDER BY {mean}, hole_id) - 1 AS rank, count(*) OVER () AS n FROM {name}_v),
+    {name}_c AS (SELECT 0 AS r, CAST(i AS INTEGER) AS c, v FROM range({k}) t(i) JOIN {name}_r ON i < least({k}, n) AND rank = CASE WHEN least({k}, n) > 1 THEN i * (n - 1) // (least({k}, n) - 1) ELSE 0 END
+      UNION ALL SELECT o.r + 1, o.c, coalesce(m.v, o.v) FROM {name}_c o LEFT JOIN (SELECT c, [{", ".join(f"avg(v[{i}])" for i in d)}] AS v FROM ({near(f"{name}_c")}) GROUP BY c) m ON m.c = o.c WHERE o.r < {rounds}),
+    {name} AS (SELECT hole_id, c AS cluster_id FROM ({near(f"(SELECT c, v FROM {name}_c WHERE r = {rounds})")}))"""
+
+
 # CTEs shared by the oracle texts.
 def _evo(name: str, source: str, extra: str = "") -> str:
     g = f"PARTITION BY hole_id, {extra}frame_id"
@@ -179,7 +194,11 @@ def _(spark, sf_dir):
     return rdf.archetype_features(_frames(spark, sf_dir))
 
 
-@query("rdf_archetypes")
+_ARCHETYPES = f"""{FRAMES}, {_FEATURE_SQL}, {_kmeans("ka", "features", FEATURES, 3, scale=False, by_mean=True)}, kf AS (SELECT * FROM features JOIN ka USING (hole_id)),
+    km AS (SELECT cluster_id, row_number() OVER (ORDER BY avg(mean_front_radius_norm) NULLS LAST, avg(delta_front_radius_norm) NULLS LAST, avg(mean_rdf_total_positive_delta) DESC NULLS LAST, cluster_id) - 1 AS canonical_id FROM kf GROUP BY cluster_id)"""
+
+
+@query("rdf_archetypes", recursive(sql("radial", "SELECT *, 'rdf_archetype_canonical_' || canonical_id AS canonical_label FROM kf JOIN km USING (cluster_id)", "hole_id, n_frames, cluster_id, CAST(canonical_id AS INTEGER) AS canonical_id, canonical_label", " ".join(FEATURES), _ARCHETYPES)))
 def _(spark, sf_dir):
     rows = clusters.kmeans(rdf.archetype_features(_frames(spark, sf_dir)), FEATURES, 3, scale=False, seeds_by_mean=True)
     order = [F.col("mean_front_radius_norm").asc_nulls_last(), F.col("delta_front_radius_norm").asc_nulls_last(), F.col("mean_rdf_total_positive_delta").desc_nulls_last()]
@@ -650,7 +669,14 @@ def _propagation(spark, sf_dir):
     return events.propagation_features(events.lag_summary(_radial_events(spark, sf_dir)))
 
 
-@query("hole_phenotypes")
+_PHENOTYPES = f"""{_REV}, {_LAGSUM}, {_FEAT}, {_kmeans("kp", "pf", phenotypes.FEATURES, 3)}, ph AS (SELECT * FROM pf JOIN kp USING (hole_id)),
+    ps AS (SELECT cluster_id, {", ".join(f"{_settled(f'avg({f})')} AS {f}" for f in phenotypes.FEATURES[:3])} FROM ph GROUP BY cluster_id),
+    pl AS (SELECT *, CASE WHEN onset_slope_per_annulus >= 0.5 AND peak_slope_per_annulus >= 0.5 AND onset_monotonic_fraction >= 0.75 THEN 'outward_propagating' WHEN abs(onset_slope_per_annulus) < 0.35 AND abs(peak_slope_per_annulus) < 0.35 THEN 'near_synchronous' WHEN onset_slope_per_annulus < 0 THEN 'outer_first' ELSE 'irregular' END AS semantic_label FROM ps),
+    pn AS (SELECT cluster_id, semantic_label, CAST(row_number() OVER (ORDER BY list_position(['outward_propagating', 'near_synchronous', 'outer_first', 'irregular'], semantic_label), onset_slope_per_annulus NULLS LAST, peak_slope_per_annulus NULLS LAST, onset_monotonic_fraction DESC NULLS LAST, cluster_id) AS INTEGER) AS canonical_id FROM pl),
+    phenotyped AS (SELECT ph.*, semantic_label, canonical_id, 'P' || canonical_id || '_' || semantic_label AS canonical_label, 'P' || canonical_id || '_' || semantic_label AS phenotype_label FROM ph JOIN pn USING (cluster_id))"""
+
+
+@query("hole_phenotypes", recursive(sql("radial", "SELECT * FROM phenotyped", _LAG_K + ", monotonic_onset, monotonic_peak, negative_lag_flag, cluster_id, semantic_label, canonical_id, canonical_label, phenotype_label", "onset_monotonic_fraction peak_monotonic_fraction onset_slope_per_annulus peak_slope_per_annulus", _PHENOTYPES)))
 def _(spark, sf_dir):
     return phenotypes.assign(_propagation(spark, sf_dir))
 
@@ -673,17 +699,18 @@ def _(spark, sf_dir):
 
 # --- lattice -----------------------------------------------------------------------------------------------------------
 
-_LABELLED = PROFILE + ", hsum AS (" + _summary("hole_id", "profile") + "), labelled AS (SELECT h.hole_id, lattice_u, lattice_v, radial_conclusion_label AS label FROM hsum JOIN holes h USING (hole_id))"
+_LABELLED = _PHENOTYPES + ", labelled AS (SELECT h.hole_id, h.lattice_u, h.lattice_v, phenotype_label AS label FROM phenotyped JOIN holes h USING (hole_id))"
 
 
 def _labelled(spark, sf_dir):
-    labels = _hole_summary(spark, sf_dir).select("hole_id", F.col("radial_conclusion_label").alias("label"))
-    return views.holes(spark, sf_dir).select("hole_id", "lattice_u", "lattice_v").join(labels, "hole_id")
+    """Holes with their phenotypes, written once."""
+    labels = phenotypes.assign(_propagation(spark, sf_dir)).select("hole_id", F.col("phenotype_label").alias("label"))
+    return checkpointed(views.holes(spark, sf_dir).select("hole_id", "lattice_u", "lattice_v").join(labels, "hole_id"))
 
 
 @query(
     "phenotype_neighbors",
-    sql("radial holes", "SELECT a.hole_id AS hole_id_a, b.hole_id AS hole_id_b, a.label AS label_a, b.label AS label_b, a.label = b.label AS same_label FROM labelled a JOIN labelled b ON abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v) = 1 AND (a.lattice_u, a.lattice_v) < (b.lattice_u, b.lattice_v)", "hole_id_a, hole_id_b, label_a, label_b, same_label", "", _LABELLED),
+    recursive(sql("radial holes", "SELECT a.hole_id AS hole_id_a, b.hole_id AS hole_id_b, a.label AS label_a, b.label AS label_b, a.label = b.label AS same_label FROM labelled a JOIN labelled b ON abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v) = 1 AND (a.lattice_u, a.lattice_v) < (b.lattice_u, b.lattice_v)", "hole_id_a, hole_id_b, label_a, label_b, same_label", "", _LABELLED)),
 )
 def _(spark, sf_dir):
     return lattice.neighbour_pairs(_labelled(spark, sf_dir))
@@ -691,27 +718,27 @@ def _(spark, sf_dir):
 
 @query(
     "phenotype_smoothness",
-    sql(
+    recursive(sql(
         "radial holes",
         """SELECT a.hole_id, any_value(a.label) AS label, sum(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END / (abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v))) / sum(1.0 / (abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v))) AS spatial_smoothness, count(b.hole_id) AS neighbor_count
         FROM labelled a LEFT JOIN labelled b ON abs(a.lattice_u - b.lattice_u) + abs(a.lattice_v - b.lattice_v) BETWEEN 1 AND 2 GROUP BY a.hole_id""",
         "hole_id, label, neighbor_count",
         "spatial_smoothness",
         _LABELLED,
-    ),
+    )),
 )
 def _(spark, sf_dir):
     return lattice.smoothness(_labelled(spark, sf_dir))
 
 
-@query("phenotype_counts", sql("radial holes", "SELECT label, count(*) AS n FROM labelled GROUP BY label", "label, n", "", _LABELLED))
+@query("phenotype_counts", recursive(sql("radial holes", "SELECT label, count(*) AS n FROM labelled GROUP BY label", "label, n", "", _LABELLED)))
 def _(spark, sf_dir):
     return reshape.count_by(_labelled(spark, sf_dir), "label")
 
 
 @query(
     "phenotype_archetypes",
-    sql("radial holes", "SELECT label, frame_id, annulus_id, avg(descriptor_value) AS mean_descriptor, stddev_pop(descriptor_value) AS std_descriptor, count(descriptor_value) AS n_holes FROM radial JOIN labelled USING (hole_id) GROUP BY ALL", "label, frame_id, annulus_id, n_holes", "mean_descriptor std_descriptor", _LABELLED),
+    recursive(sql("radial holes", "SELECT label, frame_id, annulus_id, avg(descriptor_value) AS mean_descriptor, stddev_pop(descriptor_value) AS std_descriptor, count(descriptor_value) AS n_holes FROM radial JOIN labelled USING (hole_id) GROUP BY ALL", "label, frame_id, annulus_id, n_holes", "mean_descriptor std_descriptor", _LABELLED)),
 )
 def _(spark, sf_dir):
     rows = views.radial_rows(spark, sf_dir).join(_labelled(spark, sf_dir).select("hole_id", "label"), "hole_id")
@@ -1170,9 +1197,15 @@ def _(spark, sf_dir):
     return clusters.semantics(rows, "reticulum_zone")
 
 
-@query("radial_archetypes")
+_GROUPED = f"""{PROFILE}, {_ASYM}, hsum AS ({_summary("hole_id", "profile")}), aby AS (SELECT hole_id, avg(angular_asymmetry) AS mean_angular_asymmetry FROM asym GROUP BY hole_id), hz AS (SELECT * FROM hsum LEFT JOIN aby USING (hole_id)),
+    {_kmeans("kr", "hz", ["delta_center_of_mass", "mean_inner_minus_outer", "mean_angular_asymmetry"], 3)}, kg AS (SELECT cluster_id, avg(delta_center_of_mass) AS d, avg(mean_angular_asymmetry) AS a FROM hz JOIN kr USING (hole_id) GROUP BY cluster_id),
+    kn AS (SELECT *, CASE WHEN d IS NULL THEN 'unknown' WHEN d > 0.35 THEN 'outward_shift' WHEN d < -0.35 THEN 'inward_shift' WHEN a > 0.25 THEN 'stable_asymmetric' ELSE 'stable' END AS semantic_label FROM kg),
+    ko AS (SELECT *, CAST(row_number() OVER (ORDER BY semantic_label, floor(coalesce(d, 0.0) * 1e9 + 0.5), cluster_id) AS INTEGER) AS canonical_id FROM kn)"""
+
+
+@query("radial_archetypes", recursive(sql("radial sector", "SELECT *, 'R' || canonical_id || '_' || semantic_label AS canonical_label FROM kr JOIN ko USING (cluster_id)", "hole_id, cluster_id, semantic_label, canonical_id, canonical_label", "", _GROUPED)))
 def _(spark, sf_dir):
-    """Holes in three groups by profile summary, scaled; the groups' meanings are checked by zone_semantics."""
+    """Holes in three groups by profile summary, scaled."""
     uneven = radial.asymmetry_by(radial.angular_asymmetry(views.sector_rows(spark, sf_dir)), "hole_id").select("hole_id", "mean_angular_asymmetry")
     rows = _hole_summary(spark, sf_dir).join(uneven, "hole_id", "left")
     placed = clusters.kmeans(rows, ["delta_center_of_mass", "mean_inner_minus_outer", "mean_angular_asymmetry"], 3)
