@@ -42,6 +42,50 @@ def front_metrics(tensor: DataFrame, threshold: float = FRONT) -> DataFrame:
     )
 
 
+def hole_front_metrics(tensor: DataFrame, threshold: float = FRONT) -> DataFrame:
+    """Per (frame, cluster) over the shares of each hole's terraces, which are numbered from 1: the mean terrace weighted by share, the
+    terrace of the largest share (the least among equals), the outermost one where a hole reaches `threshold`, and over holes that
+    have the cluster: mean, deviation, P10 and P90 of their own weighted mean terraces, and their number.
+    """
+    shares = pooled(tensor, ["frame_id", "hole_id", "terrace_index"]).select("frame_id", "hole_id", "cluster_id", (F.col("terrace_index") + 1).alias("t"), F.col("pixel_fraction").alias("p"))
+    holes = shares.groupBy("frame_id", "cluster_id", "hole_id").agg(
+        F.sum("p").alias("_p"), F.sum(F.col("t") * F.col("p")).alias("_tp"), F.max(F.when(F.col("p") >= threshold, F.col("t"))).alias("_outer"), F.max(F.struct(settled(F.col("p")).alias("p"), (-F.col("t")).alias("t"))).alias("_peak")
+    )
+    own = F.when(F.col("_p") > 0, F.col("_tp") / F.greatest("_p", F.lit(1e-12)))
+    return holes.withColumn("_own", own).groupBy("frame_id", "cluster_id").agg(
+        (F.sum("_tp") / F.greatest(F.sum("_p"), F.lit(1e-12))).alias("weighted_mean_terrace"), (-F.max("_peak")["t"]).alias("peak_terrace"), F.max("_outer").alias("outer_front_terrace"),
+        F.avg("_own").alias("hole_mean_weighted_mean_terrace"), F.stddev_pop("_own").alias("hole_sd_weighted_mean_terrace"),
+        F.percentile("_own", 0.1).alias("hole_q10_weighted_mean_terrace"), F.percentile("_own", 0.9).alias("hole_q90_weighted_mean_terrace"), F.count("_own").alias("n_holes"),
+    )
+
+
+def full_tensor(tensor: DataFrame, n_sectors: int) -> DataFrame:
+    """All clusters of every (frame, hole, terrace, sector) that has pixels, those without pixels there as 0: counts, shares, the
+    pixels of the place and the middle of the sector in degrees.
+    """
+    place = ["frame_id", "hole_id", "terrace_index", "sector_id"]
+    counts = tensor.groupBy(*place, "cluster_id").agg(F.sum("pixel_count").alias("pixel_count"))
+    held = counts.groupBy(*place).agg(F.sum("pixel_count").alias("n_valid_pixels"), F.map_from_entries(F.collect_list(F.struct("cluster_id", "pixel_count"))).alias("_of"))
+    clusters = tensor.agg(F.array_sort(F.collect_set("cluster_id")).alias("_clusters"))  # few, and the same for all
+    rows = held.crossJoin(F.broadcast(clusters)).select(*place, "n_valid_pixels", "_of", F.explode("_clusters").alias("cluster_id"))
+    count = F.coalesce(F.element_at("_of", F.col("cluster_id")), F.lit(0).cast("bigint"))
+    theta = (F.col("sector_id") + 0.5) * 360.0 / n_sectors
+    return rows.select(*place, theta.alias("theta_center_deg"), "cluster_id", count.alias("pixel_count"), (count / F.greatest("n_valid_pixels", F.lit(1))).alias("pixel_fraction"), "n_valid_pixels")
+
+
+def hole_consistency(tensor: DataFrame) -> DataFrame:
+    """Per (frame, terrace): mean and deviation over holes of the similarity (1 - Jensen-Shannon divergence, base 2) of their cluster shares to all holes' shares."""
+    keys = ["frame_id", "terrace_index"]
+    hole = pooled(tensor, [*keys, "hole_id"]).select(*keys, "hole_id", "cluster_id", F.col("pixel_fraction").alias("p"))
+    whole = pooled(tensor, keys).select(*keys, "cluster_id", F.col("pixel_fraction").alias("q"))
+    pairs = hole.select(*keys, "hole_id").distinct().join(whole, keys).join(hole, [*keys, "hole_id", "cluster_id"], "left")
+    p, q = F.coalesce("p", F.lit(0.0)), F.col("q")
+    m = (p + q) / 2
+    term = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+    alike = pairs.groupBy(*keys, "hole_id").agg((1 - F.sum(term) / 2).alias("_s"))
+    return alike.groupBy(*keys).agg(F.avg("_s").alias("mean_js_similarity"), F.stddev_pop("_s").alias("sd_js_similarity"), F.count("_s").alias("n_holes"))
+
+
 def hole_spread(tensor: DataFrame) -> DataFrame:
     """Per (frame, cluster): mean, deviation, P10 and P90 over holes of the cluster's share."""
     holes = pooled(tensor, ["frame_id", "hole_id"])

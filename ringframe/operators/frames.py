@@ -71,6 +71,18 @@ def hsv_stats(pixels: DataFrame, least_saturation: float = 0.2) -> DataFrame:
     return known.groupBy("frame_id").agg(F.avg("h").alias("mean_h"), F.avg("s").alias("mean_s"), F.avg("v").alias("mean_v"), F.avg((F.col("s") >= least_saturation).cast("double")).alias("hue_share"))
 
 
+def colour_series(pixels: DataFrame) -> DataFrame:
+    """Per frame the means of channels over 255 and of 8-bit hue, saturation and value, and the channels' deviations."""
+    h, s, v = hsv8(F.col("r"), F.col("g"), F.col("b"))
+    known = pixels.select("frame_id", *[(F.col(c) / F.lit(255.0)).alias(c) for c in "rgb"], h.alias("h"), s.alias("s"), v.alias("v"))
+    return known.groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgbhsv"], *[F.stddev_pop(c).alias(f"std_{c}") for c in "rgb"])
+
+
+def brightness(pixels: DataFrame, factor: float) -> DataFrame:
+    """Channels multiplied, clipped to 0..255 and cut to whole numbers."""
+    return pixels.withColumns({c: F.floor(F.least(F.greatest(settled(F.col(c) * factor), F.lit(0.0)), F.lit(255.0))).cast("int") for c in "rgb"})
+
+
 DESCRIPTORS = ("r", "g", "b", "h", "s")
 
 

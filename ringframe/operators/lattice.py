@@ -243,6 +243,11 @@ def variants(holes: DataFrame, share: float = 0.05) -> DataFrame:
     )
 
 
+def scaled(holes: DataFrame, factor: float) -> DataFrame:
+    """Both radii multiplied, 1 px at least."""
+    return holes.withColumns({r: F.greatest(F.col(r) * factor, F.lit(1.0)) for r in ("radius_inner_px", "radius_outer_px")})
+
+
 def assigned(points: DataFrame, basis: DataFrame) -> DataFrame:
     """Lattice place of each point under the basis of `least_squares` (one row): the inverse of its vectors, rounded half to even; null without a basis."""
     det = F.col("a_x") * F.col("b_y") - F.col("a_y") * F.col("b_x")

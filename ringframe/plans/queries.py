@@ -1236,6 +1236,23 @@ _SWEPT_FEATURES = f"""grid(sweep_id, bs, rs) AS (VALUES {", ".join(f"({i * 3 + k
     bf AS (SELECT * FROM fs WHERE brightness_scale = 1 AND radius_scale = 1), {_CENTRES.replace("FROM features", "FROM bf")}, {_nearest("ns", "fs", "sweep_id, brightness_scale, radius_scale, hole_id")}"""
 
 
+_SUMMARIES = {
+    "bootstrap_validation": ("mean_bootstrap_class_support mean_velocity_ci_width mean_sector_propagation_valid_fraction", f"""SELECT (SELECT avg(support_fraction) FROM sup) AS mean_bootstrap_class_support, (SELECT avg(bootstrap_velocity_ci_width) FROM bs JOIN sup USING (hole_id)) AS mean_velocity_ci_width,
+        (SELECT avg(f) FROM (SELECT count(sector_front_velocity_per_frame) / count(*) AS f FROM prop GROUP BY hole_id)) AS mean_sector_propagation_valid_fraction, true AS validation_enabled""", f"{_SUPPORT}, {_BOOT}, {SFRAMES}, {_PROP}"),
+    "uncertainty_validation": ("mean_uncertainty_score mean_hotspot_linked_velocity_ci_width mean_sector_acceleration_valid_fraction", f"""SELECT (SELECT avg((bootstrap_mean_front_ci_width + bootstrap_delta_front_ci_width + bootstrap_velocity_ci_width + greatest(1 - support_fraction, 0.0)) / 4) FROM bs JOIN sup USING (hole_id)) AS mean_uncertainty_score,
+        (SELECT avg(bootstrap_velocity_ci_width) FROM bs JOIN sup USING (hole_id)) AS mean_hotspot_linked_velocity_ci_width, (SELECT avg(f) FROM (SELECT CAST(count(*) / count(*) AS DOUBLE) AS f FROM acc GROUP BY hole_id)) AS mean_sector_acceleration_valid_fraction, true AS validation_enabled""", f"{_SUPPORT}, {_BOOT}, {SFRAMES}, {_ACC}"),
+}
+for _at, (_name, (_measures, _text, _ctes)) in enumerate(_SUMMARIES.items()):
+
+    @query(_name, sql("radial sector holes", _text, "validation_enabled", _measures, _ctes))
+    def _(spark, sf_dir, at=_at):
+        fronts = _kept_frames(spark, sf_dir)
+        scored = checkpointed(resample.uncertainty(resample.bootstrap(fronts), _support(spark, sf_dir, fronts)))
+        by_sector = checkpointed(_sector_frames(spark, sf_dir))
+        velocities, accelerations = sectors.propagation_summary(sectors.propagation(by_sector)), sectors.acceleration_summary(sectors.acceleration(by_sector))
+        return resample.validation_summaries(scored, velocities, accelerations)[at]
+
+
 @query(
     "archetype_sweeps",
     sql(
@@ -1960,6 +1977,87 @@ def _(spark, sf_dir):
     return activity.barcode(*_response_places(spark, sf_dir))
 
 
+# --- shares by hole, colours of frames, perturbed pixels and holes --------------------------------------------------------
+
+
+_HOLE_FRONTS = _pooled("ph", "frame_id, hole_id, terrace_index") + """, hp AS (SELECT frame_id, cluster_id, hole_id, sum(pixel_fraction) AS p, sum((terrace_index + 1) * pixel_fraction) AS tp FROM ph GROUP BY ALL),
+    hf AS (SELECT frame_id, cluster_id, avg(own) AS hole_mean_weighted_mean_terrace, stddev_pop(own) AS hole_sd_weighted_mean_terrace, quantile_cont(own, 0.1) AS hole_q10_weighted_mean_terrace, quantile_cont(own, 0.9) AS hole_q90_weighted_mean_terrace, count(own) AS n_holes
+      FROM (SELECT *, CASE WHEN p > 0 THEN tp / greatest(p, 1e-12) END AS own FROM hp) GROUP BY ALL),
+    hm AS (SELECT frame_id, cluster_id, sum((terrace_index + 1) * pixel_fraction) / greatest(sum(pixel_fraction), 1e-12) AS weighted_mean_terrace, arg_max(terrace_index, {'v': floor(pixel_fraction * 1e9 + 0.5), 'k': -terrace_index}) + 1 AS peak_terrace, max(terrace_index + 1) FILTER (WHERE pixel_fraction >= 0.15) AS outer_front_terrace FROM ph GROUP BY ALL)"""
+_HOLE_FRONTS_M = "weighted_mean_terrace hole_mean_weighted_mean_terrace hole_sd_weighted_mean_terrace hole_q10_weighted_mean_terrace hole_q90_weighted_mean_terrace"
+
+
+@query("hole_front_metrics", sql("tensor", "SELECT * FROM hm JOIN hf USING (frame_id, cluster_id)", "frame_id, cluster_id, CAST(peak_terrace AS INTEGER) AS peak_terrace, CAST(outer_front_terrace AS INTEGER) AS outer_front_terrace, n_holes", _HOLE_FRONTS_M, _HOLE_FRONTS))
+def _(spark, sf_dir):
+    return activity.hole_front_metrics(views.cluster_tensor(spark, sf_dir))
+
+
+@query("full_cluster_tensor", sql("tensor", "SELECT f.frame_id, f.hole_id, f.terrace_index, f.sector_id, (f.sector_id + 0.5) * 90.0 AS theta_center_deg, k.cluster_id, CAST(coalesce(t.pixel_count, 0) AS BIGINT) AS pixel_count, coalesce(t.pixel_count, 0) / f.n AS pixel_fraction, CAST(f.n AS BIGINT) AS n_valid_pixels FROM (SELECT frame_id, hole_id, terrace_index, sector_id, sum(pixel_count) AS n FROM tensor GROUP BY ALL) f CROSS JOIN (SELECT DISTINCT cluster_id FROM tensor) k LEFT JOIN tensor t ON t.frame_id = f.frame_id AND t.hole_id = f.hole_id AND t.terrace_index = f.terrace_index AND t.sector_id = f.sector_id AND t.cluster_id = k.cluster_id", "frame_id, hole_id, terrace_index, sector_id, cluster_id, pixel_count, n_valid_pixels", "theta_center_deg pixel_fraction"))
+def _(spark, sf_dir):
+    return activity.full_tensor(views.cluster_tensor(spark, sf_dir), 4)
+
+
+_CONSISTENT = _pooled("hc", "frame_id, terrace_index, hole_id") + ", " + _pooled("wc", "frame_id, terrace_index") + """, hx AS (SELECT h.frame_id, h.terrace_index, h.hole_id, coalesce(p.pixel_fraction, 0.0) AS p, w.pixel_fraction AS q FROM (SELECT DISTINCT frame_id, terrace_index, hole_id FROM hc) h JOIN wc w ON w.frame_id = h.frame_id AND w.terrace_index = h.terrace_index
+      LEFT JOIN hc p ON p.frame_id = h.frame_id AND p.terrace_index = h.terrace_index AND p.hole_id = h.hole_id AND p.cluster_id = w.cluster_id),
+    hj AS (SELECT frame_id, terrace_index, hole_id, 1 - sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0.0 END) / 2 AS s FROM hx GROUP BY ALL)"""
+
+
+@query("hole_consistency", sql("tensor", "SELECT frame_id, terrace_index, avg(s) AS mean_js_similarity, stddev_pop(s) AS sd_js_similarity, count(s) AS n_holes FROM hj GROUP BY ALL", "frame_id, terrace_index, n_holes", "mean_js_similarity sd_js_similarity", _CONSISTENT))
+def _(spark, sf_dir):
+    return activity.hole_consistency(views.cluster_tensor(spark, sf_dir))
+
+
+_SIX = """hv AS (SELECT frame_id, y, x, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, (CAST(floor(30 * sixth + 0.5) AS BIGINT) % 180) / 179.0::DOUBLE AS h, floor(CASE WHEN hi = 0 THEN 0.0 ELSE 255 * c / hi END + 0.5) / 255.0::DOUBLE AS s, hi / 255.0::DOUBLE AS v FROM (
+        SELECT *, CASE WHEN c = 0 THEN 0.0::DOUBLE WHEN hi = r THEN (CASE WHEN (g - b) / c < 0 THEN (g - b) / c + 6 ELSE (g - b) / c END) WHEN hi = g THEN (b - r) / c + 2 ELSE (r - g) / c + 4 END AS sixth FROM (
+        SELECT *, CAST(greatest(r, g, b) AS DOUBLE) AS hi, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS c FROM placed)))"""
+_SERIES_M = " ".join([f"mean_{c}" for c in "rgbhsv"] + [f"std_{c}" for c in "rgb"])
+
+
+@query("frame_colour_series", sql("", "SELECT frame_id, " + ", ".join([f"avg({c}) AS mean_{c}" for c in "rgbhsv"] + [f"stddev_pop({c}) AS std_{c}" for c in "rgb"]) + " FROM hv GROUP BY frame_id", "frame_id", _SERIES_M, f"{_PLACED}, {_SIX}"))
+def _(spark, sf_dir):
+    return frames.colour_series(_placed_pixels(spark, sf_dir))
+
+
+@query("bulk_colour_series", sql("holes", "SELECT frame_id, " + ", ".join([f"avg({c}) AS mean_{c}" for c in "rgbhsv"] + [f"stddev_pop({c}) AS std_{c}" for c in "rgb"]) + " FROM hv WHERE NOT EXISTS (SELECT 1 FROM holes h WHERE sqrt((hv.x - h.x) ** 2 + (hv.y - h.y) ** 2) <= h.radius_outer_px + 2) GROUP BY frame_id", "frame_id", _SERIES_M, f"{_PLACED}, {_SIX}"))
+def _(spark, sf_dir):
+    """The colours of what lies outside all holes."""
+    return frames.colour_series(pixels.outside_holes(_placed_pixels(spark, sf_dir), views.holes(spark, sf_dir), 2.0))
+
+
+@query("brightness_means", sql("", " UNION ALL ".join(f"SELECT CAST({f} AS DOUBLE) AS factor, frame_id, " + ", ".join(f"avg(floor(least(floor({c} * {f} * 1e9 + 0.5) / 1e9, 255.0))) AS mean_{c}" for c in "rgb") + " FROM placed GROUP BY frame_id" for f in sweeps.BRIGHTNESS), "factor, frame_id", "mean_r mean_g mean_b", _PLACED))
+def _(spark, sf_dir):
+    px = _placed_pixels(spark, sf_dir)
+    return gates.union([frames.brightness(px, f).groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"]).withColumn("factor", F.lit(f)) for f in sweeps.BRIGHTNESS])
+
+
+@query("scaled_holes", sql("holes", " UNION ALL ".join(f"SELECT CAST({f} AS DOUBLE) AS factor, hole_id, greatest(radius_inner_px * {f}, 1.0) AS radius_inner_px, greatest(radius_outer_px * {f}, 1.0) AS radius_outer_px FROM holes" for f in (0.05, *sweeps.RADIUS)), "factor, hole_id", "radius_inner_px radius_outer_px"))
+def _(spark, sf_dir):
+    holes = views.holes(spark, sf_dir)
+    return gates.union([lattice.scaled(holes, f).select("hole_id", "radius_inner_px", "radius_outer_px").withColumn("factor", F.lit(f)) for f in (0.05, *sweeps.RADIUS)])
+
+
+@query("place_overlap", sql("", "SELECT i / (a + b - i) AS iou, i / least(a, b) AS overlap_fraction FROM (SELECT (SELECT count(*) FROM pa) AS a, (SELECT count(*) FROM pb) AS b, (SELECT count(*) FROM pa JOIN pb USING (y, x)) AS i)", "", "iou overlap_fraction", _PLACED + ", pa AS (SELECT DISTINCT y, x FROM placed WHERE frame_id < 14), pb AS (SELECT DISTINCT y, x FROM placed WHERE frame_id >= 14)"))
+def _(spark, sf_dir):
+    """The places of the first half of the frames against those of the second."""
+    px = _placed_pixels(spark, sf_dir)
+    return pixels.overlap(*[px.where(half).select("y", "x").distinct() for half in ("frame_id < 14", "frame_id >= 14")])
+
+
+@query("first_hole_matrix", sql("radial", "SELECT frame_id, " + ", ".join(f"any_value(descriptor_value) FILTER (WHERE annulus_id = {i}) AS c{i}" for i in range(7)) + " FROM radial WHERE hole_id = (SELECT min(hole_id) FROM radial) GROUP BY frame_id", "frame_id", " ".join(f"c{i}" for i in range(7))))
+def _(spark, sf_dir):
+    """Frame x annulus of the first hole; one hole is the feature."""
+    rows = views.radial_rows(spark, sf_dir)
+    first = rows.agg(F.min("hole_id").alias("_first"))
+    return reshape.matrix(rows.join(F.broadcast(first), F.col("hole_id") == F.col("_first")), "frame_id", "annulus_id", "descriptor_value", list(range(7)), "hole_id")
+
+
+@query("bar_rows", sql("radial", "SELECT CAST(hole_id AS VARCHAR) AS label, coalesce(v, 0.0) AS value FROM (SELECT hole_id, avg(descriptor_value) FILTER (WHERE hole_id % 3 > 0) AS v FROM radial GROUP BY hole_id ORDER BY hole_id LIMIT 12)", "label", "value"))
+def _(spark, sf_dir):
+    """A plot's first bars: their limit is the feature."""
+    means = views.radial_rows(spark, sf_dir).groupBy("hole_id").agg(F.avg(F.when(F.col("hole_id") % 3 > 0, F.col("descriptor_value"))).alias("v"))
+    return reshape.bars(means, "hole_id", "v", "hole_id")
+
+
 # --- geometry, records and raw frames ------------------------------------------------------------------------------------
 
 
@@ -2096,11 +2194,6 @@ def _(spark, sf_dir):
     return gates.union([reshape.smooth_values(series, ["entity_id"], "frame_id", "value", w).withColumn("width", F.lit(w)) for w in (3, 4, 7)])
 
 
-_SIX = """hv AS (SELECT frame_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, (CAST(floor(30 * sixth + 0.5) AS BIGINT) % 180) / 179.0::DOUBLE AS h, floor(CASE WHEN hi = 0 THEN 0.0 ELSE 255 * c / hi END + 0.5) / 255.0::DOUBLE AS s FROM (
-        SELECT *, CASE WHEN c = 0 THEN 0.0::DOUBLE WHEN hi = r THEN (CASE WHEN (g - b) / c < 0 THEN (g - b) / c + 6 ELSE (g - b) / c END) WHEN hi = g THEN (b - r) / c + 2 ELSE (r - g) / c + 4 END AS sixth FROM (
-        SELECT *, CAST(greatest(r, g, b) AS DOUBLE) AS hi, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS c FROM placed)))"""
-
-
 @query("descriptor_values", sql("", " UNION ALL ".join(f"SELECT '{c}' AS descriptor, frame_id, avg({c}) AS mean_value FROM hv GROUP BY frame_id" for c in "rgbhs"), "descriptor, frame_id", "mean_value", f"{_PLACED}, {_SIX}"))
 def _(spark, sf_dir):
     px = _placed_pixels(spark, sf_dir)
