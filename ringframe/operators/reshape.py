@@ -69,6 +69,29 @@ def line_series(rows: DataFrame, group: str, x: str, y: str, last_by: str, limit
     return grid.join(kept.groupBy(group, x).agg(F.max_by(y, last_by).alias(y)), [group, x], "left")
 
 
+def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the last by `order` (nulls first; then by all columns): what a lookup that is filled row by row ends with."""
+    rest = [c for c in rows.columns if c not in keys]
+    rank = F.struct(*order, *[c for c in rest if c not in order])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_last")).select(*keys, "_last.*")
+
+
+def snapshot_frames(rows: DataFrame, baseline: int = 3) -> DataFrame:
+    """The distinct frames in order, with their place from 0 and whether they are among the first `baseline`; a row for each frame."""
+    frames = rows.where("frame_id IS NOT NULL").select("frame_id").distinct()
+    return ordered_places(frames, ["frame_id"], "place").withColumn("is_baseline", F.col("place") < baseline)
+
+
+def signatures(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A signature of each key's rows (SHA-256 of their sorted texts), equal only for equal rows; columns as text, null as \\N.
+
+    Rows are hashed one by one first, so that a key's rows meet as short digests.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    digests = rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.md5(F.encode(text, "utf-8")))), "").alias("_d"))
+    return digests.select(*keys, F.sha2(F.encode("_d", "utf-8"), 256).alias("signature"))
+
+
 def ordered_places(rows: DataFrame, keys: list, name: str) -> DataFrame:
     """Number all rows from 0 in the order of `keys`: each range of the global order counts its own, and the ranges before it are added."""
     parts = checkpointed(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))

@@ -2058,6 +2058,23 @@ def _(spark, sf_dir):
     return reshape.bars(means, "hole_id", "v", "hole_id")
 
 
+@query("last_lattice_places", sql("radial", "SELECT annulus_id, arg_max(lattice_u, {'f': frame_id, 'h': hole_id}) AS lattice_u, arg_max(lattice_v, {'f': frame_id, 'h': hole_id}) AS lattice_v FROM radial GROUP BY annulus_id", "annulus_id, lattice_u, lattice_v"))
+def _(spark, sf_dir):
+    """A lookup whose last row wins: for each annulus the place of the last hole of the last frame."""
+    rows = views.radial_rows(spark, sf_dir).select("annulus_id", "frame_id", "hole_id", "lattice_u", "lattice_v")
+    return reshape.last_rows(rows, ["annulus_id"], ["frame_id", "hole_id"]).select("annulus_id", "lattice_u", "lattice_v")
+
+
+@query("snapshot_frames", sql("tensor", "SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS place, row_number() OVER (ORDER BY frame_id) <= 3 AS is_baseline FROM (SELECT DISTINCT frame_id FROM tensor)", "frame_id, place, is_baseline"))
+def _(spark, sf_dir):
+    return reshape.snapshot_frames(views.cluster_tensor(spark, sf_dir))
+
+
+@query("hole_signatures", sql("radial", "SELECT hole_id, sha256(string_agg(m, '' ORDER BY m)) AS signature FROM (SELECT hole_id, md5(concat_ws('|', frame_id, annulus_id, area_px)) AS m FROM radial) GROUP BY hole_id", "hole_id, signature"))
+def _(spark, sf_dir):
+    return reshape.signatures(views.radial_rows(spark, sf_dir), ["hole_id"], ["frame_id", "annulus_id", "area_px"])
+
+
 # --- geometry, records and raw frames ------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringframe.operators import activity, frames, gates, hotspots, lattice, pixels, resample, reshape
+from ringframe.operators import activity, clusters, frames, gates, hotspots, lattice, pixels, rdf, resample, reshape
 from ringframe.plans import queries
 from ringframe.sources import tables
 
@@ -195,6 +195,53 @@ def test_nearest_holes_far_and_missing(spark):
     assert {r.nearest_hole_id for r in hotspots.nearest_hole(points, holes.limit(0)).collect()} == {None} and hotspots.nearest_hole(points.limit(0), holes).count() == 0
 
 
+def test_last_rows_and_signatures(spark):
+    rows = spark.createDataFrame([(1, 0, "a", None), (1, 2, "b", 1), (1, 2, "c", 0), (2, None, "d", 5), (None, 1, "e", 2)], "k int, at int, v string, w int")
+    assert {tuple(r) for r in reshape.last_rows(rows, ["k"], ["at"]).select("k", "v", "w").collect()} == {(1, "c", 0), (2, "d", 5), (None, "e", 2)}
+    assert reshape.last_rows(rows.limit(0), ["k"], ["at"]).count() == 0
+    mixed = spark.createDataFrame([(1, "x", None), (1, "y", 2), (2, "y", 2), (2, "x", None), (3, "x", 2), (3, "y", None)], "k int, v string, w int").repartition(3)
+    by = {r.k: r.signature for r in reshape.signatures(mixed, ["k"], ["v", "w"]).collect()}
+    assert by[1] == by[2] != by[3]
+    frames_ = reshape.snapshot_frames(spark.createDataFrame([(5,), (1,), (None,), (5,), (9,)], "frame_id int"), 2).collect()
+    assert sorted(tuple(r) for r in frames_) == [(1, 0, True), (5, 1, True), (9, 2, False)]
+
+
+def test_fronts_by_hole(spark):
+    rows = [(0, 1, 0, 1, 30), (0, 1, 1, 1, 10), (0, 1, 1, 2, 30), (0, 2, 0, 1, 10), (0, 2, 2, 2, 10)]
+    tensor = spark.createDataFrame([(f, h, t, 0, c, n) for f, h, t, c, n in rows], "frame_id int, hole_id int, terrace_index int, sector_id int, cluster_id int, pixel_count long")
+    got = {r.cluster_id: r for r in activity.hole_front_metrics(tensor).collect()}
+    one = got[1]  # hole 1: terraces 1 (share 1) and 2 (share .25); hole 2: terrace 1 (share 1)
+    assert one.weighted_mean_terrace == pytest.approx((1 + 0.5 + 1) / 2.25) and one.peak_terrace == 1 and one.outer_front_terrace == 2 and one.n_holes == 2
+    assert one.hole_mean_weighted_mean_terrace == pytest.approx((1.2 + 1) / 2) and one.hole_q90_weighted_mean_terrace == pytest.approx(1.18)
+    full = activity.full_tensor(tensor, 4).collect()
+    assert len(full) == 8 and {r.theta_center_deg for r in full} == {45.0} and sum(r.pixel_count == 0 for r in full) == 3
+    assert {r.n_holes for r in activity.hole_consistency(tensor).collect()} == {1, 2}
+
+
+def test_supports_on_found_archetypes(spark):
+    """Bootstraps of fronts against centroids of k-means, by loops."""
+    rng = np.random.default_rng(4)
+    fronts = [(h, f, float(rng.uniform(0, 1) + (h % 2)), float(rng.uniform()), float(rng.uniform()), float(rng.uniform())) for h in range(6) for f in range(5)]
+    names = ["rdf_front_radius_norm", "rdf_spread_norm", "rdf_total_positive_delta", "rdf_inner_minus_outer_delta"]
+    df = spark.createDataFrame(fronts, "hole_id int, frame_id int, " + ", ".join(f"{n} double" for n in names))
+    features = rdf.archetype_features(df)
+    placed = clusters.kmeans(features, queries.FEATURES, 2, scale=False, seeds_by_mean=True)
+    centres = clusters.canonical(placed, queries.FEATURES, [F.col("mean_front_radius_norm")], "a").select(F.col("canonical_label").alias("label"), *queries.FEATURES)
+    got = {r.hole_id: (r.n_boot, r.archetype_label, r.support_fraction) for r in resample.archetype_support(df, centres, queries.FEATURES, 16).collect()}
+    at = {r.label: np.array([r[f] for f in queries.FEATURES]) for r in centres.collect()}
+    for h in range(6):
+        own = [r for r in fronts if r[0] == h]
+        votes = {}
+        for boot in range(16):
+            drawn = sorted((own[(h * resample.A + boot * resample.B + d * resample.C + resample.D) % resample.M % 5] for d in range(5)), key=lambda r: r[1])
+            y = np.array([r[2] for r in drawn])
+            v = np.array([y.mean(), y[-1] - y[0], y.std(), np.mean([r[3] for r in drawn]), np.mean([r[4] for r in drawn]), np.mean([abs(r[5]) for r in drawn])])
+            label = min(at, key=lambda k: (round(float(((at[k] - v) ** 2).sum()), 9), k))
+            votes[label] = votes.get(label, 0) + 1
+        best = min(votes, key=lambda k: (-votes[k], k))
+        assert got[h] == (16, best, votes[best] / 16)
+
+
 @pytest.mark.parametrize("name,scans", [("archetype_support", 1), ("supported_uncertainty", 1), ("uncertainty_groups", 6), ("stable_windows", 1), ("nearest_hole", 1), ("cluster_activity", 1), ("edge_energy", 0), ("frame_audit", 0)])
 def test_plans_read_little(spark, sf_dir, name, scans):
     """Shared parts are written once: few scans of tables and no product of tables are left in the last plan."""

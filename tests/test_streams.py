@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from ringframe.operators import hotspots, reshape
 from ringframe.streaming import stateful
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition of keyed state starts a Python worker for every file."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    yield
+    spark.conf.set(name, before)
+
+
 SPOTS = "frame_id int, hotspot_id long, nearest_hole_id long, x double, y double, area_px double, score double"
 
 
