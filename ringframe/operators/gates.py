@@ -65,6 +65,7 @@ def geometry_checks(holes: DataFrame, basis: DataFrame, height: int, width: int,
     one = one.withColumns({"ratio": F.when(spacing > 0, F.lit(float(common_radius)) / spacing), "fits": fits, "share": F.col("area") / float(max(1, height * width))})
     one = one.withColumn("full", F.col("share") > 0.985)
     n, full, diagonal = F.col("n"), F.col("full"), float((height**2 + width**2) ** 0.5)
+    # The checks' names, severities and limits.
     checks = [
         ("minimum_hole_count", n >= 8, F.lit("fail"), n),
         ("lattice_confidence", F.col("confidence") >= F.when(full & (n >= 12), 0.65).otherwise(0.75), F.lit("fail"), F.col("confidence")),
