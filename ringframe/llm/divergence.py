@@ -25,6 +25,8 @@ BROADCAST_BYTES = 48_000_000
 MOST_COUNTS = 300_000
 MOST_SLOTS = 8_000_000
 SOURCES_AT_ONCE = 64
+# Rows of one key that are added up one after the other; keys of more rows are added up in parts first.
+MOST_PARTS = 1000
 LONG_KEY = 256
 
 
@@ -87,7 +89,7 @@ def recount(rows: DataFrame, hashes: list, name: str) -> DataFrame:
     with the slots that occur. A task has one dense array of slots for each group that it meets, and hands them on when
     they are more than MOST_SLOTS.
     """
-    sent = rows.sparkSession.sparkContext.broadcast([(r.lang, r.shard, r.n_keys, bytes(r.sizes), bytes(r.bits), [bytes(key_of(bytes(t))) for t in r.terms]) for r in hashes])
+    sent = rows.sparkSession.sparkContext.broadcast([(r.lang, r.shard, r.n_keys, bytes(r.sizes), bytes(r.bits), binary([key_of(bytes(t)) for t in r.terms])) for r in hashes])
     shards = max(h.n_shards for h in hashes)
 
     def loaded() -> dict[str, dict[int, tuple[int, PerfectHash]]]:
@@ -97,7 +99,7 @@ def recount(rows: DataFrame, hashes: list, name: str) -> DataFrame:
             of: dict[str, dict[int, tuple[int, PerfectHash]]] = defaultdict(dict)
             ends: Counter = Counter()
             for lang, shard, n, sizes, bits, keys in sent.value:
-                of[lang][shard] = (ends[lang], PerfectHash(sizes, bits, binary(keys)))
+                of[lang][shard] = (ends[lang], PerfectHash(sizes, bits, keys))
                 ends[lang] += n
             store[name] = of, ends
         return store[name]
@@ -156,20 +158,28 @@ def recount(rows: DataFrame, hashes: list, name: str) -> DataFrame:
 
 
 def dense_sums(parts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Add up sparse or dense counts of a key into one dense array: (*keys, counts, total). Rows of a key come one after the other
-    in a task and are added as they come; there is one for each task of the recount at most.
+    """Add up sparse or dense counts of a key into one dense array: (*keys, counts, total). A key has a row from each task of the
+    recount at most; where that is more than MOST_PARTS, rows are dealt into parts by a hash, and the parts' sums added up.
     """
-    width = len(keys)
-    names = [*keys, "counts", "total"]
+    most = parts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_PARTS:
+        salt = F.pmod(F.xxhash64("slots", "counts"), F.lit(-(-most // MOST_PARTS))).cast("int")
+        parts = added_up(parts.withColumn("salt", salt), sizes, ["salt", *keys]).select(*keys, F.lit(None).cast("binary").alias("slots"), "counts")
+    return added_up(parts, sizes, keys)
+
+
+def added_up(parts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key come one after the other in a task and are added as they come."""
+    names, whole = [*keys, "counts", "total"], ("shard", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def row() -> pa.RecordBatch:
-            columns = [pa.array([v]) for v in now[:-1]] + [pa.array([now[-1]], pa.int32())]
+            columns = [pa.array([v], pa.int32() if k in whole else pa.string()) for k, v in zip(keys, now, strict=True)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([total.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for *key, slots, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     if now is not None:
@@ -182,9 +192,8 @@ def dense_sums(parts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame
         if now is not None:
             yield row()
 
-    kinds = ", ".join(f"{k} {'int' if k == 'shard' else 'string'}" for k in keys)
+    kinds = ", ".join(f"{k} {'int' if k in whole else 'string'}" for k in keys)
     joined = parts.join(sizes, ["lang", "shard"]).select(*keys, "slots", "counts", "n_keys")
-    assert keys[-1] == "shard" and width > 1
     return joined.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, counts binary, total long")
 
 

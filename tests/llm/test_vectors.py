@@ -189,6 +189,7 @@ def test_divergence(spark, monkeypatch, least, ranks, most, keys):
     monkeypatch.setattr(divergence, "SOURCES_AT_ONCE", 2 if keys < 4096 else 64)
     monkeypatch.setattr(divergence, "MOST_COUNTS", 10 if keys < 4096 else 300_000)
     monkeypatch.setattr(divergence, "MOST_SLOTS", 10 if keys < 4096 else 8_000_000)
+    monkeypatch.setattr(divergence, "MOST_PARTS", 2 if keys < 4096 else 1000)
     rows = divergence_rows()
     docs = spark.createDataFrame([(*r, "c", 1, "t") for r in rows], "doc_id long, text string, lang string, source string, term string, total int, item string")
     got = divergence.source_divergence(docs, least, ranks, most).collect()
