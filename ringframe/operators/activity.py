@@ -187,8 +187,8 @@ def response_places(response: DataFrame, phenotypes: DataFrame, onsets: DataFram
     `phenotypes` (hole_id, phenotype_label; the least one if a hole has several, '' if it has none) and `onsets` (hole_id,
     onset_frame; the least one, last if it has none). A hole whose responses are all null has its first frame as peak and a sum of 0.
     """
-    value = F.when(F.col("response").isNotNull() & ~F.isnan("response"), settled(F.col("response")))
-    peak = F.min_by("frame_id", F.struct(F.coalesce(-value, F.lit(float("inf"))).alias("r"), "frame_id"))
+    value = F.when(F.col("response").isNotNull() & ~F.isnan("response"), F.col("response"))
+    peak = F.min_by("frame_id", F.struct(F.coalesce(-settled(value), F.lit(float("inf"))).alias("r"), "frame_id"))
     holes = response.where("hole_id IS NOT NULL").groupBy("hole_id").agg(peak.alias("peak_frame"), settled(F.coalesce(F.sum(value), F.lit(0.0))).alias("integrated_response"))
     kinds = phenotypes.groupBy("hole_id").agg(F.min("phenotype_label").alias("_kind"))
     firsts = onsets.groupBy("hole_id").agg(F.min("onset_frame").alias("onset_frame"))
