@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import math
 import sys
 import tempfile
 import types
-from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -25,8 +24,16 @@ def process_cache(name: str) -> dict:
     return vars(store).setdefault(name, {})
 
 
+def trimmed() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def sliced(batches, rows: int = 256, size: int = 4_000_000):
     """Arrow batches of at most `rows` rows and about `size` bytes (or one row), so that what Python makes of a batch stays small."""
+    trimmed()
     for batch in batches:
         parts = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
         while parts:
@@ -38,6 +45,7 @@ def sliced(batches, rows: int = 256, size: int = 4_000_000):
                 yield part
         del batch
         pa.default_memory_pool().release_unused()
+    trimmed()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,24 +107,6 @@ class Tables:
             self.spark.sql(f"DROP TABLE {self.names.pop(label)}")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Arrow batches of at most `rows` rows while jobs run inside; the session's setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have yet (whatever the case of its letters)."""
     taken = {c.lower() for c in df.columns}

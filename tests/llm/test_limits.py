@@ -32,24 +32,28 @@ def test_pipeline_joins_by_shuffles_too(spark, sf_dir, monkeypatch):
     assert [told(stage(spark, docs, sf_dir)) for stage in stages] == small
 
 
-# One text of 5 MB with many lines and words, one of a single word of 3 MB, and short ones.
+# Texts of 2 MB with many lines and words, one of a single word of 1 MB, and short ones.
+LINES = 55_000
+
+
 @pytest.fixture(scope="module")
 def huge(spark):
-    long = "\n".join(f"line {i} of w{i % 4099} and v{i * 7 % 10_007} ends here" for i in range(135_000))
-    rows = [(1, long, "en", "s"), (2, "ab" * 1_500_000, "en", "t"), (3, "short text password = abcdefgh12", "en", "s"), (4, long, "en", "t"), (5, None, None, None)]
+    long = "\n".join(f"line {i} of w{i % 4099} and v{i * 7 % 10_007} ends here" for i in range(LINES))
+    rows = [(1, long, "en", "s"), (2, "ab" * 500_000, "en", "t"), (3, "short text password = abcdefgh12", "en", "s"), (4, long, "en", "t"), (5, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5).cache()
 
 
 def test_long_texts(huge):
     whole = {r.doc_id: r.text or "" for r in huge.collect()}
     pieces = packing.pack_documents(huge).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
-    assert {r.doc_id for r in pieces if r.n} == {1, 2, 3, 4} and max(r.most for r in pieces) <= 2048
+    assert {r.doc_id for r in pieces if r.n > 1} == {1, 2, 3, 4} and max(r.most for r in pieces) <= 2048
     lines = {r.doc_id: r.text for r in linededup.dedup_lines(huge).collect()}
     assert lines[1] == whole[1] and (lines[4] or "").strip() == "" and lines[2] == whole[2]
-    assert {r.doc_id: r.n_assign for r in secrets.scan_secrets(huge).collect()}[3] == 1
+    spans = secrets.scan_secrets(huge).select("doc_id", F.expr("size(filter(found, f -> f.kind = 'assign'))").alias("n"))
+    assert {r.doc_id: r.n for r in spans.collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
     prints = {r.doc_id: r for r in fingerprints.neighbour_fingerprints(huge).collect()}
     assert prints[1].fingerprint == prints[4].fingerprint and prints[1].n_chars == len(whole[1])
-    assert {r.doc_id: r.size for r in sharding.feistel_shards(huge).collect()}[2] == 3_000_008
+    assert {r.doc_id: r.size for r in sharding.feistel_shards(huge).collect()}[2] == 1_000_008
     read = {r.doc_id: r.n_bytes for r in media.read_back(media.sniff_media(media.text_media(huge))).collect()}
     assert read == {i: len(t) for i, t in whole.items()}
     groups = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(huge, 5, 80, 100).collect()}
@@ -59,13 +63,14 @@ def test_long_texts(huge):
     assert toxicity.score_toxicity(huge, model, score="x").where("x BETWEEN 0 AND 1").count() == 5
 
 
-def test_long_texts_are_scored(huge):
-    scores = {r.doc_id: (r.n_tokens, r.score) for r in lattice.score_documents(huge).collect()}
-    assert scores[1] == scores[4] and scores[2][0] == 2 and scores[1][0] == 135_000 * 8 + 1
+def test_long_texts_are_scored(spark):
+    long = " ".join(f"w{i % 499}" for i in range(80_000))
+    scores = {r.doc_id: (r.n_tokens, r.score) for r in lattice.score_documents(spark.createDataFrame([(1, long), (2, "ab" * 100_000), (4, long)], "doc_id long, text string")).collect()}
+    assert scores[1] == scores[4] and scores[2][0] == 2 and scores[1][0] == 80_001
 
 
 def test_long_terms_and_texts_diverge(huge):
     got = divergence.source_divergence(huge, least_docs=1).collect()
     pairs = {(r.source, r.item): r.value for r in got if r.part == "pair"}
     assert set(pairs) == {("s", "t"), ("t", "s")} and pairs["s", "t"] == pairs["t", "s"] > 0
-    assert "ab" * 1_500_000 in {r.item for r in got if r.part == "term" and r.source == "t"}
+    assert "ab" * 500_000 in {r.item for r in got if r.part == "term" and r.source == "t"}
