@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import math
 import sys
 import tempfile
@@ -24,16 +23,8 @@ def process_cache(name: str) -> dict:
     return vars(store).setdefault(name, {})
 
 
-def trimmed() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def sliced(batches, rows: int = 256, size: int = 4_000_000):
     """Arrow batches of at most `rows` rows and about `size` bytes (or one row), so that what Python makes of a batch stays small."""
-    trimmed()
     for batch in batches:
         parts = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
         while parts:
@@ -45,7 +36,6 @@ def sliced(batches, rows: int = 256, size: int = 4_000_000):
                 yield part
         del batch
         pa.default_memory_pool().release_unused()
-    trimmed()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
