@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringframe.llm import jaccard, linededup, mixing, packing, toxicity
-from ringframe.llm.common import checkpoint, documents, fresh
+from ringframe.llm.common import checkpoint, documents, fresh, small_batches
 
 TOXIC_FROM = 0.5
 # Word shingles of five words, similarity 0.8.
@@ -30,6 +30,7 @@ def packed(docs: DataFrame, *columns) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of TOXIC_FROM or more go."""
+    small_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "score")
     return toxicity.score_toxicity(docs, model, score=score).where(F.col(score) < TOXIC_FROM).drop(score)
@@ -51,6 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     What goes is decided row by row: a doc_id that is repeated with different texts may have rows in many groups.
     """
+    small_batches(spark)
     groups = jaccard.grouped_rows(docs, SHINGLE, NUM, DEN)
     gone = checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     twice = checkpoint(groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
@@ -79,6 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

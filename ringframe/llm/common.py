@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import tempfile
 import types
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 # Functions of this subpackage travel with the task, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
+# Bytes of an Arrow batch that Spark hands to Python, where a stage asks for small ones.
+BATCH_BYTES = 2_000_000
+
 
 def process_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
@@ -38,6 +42,14 @@ def sliced(batches, rows: int = 256, size: int = 4_000_000):
         pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of BATCH_BYTES (or one row) from now on: both sides hold a task's batch, and 10,000 texts are a large one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not (told and 0 < int(told[1]) <= BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

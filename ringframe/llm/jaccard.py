@@ -26,6 +26,8 @@ BROADCAST_IDS = 300_000
 FOLDED, SKETCH, LARGE_SKETCH = 8, 16, 64
 # Leaders that a set is compared with when large groups are contracted; the join proper finds the rest.
 LEADERS = 3
+# Bytes of texts that are shingled at a time: each takes some 50 bytes of arrays meanwhile.
+SLICE = 250_000
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 INVERSE = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
@@ -120,7 +122,7 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often]), *[none] * (3 + SKETCH)], schema=schema)
             held.clear()
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             sets = shingler.sets(batch.column(1).to_pylist())
             sketches = np.array([sketch_of(s) for s in sets])
             none = pa.nulls(len(sets), pa.int64())
@@ -151,7 +153,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, hot_d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(n), set()
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             parts = []
             for tokens in shingler.sets(batch.column(1).to_pylist()):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
@@ -298,7 +300,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: Tabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             sets = shingler.sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
@@ -500,7 +502,7 @@ def with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             nodes = [node_of(s) if len(s) else None for s in shingler.sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, name])
 

@@ -1,12 +1,14 @@
 """Both sides of every size switch, and texts of megabytes, for each operator and stage."""
 
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ringframe.llm import divergence, fingerprints, jaccard, lattice, linededup, media, mixing, packing, queries, secrets, sharding, toxicity
+from ringframe.llm import common, divergence, fingerprints, jaccard, lattice, linededup, media, mixing, packing, queries, secrets, sharding, toxicity
 
 
 def told(df):
@@ -74,3 +76,30 @@ def test_long_terms_and_texts_diverge(huge):
     pairs = {(r.source, r.item): r.value for r in got if r.part == "pair"}
     assert set(pairs) == {("s", "t"), ("t", "s")} and pairs["s", "t"] == pairs["t", "s"] > 0
     assert "ab" * 500_000 in {r.item for r in got if r.part == "term" and r.source == "t"}
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.pack_sequences])
+def test_stages_hand_small_batches_to_python(spark, sf_dir, none, stage):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage(spark, none, sf_dir)
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("w"), 100_000).alias("text"))
+    told = texts.mapInArrow(sizes, "size long").agg(F.max("size"), F.sum("size")).first()
+    assert told[0] <= 1.5 * common.BATCH_BYTES and told[1] >= 10_000_000
+
+
+def test_shingling_takes_little_memory():
+    class Task:
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = " ".join(f"w{i}" for i in range(1500))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([f"{i} {text}" for i in range(400)])], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in jaccard.summaries(Task(), 5)(iter([batch])) if b.column(2).null_count == 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 400 and peak < 60_000_000
