@@ -181,6 +181,11 @@ def response_order(response: DataFrame) -> DataFrame:
     return known.groupBy("hole_id").agg(peak.alias("peak_frame"), F.sum("response").alias("integrated_response"))
 
 
+def onsets(response: DataFrame, level: float) -> DataFrame:
+    """The frames (hole_id, onset_frame) whose response exceeds `level`; one that equals it but for the noise of its sum does not."""
+    return response.where(settled(F.col("response")) > level).select("hole_id", F.col("frame_id").alias("onset_frame"))
+
+
 def response_places(response: DataFrame, phenotypes: DataFrame, onsets: DataFrame) -> DataFrame:
     """All holes of `response` with their place (from 0) by phenotype, onset, frame of the largest response, summed response (falling) and id.
 

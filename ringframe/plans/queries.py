@@ -1963,7 +1963,7 @@ def _response_places(spark, sf_dir):
     response = activity.hole_response(views.cluster_tensor(spark, sf_dir))
     holes = response.select("hole_id").distinct()
     labels = holes.where("hole_id % 5 <> 0").select("hole_id", F.concat(F.lit("P"), (F.col("hole_id") % 3).cast("string")).alias("phenotype_label"))
-    onsets = response.where("response > 0.4 AND hole_id % 4 <> 1").select("hole_id", F.col("frame_id").alias("onset_frame"))
+    onsets = activity.onsets(response.where("hole_id % 4 <> 1"), 0.4)
     return response, activity.response_places(response, labels, onsets)
 
 

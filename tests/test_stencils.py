@@ -173,6 +173,15 @@ def test_response_places_and_barcode(spark):
     assert activity.response_places(response.limit(0), labels, onsets).count() == 0
 
 
+def test_onsets_at_the_level(spark):
+    """Sums that are the level but for their last bits are no onset, whichever way the bits fall."""
+    above, below = 1.1 - 0.7, 0.6 - 0.2
+    assert above > 0.4 > below
+    rows = [(0, 1, above), (1, 1, below), (2, 1, 0.4), (3, 1, 0.41), (0, 2, above), (1, 2, None)]
+    response = spark.createDataFrame(rows, "frame_id int, hole_id int, response double")
+    assert [tuple(r) for r in activity.onsets(response, 0.4).collect()] == [(1, 3)]
+
+
 # Candidate rows (k, icl, relevant weight and separation) whose choice is known.
 CANDIDATES = "set_id string, k int, bic double, icl double, min_component_weight double, component_weight_floor double, min_center_sigma_separation double"
 
