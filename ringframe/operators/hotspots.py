@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ringframe.functions.expressions import proximity, settled
 from ringframe.operators.reshape import ordered_places
-from ringframe.sources.scratch import checkpointed
+from ringframe.sources.scratch import Scratch, checkpointed
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -105,56 +105,111 @@ def frame_reach(holes: DataFrame, most: float = 18.0, least: float = 6.0, share:
     return holes.groupBy("frame_id").agg(F.greatest(F.lit(least), F.least(F.lit(most), share * F.avg("radius_outer_px"))).alias("reach"))
 
 
-def link_candidates(rows: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, reaches: DataFrame | None = None) -> DataFrame:
-    """Pairs of hotspots of consecutive frames that may be linked, with their cost: distance + 0.5 area ratio + 0.25 score difference.
+# Pairs of hotspots of consecutive frames (those of one hole, or those of which one has no hole) are met at once while they are so many, near or not.
+PAIRS_AT_ONCE = 20_000_000
+# Width of the first band of costs.
+BAND = 0.25
+# Bands end where costs are this large.
+LARGEST_COST = 1e9
 
-    Pairs farther than `reach` (of the later frame, if `reaches` has it), beyond `max_ratio` in area (areas count 1 at least)
-    or of two different known holes are out; a hotspot without a hole may link to any. Cells as wide as `reach` make it an
-    equi-join.
+
+def link_candidates(old: DataFrame, new: DataFrame, reach: float, max_ratio: float, keys: list[str], least: float = 0.0, width: float | None = None) -> DataFrame:
+    """Pairs of hotspots that may be linked, with their cost: distance + 0.5 area ratio + 0.25 score difference (null without a score).
+
+    Pairs farther than `reach` (or than _reach of the later one), beyond `max_ratio` in area (areas count 1 at least) or of different
+    `keys` are out. With `width` only those that cost less than `least` + `width` are found; as none costs less than `least` by
+    its areas, they are near in place and score. Each row of `old` (its columns begin with _) is dealt to the cells that it may
+    reach, one to eight, which makes an equi-join.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-    own = {c: F.col(c) for c in ("hotspot_id", "nearest_hole_id", "x", "y", "area_px", "score")}
-    old = rows.select((F.col("frame_id") + 1).cast("int").alias("frame_id"), *[v.alias(f"_{c}") for c, v in own.items()], F.explode(offsets).alias("_o"))
-    old = old.withColumns({"_cx": cell("_x") + F.col("_o.u"), "_cy": cell("_y") + F.col("_o.v")}).drop("_o")
-    new = rows.select(F.col("frame_id").cast("int").alias("frame_id"), *own).withColumns({"_cx": cell("x"), "_cy": cell("y")})
-    met = new.join(old, ["frame_id", "_cx", "_cy"])
-    most = F.lit(reach)
-    if reaches is not None:
-        met = met.join(reaches.select("frame_id", F.col("reach").alias("_reach")), "frame_id", "left")
-        most = F.least(most, F.coalesce("_reach", most))
-    distance = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    spans = {"x": reach, "y": reach} if width is None else {"x": min(reach, width + 1e-6), "y": min(reach, width + 1e-6), "score": 4 * width + 1e-6}
+    cell = lambda value, span: F.floor(value / (2 * span))
+    for c, span in spans.items():
+        old = old.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"_{c}") - span, span), cell(F.col(f"_{c}") + span, span))))
+        new = new.withColumn(f"_c{c}", cell(F.col(c), span))
+    met = new.join(old.hint("merge"), [*keys, *[f"_c{c}" for c in spans]])  # what is dealt to cells is more than its table's size tells
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    distance = F.sqrt(dx * dx + dy * dy)
     ratio = F.greatest("area_px", "_area_px") / F.greatest(F.least("area_px", "_area_px"), F.lit(1.0))
-    same = F.col("nearest_hole_id").isNull() | F.col("_nearest_hole_id").isNull() | (F.col("nearest_hole_id") == F.col("_nearest_hole_id"))
-    near = met.where((distance <= most) & (ratio <= max_ratio) & same)
+    near = met.where((distance <= F.least(F.lit(reach), F.coalesce("_reach", F.lit(reach)))) & (ratio <= max_ratio))
     cost = settled(distance + 0.5 * ratio + 0.25 * F.abs(F.col("score") - F.col("_score")))
-    return near.select("frame_id", F.col("_hotspot_id").alias("prev_hotspot_id"), "hotspot_id", cost.alias("cost"))
+    pairs = near.select("frame_id", F.col("_hotspot_id").alias("prev_hotspot_id"), "hotspot_id", cost.alias("cost"))
+    return pairs if width is None else pairs.where(F.col("cost") < least + width)
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs (frame_id, prev_hotspot_id, hotspot_id, cost): those that a walk by ascending cost, then ids, would take.
+def without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
+    """Pairs neither end of which is taken."""
+    for c in ("prev_hotspot_id", "hotspot_id"):
+        pairs = pairs.join(taken.select("frame_id", c), ["frame_id", c], "left_anti")
+    return pairs
+
+
+def matched(pairs: DataFrame, kept: Scratch) -> DataFrame:
+    """One-to-one pairs (frame_id, prev_hotspot_id, hotspot_id, cost): those that a walk by ascending cost (null last), then ids, would take.
 
     Rounds instead of a walk: a pair that is the least of both its ends is taken and all pairs of these ends go, until none
-    is left. The order is total, so the result is the walk's; most pairs go in the first rounds. Each round is cut off in
-    the shared folder.
+    is left. The order is total, so the result is the walk's; most pairs go in the first rounds. The least pairs of ends are
+    combined within tasks before they are shuffled.
     """
-    rank = F.struct("cost", "prev_hotspot_id", "hotspot_id")
-    old, new = ["frame_id", "prev_hotspot_id"], ["frame_id", "hotspot_id"]
-    left, taken = checkpointed(pairs), []
-    while left.limit(1).count():
-        least = left.withColumn("_a", F.min(rank).over(Window.partitionBy(*old))).withColumn("_b", F.min(rank).over(Window.partitionBy(*new)))
-        chosen = F.col("_a") == F.col("_b")
-        marked = least.withColumn("_taken", chosen & (F.col("_a") == rank)).drop("_a", "_b")
-        ends = lambda keys: F.max("_taken").over(Window.partitionBy(*keys))
-        marked = checkpointed(marked.withColumn("_old", ends(old)).withColumn("_gone", ends(new) | F.col("_old")))
-        taken.append(marked.where("_taken").select(*pairs.columns))
-        left = marked.where("NOT _gone").select(*pairs.columns)
+    rank = F.struct(F.coalesce("cost", F.lit(float("inf"))).alias("c"), F.col("prev_hotspot_id").alias("p"), F.col("hotspot_id").alias("h"), "cost")
+    left, taken = kept.keep("pairs", pairs), []
+    while not left.isEmpty():
+        least = {c: left.groupBy("frame_id", c).agg(F.min(rank).alias("_r")) for c in ("prev_hotspot_id", "hotspot_id")}
+        old = least["prev_hotspot_id"].select("frame_id", "prev_hotspot_id", F.col("_r.h").alias("hotspot_id"), F.col("_r.cost").alias("cost"))
+        new = least["hotspot_id"].select("frame_id", "hotspot_id", F.col("_r.p").alias("prev_hotspot_id"))
+        taken.append(kept.keep(f"round_{len(taken)}", old.join(new, ["frame_id", "prev_hotspot_id", "hotspot_id"]).select(*pairs.columns)))
+        left = kept.keep("pairs", without(left, taken[-1]))
     return functools.reduce(DataFrame.unionByName, taken, pairs.limit(0))
 
 
 def link_greedy(rows: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, reaches: DataFrame | None = None) -> DataFrame:
-    """One-to-one links between consecutive frames by ascending cost (see link_candidates, matched)."""
-    return matched(link_candidates(rows, reach, max_ratio, reaches))
+    """One-to-one links between consecutive frames by ascending cost (see link_candidates, matched).
+
+    Hotspots of two different holes are never linked; one without a hole may link to any. Where frames have too many pairs to
+    meet at once, they meet by bands of cost, each twice as wide as the one before: a band's pairs count only if the bands
+    before it left both ends free, so the links are the same, and few hotspots are left when the bands get wide.
+    """
+    number = {c: F.col(c).cast("double") for c in ("x", "y", "area_px")} | {"score": F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))}
+    spots = rows.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("frame_id").cast("int").alias("frame_id"), "hotspot_id", F.col("nearest_hole_id").alias("hole"), *[v.alias(c) for c, v in number.items()])
+    with Scratch(rows.sparkSession) as kept:
+        spots = kept.keep("spots", spots)
+        old = spots.select((F.col("frame_id") + 1).cast("int").alias("frame_id"), "hole", *[F.col(c).alias(f"_{c}") for c in ("hotspot_id", *number)])
+        new = spots.withColumn("_reach", F.lit(None).cast("double")) if reaches is None else spots.join(reaches.select("frame_id", F.col("reach").cast("double").alias("_reach")), "frame_id", "left")
+        free = {"old": old.where("hole IS NOT NULL"), "old none": old.where("hole IS NULL").drop("hole"), "new": new.where("hole IS NOT NULL"), "new none": new.where("hole IS NULL").drop("hole")}
+
+        def meetings(a: str, b: str, *keys: str) -> float:
+            n = [free[side].groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name)) for side, name in ((a, "_a"), (b, "_b"))]
+            return n[0].join(n[1], [*keys]).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0.0
+
+        def of_one_hole(*costs) -> DataFrame:
+            return link_candidates(free["old"], free["new"], reach, max_ratio, ["frame_id", "hole"], *costs)
+
+        def of_any_hole(*costs) -> DataFrame:
+            """Pairs of which one has no hole; that one is dealt to cells, on whichever side it is."""
+            names = {c: f"_{c}" for c in ("hotspot_id", *number)}
+            turned = free["new none"].withColumnsRenamed(names), free["old"].drop("hole").withColumnsRenamed({v: k for k, v in names.items()})
+            met = [(free["old none"], free["new"].drop("hole")), (free["old none"], free["new none"]), turned]
+            first, second, third = (link_candidates(*sides, reach, max_ratio, ["frame_id"], *costs) for sides in met)
+            return first.unionByName(second).unionByName(third.select("frame_id", F.col("hotspot_id").alias("prev_hotspot_id"), F.col("prev_hotspot_id").alias("hotspot_id"), "cost"))
+
+        area, low, high = spots.agg(F.min("area_px"), F.min("score"), F.max("score")).first()
+        least = 0.5 * min(area, 1.0) if area is not None and area == area else 0.5
+        most = min(reach + 0.5 * max_ratio + 0.25 * ((high or 0.0) - (low or 0.0)), LARGEST_COST)
+        width, links, own = BAND, [], None
+        while True:
+            if own is None and meetings("old", "new", "frame_id", "hole") <= PAIRS_AT_ONCE:
+                own = kept.keep("own", of_one_hole())
+            few = own is not None and sum(meetings(*sides, "frame_id") for sides in (("old none", "new"), ("old none", "new none"), ("old", "new none"))) <= PAIRS_AT_ONCE
+            last = few or least + width > most
+            costs = () if last else (least, width)
+            mine = of_one_hole(*costs) if own is None else own if last else own.where(F.col("cost") < least + width)
+            links.append(kept.keep(f"links_{len(links)}", matched(mine.unionByName(of_any_hole(*costs)), kept)))
+            if last:
+                return checkpointed(functools.reduce(DataFrame.unionByName, links))
+            for side, df in free.items():
+                end, name = ("_hotspot_id", "prev_hotspot_id") if side.startswith("old") else ("hotspot_id", "hotspot_id")
+                free[side] = kept.keep(side.replace(" ", "_"), df.join(links[-1].select("frame_id", F.col(name).alias(end)), ["frame_id", end], "left_anti"))
+            own = own if own is None else kept.keep("own", without(own, links[-1]))
+            width *= 2
 
 
 def track_ids(rows: DataFrame, links: DataFrame) -> DataFrame:

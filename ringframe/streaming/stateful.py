@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ringframe.sources.scratch import checkpointed, shared_folder
+from ringframe.sources.scratch import checkpointed, remove, shared_folder
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -49,11 +49,6 @@ def run_stream(stream: DataFrame, base: str) -> None:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def dealt(rows: DataFrame, part, folder: str) -> None:
     """Write `rows` as a stream's files, one after the other by `part` (few numbers), so that a stream meets them in that order."""
     marked = rows.withColumn("_part", part)

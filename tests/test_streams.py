@@ -67,6 +67,45 @@ def test_links_of_chains_and_ties(spark):
     assert hotspots.link_greedy(spark.createDataFrame([], SPOTS)).count() == 0
 
 
+@pytest.mark.parametrize(("least_area", "limit"), [(-1.0, 500), (1.0, 0)])
+def test_links_by_bands(spark, monkeypatch, least_area, limit):
+    """Costs searched by bands give the same walk, with holes met by bands or at once."""
+    rng = random.Random(5)
+    rows = [(*r[:5], rng.choice([least_area, 1.5, 2.0]), rng.choice([0.0, 0.1, 3.0])) for r in spots(4, 90, 4)]
+    want = walked(rows, 6.0, 3.0, {2: 2.5})
+    reaches = spark.createDataFrame([(2, 2.5)], "frame_id int, reach double")
+    monkeypatch.setattr(hotspots, "PAIRS_AT_ONCE", limit)
+    monkeypatch.setattr(hotspots, "BAND", 2.0)
+    got = hotspots.link_greedy(spark.createDataFrame(rows, SPOTS), 6.0, 3.0, reaches).collect()
+    assert sorted((r.frame_id, r.prev_hotspot_id, r.hotspot_id) for r in got) == want
+
+
+def test_links_without_scores_come_last(spark):
+    blank = [(0, 1, 1, 0.0, 0.0, 1.0, None), (1, 2, 1, 0.0, 0.0, 1.0, 1.0), (0, 3, 1, 0.0, 0.0, 1.0, 9.0), (1, 4, None, None, 0.0, 1.0, 1.0), (1, 5, 1, 3.0, 0.0, 1.0, float("nan"))]
+    got = hotspots.link_greedy(spark.createDataFrame(blank, SPOTS)).collect()
+    assert sorted((r.prev_hotspot_id, r.hotspot_id, r.cost) for r in got) == [(1, 5, None), (3, 2, 2.5)]
+
+
+def test_links_write_few_pairs(spark, monkeypatch):
+    """Frames of hotspots that may all be linked with each other don't have all their pairs written."""
+    written = []
+    keep = hotspots.Scratch.keep
+
+    def counted(self, label, df):
+        out = keep(self, label, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(hotspots.Scratch, "keep", counted)
+    monkeypatch.setattr(hotspots, "PAIRS_AT_ONCE", 1000)
+    monkeypatch.setattr(hotspots, "BAND", 1.0)
+    rng = random.Random(1)
+    rows = [(i % 2, i, None, rng.random() * 18, rng.random() * 18, 1.0, rng.random() * 20) for i in range(800)]
+    got = hotspots.link_greedy(spark.createDataFrame(rows, SPOTS), 18.0).collect()
+    assert sorted((r.frame_id, r.prev_hotspot_id, r.hotspot_id) for r in got) == walked(rows, 18.0, 3.0)
+    assert max(written) < 12_000  # of about 130,000
+
+
 def test_areas_count_one_at_least(spark):
     near = [(0, 1, None, 0.0, 0.0, 0.1, 0.0), (1, 2, None, 0.0, 0.0, 2.9, 0.0)]
     assert hotspots.link_greedy(spark.createDataFrame(near, SPOTS)).count() == 1
