@@ -218,20 +218,21 @@ def track_ids(rows: DataFrame, links: DataFrame) -> DataFrame:
     Chains are followed by doubling: each hotspot points to one before it and takes over that one's pointer, so a chain of n
     takes log2(n) joins. First ones are numbered by ranges.
     """
-    before = links.select("frame_id", "hotspot_id", F.col("prev_hotspot_id").alias("_to_hotspot"), (F.col("frame_id") - 1).alias("_to_frame"))
-    at = rows.select(F.col("frame_id").cast("int").alias("frame_id"), "hotspot_id").join(before, ["frame_id", "hotspot_id"], "left")
-    moving = F.col("_to_frame") != F.col("frame_id")
-    at = at.withColumns({"_to_frame": F.coalesce("_to_frame", "frame_id"), "_to_hotspot": F.coalesce("_to_hotspot", "hotspot_id")})
-    at = checkpointed(at.withColumn("_end", ~moving))
-    while at.where("NOT _end").limit(1).count():
-        ahead = at.select(F.col("frame_id").alias("_to_frame"), F.col("hotspot_id").alias("_to_hotspot"), F.col("_to_frame").alias("_f"), F.col("_to_hotspot").alias("_h"), F.col("_end").alias("_e"))
-        open_ = at.where("NOT _end").join(ahead, ["_to_frame", "_to_hotspot"])
-        stays = (F.col("_f") == F.col("_to_frame")) & (F.col("_h") == F.col("_to_hotspot"))
-        moved = open_.select("frame_id", "hotspot_id", F.col("_f").alias("_to_frame"), F.col("_h").alias("_to_hotspot"), (stays | F.col("_e")).alias("_end"))
-        at = checkpointed(at.where("_end").unionByName(moved))
-    heads = at.where((F.col("_to_frame") == F.col("frame_id")) & (F.col("_to_hotspot") == F.col("hotspot_id"))).select("_to_frame", "_to_hotspot")
-    numbers = ordered_places(heads, ["_to_frame", "_to_hotspot"], "track_id")
-    return at.join(numbers, ["_to_frame", "_to_hotspot"]).select("frame_id", "hotspot_id", "track_id")
+    with Scratch(rows.sparkSession) as kept:
+        before = links.select("frame_id", "hotspot_id", F.col("prev_hotspot_id").alias("_to_hotspot"), (F.col("frame_id") - 1).alias("_to_frame"))
+        at = rows.select(F.col("frame_id").cast("int").alias("frame_id"), "hotspot_id").join(before, ["frame_id", "hotspot_id"], "left")
+        moving = F.col("_to_frame") != F.col("frame_id")
+        at = at.withColumns({"_to_frame": F.coalesce("_to_frame", "frame_id"), "_to_hotspot": F.coalesce("_to_hotspot", "hotspot_id")})
+        at = kept.keep("at", at.withColumn("_end", ~moving))
+        while at.where("NOT _end").limit(1).count():
+            ahead = at.select(F.col("frame_id").alias("_to_frame"), F.col("hotspot_id").alias("_to_hotspot"), F.col("_to_frame").alias("_f"), F.col("_to_hotspot").alias("_h"), F.col("_end").alias("_e"))
+            open_ = at.where("NOT _end").join(ahead, ["_to_frame", "_to_hotspot"])
+            stays = (F.col("_f") == F.col("_to_frame")) & (F.col("_h") == F.col("_to_hotspot"))
+            moved = open_.select("frame_id", "hotspot_id", F.col("_f").alias("_to_frame"), F.col("_h").alias("_to_hotspot"), (stays | F.col("_e")).alias("_end"))
+            at = kept.keep("at", at.where("_end").unionByName(moved))
+        heads = at.where((F.col("_to_frame") == F.col("frame_id")) & (F.col("_to_hotspot") == F.col("hotspot_id"))).select("_to_frame", "_to_hotspot")
+        numbers = ordered_places(heads, ["_to_frame", "_to_hotspot"], "track_id")
+        return checkpointed(at.join(numbers, ["_to_frame", "_to_hotspot"]).select("frame_id", "hotspot_id", "track_id"))
 
 
 def per_frame(rows: DataFrame) -> DataFrame:
