@@ -12,6 +12,10 @@ from ringframe.operators.reshape import ordered_places
 from ringframe.sources.scratch import Scratch, checkpointed
 
 
+# Pairs of rows of consecutive frames (or of one hole there) are met at once while they are so many, near or not.
+PAIRS_AT_ONCE = 20_000_000
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """Per hole: hotspots (with or without distance), mean and least distance; null and negative holes don't count."""
     return rows.where("nearest_hole_id >= 0").groupBy(F.col("nearest_hole_id").alias("hole_id")).agg(
@@ -89,15 +93,39 @@ def nearest_hole(points: DataFrame, holes: DataFrame, least: float = 16.0) -> Da
 
 
 def link_nearest(rows: DataFrame, reach: float) -> DataFrame:
-    """Each region's nearest one of the frame before, closer than `reach`; several may share one. Grid cells again bound the join."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    before = rows.select((F.col("frame_id") + 1).alias("frame_id"), F.col("region_id").alias("_prev"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    offsets = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-    before = before.withColumn("_o", F.explode(offsets)).withColumn("_cx", cell("_x") + F.col("_o.u")).withColumn("_cy", cell("_y") + F.col("_o.v")).drop("_o")
-    distance = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    met = rows.withColumn("_cx", cell("x")).withColumn("_cy", cell("y")).join(before, ["frame_id", "_cx", "_cy"], "left")
-    best = F.min(F.when(distance < reach, F.struct(distance.alias("d"), F.col("_prev").alias("p"))))
-    return met.groupBy(*rows.columns).agg(best.alias("_b")).select(*rows.columns, F.col("_b.p").alias("prev_region_id"), F.col("_b.d").alias("distance"))
+    """Each region's nearest one of the frame before, closer than `reach`, the least id among equals; several may share one. Equal rows are one.
+
+    Places are met, not regions: the least id stands for all regions of a place. Where too many places share cells as wide as
+    `reach`, they meet in narrower ones first: what lies outside the nine cells around a place is farther away than a cell
+    is wide, so a place that has found one within that is done, and only the others go on to cells twice as wide.
+    """
+    place, offsets = ["frame_id", "x", "y"], F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
+    cells = lambda df, x, y, span: df.withColumns({"_cx": F.floor(F.col(x) / span), "_cy": F.floor(F.col(y) / span)})
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    distance = F.sqrt(dx * dx + dy * dy)
+    with Scratch(rows.sparkSession) as kept:
+        placed = rows.where("x IS NOT NULL AND y IS NOT NULL")
+        old = kept.keep("old", placed.groupBy((F.col("frame_id") + 1).alias("frame_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("region_id").alias("_prev")))
+        left = kept.keep("left", placed.select(*place).distinct())
+
+        def meetings(span: float) -> float:
+            sides = [cells(df, x, y, span).groupBy("frame_id", "_cx", "_cy").agg(F.count(F.lit(1)).cast("double").alias(n)) for df, x, y, n in ((old, "_x", "_y", "_a"), (left, "x", "y", "_b"))]
+            return sides[0].join(sides[1], ["frame_id", "_cx", "_cy"]).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0.0
+
+        span, most, found = reach, max(PAIRS_AT_ONCE / 8, 4 * left.count()), []
+        while span > reach * 1e-6 and meetings(span) > most:
+            span /= 4
+        while True:
+            around = cells(old, "_x", "_y", span).withColumn("_o", F.explode(offsets)).withColumns({"_cx": F.col("_cx") + F.col("_o.u"), "_cy": F.col("_cy") + F.col("_o.v")}).drop("_o")
+            met = cells(left, "x", "y", span).join(around.hint("merge"), ["frame_id", "_cx", "_cy"]).where(distance < reach)
+            best = met.groupBy(*place).agg(F.min(F.struct(distance.alias("d"), F.col("_prev").alias("p"))).alias("_b"))
+            if span >= reach:
+                found.append(kept.keep("rest", best))
+                break
+            found.append(kept.keep(f"within_{span}", best.where(F.col("_b.d") <= span)))
+            left, span = kept.keep("left", left.join(found[-1], place, "left_anti")), min(2 * span, reach)
+        joined = rows.distinct().join(functools.reduce(DataFrame.unionByName, found), place, "left")
+        return checkpointed(joined.select(*rows.columns, F.col("_b.p").alias("prev_region_id"), F.col("_b.d").alias("distance")))
 
 
 def frame_reach(holes: DataFrame, most: float = 18.0, least: float = 6.0, share: float = 0.75) -> DataFrame:
@@ -105,8 +133,6 @@ def frame_reach(holes: DataFrame, most: float = 18.0, least: float = 6.0, share:
     return holes.groupBy("frame_id").agg(F.greatest(F.lit(least), F.least(F.lit(most), share * F.avg("radius_outer_px"))).alias("reach"))
 
 
-# Pairs of hotspots of consecutive frames (those of one hole, or those of which one has no hole) are met at once while they are so many, near or not.
-PAIRS_AT_ONCE = 20_000_000
 # Width of the first band of costs.
 BAND = 0.25
 # Bands end where costs are this large.

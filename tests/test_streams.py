@@ -80,6 +80,31 @@ def test_links_by_bands(spark, monkeypatch, least_area, limit):
     assert sorted((r.frame_id, r.prev_hotspot_id, r.hotspot_id) for r in got) == want
 
 
+@pytest.mark.parametrize("limit", [0, 20_000_000])
+def test_nearest_regions_by_places(spark, monkeypatch, limit):
+    """Regions of one place are met once, whatever the number of cells it takes; ties go to the least id."""
+    written, keep = [], hotspots.Scratch.keep
+
+    def counted(self, label, df):
+        out = keep(self, label, df)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(hotspots.Scratch, "keep", counted)
+    monkeypatch.setattr(hotspots, "PAIRS_AT_ONCE", limit)
+    rng = random.Random(3)
+    rows = [(i % 3, i, *((rng.randrange(30) / 4, rng.randrange(30) / 4) if i < 600 else (rng.randrange(400) / 1.0, 50.0))) for i in range(660)]
+    rows += [(1, 1000 + i, 7.0, -4.0) for i in range(200)] + [(0, 2000 + i, 0.0, 0.0) for i in range(200)] + [(0, 3000, 8.0, -3.0), (0, 2999, 8.0, -5.0), (1, 9000, None, 1.0), rows[5]]
+    got = hotspots.link_nearest(spark.createDataFrame(rows, "frame_id int, region_id long, x double, y double"), 12.0).collect()
+    want = {}
+    for f, i, x, y in rows:
+        near = [(((x - c) ** 2 + (y - d) ** 2) ** 0.5, p) for g, p, c, d in rows if x is not None and c is not None and g == f - 1]
+        d, p = min((n for n in near if n[0] < 12.0), default=(None, None))
+        want[f, i] = (p, d)
+    assert len(got) == len(want) and {(r.frame_id, r.region_id): (r.prev_region_id, r.distance) for r in got} == want
+    assert any(label.startswith("within") for label, _ in written) == (limit == 0) and max(n for _, n in written) < 700  # places, of 1,063 regions
+
+
 def test_links_without_scores_come_last(spark):
     blank = [(0, 1, 1, 0.0, 0.0, 1.0, None), (1, 2, 1, 0.0, 0.0, 1.0, 1.0), (0, 3, 1, 0.0, 0.0, 1.0, 9.0), (1, 4, None, None, 0.0, 1.0, 1.0), (1, 5, 1, 3.0, 0.0, 1.0, float("nan"))]
     got = hotspots.link_greedy(spark.createDataFrame(blank, SPOTS)).collect()
