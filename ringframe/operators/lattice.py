@@ -172,7 +172,7 @@ def containment(holes: DataFrame, height: int, width: int, circle: tuple[float,
     and inside the wafer, which is the circle if there is one, else the mask's places (y, x), else everything.
 
     A disk is inside a mask if it is inside the frame and all places within its radius (there must be one) are in the mask:
-    the places of each disk are counted and those in the mask are joined.
+    the places of each disk are counted and those in the mask are joined. Only disks inside the frame are laid out, row by row.
     """
     outer = F.greatest("radius_outer_px", F.lit(0.0))
     sizes = {"hole": outer, "terrace": F.greatest("terrace_outer_radius_px", outer)}
@@ -185,7 +185,7 @@ def containment(holes: DataFrame, height: int, width: int, circle: tuple[float,
             out = out.withColumn(f"{k}_inside_wafer", F.hypot(F.col("x") - circle[0], F.col("y") - circle[1]) + F.col(f"_{k}") <= circle[2] + 1e-6)
     elif mask is not None:
         span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("_terrace")).cast("int"), F.ceil(F.col(c) + F.col("_terrace")).cast("int")))
-        disks = out.select("hole_id", F.col("x").alias("_px"), F.col("y").alias("_py"), "_hole", "_terrace", span("x").alias("x")).join(out.select("hole_id", span("y").alias("y")), "hole_id")
+        disks = out.where("hole_inside_frame").select("hole_id", F.col("x").alias("_px"), F.col("y").alias("_py"), "_hole", "_terrace", span("x").alias("x")).withColumn("y", span("_py"))
         away = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
         known = disks.where(away <= F.col("_terrace") * F.col("_terrace")).withColumn("_near", away <= F.col("_hole") * F.col("_hole")).join(mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"], "left")
         sound = known.groupBy("hole_id").agg(F.bool_and(F.col("_in").isNotNull()).alias("_all_terrace"), F.bool_and(F.when(F.col("_near"), F.col("_in").isNotNull())).alias("_all_hole"))

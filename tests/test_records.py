@@ -97,6 +97,15 @@ def test_containment(spark):
     assert {r.reasons for r in lattice.containment(holes.where("hole_id <> 2"), 21, 21).collect()} == {""}
 
 
+def test_containment_of_disks_outside_the_frame(spark):
+    """They have their flags, however far off or large, and none of their places is laid out."""
+    holes = spark.createDataFrame([(1, 10.0, 10.0, 2.0, 4.0), (2, 5000.0, 5000.0, 2.0, 4.0), (3, 10.0, 10.0, 1e6, 1e6), (4, 10.0, 10.0, 2.0, 11.0)], "hole_id int, x double, y double, radius_outer_px double, terrace_outer_radius_px double")
+    mask = spark.createDataFrame([(y, x) for y in range(21) for x in range(21)], "y int, x int")
+    out = "hole_outside_frame;terrace_outside_frame;hole_outside_wafer;terrace_outside_wafer"
+    got = {r.hole_id: r.reasons for r in lattice.containment(holes, 21, 21, None, mask).collect()}
+    assert got == {1: "", 2: out, 3: out, 4: "terrace_outside_frame;terrace_outside_wafer"}
+
+
 def test_run_activity(spark):
     rows = [(0, 1, 60), (0, 2, 40), (1, 1, 50), (1, 2, 50), (2, 1, 10), (2, 3, 90)]
     got = {(r.frame_id, r.cluster_id): r for r in activity.run_activity(spark.createDataFrame(rows, "frame_id int, cluster_id int, pixel_count long"), 2).collect()}
