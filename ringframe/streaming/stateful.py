@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from uuid import uuid4
@@ -71,6 +72,13 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Pairs of two frames' hotspots that share cells: as many meet in a band, and are compared at a time.
+PAIRS = 8_000_000
+CHUNK = 500_000
+# Width of the first band of costs above the least that areas allow.
+BAND = 0.25
+
+
 class Tracker(StatefulProcessor):
     """Hotspots of a sequence, matched with the frame before; a frame is settled once the watermark has passed its end.
 
@@ -124,26 +132,88 @@ class Tracker(StatefulProcessor):
             self.last.update((last, next_track, old, tracks))
 
     def links(self, old: list[tuple], new: list[tuple]) -> dict[int, int]:
-        """Hotspot -> place of its match in `old`: by ascending cost, each at most once. A frame's hotspots meet by cells."""
-        cell = lambda s: (math.floor(s[2] / self.reach), math.floor(s[3] / self.reach))
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, s in enumerate(old):
-            cells.setdefault(cell(s), []).append(i)
-        costs = []
-        for j, b in enumerate(new):
-            u, v = cell(b)
-            for i in (i for du in (-1, 0, 1) for dv in (-1, 0, 1) for i in cells.get((u + du, v + dv), ())):
-                a = old[i]
-                away, ratio = math.hypot(a[2] - b[2], a[3] - b[3]), max(a[4], b[4]) / max(min(a[4], b[4]), 1.0)
-                if away <= self.reach and ratio <= self.max_ratio and (a[1] is None or b[1] is None or a[1] == b[1]):
-                    cost = away + 0.5 * ratio + 0.25 * abs(a[5] - b[5])
-                    costs.append((math.floor(cost * 1e9 + 0.5) / 1e9, a[0], b[0], i, j))
-        used, out = set(), {}
-        for _, _, name, i, _ in sorted(costs):
-            if i not in used and name not in out:
-                used.add(i)
-                out[name] = i
-        return out
+        """Hotspot -> place of its match in `old`: by ascending cost (unknown last), each at most once.
+
+        Hotspots meet by cells of place and score, in bands of cost that are about twice as wide each time: a band's pairs count
+        only if the bands before left both ends free. A band is narrowed, to a point, while more than PAIRS of them would meet.
+        """
+        import numpy as np
+
+        if not old or not new:
+            return {}
+        a, b = ({c: np.array([s[k] for s in spots], dtype=float) for k, c in ((2, "x"), (3, "y"), (4, "area"), (5, "score"))} for spots in (old, new))
+        for side, spots in ((a, old), (b, new)):
+            side["id"] = np.array([s[0] for s in spots], dtype=np.int64)
+            side["hole"] = np.array([0 if s[1] is None else s[1] for s in spots], dtype=np.int64)
+            side["none"] = np.array([s[1] is None for s in spots])
+        areas, scores = (np.concatenate([a[c], b[c]]) for c in ("area", "score"))
+        least = 0.5 * min(1.0, np.nanmin(areas)) if not np.isnan(areas).all() else 0.5
+        apart = np.nanmax(scores) - np.nanmin(scores) if not np.isnan(scores).all() else 0.0
+        most = self.reach + 0.5 * self.max_ratio + 0.25 * apart - least + 1e-6
+        names = np.unique(b["id"], return_inverse=True)[1]
+        used, gone, out = np.zeros(len(old), bool), np.zeros(len(names), bool), {}
+        done, width = 0.0, BAND if np.isfinite(most) else math.inf
+        while True:
+            i, j = np.flatnonzero(~used), np.flatnonzero(~gone[names])
+            left, right = ({c: v[at] for c, v in side.items()} for side, at in ((a, i), (b, j)))
+            if len(i) * len(j) <= PAIRS or width > most:
+                width = math.inf
+            met, n = self.meetings(left, right, width)
+            while n > PAIRS and math.isfinite(width) and width - done > max(BAND, done) / 8:
+                width = (done + width) / 2
+                met, n = self.meetings(left, right, width)
+            p, q, cost = self.near(left, right, met, least + width)
+            p, q = i[p], j[q]
+            for k in np.lexsort((b["id"][q], a["id"][p], cost)).tolist():
+                if not used[p[k]] and not gone[names[q[k]]]:
+                    used[p[k]] = gone[names[q[k]]] = True
+                    out[int(b["id"][q[k]])] = int(p[k])
+            if not math.isfinite(width):
+                return out
+            done, width = width, 2 * width
+
+    def meetings(self, a: dict, b: dict, width: float):
+        """The orders of `a` and `b` by cell, where in its order each of `b` finds those of `a` in the cells around its own, and how many they are."""
+        import numpy as np
+
+        near = min(self.reach, width + 1e-6)
+        spans = {"x": near, "y": near} | ({"score": 4 * width + 1e-6} if math.isfinite(width) else {})
+        factors = {"x": 73_856_093, "y": 19_349_663, "score": 83_492_791}  # cells that share a number only meet in vain
+        with np.errstate(invalid="ignore", over="ignore"):
+            cells, asked = (sum(np.floor(side[c] / s).astype(np.int64) * factors[c] for c, s in spans.items()) for side in (a, b))
+            orders, found = (np.argsort(cells, kind="stable"), np.argsort(asked, kind="stable")), []
+            cells, asked = cells[orders[0]], asked[orders[1]]
+            for steps in itertools.product((-1, 0, 1), repeat=len(spans)):
+                there = asked + sum(k * factors[c] for k, c in zip(steps, spans, strict=True))
+                begin = np.searchsorted(cells, there)
+                found.append((begin, np.searchsorted(cells, there, "right") - begin))
+        return (*orders, found), sum(int(n.sum()) for _, n in found)
+
+    def near(self, a: dict, b: dict, met, limit: float):
+        """Of the pairs that meet those that may be linked and cost less than `limit` (any if it is infinite), compared CHUNK at a time."""
+        import numpy as np
+
+        order, turn, found = met
+        kept = []
+        for begin, n in found:
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                m = n[at:to]
+                q = np.repeat(np.arange(at, to), m)
+                p = order[np.repeat(begin[at:to], m) + np.arange(len(q)) - np.repeat(np.cumsum(m) - m, m)]
+                q = turn[q]
+                fits = a["none"][p] | b["none"][q] | (a["hole"][p] == b["hole"][q])
+                p, q = p[fits], q[fits]
+                dx, dy = a["x"][p] - b["x"][q], a["y"][p] - b["y"][q]
+                away = np.sqrt(dx * dx + dy * dy)
+                ratio = np.fmax(a["area"][p], b["area"][q]) / np.fmax(np.fmin(a["area"][p], b["area"][q]), 1.0)
+                cost = np.floor((away + 0.5 * ratio + 0.25 * np.abs(a["score"][p] - b["score"][q])) * 1e9 + 0.5) / 1e9
+                fits = (away <= self.reach) & (ratio <= self.max_ratio) & ((cost < limit) | (limit == math.inf))
+                kept.append((p[fits], q[fits], cost[fits]))
+                at = to
+        return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
 
 def tracked(hotspots: DataFrame, reach: float = 10.0, max_ratio: float = 3.0, late: str = "1 day") -> DataFrame:

@@ -1,7 +1,9 @@
 """Links and tracks on literal rows, and the streams with keyed state: parts out of order, late rows, restarts."""
 
 import itertools
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +212,30 @@ def test_tracks_over_restarts_and_late_rows(spark, tmp_path):
     assert last >= 7 and {(r.sequence, r.frame_id, r.hotspot_id): r.track_id for r in got} == wanted(rows, last) and len(got) == len({(r.sequence, r.frame_id, r.hotspot_id) for r in got})
 
 
+@pytest.mark.parametrize("most", [50, 500, 8_000_000])
+def test_matches_of_a_stream_by_bands(monkeypatch, most):
+    """Whatever number of pairs is compared at a time, the matches are the walk's; unknown places never match, unknown scores last."""
+    monkeypatch.setattr(stateful, "PAIRS", most)
+    monkeypatch.setattr(stateful, "CHUNK", min(most, 100))
+    for seed in range(4):
+        rows = [r for r in spots(seed, 150, 2)]
+        old, new = ([tuple(r[1:]) for r in rows if r[0] == f] for f in (0, 1))
+        links = stateful.Tracker(6.0, 3.0).links(old, new)
+        assert sorted((1, old[i][0], h) for h, i in links.items()) == walked(rows, 6.0, 3.0)
+    old = [(1, 1, 0.0, 0.0, 1.0, None), (3, 1, 0.0, 0.0, 1.0, 9.0), (6, None, None, 0.0, 1.0, 1.0)]
+    new = [(2, 1, 0.0, 0.0, 1.0, 1.0), (4, None, math.nan, 0.0, 1.0, 1.0), (5, 1, 3.0, 0.0, 1.0, math.nan)]
+    assert stateful.Tracker(10.0, 3.0).links(old, new) == {2: 1, 5: 0}
+
+
+def test_matches_of_dense_frames_are_quick():
+    """Two frames of 20,000 hotspots that could nearly all be linked with each other (a loop over their pairs takes minutes)."""
+    rng = random.Random(9)
+    old, new = ([(k + f, None, rng.random() * 40, rng.random() * 40, 1.0, rng.random() * 50) for k in range(0, 40_000, 2)] for f in (0, 1))
+    began = time.monotonic()
+    assert len(stateful.Tracker(18.0, 3.0).links(old, new)) > 19_000
+    assert time.monotonic() - began < 60
+
+
 def test_a_missing_frame_ends_tracks(spark, tmp_path):
     rows = [(f, f, None, 1.0, 1.0, 1.0, 0.0) for f in (2, 4, 8)] + [(12, 12, None, 1.0, 1.0, 1.0, 0.0)]
     rows = [(f, 2 * h, *rest) for f, h, *rest in rows]  # one sequence
