@@ -307,22 +307,26 @@ class Baselines(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getMapState("frames", "frame_id int", "revision int, total bigint, n bigint")
+        # one value for all frames: each access to the state is a call from Python to the JVM
+        self.frames = handle.getValueState("frames", "frame_ids array<int>, revisions array<int>, totals array<bigint>, ns array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = {k[0]: tuple(v) for k, v in self.frames.iterator()}
+        state = self.frames.get()
+        known = {f: (r, t, n) for f, r, t, n in zip(*state, strict=True)} if state else {}
         first, touched = min(known, default=None), set()
         for r in rows:
             revision, total, n = known.get(r.frame_id, (0, 0, 0))
             known[r.frame_id] = (revision, total + r.total, n + r.n)
             touched.add(r.frame_id)
         base = min(known)
-        told = set(known) if base != first or base in touched else touched
-        value = lambda f: known[f][1] / (100 * known[f][2])
-        for frame in sorted(told):
+        told = sorted(known if base != first or base in touched else touched)
+        for frame in told:
             revision, total, n = known[frame]
-            self.frames.updateValue((frame,), (revision + 1, total, n))
-            yield Row(hole_id=key[0], annulus_id=key[1], frame_id=frame, revision=revision + 1, baseline_frame_id=base, descriptor_value=value(frame), baseline_descriptor_value=value(base), delta_descriptor_value=value(frame) - value(base))
+            known[frame] = (revision + 1, total, n)
+        self.frames.update((list(known), *(list(c) for c in zip(*known.values(), strict=True))))
+        value = lambda f: known[f][1] / (100 * known[f][2])
+        for frame in told:
+            yield Row(hole_id=key[0], annulus_id=key[1], frame_id=frame, revision=known[frame][0], baseline_frame_id=base, descriptor_value=value(frame), baseline_descriptor_value=value(base), delta_descriptor_value=value(frame) - value(base))
 
 
 def first_frame_deltas(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ringframe.operators import hotspots, reshape
@@ -256,6 +257,32 @@ def test_baselines_correct_themselves(spark, tmp_path):
     assert told.where("hole_id = 1 AND frame_id = 5").count() == 3  # first, after the earlier frame, after that frame's second row
 
 
+def test_baselines_ask_the_state_twice_a_batch():
+    """However many frames a cell has, its state is read once and written once for all rows of a batch."""
+    calls, held = [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    baselines = stateful.Baselines()
+    baselines.init(Handle())
+    row = lambda f, total: Row(frame_id=f, total=total, n=1)
+    assert len(list(baselines.handleInputRows((1, 2), iter([row(f, 100 * f) for f in range(5, 30)]), None))) == 25
+    out = list(baselines.handleInputRows((1, 2), iter([row(4, 300), row(29, 100)]), None))
+    assert calls == ["get", "update"] * 2 and len(out) == 26 and [(r.revision, r.baseline_frame_id) for r in out] == [(1, 4)] + [(2, 4)] * 25
+    assert out[-1].descriptor_value == 15.0 and out[-1].delta_descriptor_value == 12.0
+
+
 def test_jumps_in_any_order(spark, tmp_path):
     schema = "sequence string, frame_id int, r int, g int, b int"
     rng = random.Random(2)
